@@ -45,7 +45,7 @@ messages AS (
   SELECT artifact_id, coalesce(
            min(CASE WHEN tpl IN (1, 2, 4) THEN line_no * 100 + tpl END),
            min(CASE WHEN tpl = 3 THEN line_no * 100 + tpl END),
-           min(CASE WHEN tpl IN (7, 9, 12) THEN line_no * 100 + tpl END),
+           min(CASE WHEN tpl IN (6, 9) THEN line_no * 100 + tpl END),
            max(line_no * 100 + tpl)) % 100 AS tpl
   FROM {{v_line}} GROUP BY artifact_id
 )
@@ -69,16 +69,14 @@ _WRAPPED = """
 SELECT artifact_id, line_no,
        CASE tpl % 4 WHEN 0 THEN '##[error] ' || line WHEN 1 THEN 'ERROR: ' || line
             WHEN 2 THEN chr(27) || '[31m' || line || chr(27) || '[0m'
-            ELSE '{"level":7,"msg":"m' || CAST(tpl AS STRING) || '"}' END AS line,
+            ELSE '{{"level":7,"msg":"m' || CAST(tpl AS STRING) || '"}}' END AS line,
        CASE WHEN tpl % 4 = 3 THEN 'm' || CAST(tpl AS STRING) ELSE line END AS expected
 FROM {v_line}"""
 
 
-@query("L01_normalize_log", sql=f"SELECT artifact_id, line_no, expected AS line FROM ({_WRAPPED.replace('{' + chr(34) + 'level' + chr(34), chr(0))})".replace(chr(0), '{"level"'))
+@query("L01_normalize_log", sql=f"SELECT artifact_id, line_no, expected AS line FROM ({_WRAPPED})")
 def normalize(d: Data):
-    wrapped = d.spark.sql(_WRAPPED.replace('{"level"', '{{"level"').replace("\"}'", "\"}}'").replace("chr(27)", "char(27)"),
-                          v_line=d.v_line)
-    return wrapped.select("artifact_id", "line_no", T.normalize_log("line").alias("line"))
+    return d.sql(_WRAPPED).select("artifact_id", "line_no", T.normalize_log("line").alias("line"))
 
 
 @query("C01_stage_of_line", sql="SELECT artifact_id, line_no, stage FROM {v_line}")
@@ -95,9 +93,11 @@ def kind_of_line(d: Data):
 @query("C03_failure_signals", sql=f"""
 SELECT artifact_id, kind, stage FROM (
   SELECT artifact_id, kind, stage, row_number() OVER (PARTITION BY artifact_id, kind ORDER BY line_no) AS rn
-  FROM ({_SIGNAL_LINES})) WHERE rn = 1""")
+  FROM (SELECT artifact_id, line_no, kind, stage FROM ({_SIGNAL_LINES})
+        UNION ALL SELECT artifact_id, line_no, 'network_failure', 'deploy' FROM {{v_line}} WHERE tpl = 1
+        UNION ALL SELECT artifact_id, line_no, 'ci_failure', 'ci' FROM {{v_line}} WHERE tpl = 8)) WHERE rn = 1""")
 def signals(d: Data):
-    # tpl 12 and 2 also carry weaker secondary signals on the same line, so only the labelled kinds are listed.
+    # Templates 1 and 8 carry a second, weaker signal on the same line.
     found = C.failure_signals(artifacts(d)).select("artifact_id", F.explode("signals").alias("s"))
     return found.select("artifact_id", "s.kind", "s.stage")
 

@@ -27,14 +27,20 @@ class Data:
             if name in TABLES:
                 self._cache[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                text = VIEWS[name]
-                needed = {ref: getattr(self, ref) for ref in _references(text)}
-                self._cache[name] = self.spark.sql(text, **needed)
+                self._cache[name] = self.sql(VIEWS[name])
         return self._cache[name]
 
+    def sql(self, text: str) -> DataFrame:
+        """A query whose ``{name}`` references are tables or views of this folder."""
+        return self.spark.sql(text, **{name: getattr(self, name) for name in _references(text)})
+
+
+# ``{name}`` is a table or view; ``{{`` and ``}}`` are literal braces.
+_REFERENCE = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
+
 
 def _references(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(_REFERENCE.findall(text)))
 
 
 def _ordered_views(text: str, seen: list[str]) -> None:
@@ -48,7 +54,7 @@ def oracle_text(body: str) -> str:
     """Prefix the referenced views as CTEs and resolve ``{name}`` to plain names."""
     views: list[str] = []
     _ordered_views(body, views)
-    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
+    plain = lambda text: _REFERENCE.sub(r"\1", text).replace("{{", "{").replace("}}", "}")
     ctes = [f"{name} AS (\n{plain(VIEWS[name]).strip()}\n)" for name in views]
     body = plain(body).strip()
     if not ctes:
