@@ -103,7 +103,7 @@ def stage_near(d: Data):
         .when(F.col("event_id") % 5 == 2, "pytest -q").when(F.col("event_id") % 5 == 3, "cargo build").otherwise("hello")
     )
     logs = d.events.select("event_id", F.concat(scope, F.lit("\nworker timeout after "), F.col("user_id")).alias("text"))
-    hits = C.failure_signals(logs).select("event_id", F.explode("signals").alias("s"))
+    hits = C.failure_signals(logs).select("event_id", F.explode(F.slice("signals", 1, 30)).alias("s"))
     return hits.filter(F.col("s.kind") == "timeout").select("event_id", "s.stage")
 
 

@@ -147,7 +147,7 @@ SELECT 'd' || CAST(event_id AS STRING) AS artifact_id, event_id, user_id,
          WHEN 0 THEN 'kubectl rollout status deployment/api-' || u || ' -n prod' || chr(10) || 'revision: r' || n || ' commit=abcdef' || lpad(n, 7, '0')
          WHEN 1 THEN 'helm upgrade shop-' || u || ' failed' || chr(10) || 'rollback succeeded, error rate high'
          WHEN 2 THEN 'terraform apply started_at=2024-01-01T00:00:00Z strategy=canary workload/w' || u
-         ELSE 'service outage in service=cart' || u || ' image: registry/x:' || n END AS text,
+         ELSE 'service outage in service=cart' || u || ' image registry/x:' || n END AS text,
        CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'kubernetes' WHEN 1 THEN 'helm' WHEN 2 THEN 'terraform' ELSE '' END AS platform,
        CASE WHEN event_id % 4 = 0 THEN 'prod' ELSE '' END AS namespace,
        CASE WHEN event_id % 4 = 0 THEN 'api-' || u ELSE '' END AS target,

@@ -433,4 +433,4 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
 
 def event_table(df: DataFrame, key: str = "artifact_id") -> DataFrame:
     """Long form: one row per event with its 1-based ``seq``."""
-    return df.select(key, F.posexplode("events").alias("_p", "e")).select(key, (F.col("_p") + 1).alias("seq"), "e.*")
+    return df.select(key, F.posexplode(F.slice("events", 1, MAX_EVENTS)).alias("_p", "e")).select(key, (F.col("_p") + 1).alias("seq"), "e.*")

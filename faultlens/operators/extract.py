@@ -347,7 +347,7 @@ def failed_tests(df: DataFrame, text: str = "text") -> DataFrame:
 
 def failed_test_table(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
     parsed = failed_tests(df, text)
-    return parsed.select(key, F.posexplode("failed_tests").alias("pos", "t")).select(key, "pos", "t.*")
+    return parsed.select(key, F.posexplode(F.slice("failed_tests", 1, MAX_FAILED_TESTS)).alias("pos", "t")).select(key, "pos", "t.*")
 
 
 # ------------------------------------------------------------------ correlation ids
