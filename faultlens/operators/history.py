@@ -342,9 +342,9 @@ def related_incidents(candidates: DataFrame, feedback: DataFrame, id_columns: Se
     by_key = wanted.join(reviewed, wanted["failure_signature"] == reviewed["dedup_key"]).select(
         *id_columns, "feedback_id", "severity")
     suites = wanted.select("suite").distinct()
-    lengths = suites.agg(F.collect_set(F.length("suite")).alias("_lengths"))  # distinct lengths, at most 500
-    components = reviewed.select("predicted_component").distinct()
-    pieces = components.join(lengths).select("predicted_component", F.explode(F.array_distinct(F.flatten(F.transform(
+    lengths = suites.agg(F.collect_set(F.length("suite")))  # distinct lengths, at most 500
+    components = reviewed.select("predicted_component").distinct().withColumn("_lengths", lengths.scalar())
+    pieces = components.select("predicted_component", F.explode(F.array_distinct(F.flatten(F.transform(
         "_lengths",
         lambda n: F.transform(
             F.when(F.length("predicted_component") >= n,
