@@ -86,15 +86,15 @@ def redact(text: Column | str) -> Column:
 
 def redact_counted(text: Column | str) -> Column:
     """``struct<text, hits array<int>>``: hits per kind, each counted on the text its pattern sees."""
+    def pass_of(kind: str, pattern: str):
+        return lambda s: F.struct(
+            F.regexp_replace(s["text"], pattern, marker(kind)).alias("text"),
+            F.array_append(s["hits"], F.regexp_count(s["text"], F.lit(pattern))).alias("hits"),
+        )
+
     state = F.struct(as_col(text).alias("text"), F.array().cast("array<int>").alias("hits"))
     for kind, pattern in REDACTIONS:
-        state = let(
-            state,
-            lambda s, kind=kind, pattern=pattern: F.struct(
-                F.regexp_replace(s["text"], pattern, marker(kind)).alias("text"),
-                F.array_append(s["hits"], F.regexp_count(s["text"], F.lit(pattern))).alias("hits"),
-            ),
-        )
+        state = let(state, pass_of(kind, pattern))
     return state
 
 

@@ -121,7 +121,7 @@ def resolve_owners(paths: DataFrame, rules: DataFrame, scope: str = "scope", pat
     clean = F.regexp_replace(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "^/+", "")
     matched = F.filter(
         F.col("_rules"),
-        lambda r: F.col("_clean").rlike(r["regex"])
+        lambda r: F.rlike(F.col("_clean"), r["regex"])
         | (r["pattern"].endswith("/") & F.col("_clean").startswith(r["pattern"])),
     )
     return (
