@@ -25,15 +25,18 @@ def running_totals(
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     rank: str | None = None,
+    maxes_before: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add per-key running columns over the unique ascending ``order``.
 
-    ``rank`` names a 1-based position; each entry of ``sums`` adds the inclusive running sum of its expression.
+    ``rank`` names a 1-based position; each entry of ``sums`` adds the inclusive running sum of its expression, each
+    entry of ``maxes_before`` the largest value of its expression on earlier rows (null when there is none).
     """
-    sums = dict(sums or {})
+    sums, maxes = dict(sums or {}), dict(maxes_before or {})
     pieces = _pieces(df, keys, order)
     totals = pieces.groupBy(*keys, "_piece").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(expr).alias(f"_t_{name}") for name, expr in sums.items()]
+        F.count(F.lit(1)).alias("_n"), *[F.sum(expr).alias(f"_t_{name}") for name, expr in sums.items()],
+        *[F.max(expr).alias(f"_m_{name}") for name, expr in maxes.items()],
     )
     # One row per (key, piece): at most one per partition for any key.
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,6 +45,7 @@ def running_totals(
         "_piece",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums],
+        *[F.max(f"_m_{name}").over(before).alias(f"_bm_{name}") for name in maxes],
     )
     local = Window.partitionBy(*keys, "_piece").orderBy(*order)
     local_sum = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -49,6 +53,7 @@ def running_totals(
         "*",
         F.row_number().over(local).alias("_local"),
         *[F.coalesce(F.sum(expr).over(local_sum), F.lit(0)).alias(f"_l_{name}") for name, expr in sums.items()],
+        *[F.max(expr).over(local.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_lm_{name}") for name, expr in maxes.items()],
     )
     conditions = [ranked[name].eqNullSafe(offsets[name]) for name in [*keys, "_piece"]]
     condition = conditions[0]
@@ -59,4 +64,5 @@ def running_totals(
     if rank:
         columns.append((F.col("_before") + F.col("_local")).cast("bigint").alias(rank))
     columns += [(F.col(f"_b_{name}") + F.col(f"_l_{name}")).alias(name) for name in sums]
+    columns += [F.greatest(f"_bm_{name}", f"_lm_{name}").alias(name) for name in maxes]
     return joined.select(*columns)
