@@ -54,7 +54,7 @@ messages AS (
 
 def artifacts(d: Data):
     """One text per artifact; an artifact has eight lines by construction."""
-    return d.v_line.groupBy("artifact_id").agg(
+    return d.gathered(d.v_line, "artifact_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n"
         ).alias("text")

@@ -8,18 +8,18 @@ from faultlens.functions.text import group
 from faultlens.operators import classify as C, extract as X
 
 
-def _joined(df, order: str, line: str):
+def _joined(d: Data, df, order: str, line: str):
     """Bounded groups: every artifact of these views has a fixed number of lines."""
-    return df.groupBy("artifact_id").agg(F.array_join(
+    return d.gathered(df, "artifact_id").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda r: r[line]), "\n").alias("text"))
 
 
 def runner_logs(d: Data):
-    return _joined(d.v_runner_block, "event_id", "block")
+    return _joined(d, d.v_runner_block, "event_id", "block")
 
 
 def frame_logs(d: Data):
-    return _joined(d.v_frame_line, "line_no", "line_text")
+    return _joined(d, d.v_frame_line, "line_no", "line_text")
 
 
 @query("C12_stack_frames", sql="SELECT artifact_id, line_no AS pos, file, line, function FROM {v_frame_line}")
@@ -108,7 +108,7 @@ def stage_near(d: Data):
 
 
 def event_logs(d: Data):
-    classified = C.classify_artifacts(_joined(d.v_event_line, "line_no", "line"))
+    classified = C.classify_artifacts(_joined(d, d.v_event_line, "line_no", "line"))
     return C.event_table(C.extract_events(classified))
 
 
@@ -152,7 +152,7 @@ SELECT artifact_id, max(CASE WHEN field = 'request_id' AND rn = 1 THEN v END) AS
        string_agg(CASE WHEN field = 'user_id' AND seen <= 10 THEN v END, ',' ORDER BY seen) AS users
 FROM best GROUP BY 1""")
 def entities(d: Data):
-    rows = X.entity_context(_joined(d.v_entity_line, "line_no", "line"))
+    rows = X.entity_context(_joined(d, d.v_entity_line, "line_no", "line"))
     return rows.select("artifact_id", "request_id", "user_id", F.concat_ws(" ", "method", "path").alias("request"),
                        F.array_join("users", ",").alias("users"))
 

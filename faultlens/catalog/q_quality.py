@@ -39,23 +39,23 @@ FROM (SELECT l_partkey % 50 AS p, l_partkey % 50 * 4 + l_suppkey % 4 AS f, CAST(
 GROUP BY 1, 2, 3, 4"""
 
 
-def _documents(pieces, key: str, order: str, prefix: str, suffix: str, separator: str):
+def _documents(d: Data, pieces, key: str, order: str, prefix: str, suffix: str, separator: str):
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda r: r["piece"]), separator)
-    return pieces.groupBy(key).agg(F.concat(F.lit(prefix), body, F.lit(suffix)).alias("text"))
+    return d.gathered(pieces, key).agg(F.concat(F.lit(prefix), body, F.lit(suffix)).alias("text"))
 
 
 def junit_documents(d: Data):
-    return _documents(d.v_junit_piece, "artifact_id", "pos", '<?xml version="1.0"?><testsuites><testsuite name="s">', "</testsuite></testsuites>", "\n")
+    return _documents(d, d.v_junit_piece, "artifact_id", "pos", '<?xml version="1.0"?><testsuites><testsuite name="s">', "</testsuite></testsuites>", "\n")
 
 
 def json_documents(d: Data):
-    return _documents(d.v_json_piece, "artifact_id", "pos", '{"suites":[{"name":"outer","tests":[', "]}]}", ",")
+    return _documents(d, d.v_json_piece, "artifact_id", "pos", '{"suites":[{"name":"outer","tests":[', "]}]}", ",")
 
 
 def sarif_documents(d: Data):
     prefix = ('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"scan","rules":[{"id":"R0","name":"Zero","defaultConfiguration":{"level":"note"}},'
               '{"id":"R1","defaultConfiguration":{"level":"error"}}]}},"results":[')
-    return _documents(d.v_sarif_piece, "artifact_id", "pos", prefix, "]}]}", ",")
+    return _documents(d, d.v_sarif_piece, "artifact_id", "pos", prefix, "]}]}", ",")
 
 
 _JUNIT_ROWS = """
@@ -108,7 +108,7 @@ def go_json(d: Data):
     text = F.concat_ws("\n", row("run", ""),
                        F.concat(F.lit('{"Action":"output","Test":"'), "name", F.lit('","Output":"out '), "name", F.lit('\\n"}')),
                        F.when(F.col("k") <= 1, row("fail", "")).otherwise(row("pass", "")))
-    docs = _documents(d.v_case.select("artifact_id", "pos", text.alias("piece")), "artifact_id", "pos", "", "", "\n")
+    docs = _documents(d, d.v_case.select("artifact_id", "pos", text.alias("piece")), "artifact_id", "pos", "", "", "\n")
     return R.go_json_failures(docs).select("artifact_id", "name", "file", "assertion")
 
 
@@ -158,7 +158,7 @@ def _coverage_documents(d: Data, header, line, footer: str, prefix: str, suffix:
     files = d.v_cov.groupBy("report_id", "path", "f").agg(
         F.array_sort(F.collect_list(F.struct("line", "hits"))).alias("_l"))
     piece = F.concat(header, F.array_join(F.transform("_l", line), separator), F.lit(footer))
-    return _documents(files.select("report_id", "f", piece.alias("piece")), "report_id", "f", prefix, suffix, separator if separator == "," else "\n")
+    return _documents(d, files.select("report_id", "f", piece.alias("piece")), "report_id", "f", prefix, suffix, separator if separator == "," else "\n")
 
 
 _s = lambda c: c.cast("string")
@@ -203,7 +203,7 @@ def _istanbul_documents(d: Data):
     piece = F.concat(
         F.lit('"'), "path", F.lit('":{"statementMap":{'), pair(lambda r: F.concat(F.lit('"'), _s(r["line"]), F.lit('":{"start":{"line":'), _s(r["line"]), F.lit("}}"))),
         F.lit('},"s":{'), pair(lambda r: F.concat(F.lit('"'), _s(r["line"]), F.lit('":'), _s(r["hits"]))), F.lit('},"b":{"0":[1,0,2]}}'))
-    return _documents(files.select("report_id", "f", piece.alias("piece")), "report_id", "f", "{", "}", ",")
+    return _documents(d, files.select("report_id", "f", piece.alias("piece")), "report_id", "f", "{", "}", ",")
 
 
 @query("S15_istanbul", sql=_COV_SQL)
@@ -215,7 +215,7 @@ def istanbul(d: Data):
 def istanbul_summary(d: Data):
     files = d.v_cov.groupBy("report_id", "path", "f").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("hits") > 0).alias("c"))
     piece = F.concat(F.lit('"'), "path", F.lit('":{"lines":{"total":'), _s(F.col("t")), F.lit(',"covered":'), _s(F.col("c")), F.lit("}}"))
-    docs = _documents(files.select("report_id", "f", piece.alias("piece")), "report_id", "f", '{"total":{"lines":{"total":1,"covered":1}},', "}", ",")
+    docs = _documents(d, files.select("report_id", "f", piece.alias("piece")), "report_id", "f", '{"total":{"lines":{"total":1,"covered":1}},', "}", ",")
     return COV.istanbul_summary(docs).select("report_id", "path", "lines_total", "lines_covered")
 
 
@@ -250,7 +250,7 @@ def diff(d: Data):
     body = F.array_join(F.transform("_l", lambda n: F.concat(
         F.lit("@@ -"), _s(n), F.lit(",3 +"), _s(n), F.lit(",3 @@ def f\n a\n b\n-old\n+++ new"))), "\n")
     piece = F.concat(F.lit("diff --git a/x b/x\nindex 1..2\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"), body)
-    docs = _documents(hunks.select("gate_id", "path", piece.alias("piece")), "gate_id", "path", "", "\ndiff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone", "\n")
+    docs = _documents(d, hunks.select("gate_id", "path", piece.alias("piece")), "gate_id", "path", "", "\ndiff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone", "\n")
     return COV.changed_lines(docs)
 
 

@@ -248,7 +248,7 @@ def advice(d: Data):
 # ------------------------------------------------------------------ timeline
 
 def timelines(d: Data):
-    logs = C.extract_events(C.classify_artifacts(_joined(d.v_event_line, "line_no", "line")))
+    logs = C.extract_events(C.classify_artifacts(_joined(d, d.v_event_line, "line_no", "line")))
     n = F.substring("artifact_id", 2, 9).cast("bigint")
     return L.build_timeline(logs.select(
         "artifact_id", "events", F.lit("build").alias("workflow"), F.lit("unit").alias("job_name"), F.lit("7").alias("run_id"),
@@ -388,7 +388,7 @@ WITH ids AS (SELECT artifact_id, trace_id, min(line_no) AS p FROM {v_event_line}
 top AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY p) AS rn FROM ids)
 SELECT t.artifact_id, t.trace_id, e.event_id AS span FROM top t JOIN {events} e ON lpad(CAST(e.event_id AS STRING), 16, '0') = t.trace_id WHERE rn <= 5""")
 def lookup(d: Data):
-    logs = C.extract_events(C.classify_artifacts(_joined(d.v_event_line, "line_no", "line"))).select("artifact_id", "events")
+    logs = C.extract_events(C.classify_artifacts(_joined(d, d.v_event_line, "line_no", "line"))).select("artifact_id", "events")
     spans = d.events.select(F.lpad(F.col("event_id").cast("string"), 16, "0").alias("trace_id"), F.col("event_id").alias("span"))
     return TR.trace_lookup(logs, spans).select("artifact_id", "trace_id", "span")
 

@@ -30,6 +30,14 @@ class Data:
                 self._cache[name] = self.sql(VIEWS[name])
         return self._cache[name]
 
+    def gathered(self, df: DataFrame, key: str):
+        """``df`` grouped by a key of bounded groups, on a fixed number of partitions.
+
+        The text work after it is heavy for its bytes; an explicit count keeps adaptive coalescing from merging a few
+        megabytes into one task, and the grouping reuses the partitioning.
+        """
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).groupBy(key)
+
     def sql(self, text: str) -> DataFrame:
         """A query whose ``{name}`` references are tables or views of this folder."""
         return self.spark.sql(text, **{name: getattr(self, name) for name in _references(text)})
@@ -72,7 +80,7 @@ def query(key: str, sql: str | None = None):
             raise ValueError(f"duplicate query {key}")
         QUERIES[key] = lambda spark, folder: fn(Data(spark, folder))
         if sql is not None:
-            ORACLE[key] = oracle_text(sql)
+            ORACLE[key] = sql
         return fn
 
     return register

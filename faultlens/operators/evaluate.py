@@ -135,8 +135,11 @@ ALLOWED_LICENSES = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-
 
 
 def _violations(df: DataFrame, key: str, checks: Mapping[str, Column]) -> DataFrame:
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
-    return df.select(key, F.explode(failed).alias("violation"))
+    failed = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+    # The checks are projected before they are unfolded: exploding an array that reads nested fields directly loses rows
+    # in nested-column pruning.
+    rows = df.select(key, failed.alias("_failed"))
+    return rows.select(key, F.explode(F.slice("_failed", 1, len(checks))).alias("violation")).filter(F.col("violation").isNotNull())
 
 
 def spans_valid(spans: Column, text: Column) -> Column:

@@ -31,13 +31,14 @@ def delivery_key(incident: Column, destination: Column) -> Column:
 
 
 def delivery_ledger(events: DataFrame, as_of: int) -> DataFrame:
-    """Current state per (incident, destination) from ordered ledger events (reserve, confirm, fail, unknown, retry).
+    """Current state per (incident, destination) from ledger events (reserve, confirm, fail, unknown, retry)
+    ordered by epoch seconds ``at_s`` and ``seq``.
 
     A reservation starts or, after a failure, restarts an attempt; it changes nothing once confirmed, unknown or freshly
     pending, and turns a pending one older than 300 s into unknown. A delivery has few events.
     """
     ordered = events.groupBy("incident_key", "destination").agg(
-        F.array_sort(F.collect_list(F.struct("at", "seq", "action", "external_id"))).alias("_e"))
+        F.array_sort(F.collect_list(F.struct("at_s", "seq", "action", "external_id"))).alias("_e"))
     start = F.struct(
         F.lit(None).cast("string").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("bigint").alias("created_at"),
         F.lit(None).cast("bigint").alias("updated_at"), F.lit("").alias("external_id"))
@@ -45,7 +46,7 @@ def delivery_ledger(events: DataFrame, as_of: int) -> DataFrame:
     def step(s: Column, e: Column) -> Column:
         new = s["state"].isNull()
         reserve, retry = e["action"] == "reserve", e["action"] == "retry"
-        stale = reserve & (s["state"] == "pending") & (e["at"] - s["updated_at"] >= PENDING_SECONDS)
+        stale = reserve & (s["state"] == "pending") & (e["at_s"] - s["updated_at"] >= PENDING_SECONDS)
         again = (reserve | retry) & (s["state"] == "failed")
         opened = reserve & new
         target = F.when(e["action"] == "confirm", "confirmed").when(e["action"] == "fail", "failed").when(e["action"] == "unknown", "unknown")
@@ -54,8 +55,8 @@ def delivery_ledger(events: DataFrame, as_of: int) -> DataFrame:
         touched = F.coalesce(opened | again | stale | moved, F.lit(False))
         return F.struct(
             state.alias("state"), (s["attempts"] + F.when(F.coalesce(opened | again, F.lit(False)), 1).otherwise(0)).alias("attempts"),
-            F.when(opened, e["at"]).otherwise(s["created_at"]).alias("created_at"),
-            F.when(touched, e["at"]).otherwise(s["updated_at"]).alias("updated_at"),
+            F.when(opened, e["at_s"]).otherwise(s["created_at"]).alias("created_at"),
+            F.when(touched, e["at_s"]).otherwise(s["updated_at"]).alias("updated_at"),
             F.when(moved, F.coalesce(e["external_id"], F.lit(""))).otherwise(s["external_id"]).alias("external_id"))
 
     folded = ordered.withColumn("_s", F.aggregate("_e", start, step)).filter(F.col("_s.state").isNotNull())

@@ -25,12 +25,15 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
 def document_rows(df: DataFrame, generated_at: Column) -> DataFrame:
     """Nested document per artifact from analysis columns; absent parts are left out."""
     have = lambda *names: [F.col(n) for n in names if n in df.columns]
+    sections = {
+        "failure": have("stage", "kind", "summary", "message", "frames", "failed_tests", "events"),
+        "root_cause": have("hypothesis", "confidence", "fix_suggestion"),
+        "triage": have("severity", "priority", "component", "dedup_key", "is_duplicate_of"),
+    }
     return df.select(
         "artifact_id", F.lit("2.0").alias("schema_version"),
         F.struct(F.lit("fallback").alias("engine"), generated_at.alias("generated_at"), *have("path")).alias("meta"),
-        F.struct(*have("stage", "kind", "summary", "message", "frames", "failed_tests", "events")).alias("failure"),
-        F.struct(*have("hypothesis", "confidence", "fix_suggestion")).alias("root_cause"),
-        F.struct(*have("severity", "priority", "component", "dedup_key", "is_duplicate_of")).alias("triage"),
+        *[F.struct(*columns).alias(name) for name, columns in sections.items() if columns],
         *have("evidence", "facts"))
 
 
