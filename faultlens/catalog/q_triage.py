@@ -87,6 +87,10 @@ def _owner_rules(d: Data):
     return T.owner_rules(files)
 
 
+def _scope():
+    return F.concat(F.lit("repo"), (F.substring("artifact_id", 2, 9).cast("int") % 5).cast("string")).alias("scope")
+
+
 @query("S21_owner_rules", sql="""
 SELECT 'repo' || CAST(r_regionkey AS STRING) AS scope, ord, pattern, owners FROM {region}, (VALUES (1, '*', '@all'), (2, 'src/f1*', '@ones @more'), (3, 'src/f2.py', '@two'), (5, 'docs/', '@docs')) AS t(ord, pattern, owners)""")
 def owner_rules(d: Data):
@@ -96,7 +100,7 @@ def owner_rules(d: Data):
 @query("T05_owners", sql="""
 SELECT artifact_id, arg_max(owners, pos) AS owners FROM (SELECT artifact_id, pos, CASE WHEN file = 'src/f2.py' THEN '@two' WHEN file LIKE 'src/f1%' THEN '@ones @more' ELSE '@all' END AS owners FROM {v_simple_frame}) GROUP BY 1""")
 def owners(d: Data):
-    paths = d.v_simple_frame.select("artifact_id", "pos", F.col("file").alias("path"), F.lit("repo1").alias("scope"))
+    paths = d.v_simple_frame.select("artifact_id", "pos", F.col("file").alias("path"), _scope())
     return T.owners_for_paths(paths, _owner_rules(d), "artifact_id").select("artifact_id", F.array_join("owners", " ").alias("owners"))
 
 
@@ -481,6 +485,6 @@ SELECT f.artifact_id, f.file, s.line, coalesce(n.symbol, '') AS symbol, h.file I
  CASE WHEN f.file = 'src/f2.py' THEN '@two' WHEN f.file LIKE 'src/f1%' THEN '@ones @more' ELSE '@all' END AS owners
 FROM first_frame f JOIN {{v_simple_frame}} s USING (artifact_id, file, pos) LEFT JOIN narrow n USING (artifact_id, file, pos) LEFT JOIN hit h ON h.artifact_id = f.artifact_id AND h.file = f.file""")
 def source_evidence(d: Data):
-    frames = d.v_simple_frame.withColumn("scope", F.lit("repo1"))
+    frames = d.v_simple_frame.select("*", _scope())
     rows = M.source_evidence(frames, d.v_symbol, d.v_changed_file, _owner_rules(d), d.v_commit)
     return rows.withColumn("owners", F.array_join("owners", " "))

@@ -38,7 +38,7 @@ def without_sidecars(files: DataFrame) -> DataFrame:
 
 def supported(files: DataFrame, root: str = "") -> DataFrame:
     """Artifacts by suffix outside ignored folders; XML and JSON need a report word in their path."""
-    relative = F.regexp_replace("path", "^" + root.rstrip("/") + "/", "") if root else F.col("path")
+    relative = F.regexp_replace("path", "^.*?\\Q" + root.rstrip("/") + "\\E/", "") if root else F.col("path")
     folders = F.slice(F.split(relative, "/"), 1, F.greatest(F.size(F.split(relative, "/")) - 1, F.lit(0)))
     clean = files.withColumn("ext", extension(F.col("path"))).filter(
         F.col("ext").isin(*SUFFIXES) & ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])))
@@ -54,7 +54,7 @@ def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     base = files.select("path", F.col("length").alias("size"), "content")
     text = newline_normalized(decode_text(F.col("content")))
-    return supported(base).select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
+    return supported(base, folder).select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
 
 
 def decode_text(content: Column) -> Column:
