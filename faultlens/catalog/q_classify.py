@@ -76,17 +76,17 @@ FROM {v_line}"""
 
 @query("L01_normalize_log", sql=f"SELECT artifact_id, line_no, expected AS line FROM ({_WRAPPED})")
 def normalize(d: Data):
-    return d.sql(_WRAPPED).select("artifact_id", "line_no", T.normalize_log("line").alias("line"))
+    return d.spread(d.sql(_WRAPPED)).select("artifact_id", "line_no", T.normalize_log("line").alias("line"))
 
 
 @query("C01_stage_of_line", sql="SELECT artifact_id, line_no, stage FROM {v_line}")
 def stage_of_line(d: Data):
-    return C.classify_lines(d.v_line.select("artifact_id", "line_no", "line")).select("artifact_id", "line_no", "stage")
+    return C.classify_lines(d.spread(d.v_line.select("artifact_id", "line_no", "line"))).select("artifact_id", "line_no", "stage")
 
 
 @query("C02_kind_of_line", sql="SELECT stage, kind, count(*) AS lines FROM {v_line} GROUP BY stage, kind")
 def kind_of_line(d: Data):
-    lines = C.classify_lines(d.v_line.select("line"))
+    lines = C.classify_lines(d.spread(d.v_line.select("line")))
     return lines.groupBy("stage", "kind").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -48,7 +48,7 @@ FROM (SELECT event_id, user_id, CAST(event_id % 9999 AS STRING) AS n, 'abc' || l
 
 @query("L04_redact_documents", sql=f"WITH {_REDACTED} SELECT doc_id, md5(t) AS digest, hits FROM redacted")
 def redact_documents(d: Data):
-    rows = L.redact_artifacts(d.documents.select("doc_id", "text"))
+    rows = L.redact_artifacts(d.spread(d.documents.select("doc_id", "text")))
     return rows.select("doc_id", F.md5("text").alias("digest"), F.col("redaction_hits").alias("hits"))
 
 
@@ -61,7 +61,7 @@ def redact_lines(d: Data):
 @query("L05_hit_report", sql=f"WITH {_REDACTED}, k AS (UNPIVOT (SELECT " + ", ".join(
     f"sum(h_{kind}) AS {kind}" for kind, _ in R.REDACTIONS) + " FROM redacted) ON COLUMNS(*) INTO NAME kind VALUE hits) SELECT kind, CAST(hits AS BIGINT) AS hits FROM k WHERE hits > 0")
 def hit_report(d: Data):
-    return L.hit_report(d.documents)
+    return L.hit_report(d.spread(d.documents.select("text")))
 
 
 @query("L06_redact_values", sql="""
@@ -94,7 +94,7 @@ def key_blocks(d: Data):
 
 @query("L08_residual_scan", sql="SELECT event_id, hits AS residual_hits FROM {v_secret_line} WHERE hits > 0")
 def residual(d: Data):
-    return L.residual_report(d.v_secret_line.withColumnRenamed("line", "text"), "event_id")
+    return L.residual_report(d.spread(d.v_secret_line.select("event_id", F.col("line").alias("text"))), "event_id")
 
 
 @query("E04_redaction_recall", sql="""

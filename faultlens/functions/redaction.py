@@ -64,6 +64,28 @@ REDACTIONS: list[tuple[str, str]] = [
     ("ip_address", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
 ]
 
+# Literals of which a text must hold one for the pattern to match at all. Looking for them costs a byte scan, so most
+# patterns never start on text without secrets. Patterns that ignore case are screened by punctuation only.
+_SCREENS: dict[str, tuple[str, ...]] = {
+    "private_key": ("-----BEGIN ",), "unterminated_private_key": ("-----BEGIN ",), "authorization": (":", "="),
+    "cookie": (":", "="), "url_credentials": ("://",), "query_credential": ("=",), "jwt": ("eyJ",), "aws_key": ("AKIA", "ASIA"),
+    "aws_secret": (":", "="), "azure_sas": ("=",), "github_token": ("gh",), "gitlab_token": ("glpat-",), "groq_key": ("gsk_",),
+    "slack_webhook": ("://",), "openai_key": ("sk-",), "google_key": ("AIza",), "slack_token": ("xox",), "stripe_key": ("k_",),
+    "npm_token": ("npm_",), "pypi_token": ("pypi-",), "vault_token": ("hvs.",), "password": (":", "="),
+    "connection_string": ("://",), "email": ("@",), "ip_address": (".",),
+}
+
+
+def _may_match(kind: str, text: Column) -> Column:
+    if kind == "ipv6_address":
+        # Without ``::`` an address has at least six colons in a row of groups.
+        return text.contains("::") | text.rlike(":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:")
+    result = F.lit(kind not in _SCREENS)
+    for literal in _SCREENS.get(kind, ()):
+        result = result | text.contains(literal)
+    return result
+
+
 # Fixed value: field names whose whole value is secret.
 SENSITIVE_KEY = (
     r"(?i)(?:^|[_\W])(?:password|passwd|pwd|secret|token|api[_-]?key|credential|authorization|cookie|"
@@ -78,19 +100,29 @@ def marker(kind: str) -> str:
 
 def redact(text: Column | str) -> Column:
     """Every sensitive shape replaced by its marker, one pass per kind in fixed order."""
+    def pass_of(kind: str, pattern: str):
+        return lambda s: F.when(_may_match(kind, s), F.regexp_replace(s, pattern, marker(kind))).otherwise(s)
+
     result = as_col(text)
     for kind, pattern in REDACTIONS:
-        result = F.regexp_replace(result, pattern, marker(kind))
+        result = let(result, pass_of(kind, pattern))
     return result
 
 
 def redact_counted(text: Column | str) -> Column:
     """``struct<text, hits array<int>>``: hits per kind, each counted on the text its pattern sees."""
     def pass_of(kind: str, pattern: str):
-        return lambda s: F.struct(
-            F.regexp_replace(s["text"], pattern, marker(kind)).alias("text"),
-            F.array_append(s["hits"], F.regexp_count(s["text"], F.lit(pattern))).alias("hits"),
-        )
+        def step(s: Column) -> Column:
+            count = F.when(_may_match(kind, s["text"]), F.regexp_count(s["text"], F.lit(pattern))).otherwise(0)
+            return let(
+                F.struct(s["text"].alias("text"), s["hits"].alias("hits"), count.alias("n")),
+                lambda t: F.struct(
+                    F.when(t["n"] > 0, F.regexp_replace(t["text"], pattern, marker(kind))).otherwise(t["text"]).alias("text"),
+                    F.array_append(t["hits"], t["n"]).alias("hits"),
+                ),
+            )
+
+        return step
 
     state = F.struct(as_col(text).alias("text"), F.array().cast("array<int>").alias("hits"))
     for kind, pattern in REDACTIONS:
