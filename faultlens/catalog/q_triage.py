@@ -323,10 +323,10 @@ def changes(d: Data):
     return L.release_changes(d.v_release, "event_id").select("event_id", "field", "status")
 
 
-@query("D08b_previous_release", sql="SELECT event_id, coalesce(lag(revision) OVER (PARTITION BY service ORDER BY started_at), '') AS previous_revision FROM {v_release}")
+@query("D08b_previous_release", sql="SELECT event_id, coalesce(lag(revision) OVER (PARTITION BY service ORDER BY started_at, event_id), '') AS previous_revision FROM {v_release}")
 def previous(d: Data):
     rows = d.v_release.drop("previous_revision", "previous_commit")
-    return L.previous_releases(rows, ["service"]).select("event_id", "previous_revision")
+    return L.previous_releases(rows, ["service"], ["started_at", "event_id"]).select("event_id", "previous_revision")
 
 
 @query("D15_runbooks", sql="""

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions.text import ratio
 from faultlens.plans.ordered import running_totals
@@ -16,12 +16,13 @@ JOB_STATES = ("queued", "running", "completed", "failed", "canceled")
 def metric_summary(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """count, p50, p95 and max per metric; a percentile is the sorted value at ``int((n-1)p + 0.5)``.
 
-    Values are counted first, so the ordered pass has one row per distinct value.
+    Equal values are counted first; positions of the distinct values run piecewise, because a metric may have as many
+    distinct values as rows.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    key = Window.partitionBy(*keys)
-    upto = key.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_u", F.sum("_n").over(upto)).withColumn("_t", F.sum("_n").over(key))
+    placed = running_totals(counts, list(keys), [value], {"_u": F.col("_n")})
+    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_t"))
+    ranked = placed.join(totals, list(keys))
     at = lambda p: F.min(F.when(F.col("_u") > F.least(F.col("_t") - 1, F.floor((F.col("_t") - 1) * F.lit(p) + F.lit(0.5))), F.col(value)))
     return ranked.groupBy(*keys).agg(F.max("_t").alias("count"), at(0.50).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
 

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions.text import clip, first, iso_to_ns
 from faultlens.operators import triage
 from faultlens.operators.extract import customer_impact
+from faultlens.plans.ordered import running_totals
 
 MAX_EVENT_ENTRIES = 38
 
@@ -134,12 +135,18 @@ def release_changes(df: DataFrame, key: str = "artifact_id") -> DataFrame:
         F.col("current") != F.col("previous"), "changed").otherwise("unchanged"))
 
 
-def previous_releases(deployments: DataFrame, keys: Sequence[str] = ("service", "environment"), order: str = "started_at") -> DataFrame:
-    """Previous identity per (service, environment) when deployments do not carry it."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    return deployments.select("*", *[
-        F.coalesce(F.lag(name).over(window), F.lit("")).alias(f"previous_{name}")
-        for name in ("revision", "commit", "image_digest") if name in deployments.columns])
+def previous_releases(deployments: DataFrame, keys: Sequence[str] = ("service", "environment"),
+                      order: Sequence[str] = ("started_at",)) -> DataFrame:
+    """Previous identity per (service, environment) when deployments do not carry it.
+
+    The previous deployment is the largest earlier (order, identity); it is found piecewise, so a service with a large
+    share of all deployments is split over tasks. ``order`` must be unique per key.
+    """
+    names = [name for name in ("revision", "commit", "image_digest") if name in deployments.columns]
+    identity = F.struct(*[F.col(c) for c in order], *[F.col(name).alias(f"_v_{name}") for name in names])
+    rows = running_totals(deployments, list(keys), list(order), maxes_before={"_previous": identity})
+    return rows.select(*deployments.columns, *[
+        F.coalesce(F.col(f"_previous._v_{name}"), F.lit("")).alias(f"previous_{name}") for name in names])
 
 
 def budget_number(value: Column) -> Column:
