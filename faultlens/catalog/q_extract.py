@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.catalog.registry import Data, query
-from faultlens.functions.text import group
 from faultlens.operators import classify as C, extract as X
 
 

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultlens.catalog.q_extract import event_logs, runner_logs, _joined
+from faultlens.catalog.q_extract import _joined
 from faultlens.catalog.registry import Data, query
 from faultlens.catalog.views import VIEWS
-from faultlens.operators import classify as C, evidence as E, extract as X, impact as M, timeline as L, traces as TR, triage as T
+from faultlens.operators import classify as C, evidence as E, impact as M, timeline as L, traces as TR, triage as T
 
 VIEWS["v_changed_file"] = """
 SELECT DISTINCT 'x' || CAST(CAST(floor(event_id / 4) AS BIGINT) AS STRING) AS artifact_id, 'f' || CAST(event_id % 25 AS STRING) || '.py' AS path FROM {events}"""

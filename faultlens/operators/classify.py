@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import patterns as P
 from faultlens.functions.text import (
-    as_col, clip, first, found, group, let, normalize_lines, split_lines, strip, unwrap_line,
+    clip, first, found, group, let, normalize_lines, split_lines, strip, unwrap_line,
 )
 
 # Kinds that name a deployment problem, its aggregate symptoms and its direct causes.

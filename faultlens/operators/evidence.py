@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import patterns as P
-from faultlens.functions.text import clip, collapse, first, found, strip
+from faultlens.functions.text import clip, collapse, found, strip
 
 # Evidence order with caps, provenance and whether an item can support a hypothesis.
 LIST_KINDS = (

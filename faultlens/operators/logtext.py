@@ -8,7 +8,7 @@ from faultlens.functions import patterns as P
 from faultlens.functions.redaction import (
     KEY_BEGIN, KEY_END, MAX_DEPTH, REDACTIONS, hit_total, marker, redact, redact_counted, sensitive_key,
 )
-from faultlens.functions.text import clip, first, found, let, split_lines
+from faultlens.functions.text import found, let
 
 HEAD_LINES, CONTEXT_LINES, READ_LIMIT = 200, 20, 2 * 1024 * 1024
 OVERSIZED = "[REDACTED:oversized_line]"

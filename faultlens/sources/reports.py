@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultlens.functions.text import clip, duration_ms, first, leaf_identity, split_lines, strip
+from faultlens.functions.text import clip, duration_ms, leaf_identity, split_lines, strip
 from faultlens.operators.history import failure_signature, safe
 from faultlens.sources.json_tree import json_nodes
 
