@@ -1,0 +1,11 @@
+"""Operations of a training-data pipeline; nothing else in the library imports this package."""
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    """Import every module of this package so that its queries register."""
+    for module in pkgutil.iter_modules(__path__):
+        importlib.import_module(f"{__name__}.{module.name}")
