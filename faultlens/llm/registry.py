@@ -1,6 +1,7 @@
 """Registry of the queries of this package and their reference SQL."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it; a cluster ships it with the job."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    return spark
+
+
 def query(key: str, sql: str | None = None):
     """Register ``fn(spark, folder) -> DataFrame`` under ``key`` with optional reference SQL."""
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = fn
+        QUERIES[key] = lambda spark, folder: fn(with_package(spark), folder)
         if sql is not None:
             ORACLE[key] = sql
         return fn
