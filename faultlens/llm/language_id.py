@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from faultlens.llm.registry import query, table
 from faultlens.llm.shared import written
 
-MAX_WORDS = 100_000  # model entries of all languages together
+MAX_WORDS = 200_000  # model entries of all languages together
 MAX_GRAMS = 40_000  # for each n-gram length, of all languages together
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 FLUSH_WORDS = 300_000  # distinct words a task holds before it passes its counts on
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000  # unseen words a worker keeps
+GROUP = 50  # documents scored together
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -86,13 +87,47 @@ class Model:
     grams: dict[str, int]
     gram_scores: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        """Mean score of the longest n-grams of the word that are known; none if no character is."""
+    def grams_of(self, word: str) -> list[int]:
+        """Places of the longest known n-grams of a word; empty if not even a character is known."""
+        known = self.grams
         for order in ORDERS:
-            known = [self.grams[g] for g in grams_of(word, order) if g in self.grams]
-            if known:
-                return self.gram_scores[known].mean(axis=0)
-        return None
+            found = [known[gram] for gram in grams_of(word, order) if gram in known]
+            if found:
+                return found
+        return []
+
+
+class Scorer:
+    """Sums word scores of texts; holds the model's words and, up to a number, unseen words it has met."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        size = len(model.words)
+        self.rows = np.zeros((size + CACHED_WORDS, len(model.langs)), np.float32)
+        self.rows[:size] = model.word_scores
+        self.known = dict(model.words)
+
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        known = self.known
+        new = list({word for words in texts for word in words if word not in known})
+        if len(known) + len(new) > len(self.rows):
+            known = self.known = dict(self.model.words)
+            new = list({word for words in texts for word in words if word not in known})
+        if len(known) + len(new) > len(self.rows):  # one group alone has more unseen words than are kept
+            self.rows = np.concatenate([self.rows, np.zeros((len(new), self.rows.shape[1]), np.float32)])
+        if new:
+            found = [self.model.grams_of(word) for word in new]
+            sizes = np.array([len(x) for x in found])
+            scores = np.zeros((len(new), self.rows.shape[1]), np.float32)
+            some = sizes > 0
+            if some.any():
+                flat = np.array([i for x in found for i in x])
+                heads = np.cumsum(sizes[some]) - sizes[some]
+                scores[some] = np.add.reduceat(self.model.gram_scores[flat], heads, axis=0) / sizes[some, None]
+            self.rows[len(known):len(known) + len(new)] = scores
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        get = known.__getitem__
+        return [self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=float) for words in texts]
 
 
 def _most_frequent(counts: DataFrame, limit: int) -> list:
@@ -148,37 +183,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def _predictor(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known, width = model.words, len(model.langs)
-        cache: dict[str, np.ndarray | None] = {}
+        scorer = Scorer(model)
         for batch in batches:
             preds, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                counts = Counter(words_of(text))
-                if not counts or not width:
-                    preds.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(width)
-                at, n = [], []
-                for word, k in counts.items():
-                    i = known.get(word)
-                    if i is not None:
-                        at.append(i)
-                        n.append(k)
+            for begun in range(0, batch.num_rows, GROUP):
+                texts = [words_of(text) if model.langs else [] for text in batch.column(batch.num_columns - 1).slice(begun, GROUP).to_pylist()]
+                for words, total in zip(texts, scorer.totals(texts), strict=True):
+                    if not words:
+                        preds.append(UNKNOWN)
+                        scores.append(0.0)
                         continue
-                    if word not in cache:
-                        if len(cache) >= CACHED_WORDS:
-                            cache.clear()
-                        cache[word] = model.unseen(word)
-                    if cache[word] is not None:
-                        total += k * cache[word]
-                if at:
-                    total += np.array(n, float) @ model.word_scores[at]
-                weight = np.exp(total - total.max()) * (model.prior if not total.any() else 1)
-                weight /= weight.sum()
-                best = int(weight.argmax())
-                preds.append(model.langs[best])
-                scores.append(float(weight[best]))
+                    weight = np.exp(total - total.max()) if total.any() else model.prior
+                    best = int(weight.argmax())
+                    preds.append(model.langs[best])
+                    scores.append(float(weight[best] / weight.sum()))
             fields = [*list(batch.schema)[:-1], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema(fields))
 
