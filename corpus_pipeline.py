@@ -16,6 +16,7 @@ from faultlens.llm.registry import table, with_package
 from faultlens.llm.shared import new_folder
 from faultlens.llm.token_files import tokenized, tokenizer_path
 
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 LEAST_SCORE = 0.5  # of the predicted language; lower is no language
 
 
@@ -29,14 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that with the smallest number; of rows repeated under it the smallest text.
 
-    Documents without a word link with nothing and stay.
+    Documents link over five-word shingles and a similarity of 0.8 or more. Documents without a word link with nothing, and
+    documents without a number can't be told apart: both stay.
     """
-    groups = link_components(docs.select("doc_id", "text"))
-    # A document stays if its number names its component; rows repeated under one number then meet.
-    heads = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi") if "doc_id" in docs.columns else docs
-    order = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("rest")).select(*[F.col(c) if c == "doc_id" else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+    groups = link_components(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_WORDS)
+    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
+    others = [c for c in docs.columns if c != "doc_id"]
+    first = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("rest")
+    kept = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"rest.{c}").alias(c) for c in others])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
