@@ -13,8 +13,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,154 +22,208 @@ from pyspark.sql import functions as F
 from faultlens.llm.registry import query, table
 from faultlens.llm.shared import locate, new_folder, put_file
 
-SAMPLE_DOCS = 2000  # documents the dictionary is trained on, at most
-SAMPLE_IDS = 20_000  # ids of each of them, at most
+SAMPLE_DOCS = 2000  # documents the dictionary is trained on, about
+SAMPLE_CHARS = 10_000  # characters of each of them, at most
 DICT_BYTES = 112 * 1024
 LEVEL = 3
 END_ID = 0
-CACHED_PIECES = 400_000
+CACHED_WORDS = 750_000  # of a generation; a worker keeps two
+CACHED_MARKS = 50_000
 FILE_DOCS = 50_000  # documents of a file, about
 INDEX = np.dtype([("doc", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids", "<u8")])
 TRAILER = "<QQ32s8s"  # index offset, documents, hash of the dictionary, mark
 MARK = b"TOKFILE1"
+# White space other than single spaces and line feeds inside the text.
+_ODD = r"[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+_MARKS = ".,%&*$#!?;:|"
+GROUP_BYTES = 8_000_000  # texts encoded together
 
 
-class PieceEncoder:
-    """Encodes texts through a tokenizer's pieces, kept in a table of bounded size.
+class Encoder:
+    """Serialized ids of texts, put together from those of their words.
 
-    A byte-level tokenizer never joins a non-space character with the space after it, so a text may be cut there and
-    the ids of its pieces put together; words repeat, so most pieces are encoded once.
+    A byte-level tokenizer never joins a single white space with the character before it, so a text whose white space is
+    single spaces and line feeds may be cut before each of them; another text is encoded in one go. Words repeat, so most
+    are looked up. Two generations of them are kept, by the worker for all its tasks.
     """
 
+    kept: dict[str, Encoder] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_pieces(text) if text else [] for text in texts]
-        new = list({piece for pieces in cut for piece in pieces if piece not in self.table})
-        if len(self.table) + len(new) > CACHED_PIECES:
-            self.table = {}
-            new = list({piece for pieces in cut for piece in pieces})
-        for begun in range(0, len(new), 20_000):
-            some = new[begun:begun + 20_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.table[piece] = np.array(got.ids, "<u4").tobytes()
-        get = self.table.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-
-def _pieces(text: str) -> list[str]:
-    """``text`` cut before single spaces that follow a non-space character."""
-    pieces = text.split(" ")
-    if len(pieces) == 1:
-        return [text]
-    out = [pieces[0]]
-    for piece in pieces[1:]:
-        if out[-1] and not out[-1][-1].isspace():
-            out.append(" " + piece)
-        else:
-            out[-1] += " " + piece
-    return out
-
-
-def _encoder(path: str, end: int):
-    tail = np.array([end], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(path)
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # Ids that begin with a space, and that of a line feed alone.
+        self.spaced, self.breaks = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.breaks[vocabulary["\u010a"]] = True
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of the column (no nulls)."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        plain = texts.filter(pc.invert(odd))
+        marked = pc.replace_substring(pc.binary_join_element_wise("\r", plain, ""), "\n", " \n \r")
+        split = pc.split_pattern(marked, " ")
+        words = split.flatten().dictionary_encode()
+        if len(self.words) >= CACHED_WORDS:
+            self.words, self.old = {}, self.words
+        distinct = words.dictionary.to_pylist()
+        self._learn([word for word in distinct if word not in self.words])
+        known = [self.words[word] for word in distinct]
+        # The ids of every word in order, gathered from those of the distinct ones.
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array([len(ids) // 4 for ids in known], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        codes = words.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        coded = iter([ids[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+        return [self.alone(text.as_py()) if alone else next(coded) for text, alone in zip(texts, odd.to_pylist(), strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words as they follow a space and, marked by a carriage return, as they begin a line; of line feeds."""
+        old, known = self.old, self.words
+        stems: dict[str, list[str]] = {}
+        for word in new:
+            if word in old:
+                known[word] = old[word]
+                continue
+            # A letter and a mark after it are always cut, so words share what is known of their letters.
+            stem = word.rstrip(_MARKS)
+            if stem and stem[-1].isalpha():
+                stems.setdefault(stem, []).append(word)
+            else:
+                known[word] = b"" if word == "\r" else self.alone(word[1:] if word[:1] == "\r" else word if word == "\n" else " " + word)
+        lacking: dict[bool, list[str]] = {True: [], False: []}
+        for stem in stems:
+            if stem not in known:
+                if stem in old:
+                    known[stem] = old[stem]
+                else:
+                    lacking[stem[0] == "\r"].append(stem)
+        for begins_line, begins in ((False, self.spaced), (True, self.breaks)):
+            some = lacking[begins_line]
+            for begun in range(0, len(some), 500):
+                self._learn_stems(some[begun:begun + 500], begins_line, begins)
+        marked = self.marks
+        for stem, words in stems.items():
+            head, size = known[stem], len(stem)
+            for word in words:
+                marks = word[size:]
+                if marks not in marked:
+                    if len(marked) >= CACHED_MARKS:
+                        marked.clear()
+                    marked[marks] = self.alone(marks) if marks else b""
+                known[word] = head + marked[marks]
+
+    def _learn_stems(self, stems: list[str], begin_line: bool, begins: np.ndarray) -> None:
+        """Ids of words encoded in one text, cut at the ids of their spaces; of words that begin a line at those of line feeds."""
+        text = "\n" + "\n".join([stem[1:] for stem in stems]) if begin_line else " " + " ".join(stems)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        heads = np.flatnonzero(begins[ids])
+        if len(heads) != len(stems):
+            self.words.update((stem, self.alone(stem[1:] if begin_line else " " + stem)) for stem in stems)
+            return
+        data, begun, ends = ids.tobytes(), (4 * (heads + begin_line)).tolist(), (4 * np.append(heads[1:], len(ids))).tolist()
+        self.words.update((stem, data[i:j]) for stem, i, j in zip(stems, begun, ends, strict=True))
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges (begin, size) of about GROUP_BYTES."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    begun = 0
+    while begun < len(texts):
+        before = ends[begun - 1] if begun else 0
+        end = max(begun + 1, int(np.searchsorted(ends, before + GROUP_BYTES)))
+        yield begun, end - begun
+        begun = end
+
+
+def _train(rows: DataFrame, path: str, end: bytes) -> bytes:
+    """A dictionary from the ids of about SAMPLE_DOCS documents picked by a hash (twice as many at most), up to SAMPLE_CHARS characters of each.
+
+    Raw ids serve as the dictionary if there are too few to train one.
+    """
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder.of(path)
         for batch in batches:
-            for begun in range(0, batch.num_rows, 200):
-                part = batch.slice(begun, 200)
-                ids = [x + tail for x in encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.large_binary() if sum(map(len, ids)) > 1 << 30 else pa.binary())], names=["doc", "ids"])
-
-    return run
-
+            yield pa.RecordBatch.from_arrays([pa.array([ids + end for ids in encode(batch.column(0))], pa.binary())], names=["ids"])
 
-def _train(docs: DataFrame, path: str, end: int) -> bytes:
-    """A dictionary from the ids of SAMPLE_DOCS documents picked by the hash of their number and text; raw content if they are too few."""
-    picked = docs.select("doc", F.substr("text", F.lit(1), F.lit(SAMPLE_IDS)).alias("text"), F.xxhash64("doc", "text").alias("pick"))
-    sample = picked.orderBy("pick", "doc").limit(SAMPLE_DOCS).select("doc", "text")
-    samples = [bytes(row.ids) for row in sample.mapInArrow(_encoder(path, end), "doc long, ids binary").collect()]
-    samples.sort()
+    share = max(1, rows.count() // SAMPLE_DOCS)
+    sample = rows.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(share)) == 0).limit(2 * SAMPLE_DOCS).select(F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text"))
+    samples = sorted(bytes(row.ids) for row in sample.mapInArrow(ids, "ids binary").collect())
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL, threads=0).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:DICT_BYTES].ljust(8, b"\0")
 
 
-def _compressor(dictionary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary.value), write_content_size=True)
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([press.compress(x) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc", "frame", "n"])
-
-    return run
-
+def _file_writer(folder: str, path: str, end: bytes, dictionary):
+    """Writes a partition, sorted by number, as one file."""
 
-def _file_writer(folder: str, digest: bytes):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        rows: list[tuple] = []
-        totals = [0]
+        encode = Encoder.of(path)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary.value))
+        index: list[np.ndarray] = []
 
         def chunks():
             offset = 0
-            for frame in frames:
-                for doc, data, n in zip(frame["doc"], frame["frame"], frame["n"], strict=True):
-                    rows.append((doc, offset, len(data), n))
-                    offset += len(data)
-                    totals[0] += int(n)
-                    yield data
-            index = np.array(rows, INDEX)
-            yield index
-            yield struct.pack(TRAILER, offset, len(rows), digest, MARK)
-
-        feed = chunks()
-        first = next(feed)
-        if rows:
-            name = f"{folder}/ids-{number:06d}.bin"
-            put_file(name, _chain(first, feed))
-            yield pd.DataFrame({"file": [name], "first_doc": [rows[0][0]], "docs": [len(rows)], "ids": [totals[0]]})
+            for batch in batches:
+                for begun, size in _groups(batch.column(1)):
+                    docs, texts = batch.slice(begun, size).columns
+                    for doc, ids in zip(docs.to_pylist(), encode(texts), strict=True):
+                        frame = press.compress(ids + end)
+                        index.append(np.array([(doc, offset, len(frame), len(ids) // 4 + 1)], INDEX))
+                        offset += len(frame)
+                        yield frame
+            rows = np.concatenate(index) if index else np.empty(0, INDEX)
+            yield rows
+            yield struct.pack(TRAILER, offset, len(rows), hashlib.sha256(dictionary.value).digest(), MARK)
+
+        name = f"{folder}/ids-{TaskContext.get().partitionId():06d}.bin"
+        put_file(name, chunks())
+        if index:
+            yield pa.RecordBatch.from_pydict({
+                "file": [name], "first_doc": [int(index[0]["doc"][0])], "docs": [len(index)], "ids": [sum(int(row["ids"][0]) for row in index)]})
 
     return run
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
 def write_token_files(docs: DataFrame, path: str, folder: str, doc: str = "doc_id", text: str = "text", end: int = END_ID) -> DataFrame:
     """Write the ids of all texts as files in ``folder``, in ascending order of the document number.
 
     Returns the manifest, one row a file: ``file, first_doc, docs, ids, start`` (ids in the files before it), also written
     to ``folder/manifest``; the dictionary goes to ``folder/dictionary``. Null texts are empty, an empty text has only the
     end id. Rows repeated under one number stay apart, ordered by text; rows with a null number come first, as number
-    -2**63. Encoding, the shuffle by number and the files are the tasks' work; the driver sees the manifest and the sample.
+    -2**63. One shuffle deals the texts out by ranges of the number; the driver sees the manifest and the sample.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dictionary = _train(rows, path, end)
+    tail = np.array([end], "<u4").tobytes()
+    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("pick", F.xxhash64("text"))
+    dictionary = _train(rows, path, tail)
     put_file(f"{folder}/dictionary", [dictionary])
-    shared = spark.sparkContext.broadcast(dictionary)
-    encoded = rows.mapInArrow(_encoder(path, end), "doc long, ids binary").mapInArrow(_compressor(shared), "doc long, frame binary, n long")
-    # The frames are needed twice, to find the ranges and to deal them out: kept once in the shared folder.
-    encoded.write.parquet(f"{folder}/frames")
-    frames = spark.read.parquet(f"{folder}/frames")
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), frames.count() // FILE_DOCS)
-    ordered = frames.repartitionByRange(files, "doc", F.crc32("frame")).sortWithinPartitions("doc", F.crc32("frame"), "frame")
-    listed = ordered.mapInPandas(_file_writer(f"{folder}/files", hashlib.sha256(dictionary).digest()), "file string, first_doc long, docs long, ids long")
-    found = sorted(listed.collect(), key=lambda row: row.file)
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // FILE_DOCS)
+    ordered = rows.repartitionByRange(files, "doc", "pick").sortWithinPartitions("doc", "pick", "text").select("doc", "text")
+    listed = ordered.mapInArrow(_file_writer(f"{folder}/files", path, tail, spark.sparkContext.broadcast(dictionary)), "file string, first_doc long, docs long, ids long")
     start, manifest = 0, []
-    for row in found:
+    for row in sorted(listed.collect(), key=lambda row: row.file):
         manifest.append((row.file, row.first_doc, row.docs, row.ids, start))
         start += row.ids
     out = spark.createDataFrame(manifest, "file string, first_doc long, docs long, ids long, start long")
@@ -210,21 +264,24 @@ def read_dictionary(folder: str) -> bytes:
 
 
 def _file_reader(folder: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = read_dictionary(folder)
-        for frame in frames:
-            for uri, start in zip(frame["file"], frame["start"], strict=True):
+        for batch in batches:
+            for uri, start in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 source = TokenFile(uri, dictionary)
                 counts = source.index["ids"].astype(np.int64)
-                starts = int(start) + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+                starts = start + np.cumsum(counts) - counts
                 for begun in range(0, len(counts), 5000):
                     end = min(len(counts), begun + 5000)
-                    data = [source.ids(i) for i in range(begun, end)]
-                    if any(len(x) != 4 * n for x, n in zip(data, counts[begun:end], strict=True)):
-                        raise ValueError(f"{uri}: index and frames differ")
-                    yield pd.DataFrame({
-                        "doc_id": source.index["doc"][begun:end], "start": starts[begun:end], "n_tokens": counts[begun:end],
-                        "ids_crc32": [zlib.crc32(x) for x in data]})
+                    sums = []
+                    for row in range(begun, end):
+                        ids = source.ids(row)
+                        if len(ids) != 4 * counts[row]:
+                            raise ValueError(f"{uri}: index and frames differ")
+                        sums.append(zlib.crc32(ids))
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": source.index["doc"][begun:end].astype(np.int64), "start": starts[begun:end], "n_tokens": counts[begun:end],
+                        "ids_crc32": np.array(sums, np.int64)})
 
     return run
 
@@ -232,7 +289,7 @@ def _file_reader(folder: str):
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files; a task for each file."""
     files = manifest.select("file", "start")
-    return files.repartitionByRange(max(1, files.count()), "file").mapInPandas(_file_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(_file_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
