@@ -71,12 +71,13 @@ def fold_events(events: DataFrame) -> DataFrame:
     place = F.struct("seq", "kind", "text")
     last = W.partitionBy("conv_id", "message")
     reset = F.max(F.when(F.col("kind") != "delta", place)).over(last)
+    role = F.max_by("role", F.when(F.col("role").isNotNull(), place)).over(last)
     return (
-        standing.withColumns({"place": place, "reset": reset})
+        standing.withColumns({"place": place, "reset": reset, "role": role})
         .where(F.col("reset").isNull() | (F.col("place") >= F.col("reset")))
         .groupBy("conv_id", "message")
         .agg(
-            F.max_by("role", F.when(F.col("role").isNotNull(), F.col("place"))).alias("role"),
+            F.first("role").alias("role"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind"))), lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["place"]["text"])), "").alias("text"))
         .select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), "text")
     )
