@@ -17,14 +17,13 @@ from faultlens.llm.shared import new_folder
 from faultlens.llm.token_files import tokenized, tokenizer_path
 
 NEAR_PERCENT, NEAR_WORDS = 80, 5
-LEAST_SCORE = 0.5  # of the predicted language; lower is no language
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language: those without a letter, or of which no language has half the share, go."""
+    """Documents of a language; those that the operator can't give one (``und``: null or without a letter) go."""
     columns = docs.columns
     judged = predict(docs.select(F.struct(*columns).alias("row"), "text"), train(docs))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return judged.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

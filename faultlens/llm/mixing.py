@@ -2,7 +2,7 @@
 
 The domains are the classes of a table of labelled documents. A softmax classifier over the presence of telling words and marks,
 chosen by their association with the labels, gives every document a posterior over domains. Nonnegative rates are then fitted
-by projected gradient: a document's rate moves against the inner product of its posterior with the (scaled) gap between expected
+by projected gradient: a document's rate moves against the inner product of its posterior with the gap between expected
 domain totals and targets and is cut at 0. Only the totals, one number a domain, come to the driver in a round.
 """
 from __future__ import annotations
@@ -188,12 +188,16 @@ def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text")
     return rows.mapInArrow(_judge(classifier), schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "n_tokens", "posterior")
 
 
-def rates_of(posteriors: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
-    """Rates after all moves: each starts at 1, moves against its posterior's product with the move and is cut at 0."""
-    rates = np.ones(len(posteriors))
-    for move in moves:
-        rates = np.maximum(0.0, rates - posteriors @ move)
-    return rates
+def rates_of(posteriors: np.ndarray, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after all moves, and the point ahead of them where the next totals are taken.
+
+    Rates start at 1; each move takes the point ahead against the posterior's product with it, cut at 0.
+    """
+    rates = ahead = np.ones(len(posteriors))
+    for k, move in enumerate(moves):
+        new = np.maximum(0.0, ahead - posteriors @ move)
+        rates, ahead = new, new + k / (k + 3) * (new - rates)
+    return rates, ahead
 
 
 def _totals(moves: list[np.ndarray], domains: int):
@@ -204,7 +208,7 @@ def _totals(moves: list[np.ndarray], domains: int):
         for batch in batches:
             p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, domains)
             tokens = batch.column(0).to_numpy()[:, None] * p
-            sums += rates_of(p, moves) @ tokens
+            sums += rates_of(p, moves)[1] @ tokens
             if not moves:
                 products += tokens.T @ p
         yield pa.RecordBatch.from_arrays([pa.array([[*sums, *products.ravel()]], pa.list_(pa.float64()))], names=["sums"])
@@ -215,24 +219,24 @@ def _totals(moves: list[np.ndarray], domains: int):
 def fit_rates(judged: DataFrame, shares: list[float]) -> list[np.ndarray]:
     """Moves of the rates that bring the expected domain totals of ``judged`` to ``shares`` of all its tokens.
 
-    The gap is scaled by the inverse of the summed products of posteriors, in which metric a step of 1 never overshoots. It
-    ends when the totals are close or after ROUNDS; targets out of reach (a domain without any mass) stay as near as they come.
+    Accelerated projected gradient of the squared gap between totals and targets, in the metric of the documents' tokens, so that equal posteriors
+    get equal rates; the step is the inverse of the largest curvature. It ends when the totals are close or after ROUNDS; targets out
+    of reach (a domain without any mass) stay as near as they come.
     """
     domains = len(shares)
     moves: list[np.ndarray] = []
-    scale = target = None
+    step = target = None
     for _ in range(ROUNDS):
         rows = judged.select("n_tokens", "posterior").mapInArrow(_totals(moves, domains), "sums array<double>").collect()
         sums = np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(domains + domains * domains)
         totals = sums[:domains]
-        if scale is None:
+        if step is None:
             everything = totals.sum()
             target = np.array(shares, float) / sum(shares) * everything
-            products = sums[domains:].reshape(domains, domains)
-            scale = np.linalg.pinv(products + np.eye(domains) * 1e-9 * max(1.0, np.trace(products)))
+            step = 1.0 / max(1e-9, float(np.linalg.eigvalsh(sums[domains:].reshape(domains, domains)).max()))
         if np.abs(totals - target).max() <= CLOSE * max(1.0, everything):
             break
-        moves.append(scale @ (totals - target))
+        moves.append(step * (totals - target))
     return moves
 
 
@@ -241,7 +245,7 @@ def _rated(moves: list[np.ndarray], domains: int):
         for batch in batches:
             p = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, domains)
             fields = [*batch.schema, pa.field("rate", pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, moves))], schema=pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, moves)[0])], schema=pa.schema(fields))
 
     return run
 
