@@ -69,7 +69,7 @@ REDACTIONS: list[tuple[str, str]] = [
 _SCREENS: dict[str, tuple[str, ...]] = {
     "private_key": ("-----BEGIN ",), "unterminated_private_key": ("-----BEGIN ",), "authorization": (":", "="),
     "cookie": (":", "="), "url_credentials": ("://",), "query_credential": ("=",), "jwt": ("eyJ",), "aws_key": ("AKIA", "ASIA"),
-    "aws_secret": (":", "="), "azure_sas": ("=",), "github_token": ("gh",), "gitlab_token": ("glpat-",), "groq_key": ("gsk_",),
+    "aws_secret": (":", "="), "azure_sas": ("=",), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "gitlab_token": ("glpat-",), "groq_key": ("gsk_",),
     "slack_webhook": ("://",), "openai_key": ("sk-",), "google_key": ("AIza",), "slack_token": ("xox",), "stripe_key": ("k_",),
     "npm_token": ("npm_",), "pypi_token": ("pypi-",), "vault_token": ("hvs.",), "password": (":", "="),
     "connection_string": ("://",), "email": ("@",), "ip_address": (".",),
