@@ -3,9 +3,10 @@
 Sets fall into bands of size; two sets similar enough lie in one band or in neighbouring ones and differ in at most k elements,
 k known for the band. The feature domain is dealt out by hash into parts of which at least one differs in a single element at most,
 each part into three pieces; leaving out one piece after the other gives signatures, and two such sets share one. Documents
-with the same set are one node. Sets that share a signature form groups; in every group the closest pairs by a bound (a
-parity bitmap that never overstates the distance) are proposed, verified on the whole sets and joined, and again among what is
-still apart, until every proposal left has failed. So all links count, but within a group only about as many pairs as members are looked at.
+with the same set are one node. Sets that share a signature form groups. A parity bitmap gives every pair of a group a
+bound that never overstates its distance; first a forest of the closest pairs within the bound is verified on the whole sets and
+joined, then every pair within the bound that is still apart. So no link is lost, but where a group's members are alike only about as many
+pairs as members are looked at.
 """
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ FLUSH_SIGNATURES = 2_000_000
 FLUSH_DOCS = 10_000
 CACHED_WORDS = 400_000
 CHUNK = 1024  # members of a group taken together; larger groups are taken chunk by chunk, each with each
-BITMAP = 512
+BITMAP = 2048  # bits; few collisions among the elements in which similar sets of usual size differ
 BROADCAST_NODES = 2_000_000  # 16 MB of numbers
 
 
@@ -225,53 +226,46 @@ def _sets(percent: int, size: int):
     return run
 
 
-def _proposer(percent: int):
-    """Of each group a forest of the closest pairs that may be similar, joining what is still apart.
+def _forest(nodes: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Closest pairs by bound that join all nodes which pairs within the bound can join."""
+    far = 1 << 40
+    best, source = np.full(len(nodes), far, np.int64), np.zeros(len(nodes), np.int64)
+    waiting = np.ones(len(nodes), bool)
+    current = 0
+    for _ in range(len(nodes) - 1):
+        waiting[current] = False
+        apart = np.bitwise_count(bitmaps ^ bitmaps[current]).sum(axis=1, dtype=np.int64)
+        apart[apart > most_apart(sizes + sizes[current], percent)] = far
+        closer = waiting & (apart < best)
+        best[closer], source[closer] = apart[closer], current
+        current = int(np.where(waiting, best, far + 1).argmin())
+        if best[current] < far:
+            yield source[current], current
+
+
+def _remaining(sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs within the bound whose components differ."""
+    for i in range(len(sizes) - 1):
+        after = slice(i + 1, None)
+        apart = np.bitwise_count(bitmaps[after] ^ bitmaps[i]).sum(axis=1, dtype=np.int64)
+        for j in np.flatnonzero((comps[after] != comps[i]) & (apart <= most_apart(sizes[after] + sizes[i], percent))):
+            yield i, i + 1 + j
 
-    Pairs are compared by bound, then by number, so that groups with the same members propose the same pairs.
-    """
 
-    def forest(nodes: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray, failed: list) -> list[tuple[int, int]]:
-        place = {int(node): i for i, node in enumerate(nodes)}
-        refused: dict[int, list[int]] = {}
-        for i, others in enumerate(failed):
-            for other in others or ():
-                if other in place:
-                    refused.setdefault(i, []).append(place[other])
-                    refused.setdefault(place[other], []).append(i)
-        far = 1 << 40
-        best, source = np.full(len(nodes), far, np.int64), np.full(len(nodes), -1)
-        waiting = np.ones(len(nodes), bool)
-        pairs = []
-        current = 0
-        for _ in range(len(nodes)):
-            waiting[current] = False
-            apart = np.bitwise_count(bitmaps ^ bitmaps[current]).sum(axis=1, dtype=np.int64)
-            apart[apart > most_apart(sizes + sizes[current], percent)] = far
-            if current in refused:
-                apart[refused[current]] = far
-            apart[comps == comps[current]] = -1
-            closer = waiting & (apart < best)
-            best[closer], source[closer] = apart[closer], current
-            if not waiting.any():
-                break
-            current = int(np.where(waiting, best, far + 1).argmin())
-            if 0 <= best[current] < far:
-                a, b = int(nodes[current]), int(nodes[source[current]])
-                pairs.append((min(a, b), max(a, b)))
-        return pairs
+def _proposer(percent: int, first: bool):
+    """Pairs of each group that the bound allows: a forest of the closest ones at first, then all that are still apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for members in batch.column(0).to_pylist():
-                members.sort(key=lambda m: m["node"])
-                if len({m["comp"] for m in members}) < 2:
-                    continue
-                found.update(forest(
-                    np.array([m["node"] for m in members]), np.array([m["n"] for m in members]),
-                    np.frombuffer(b"".join(m["bitmap"] for m in members), np.uint64).reshape(len(members), -1),
-                    np.array([m["comp"] for m in members]), [m["failed"] for m in members]))
+            for row in range(batch.num_rows):
+                members = batch.column(0).slice(row, 1).flatten()
+                nodes, sizes, comps = (members.field(name).to_numpy() for name in ("node", "n", "comp"))
+                order = np.argsort(nodes)
+                bitmaps = np.frombuffer(b"".join(members.field("bitmap").to_pylist()), np.uint64).reshape(len(nodes), -1)[order]
+                nodes, sizes, comps = nodes[order], sizes[order], comps[order]
+                pairs = _forest(nodes, sizes, bitmaps, percent) if first else _remaining(sizes, bitmaps, comps, percent)
+                found.update((int(nodes[min(i, j)]), int(nodes[max(i, j)])) for i, j in pairs)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return run
@@ -319,21 +313,20 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
         .groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("elements").alias("elements")), "sets")
 
     labels = wanted.select("node", F.col("node").alias("comp"))
-    failed = spark.createDataFrame([], "a long, b long")
-    while True:
-        refused = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-        known = sets.select("node", "n", "bitmap").join(labels, "node").join(refused, "node", "left")
-        open_ = members.join(labels, "node").groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
-        grouped = members.join(open_, "group", "left_semi").join(known, "node").groupBy("group").agg(F.collect_list(F.struct("node", "n", "bitmap", "comp", "failed")).alias("members"))
-        pairs = written(grouped.select("members").mapInArrow(_proposer(percent), "a long, b long").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        elements = sets.select("node", "elements")
+    elements = sets.select("node", "elements")
+    failed = None
+    for first in (True, False):
+        known = sets.select("node", "n", "bitmap").join(labels, "node")
+        open_ = members if first else members.join(
+            members.join(labels, "node").groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group"), "group", "left_semi")
+        grouped = open_.join(known, "node").groupBy("group").agg(F.collect_list(F.struct("node", "n", "bitmap", "comp")).alias("members"))
+        pairs = grouped.select("members").mapInArrow(_proposer(percent, first), "a long, b long").distinct()
+        pairs = written(pairs if first else pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
         checked = written(
-            pairs.join(elements.withColumnsRenamed({"node": "a", "elements": "x"}), "a").join(elements.withColumnsRenamed({"node": "b", "elements": "y"}), "b")
+            pairs.join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long, linked boolean"), "checked")
         labels = contract(labels, checked.where("linked").select("a", "b"))
-        failed = failed.unionByName(checked.where("NOT linked").select("a", "b"))
+        failed = checked.where("NOT linked").select("a", "b")
 
     least = labels.join(classes, "node").groupBy("comp").agg(F.min("row").alias("component_id"))
     named = written(labels.join(least, "comp").select("node", "component_id").unionByName(
