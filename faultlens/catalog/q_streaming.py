@@ -86,13 +86,12 @@ def first_arrivals(d: Data):
 
 
 @query("W06_stream_pending_timeout", sql="""
-WITH e AS (SELECT 'inc' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS STRING) AS incident_key, event_id % 2 AS slot, user_id, ts FROM {events}),
-p AS (SELECT incident_key, min(CASE WHEN slot = 0 THEN ts END) AS opened, max(CASE WHEN slot = 0 AND user_id % 3 = 0 THEN 1 ELSE 0 END) AS quick, max(CASE WHEN slot = 0 THEN user_id END) AS u FROM e GROUP BY 1)
-SELECT incident_key, CASE WHEN u % 3 = 0 THEN 'confirmed' WHEN u % 3 = 1 THEN 'failed' ELSE 'unknown' END AS state FROM p
-WHERE u % 3 < 2 OR opened + INTERVAL 300 SECOND <= (SELECT max(ts) + INTERVAL 60 SECOND FROM e WHERE slot = 0 AND user_id % 3 < 2)""")
+WITH e AS (SELECT 'inc' || CAST(event_id AS STRING) AS incident_key, user_id % 3 AS way, ts FROM {events})
+SELECT incident_key, CASE way WHEN 0 THEN 'confirmed' WHEN 1 THEN 'failed' ELSE 'unknown' END AS state FROM e
+WHERE way < 2 OR ts + INTERVAL 300 SECOND <= (SELECT max(CASE WHEN way < 2 THEN ts + INTERVAL 60 SECOND ELSE ts END) FROM e)""")
 def timeouts(d: Data):
-    base = stream(d, "events").filter("event_id % 2 = 0").select(
-        F.concat(F.lit("inc"), F.floor(F.col("event_id") / 2).cast("string")).alias("incident_key"), F.lit("chat").alias("destination"),
+    base = stream(d, "events").select(
+        F.concat(F.lit("inc"), F.col("event_id").cast("string")).alias("incident_key"), F.lit("chat").alias("destination"),
         F.col("ts").cast("timestamp").alias("ts"), "user_id")
     rows = base.select("incident_key", "destination", F.inline(F.array(
         F.struct(F.col("ts").alias("at"), F.lit("reserve").alias("action")),

@@ -49,39 +49,47 @@ def history_batches(path: str, order: Sequence[str] = ("ingest_seq",)) -> Callab
 
 
 PENDING_SECONDS = 300
+FORGET_DAYS = 30
 
 
-def pending_timeouts(events: DataFrame, time: str = "at", delay: str = "0 seconds") -> DataFrame:
-    """Final state per (incident_key, destination) from reserve, confirm and fail events in event time.
+def pending_timeouts(events: DataFrame, time: str = "at", delay: str = "0 seconds", forget_days: int = FORGET_DAYS) -> DataFrame:
+    """Every closed state a delivery (incident_key, destination) reaches, from its ledger events in event time.
 
-    A reservation that nothing closes within 300 seconds of event time becomes ``unknown``. A delivery has few events.
+    The transitions are those of ``delivery_ledger``: a reservation opens a delivery or, after a failure, opens it again and changes
+    nothing once it is confirmed or unknown; one that stays open for 300 seconds becomes ``unknown``; ``confirm``, ``fail`` and
+    ``unknown`` close a known delivery. Its state is kept across batches and forgotten ``forget_days`` after its last change.
     """
-    limit_ms = PENDING_SECONDS * 1000
+    limit_ms, forget_ms = PENDING_SECONDS * 1000, forget_days * 86_400_000
+    target = {"confirm": "confirmed", "fail": "failed", "unknown": "unknown"}
 
     def step(key, batches, state):
+        current, since = state.get if state.exists else (None, 0)
+        closed = []
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, "unknown")], columns=["incident_key", "destination", "state"])
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "action"])
-        opened = state.get[0] if state.exists else None
-        closed = None
-        for row in rows.itertuples():
-            at = int(row.at.timestamp() * 1000)
-            if opened is not None and at - opened >= limit_ms and closed is None:
-                closed = "unknown"
-            if closed is None and row.action == "reserve" and opened is None:
-                opened = at
-            elif closed is None and row.action in ("confirm", "fail") and opened is not None:
-                closed = {"confirm": "confirmed", "fail": "failed"}[row.action]
-        if closed is not None:
-            if state.exists:
+            if current != "pending":
                 state.remove()
-            yield pd.DataFrame([(*key, closed)], columns=["incident_key", "destination", "state"])
-        elif opened is not None:
-            state.update((opened,))
-            state.setTimeoutTimestamp(max(opened + limit_ms, state.getCurrentWatermarkMs() + 1))
+                return
+            current, since = "unknown", since + limit_ms
+            closed.append(current)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["at", "action"])
+            for at, action in zip((rows["at"].astype("int64") // 10**6).tolist(), rows["action"].tolist(), strict=True):
+                stale = current == "pending" and at - since >= limit_ms
+                if stale and action in (*target, "reserve", "retry"):
+                    current, since = "unknown", since + limit_ms
+                    closed.append(current)
+                if action == "reserve" and current is None or action in ("reserve", "retry") and current == "failed":
+                    current, since = "pending", at
+                elif action in target and current is not None:
+                    if target[action] != current:
+                        closed.append(target[action])
+                    current, since = target[action], at
+        if current is not None:
+            state.update((current, since))
+            due = since + (limit_ms if current == "pending" else forget_ms)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, name) for name in closed], columns=["incident_key", "destination", "state"])
 
     marked = events.select("incident_key", "destination", F.col(time).alias("at"), "action").withWatermark("at", delay)
     return marked.groupBy("incident_key", "destination").applyInPandasWithState(
-        step, "incident_key string, destination string, state string", "opened long", "append", GroupStateTimeout.EventTimeTimeout)
+        step, "incident_key string, destination string, state string", "state string, since long", "append", GroupStateTimeout.EventTimeTimeout)

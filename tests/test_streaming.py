@@ -45,3 +45,22 @@ def test_recurrence_counts_run_across_batches(spark, tmp_path):
     # A replay of the last batch overwrites its own version and changes nothing.
     fn(spark.createDataFrame(batches[1], schema), 1)
     assert read_version(spark, store).first()["count"] == 3
+
+
+def test_closed_deliveries_stay_closed_across_batches(spark, tmp_path):
+    import datetime
+    from collections import Counter
+
+    at = lambda seconds: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
+    schema = "incident_key string, destination string, at timestamp, action string"
+    events = [("a", 0, "reserve"), ("a", 10, "confirm"), ("a", 20, "reserve"), ("b", 25, "reserve"), ("b", 30, "fail"), ("b", 40, "reserve"), ("b", 50, "confirm"),
+              ("c", 60, "reserve"), ("d", 70, "confirm"), ("e", 80, "reserve"), ("e", 500, "reserve"), ("z", 2000, "reserve"), ("c", 2100, "reserve"), ("z", 9000, "reserve")]
+    want = Counter([("a", "confirmed"), ("b", "failed"), ("b", "confirmed"), ("c", "unknown"), ("e", "unknown"), ("z", "unknown")])
+    for name, size in (("one", 1), ("all", len(events))):
+        batches = [[(k, "chat", at(s), action) for k, s, action in events[i:i + size]] for i in range(0, len(events), size)]
+        stream = feed(spark, tmp_path / name, batches, schema)
+        out = str(tmp_path / f"{name}-out")
+        run = state.pending_timeouts(stream).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert Counter((r.incident_key, r.state) for r in spark.read.parquet(out).collect()) == want, name
