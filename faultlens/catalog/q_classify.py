@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultlens.catalog.registry import Data, query
 from faultlens.functions import text as T
+from faultlens.functions.text import whole
 from faultlens.operators import classify as C, triage
 
 # Label of a whole log built from the line templates. Positions compare by line; inside one line each template has
@@ -98,7 +99,7 @@ SELECT artifact_id, kind, stage FROM (
         UNION ALL SELECT artifact_id, line_no, 'ci_failure', 'ci' FROM {{v_line}} WHERE tpl = 8)) WHERE rn = 1""")
 def signals(d: Data):
     # Templates 1 and 8 carry a second, weaker signal on the same line.
-    found = C.failure_signals(artifacts(d)).select("artifact_id", F.explode(F.slice("signals", 1, 30)).alias("s"))
+    found = C.failure_signals(artifacts(d)).select("artifact_id", F.explode(whole("signals")).alias("s"))
     return found.select("artifact_id", "s.kind", "s.stage")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.catalog.registry import Data, query
+from faultlens.functions.text import whole
 from faultlens.operators import classify as C, extract as X
 
 
@@ -102,7 +103,7 @@ def stage_near(d: Data):
         .when(F.col("event_id") % 5 == 2, "pytest -q").when(F.col("event_id") % 5 == 3, "cargo build").otherwise("hello")
     )
     logs = d.events.select("event_id", F.concat(scope, F.lit("\nworker timeout after "), F.col("user_id")).alias("text"))
-    hits = C.failure_signals(logs).select("event_id", F.explode(F.slice("signals", 1, 30)).alias("s"))
+    hits = C.failure_signals(logs).select("event_id", F.explode(whole("signals")).alias("s"))
     return hits.filter(F.col("s.kind") == "timeout").select("event_id", "s.stage")
 
 
@@ -114,7 +115,7 @@ def event_logs(d: Data):
 _EVENTS = """
 SELECT artifact_id, CAST(line_no + 1 AS INT) AS seq, line, sequence, timestamp, timestamp_ns,
        CASE WHEN line_no = 0 AND first_trace THEN trace_id ELSE trace_id END AS trace_id, span_id, parent_span_id
-FROM (SELECT *, event_id % 4 = 2 AS first_trace FROM {v_event_line}) WHERE line_no < 20"""
+FROM (SELECT *, event_id % 4 = 2 AS first_trace FROM {v_event_line})"""
 
 
 @query("C09_events", sql=f"""
@@ -148,7 +149,7 @@ WITH counted AS (
 SELECT artifact_id, max(CASE WHEN field = 'request_id' AND rn = 1 THEN v END) AS request_id,
        max(CASE WHEN field = 'user_id' AND rn = 1 THEN v END) AS user_id,
        max(CASE WHEN field = 'request' AND rn = 1 THEN v END) AS request,
-       string_agg(CASE WHEN field = 'user_id' AND seen <= 10 THEN v END, ',' ORDER BY seen) AS users
+       string_agg(CASE WHEN field = 'user_id' THEN v END, ',' ORDER BY seen) AS users
 FROM best GROUP BY 1""")
 def entities(d: Data):
     rows = X.entity_context(_joined(d, d.v_entity_line, "line_no", "line"))

@@ -39,10 +39,10 @@ def counts(d: Data):
     return O.delivery_counts(O.delivery_ledger(d.v_delivery_event, 10**7))
 
 
-@query("O03_delivery_listing", sql=f"WITH {_LEDGER} SELECT incident_key, attempts FROM led WHERE state = 'confirmed' AND destination = 'github' AND attempts = 2")
+@query("O03_delivery_listing", sql=f"WITH {_LEDGER} SELECT incident_key, attempts FROM led WHERE state = 'confirmed' AND destination = 'github'")
 def listing(d: Data):
     rows = O.delivery_ledger(d.v_delivery_event, 10**7)
-    return O.delivery_listing(rows, 10**6, state="confirmed", destination="github").filter("attempts = 2").select("incident_key", "attempts")
+    return O.delivery_listing(rows, state="confirmed", destination="github").select("incident_key", "attempts")
 
 
 @query("O03_delivery_expired", sql=f"WITH {_LEDGER} SELECT count(*) AS expired FROM led WHERE state IN ('confirmed', 'failed')")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from faultlens.catalog.q_extract import _joined
 from faultlens.catalog.registry import Data, query
 from faultlens.catalog.views import VIEWS
+from faultlens.functions.text import whole
 from faultlens.operators import classify as C, evidence as E, impact as M, timeline as L, traces as TR, triage as T
 
 VIEWS["v_changed_file"] = """
@@ -118,7 +119,7 @@ VIEWS["v_commit"] = _COMMITS
 
 @query("T07_correlated_commits", sql=f"""
 WITH latest AS (SELECT path, sha, subject FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, sha DESC) AS rn FROM {{v_commit}}) WHERE rn = 1)
-SELECT artifact_id, path, sha, subject, rank FROM (SELECT h.artifact_id, l.*, row_number() OVER (PARTITION BY h.artifact_id ORDER BY l.path) AS rank FROM (SELECT DISTINCT artifact_id, path FROM ({_HITS})) h JOIN latest l USING (path)) WHERE rank <= 3""")
+SELECT artifact_id, path, sha, subject, rank FROM (SELECT h.artifact_id, l.*, row_number() OVER (PARTITION BY h.artifact_id ORDER BY l.path) AS rank FROM (SELECT DISTINCT artifact_id, path FROM ({_HITS})) h JOIN latest l USING (path))""")
 def commits(d: Data):
     return T.correlated_commits(d.v_simple_frame, d.v_changed_file, d.v_commit)
 
@@ -191,7 +192,7 @@ def evidence(d: Data):
 SELECT artifact_id, 'fact-' || lpad(CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY p) AS STRING), 3, '0') AS id, kind, coalesce('ev-' || lpad(CAST(ref AS STRING), 3, '0'), '') AS refs FROM f""")
 def facts(d: Data):
     rows = E.observed_facts(E.evidence_items(bundles(d)))
-    return rows.select("artifact_id", F.inline(F.slice("facts", 1, 64))).select("artifact_id", "id", "kind", F.array_join("evidence_refs", ",").alias("refs"))
+    return rows.select("artifact_id", F.inline(whole("facts"))).select("artifact_id", "id", "kind", F.array_join("evidence_refs", ",").alias("refs"))
 
 
 def _hypotheses(rows):
@@ -264,7 +265,7 @@ _TIMELINE = """
 entry AS (
  SELECT artifact_id, 'ctx-ci' AS event_id, 'ci' AS source, NULL::BIGINT AS ts, NULL::INT AS seq, 0 AS i FROM (SELECT DISTINCT artifact_id FROM {v_event_line})
  UNION ALL SELECT artifact_id, 'ctx-deploy', 'deployment', CASE WHEN CAST(substr(artifact_id, 2) AS BIGINT) % 2 = 0 THEN 1704164641000000000 END, NULL, 1 FROM (SELECT DISTINCT artifact_id FROM {v_event_line}) WHERE CAST(substr(artifact_id, 2) AS BIGINT) % 2 = 0 OR CAST(substr(artifact_id, 2) AS BIGINT) % 3 = 0
- UNION ALL SELECT artifact_id, 'ev-' || lpad(CAST(line_no + 1 AS STRING), 3, '0'), 'failure_event', timestamp_ns, coalesce(sequence, line_no + 1), 2 + line_no FROM {v_event_line} WHERE line_no < 20
+ UNION ALL SELECT artifact_id, 'ev-' || lpad(CAST(line_no + 1 AS STRING), 3, '0'), 'failure_event', timestamp_ns, coalesce(sequence, line_no + 1), 2 + line_no FROM {v_event_line}
  UNION ALL SELECT artifact_id, 'rec-001', 'recovery', NULL, NULL, 100 FROM (SELECT DISTINCT artifact_id FROM {v_event_line}) WHERE CAST(substr(artifact_id, 2) AS BIGINT) % 3 = 0),
 based AS (SELECT *, CASE WHEN ts IS NOT NULL THEN 'timestamp_ns' WHEN seq IS NOT NULL THEN 'sequence' ELSE 'log_order' END AS basis FROM entry),
 spread AS (SELECT artifact_id, count(DISTINCT basis) AS bases, min(basis) AS only_basis FROM based WHERE source = 'failure_event' GROUP BY 1),
@@ -286,19 +287,19 @@ def union(d: Data):
 @query("D03_ordering_basis", sql=f"""WITH {_TIMELINE} SELECT artifact_id, event_id, basis, CASE WHEN bases > 1 THEN 'mixed' ELSE only_basis END AS overall,
  CASE basis WHEN 'sequence' THEN 'clock not available; ordered by sequence fallback' WHEN 'log_order' THEN 'no clock or sequence; ordered by source order' ELSE '' END AS uncertainty FROM ordered""")
 def basis(d: Data):
-    rows = timelines(d).select("artifact_id", F.col("ordering_basis").alias("overall"), F.inline(F.slice("entries", 1, 64)))
+    rows = timelines(d).select("artifact_id", F.col("ordering_basis").alias("overall"), F.inline(whole("entries")))
     return rows.select("artifact_id", "event_id", F.col("ordering_basis").alias("basis"), "overall", "uncertainty")
 
 
 @query("D05_timeline_grouping", sql="""
 SELECT artifact_id, CASE WHEN count(*) FILTER (WHERE linked) BETWEEN 1 AND count(*) - 1 THEN 'mixed' WHEN bool_or(linked) THEN 'runtime' ELSE 'pipeline' END AS grouping
-FROM (SELECT artifact_id, line_no, CASE WHEN line_no = 0 THEN true ELSE trace_id <> '' END AS linked FROM {v_event_line} WHERE line_no < 20) GROUP BY 1""")
+FROM (SELECT artifact_id, line_no, CASE WHEN line_no = 0 THEN true ELSE trace_id <> '' END AS linked FROM {v_event_line}) GROUP BY 1""")
 def grouping(d: Data):
     return timelines(d).select("artifact_id", "grouping")
 
 
 @query("D06_event_roles", sql="""
-SELECT artifact_id, 'ev-001' AS primary_event_id, count(*) - 1 AS downstream, CASE WHEN CAST(substr(artifact_id, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS recovery FROM {v_event_line} WHERE line_no < 20 GROUP BY 1""")
+SELECT artifact_id, 'ev-001' AS primary_event_id, count(*) - 1 AS downstream, CASE WHEN CAST(substr(artifact_id, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS recovery FROM {v_event_line} GROUP BY 1""")
 def roles(d: Data):
     return timelines(d).select("artifact_id", "primary_event_id", F.size("downstream_event_ids").cast("bigint").alias("downstream"), F.size("recovery_event_ids").alias("recovery"))
 
@@ -388,9 +389,9 @@ def movement(d: Data):
 
 
 @query("D12_trace_lookup", sql="""
-WITH ids AS (SELECT artifact_id, trace_id, min(line_no) AS p FROM {v_event_line} WHERE line_no < 20 AND trace_id <> '' GROUP BY 1, 2),
+WITH ids AS (SELECT artifact_id, trace_id, min(line_no) AS p FROM {v_event_line} WHERE trace_id <> '' GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY p) AS rn FROM ids)
-SELECT t.artifact_id, t.trace_id, e.event_id AS span FROM top t JOIN {events} e ON lpad(CAST(e.event_id AS STRING), 16, '0') = t.trace_id WHERE rn <= 5""")
+SELECT t.artifact_id, t.trace_id, e.event_id AS span FROM top t JOIN {events} e ON lpad(CAST(e.event_id AS STRING), 16, '0') = t.trace_id""")
 def lookup(d: Data):
     logs = C.extract_events(C.classify_artifacts(_joined(d, d.v_event_line, "line_no", "line"))).select("artifact_id", "events")
     spans = d.events.select(F.lpad(F.col("event_id").cast("string"), 16, "0").alias("trace_id"), F.col("event_id").alias("span"))
@@ -412,7 +413,7 @@ _RELATED = """SELECT file, symbol, path, row_number() OVER (PARTITION BY file, s
  SELECT DISTINCT s.file, s.symbol, t.path FROM {v_source} s JOIN {v_test_file} t ON contains(t.text, replace(substr(s.file, 5), '.py', '')) OR (s.symbol <> '' AND contains(t.text, s.symbol)))"""
 
 
-@query("X01_related_tests", sql=f"SELECT * FROM ({_RELATED}) WHERE rank <= 10")
+@query("X01_related_tests", sql=_RELATED)
 def related(d: Data):
     return M.related_tests(d.v_source, d.v_test_file)
 
@@ -433,16 +434,16 @@ def _change_sources(d: Data):
     return d.v_source.select((F.length("symbol") % 3).alias("change_id"), "file", "symbol", F.col("file").endswith("1.py").alias("changed"))
 
 
-def _recommended(d: Data):
+def _recommended(d: Data, limit: int | None = None):
     sources = _change_sources(d)
     related = sources.select("change_id", "file", "symbol").join(M.related_tests(d.v_source, d.v_test_file).withColumnRenamed("path", "test").drop("rank"), ["file", "symbol"])
     coverage = d.nation.select(F.concat(F.lit("src/mod"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("key"), F.concat(F.lit("tests/test_"), (F.col("n_nationkey") * 7).cast("string"), F.lit(".py")).alias("test"))
     history = d.customer.filter("c_custkey % 5 = 0").select(F.concat(F.lit("tests/test_"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("test"), (F.col("c_custkey") % 4 / F.lit(2.0)).alias("correlation"))
-    return M.recommend_tests(sources, related, M.call_edges(d.v_call, d.v_symbol), coverage, history)
+    return M.recommend_tests(sources, related, M.call_edges(d.v_call, d.v_symbol), coverage, history, limit=limit)
 
 
 _RECOMMEND = f"""
-WITH {_EDGES}, rel AS (SELECT * FROM ({_RELATED}) WHERE rank <= 10),
+WITH {_EDGES}, rel AS ({_RELATED}),
 src AS (SELECT length(symbol) % 3 AS change_id, file, symbol, file LIKE '%1.py' AS changed FROM {{v_source}}),
 moved AS (SELECT DISTINCT change_id, symbol FROM src WHERE changed AND symbol <> ''),
 dep AS (SELECT DISTINCT change_id, callee AS symbol FROM moved JOIN edges ON caller = symbol UNION SELECT DISTINCT change_id, caller FROM moved JOIN edges ON callee = symbol),
@@ -455,7 +456,7 @@ fin AS (SELECT change_id, test, score + CASE WHEN c_custkey % 4 > 0 THEN least(c
 ranked AS (SELECT change_id, test, CAST(coalesce(s0, score) AS DOUBLE) AS score, row_number() OVER (PARTITION BY change_id ORDER BY coalesce(s0, score) DESC, test) AS rank FROM fin)"""
 
 
-@query("X03_test_recommendations", sql=_RECOMMEND + " SELECT change_id, test, score, rank FROM ranked WHERE rank <= 20")
+@query("X03_test_recommendations", sql=_RECOMMEND + " SELECT change_id, test, score, rank FROM ranked")
 def recommend(d: Data):
     return _recommended(d).select("change_id", "test", "score", "rank")
 
@@ -465,7 +466,7 @@ SELECT change_id, round_even(CAST(count(*) FILTER (WHERE rank <= 20) AS DOUBLE)
 def recall(d: Data):
     sources = _change_sources(d)
     expected = sources.join(M.related_tests(d.v_source, d.v_test_file), ["file", "symbol"]).select("change_id", F.col("path").alias("test"))
-    return M.recommendation_recall(_recommended(d), expected)
+    return M.recommendation_recall(_recommended(d, 20), expected)
 
 
 _NARROW = """

@@ -31,9 +31,8 @@ class Data:
         return self._cache[name]
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """Rows of a few files dealt out before work that is heavy for its bytes; many files stay as they are."""
-        wanted = self.spark.sparkContext.defaultParallelism
-        return df.repartition(wanted) if len(df.inputFiles()) < wanted else df
+        """Rows dealt out evenly before work that is heavy for its bytes: dozens of regular expressions a text."""
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def gathered(self, df: DataFrame, key: str):
         """``df`` grouped by a key of bounded groups, on a fixed number of partitions.

@@ -101,6 +101,12 @@ def normalize_lines(text: Column | str) -> Column:
     return F.transform(split_lines(clean), unwrap_line)
 
 
+def whole(values: Column | str) -> Column:
+    """All of an array, as an expression: generating from a bare attribute would make Spark add a filter on its size, which
+    computes the array a second time."""
+    return F.slice(as_col(values), 1, 1 << 30)
+
+
 def normalize_log(text: Column | str) -> Column:
     return F.array_join(normalize_lines(text), "\n")
 
@@ -110,7 +116,6 @@ def leaf_identity(test: Column | str) -> Column:
     leaf = strip(F.coalesce(as_col(test), F.lit("")))
     for separator in ("::", "#", ".", "/", "\\"):
         leaf = strip(F.substring_index(leaf, separator, -1))
-    leaf = clip(leaf, 300)
     return F.when(leaf == "", "unknown").otherwise(leaf)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import patterns as P
 from faultlens.functions.text import (
-    clip, first, found, group, let, normalize_lines, split_lines, strip, unwrap_line,
+    clip, first, found, group, let, normalize_lines, split_lines, strip, unwrap_line, whole,
 )
 
 # Kinds that name a deployment problem, its aggregate symptoms and its direct causes.
@@ -365,12 +365,11 @@ def clock_of(line: Column) -> Column:
     )
 
 
-MAX_EVENTS = 20
 _ANY_TRACE = "|".join((P.TRACE_FIELD, P.SPAN_FIELD, P.PARENT_FIELD, P.TRACEPARENT))
 
 
 def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``events``: the primary failure, then distinct downstream failures in log order, at most 20.
+    """Add ``events``: the primary failure, then all distinct downstream failures in log order.
 
     Needs ``stage``, ``kind`` and ``message``. Only lines with an error word are classified.
     """
@@ -378,7 +377,7 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
     suspects = F.array_distinct(F.transform(
         F.filter(lines, lambda x: found(x, P.ERROR_LINE)),
         lambda x: F.struct(
-            clip(strip(x), 500).alias("message"), unwrap_line(F.regexp_replace(x, P.ANSI, "")).alias("clean")
+            strip(x).alias("message"), unwrap_line(F.regexp_replace(x, P.ANSI, "")).alias("clean")
         ),
     ))
     staged = F.transform(
@@ -391,14 +390,11 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
             e["stage"].alias("stage"), kind_of(e["clean"], e["stage"]).alias("kind"), e["message"].alias("message")
         ),
     )
-    downstream = F.slice(
-        F.array_distinct(F.filter(
-            F.col("_kinded"),
-            lambda e: (e["kind"] != "unknown")
-            & ~((e["stage"] == F.col("stage")) & (e["kind"] == F.col("kind")) & (e["message"] == F.col("message"))),
-        )),
-        1, MAX_EVENTS - 1,
-    )
+    downstream = F.array_distinct(F.filter(
+        F.col("_kinded"),
+        lambda e: (e["kind"] != "unknown")
+        & ~((e["stage"] == F.col("stage")) & (e["kind"] == F.col("kind")) & (e["message"] == F.col("message"))),
+    ))
     traced = first(F.filter(lines, lambda x: x.rlike(_ANY_TRACE)))
 
     def bare(trace: Column) -> Column:
@@ -433,4 +429,4 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
 
 def event_table(df: DataFrame, key: str = "artifact_id") -> DataFrame:
     """Long form: one row per event with its 1-based ``seq``."""
-    return df.select(key, F.posexplode(F.slice("events", 1, MAX_EVENTS)).alias("_p", "e")).select(key, (F.col("_p") + 1).alias("seq"), "e.*")
+    return df.select(key, F.posexplode(whole("events")).alias("_p", "e")).select(key, (F.col("_p") + 1).alias("seq"), "e.*")

@@ -4,25 +4,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import patterns as P
-from faultlens.functions.text import clip, collapse, found, strip
+from faultlens.functions.text import clip, collapse, found, strip, whole
 
-# Evidence order with caps, provenance and whether an item can support a hypothesis.
+# Evidence order, provenance and whether an item can support a hypothesis.
 LIST_KINDS = (
-    ("failure_event", "events", 20, "artifact", "failure.events", "ingest.logs", True),
-    ("stack_frame", "frames", 15, "artifact", "failure.stacktrace", "ingest.stacktrace", True),
-    ("failed_test", "failed_tests", 20, "artifact", "failure.failed_tests", "ingest.tests", True),
+    ("failure_event", "events", "artifact", "failure.events", "ingest.logs", True),
+    ("stack_frame", "frames", "artifact", "failure.stacktrace", "ingest.stacktrace", True),
+    ("failed_test", "failed_tests", "artifact", "failure.failed_tests", "ingest.tests", True),
 )
 LIST_KINDS_LATE = (
-    ("connector_observation", "enrichment", 20, "connector", "enrichment", "ingest.enrich", True),
-    ("connector_audit", "connector_audits", 20, "connector", "context.connector_audits", "connectors.deployment", False),
-    ("metric_sample", "metric_samples", 20, "connector", "devops.metric_samples", "connectors.observability", True),
-    ("trace_span", "trace_spans", 20, "connector", "devops.trace_spans", "connectors.observability", True),
-    ("source_context", "source_evidence", 20, "repository", "context.source_evidence", "source.context", False),
+    ("connector_observation", "enrichment", "connector", "enrichment", "ingest.enrich", True),
+    ("connector_audit", "connector_audits", "connector", "context.connector_audits", "connectors.deployment", False),
+    ("metric_sample", "metric_samples", "connector", "devops.metric_samples", "connectors.observability", True),
+    ("trace_span", "trace_spans", "connector", "devops.trace_spans", "connectors.observability", True),
+    ("source_context", "source_evidence", "repository", "context.source_evidence", "source.context", False),
 )
 WHOLE_KINDS = (
-    ("changed_files", "changed_files", 20, "repository", "git.changed_files", "ingest.git"),
-    ("owners", "owners", 20, "repository", "context.owners", "ingest.owners"),
-    ("correlated_commits", "correlated_commits", 10, "repository", "git.correlated_commits", "ingest.git"),
+    ("changed_files", "changed_files", "repository", "git.changed_files", "ingest.git"),
+    ("owners", "owners", "repository", "context.owners", "ingest.owners"),
+    ("correlated_commits", "correlated_commits", "repository", "git.correlated_commits", "ingest.git"),
 )
 CONTEXT_KINDS = (
     ("run_context", "run", "context", "context.run", "ingest.context"),
@@ -55,15 +55,15 @@ def _as_text(df: DataFrame, column: str, item: Column) -> Column:
 
 
 def evidence_items(df: DataFrame) -> DataFrame:
-    """Add ``evidence``: typed items in fixed order with caps and run-scoped ids ``ev-001``…
+    """Add ``evidence``: typed items in fixed order with run-scoped ids ``ev-001``…
 
     Array columns that the table lacks are treated as empty.
     """
-    def listed(kind, column, cap, source, locator, collector, supports):
+    def listed(kind, column, source, locator, collector, supports):
         if column not in df.columns:
             return None
         place = lambda i: F.concat(F.lit(locator + "["), i.cast("string"), F.lit("]"))
-        return F.transform(F.slice(column, 1, cap), lambda x, i: _item(
+        return F.transform(column, lambda x, i: _item(
             kind, _as_text(df, column, x), source, place(i), collector, _supports(kind, x) if supports else F.lit(False)))
 
     def single(condition, item):
@@ -74,8 +74,8 @@ def evidence_items(df: DataFrame) -> DataFrame:
         "failure_message", message, "artifact", F.lit("failure.message"), "ingest.logs", strip(message) != ""))]
     parts += [listed(*spec) for spec in LIST_KINDS]
     parts += [
-        single(F.size(column) > 0, _item(kind, F.to_json(F.slice(column, 1, cap)), source, F.lit(locator), collector, F.lit(False)))
-        for kind, column, cap, source, locator, collector in WHOLE_KINDS if column in df.columns]
+        single(F.size(column) > 0, _item(kind, F.to_json(column), source, F.lit(locator), collector, F.lit(False)))
+        for kind, column, source, locator, collector in WHOLE_KINDS if column in df.columns]
     parts += [listed(*spec) for spec in LIST_KINDS_LATE]
     for kind, column, source, locator, collector in CONTEXT_KINDS:
         if column in df.columns:
@@ -90,7 +90,7 @@ def evidence_items(df: DataFrame) -> DataFrame:
 
 
 def evidence_table(df: DataFrame, key: str = "artifact_id") -> DataFrame:
-    return df.select(key, F.inline(F.slice("evidence", 1, 256)))
+    return df.select(key, F.inline(whole("evidence")))
 
 
 def supporting_ids(evidence: Column) -> Column:
@@ -180,20 +180,20 @@ def rule_evidence(df: DataFrame) -> Column:
     parts = [F.when(F.col("message") != "", F.concat(F.lit("log message: "), "message"))]
     if some("frames"):
         parts.append(F.when(F.size("frames") > 0, F.concat(
-            F.lit("stacktrace frames: "), join(F.transform(F.slice("frames", 1, 5), lambda f: f["file"])))))
+            F.lit("stacktrace frames: "), join(F.transform("frames", lambda f: f["file"])))))
     if some("failed_tests"):
         parts.append(F.when(F.size("failed_tests") > 0, F.concat(
-            F.lit("failed tests: "), join(F.transform(F.slice("failed_tests", 1, 5), lambda t: t["name"])))))
+            F.lit("failed tests: "), join(F.transform("failed_tests", lambda t: t["name"])))))
     if some("changed_files"):
         parts.append(F.when(F.size("changed_files") > 0, F.concat(
-            F.lit("changed files: "), join(F.slice(F.array_sort(F.array_distinct("changed_files")), 1, 8)))))
-    commits = F.transform(F.slice("correlated_commits", 1, 3), lambda c: F.concat(F.lit("changed frame commit: "), c)) if some(
+            F.lit("changed files: "), join(F.array_sort(F.array_distinct("changed_files"))))))
+    commits = F.transform("correlated_commits", lambda c: F.concat(F.lit("changed frame commit: "), c)) if some(
         "correlated_commits") else F.array().cast("array<string>")
     return F.concat(F.array_compact(F.array(*parts)), commits)
 
 
-def digest_rows(df: DataFrame, key: str = "artifact_id") -> DataFrame:
-    """Ticket digest: bounded title, labels and the first ten frames and tests.
+def digest_rows(df: DataFrame, key: str = "artifact_id", shown: int = 10) -> DataFrame:
+    """Ticket digest, a report view: bounded title, labels and the first ``shown`` frames and tests.
 
     Needs component, severity, summary, is_duplicate_of, frames and failed_tests.
     """
@@ -202,5 +202,5 @@ def digest_rows(df: DataFrame, key: str = "artifact_id") -> DataFrame:
     return df.select(
         key, F.when(F.col("is_duplicate_of").isNotNull(), F.concat(F.lit("Duplicate: "), title)).otherwise(title).alias("title"),
         F.array(F.concat(F.lit("severity:"), "severity"), F.concat(F.lit("component:"), "component")).alias("labels"),
-        F.transform(F.slice("frames", 1, 10), lambda f: F.concat(f["file"], F.lit(":"), f["line"].cast("string"))).alias("top_frames"),
-        F.transform(F.slice("failed_tests", 1, 10), lambda t: t["name"]).alias("top_tests"))
+        F.transform(F.slice("frames", 1, shown), lambda f: F.concat(f["file"], F.lit(":"), f["line"].cast("string"))).alias("top_frames"),
+        F.transform(F.slice("failed_tests", 1, shown), lambda t: t["name"]).alias("top_tests"))

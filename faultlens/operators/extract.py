@@ -8,15 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions import patterns as P
 from faultlens.functions.text import (
-    as_col, clip, first, found, group, let, split_lines, strip,
+    as_col, clip, first, found, group, let, split_lines, strip, whole,
 )
 
-MAX_FRAMES = 100
-MAX_FAILED_TESTS = 100
-FIELD_CHARS = 500
-MAX_USERS = 10
-
-
 # ------------------------------------------------------------------ stack frames
 
 def _qualified(name: Column) -> Column:
@@ -49,11 +43,11 @@ def _frame(line: Column) -> Column:
 
 
 def stack_frames(text: Column | str) -> Column:
-    """Distinct frames of a log in order, at most 100."""
+    """Distinct frames of a log in order."""
     # A cheap screen: every frame shape has ``:number``, `` line number`` or ``:line number``.
     lines = F.filter(split_lines(text), lambda x: x.rlike(r":\d|line\s+\d"))
     found_frames = F.filter(F.transform(lines, _frame), lambda f: f.isNotNull())
-    return F.slice(F.array_distinct(found_frames), 1, MAX_FRAMES)
+    return F.array_distinct(found_frames)
 
 
 def frame_table(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
@@ -84,7 +78,6 @@ def contain_paths(frames: DataFrame, root: str = "repo_root") -> DataFrame:
 
 
 SNIPPET_PAD = 2
-MAX_SNIPPET_FRAMES = 20
 # Fixed value: source suffixes that may be quoted.
 SNIPPET_SUFFIXES = (
     ".py", ".c", ".cc", ".cpp", ".cxx", ".h", ".hpp", ".ts", ".js", ".go", ".rs", ".java", ".yaml", ".yml", ".tf",
@@ -93,12 +86,12 @@ SNIPPET_SUFFIXES = (
 
 
 def attach_snippets(frames: DataFrame, source_line: DataFrame, key: str = "artifact_id") -> DataFrame:
-    """Add ``code``: source lines within two of each of the first 20 frames, as ``n | text`` rows.
+    """Add ``code``: source lines within two of each frame, as ``n | text`` rows.
 
     The range condition becomes an equi join on (file, line) by listing the five wanted lines of a frame.
     """
     suffix = F.lower(F.concat(F.lit("."), F.substring_index("file", ".", -1)))
-    wanted = frames.filter((F.col("pos") < MAX_SNIPPET_FRAMES) & (F.col("line") > 0) & suffix.isin(*SNIPPET_SUFFIXES))
+    wanted = frames.filter((F.col("line") > 0) & suffix.isin(*SNIPPET_SUFFIXES))
     targets = wanted.select(
         key, "pos", "file",
         F.explode(F.sequence(F.col("line") - SNIPPET_PAD, F.col("line") + SNIPPET_PAD)).alias("line_no"),
@@ -286,43 +279,58 @@ def dotnet_failures(lines: Column) -> Column:
 
 
 def _merge(records: Column) -> Column:
-    """Sequential merge: a record with the same leaf and a compatible file enriches the stored one."""
-    start = F.array().cast("array<struct<name:string,file:string,line:bigint,assertion:string>>")
+    """Sequential merge: a record with the same leaf and a compatible file enriches the stored one.
+
+    Only tests whose last name segment agrees, case aside, can meet, so records are sorted by it and merged within each group;
+    the results return to the order of their first records.
+    """
+    segment = lambda name: F.lower(F.substring_index(name, "::", -1))
+    usable = F.filter(records, lambda r: r["name"] != "")
+    keyed = F.array_sort(F.transform(usable, lambda r, i: F.struct(segment(r["name"]).alias("leaf"), i.alias("i"), r.alias("r"))))
+
+    def grouped(rows: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda k: (k == 1) | (
+            F.element_at(rows, k)["leaf"] != F.element_at(rows, F.greatest(k - 1, F.lit(1)))["leaf"]))
+        return let(places, lambda p: F.transform(p, lambda k, g: F.slice(
+            rows, k, F.coalesce(F.get(p, g + 1), F.size(rows) + 1) - k)))
+
+    groups = let(keyed, lambda rows: F.when(F.size(rows) > 0, grouped(rows)))
+    merged = F.flatten(F.transform(F.coalesce(groups, F.array()), _merge_group))
+    return F.transform(F.array_sort(merged), lambda m: m["t"])
+
+
+def _merge_group(rows: Column) -> Column:
+    """Merged tests ``struct<i, t>`` of records whose last name segments agree; ``i`` is a test's first record."""
+    start = F.array().cast("array<struct<i:int,t:struct<name:string,file:string,line:bigint,assertion:string>>>")
     has_path = lambda name: name.rlike(r"(?s)^(.*?)::(.*)$")
 
-    def step(stored: Column, r: Column) -> Column:
+    def step(stored: Column, row: Column) -> Column:
+        r = row["r"]
         own_file = r["file"] != ""
         derived = F.when(own_file | ~has_path(r["name"]), "").otherwise(group(r["name"], r"(?s)^(.*?)::", 1))
         leaf = F.when(has_path(r["name"]), group(r["name"], r"(?s)^.*?::(.*)$", 1)).otherwise(r["name"])
-        file = clip(F.when(derived != "", derived).otherwise(r["file"]), FIELD_CHARS)
-        assertion = clip(strip(r["assertion"]), FIELD_CHARS)
-        name = clip(r["name"], FIELD_CHARS)
+        file = F.when(derived != "", derived).otherwise(r["file"])
 
         def place(x: Column) -> Column:
-            same = F.transform(stored, lambda t: (
-                (F.lower(F.substring_index(t["name"], "::", -1)) == x["leaf"])
-                & ((x["derived"] == "") | (t["file"] == "") | (t["file"] == x["derived"]))
+            same = F.transform(stored, lambda s: (
+                (row["leaf"] == x["leaf"]) & ((x["derived"] == "") | (s["t"]["file"] == "") | (s["t"]["file"] == x["derived"]))
             ))
             index = F.array_position(same, True).cast("int") - 1
-            updated = F.transform(stored, lambda t, i: F.when(i == index, F.struct(
-                F.when(r["name"].contains("::"), x["name"]).otherwise(t["name"]).alias("name"),
-                F.when(t["file"] == "", x["file"]).otherwise(t["file"]).alias("file"),
-                F.when(F.coalesce(t["line"], F.lit(0)) == 0, F.coalesce(r["line"], t["line"])).otherwise(t["line"]).alias("line"),
-                F.when(t["assertion"] == "", x["assertion"]).otherwise(t["assertion"]).alias("assertion"),
-            )).otherwise(t))
-            new = F.struct(x["name"].alias("name"), x["file"].alias("file"), r["line"].alias("line"), x["assertion"].alias("assertion"))
-            return (
-                F.when(r["name"] == "", stored)
-                .when(F.exists(same, lambda hit: hit), updated)
-                .when(F.size(stored) < MAX_FAILED_TESTS, F.array_append(stored, new))
-                .otherwise(stored)
-            )
+            updated = F.transform(stored, lambda s, i: F.when(i == index, F.struct(s["i"].alias("i"), F.struct(
+                F.when(r["name"].contains("::"), r["name"]).otherwise(s["t"]["name"]).alias("name"),
+                F.when(s["t"]["file"] == "", x["file"]).otherwise(s["t"]["file"]).alias("file"),
+                F.when(F.coalesce(s["t"]["line"], F.lit(0)) == 0, F.coalesce(r["line"], s["t"]["line"])).otherwise(s["t"]["line"]).alias("line"),
+                F.when(s["t"]["assertion"] == "", x["assertion"]).otherwise(s["t"]["assertion"]).alias("assertion"),
+            ).alias("t"))).otherwise(s))
+            new = F.struct(row["i"].alias("i"), F.struct(
+                r["name"].alias("name"), x["file"].alias("file"), r["line"].alias("line"), x["assertion"].alias("assertion")).alias("t"))
+            return F.when(F.exists(same, lambda hit: hit), updated).otherwise(F.array_append(stored, new))
 
         return let(F.struct(
-            leaf.alias("leaf"), derived.alias("derived"), file.alias("file"), assertion.alias("assertion"), name.alias("name")
+            leaf.alias("leaf"), derived.alias("derived"), file.alias("file"), strip(r["assertion"]).alias("assertion")
         ), place)
 
-    return F.aggregate(records, start, step)
+    return F.aggregate(rows, start, step)
 
 
 RUNNERS = {
@@ -336,7 +344,7 @@ RUNNERS = {
 
 
 def failed_tests(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``failed_tests``: records of all runner formats merged in runner order, at most 100."""
+    """Add ``failed_tests``: records of all runner formats merged in runner order."""
     body = F.col(text)
     out = df.withColumn("_lines", split_lines(text))
     for name, parse in RUNNERS.items():
@@ -347,7 +355,7 @@ def failed_tests(df: DataFrame, text: str = "text") -> DataFrame:
 
 def failed_test_table(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
     parsed = failed_tests(df, text)
-    return parsed.select(key, F.posexplode(F.slice("failed_tests", 1, MAX_FAILED_TESTS)).alias("pos", "t")).select(key, "pos", "t.*")
+    return parsed.select(key, F.posexplode(whole("failed_tests")).alias("pos", "t")).select(key, "pos", "t.*")
 
 
 # ------------------------------------------------------------------ correlation ids
@@ -378,7 +386,7 @@ def entity_values(df: DataFrame, key: str = "artifact_id", text: str = "text") -
 
 
 def entity_context(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Most frequent value per field (ties: first seen), first ten users, most frequent (method, path) pair."""
+    """Most frequent value per field (ties: first seen), all users as first seen, most frequent (method, path) pair."""
     counted = entity_values(df, key, text).groupBy(key, "field", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     best = counted.groupBy(key).agg(*[
@@ -388,11 +396,9 @@ def entity_context(df: DataFrame, key: str = "artifact_id", text: str = "text")
         ).alias(field)
         for field in [*P.ENTITY_FIELDS, "request"]
     ])
-    ordered = Window.partitionBy(key).orderBy("pos")
     users = (
         counted.filter(F.col("field") == "user_id")
-        .withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= MAX_USERS)
-        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("_u"))
+        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_u"))
         .select(key, F.transform("_u", lambda u: u["value"]).alias("users"))
     )
     blank = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)

@@ -42,7 +42,7 @@ def normalize_runner(label: Column) -> Column:
 def failure_signature(message: Column) -> Column:
     """Digest of a redacted message without addresses, dates and times; empty for an empty message."""
     text = collapse(F.coalesce(message, F.lit("")))
-    masked = redact(clip(text, 4000))
+    masked = redact(text)
     for pattern, mark in (
         (r"\b0x[0-9a-fA-F]{6,}\b", "<addr>"), (r"\b\d{4}-\d{2}-\d{2}\b", "<date>"), (r"\b\d{1,2}:\d{2}:\d{2}\b", "<time>"),
     ):
@@ -50,17 +50,17 @@ def failure_signature(message: Column) -> Column:
     return F.when(text == "", "").otherwise(F.sha2(masked, 256))
 
 
-def safe(value: Column, limit: int = 500) -> Column:
-    return clip(redact(clip(strip(F.coalesce(value, F.lit(""))), 4000)), limit)
+def safe(value: Column, limit: int | None = None) -> Column:
+    clean = redact(strip(F.coalesce(value, F.lit(""))))
+    return clean if limit is None else clip(clean, limit)
 
 
 def normalize_results(df: DataFrame) -> DataFrame:
-    """Sanitized history rows: bounded identity fields, known runner, attempt at least 1, duration at least 0."""
-    limits = {"suite": 500, "commit_sha": 80, "branch": 120, "environment": 200, "run_id": 160}
+    """Sanitized history rows: redacted identity fields, known runner, attempt at least 1, duration at least 0."""
     out = df.withColumn("runner", normalize_runner(F.col("runner"))).withColumn("test", safe(leaf_identity("test")))
-    for name, limit in limits.items():
+    for name in ("suite", "commit_sha", "branch", "environment", "run_id"):
         if name in df.columns:
-            out = out.withColumn(name, safe(F.col(name), limit))
+            out = out.withColumn(name, safe(F.col(name)))
     return out.withColumn("attempt", F.greatest(F.lit(1), F.col("attempt"))).withColumn(
         "duration_ms", F.when(F.col("duration_ms") < 0, 0).otherwise(F.col("duration_ms"))
     )

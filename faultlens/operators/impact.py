@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultlens.operators import triage
 from faultlens.plans.joins import interval_join
 
-MAX_RELATED = 10
-MAX_RECOMMENDATIONS = 20
-
 
 def _mentions(tests: DataFrame, needles: DataFrame, pieces: Column) -> DataFrame:
     """(path, needle) where the needle is a substring of some piece of the test file.
@@ -27,8 +24,8 @@ def _mentions(tests: DataFrame, needles: DataFrame, pieces: Column) -> DataFrame
     return listed.join(needles, "needle", "left_semi")
 
 
-def related_tests(sources: DataFrame, test_files: DataFrame, limit: int = MAX_RELATED) -> DataFrame:
-    """Test files (path holds ``test``) that mention a source's stem or symbol, first ten by path per (file, symbol).
+def related_tests(sources: DataFrame, test_files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Test files (path holds ``test``) that mention a source's stem or symbol, ranked by path per (file, symbol); the first ``limit`` of each if given.
 
     A mention is a substring. Identifier needles are looked for inside identifier tokens, others in the whole text.
     """
@@ -44,7 +41,7 @@ def related_tests(sources: DataFrame, test_files: DataFrame, limit: int = MAX_RE
         _mentions(tests, unique.filter(~identifier), F.array("text")))
     matched = needles.join(hits, "needle").select("file", "symbol", "path").distinct()
     ranked = matched.withColumn("rank", F.row_number().over(Window.partitionBy("file", "symbol").orderBy("path")))
-    return ranked.filter(F.col("rank") <= limit)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -59,8 +56,8 @@ def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def recommend_tests(sources: DataFrame, related: DataFrame, edges: DataFrame, coverage: DataFrame | None = None,
-                    history: DataFrame | None = None, change: str = "change_id", limit: int = MAX_RECOMMENDATIONS) -> DataFrame:
-    """Scored tests per change: direct 100, coverage 70, dependency 50, history up to 20; best 20 by score and name.
+                    history: DataFrame | None = None, change: str = "change_id", limit: int | None = None) -> DataFrame:
+    """Scored tests per change: direct 100, coverage 70, dependency 50, history up to 20; ranked by score and name, the best ``limit`` if given.
 
     ``sources`` (change, file, symbol, changed), ``related`` (change, file, symbol, test), ``coverage`` (key, test),
     ``history`` (test, correlation).
@@ -83,7 +80,9 @@ def recommend_tests(sources: DataFrame, related: DataFrame, edges: DataFrame, co
             change, "test", (F.col("score") + F.coalesce("_h", F.lit(0.0))).alias("score"),
             (F.col("reasons") + F.col("_h").isNotNull().cast("int")).alias("reasons"))
     window = Window.partitionBy(change).orderBy(F.desc("score"), "test")
-    ranked = totals.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit)
+    ranked = totals.withColumn("rank", F.row_number().over(window))
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= limit)
     return ranked.withColumn("score", F.bround("score", 2))
 
 
@@ -103,10 +102,10 @@ def enclosing_symbols(frames: DataFrame, symbols: DataFrame, width: int = 64) ->
 
 
 def source_evidence(frames: DataFrame, symbols: DataFrame, changed: DataFrame, rules: DataFrame, commits: DataFrame,
-                    scope: str = "scope", key: str = "artifact_id", limit: int = 20) -> DataFrame:
+                    scope: str = "scope", key: str = "artifact_id", limit: int | None = None) -> DataFrame:
     """One row per (key, frame file): first line, symbol, changed flag, owners and latest commit subject."""
     firsts = frames.groupBy(key, scope, "file").agg(F.min_by("line", "pos").alias("line"), F.min("pos").alias("pos"))
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.col("rank") <= limit)
+    ranked = firsts if limit is None else firsts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.col("rank") <= limit)
     located = enclosing_symbols(ranked.select(key, "file", "line"), symbols).select(key, "file", "symbol")
     touched = triage.frames_on_changed_files(ranked, changed, key)
     latest = commits.groupBy("path").agg(F.max_by("subject", F.struct("ts", "sha")).alias("subject"))

@@ -153,10 +153,10 @@ def merge_state(store: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.select(*[updated.get(c, F.col(c)).alias(c) for c in store.columns])
 
 
-def prune(incidents: DataFrame, as_of: Column, retention_days: int = 90, max_entries: int = 50000) -> DataFrame:
-    """Drop delivered incidents past retention, then keep the store bound, evicting delivered and oldest first."""
+def prune(incidents: DataFrame, as_of: Column, retention_days: int = 90, max_entries: int | None = None) -> DataFrame:
+    """Drop delivered incidents past retention, then, where a store bound is given, evict delivered and oldest first."""
     kept = incidents.filter(~(F.col("filed") & (F.col("last_seen") < as_of - F.make_dt_interval(F.lit(retention_days)))))
-    return kept.orderBy(F.asc("filed"), F.desc("last_seen"), F.desc("key")).limit(max_entries)
+    return kept if max_entries is None else kept.orderBy(F.asc("filed"), F.desc("last_seen"), F.desc("key")).limit(max_entries)
 
 
 def list_incidents(incidents: DataFrame, kind: str | None = None, filed: bool | None = None, limit: int = 100) -> DataFrame:

@@ -71,11 +71,12 @@ def delivery_counts(ledger: DataFrame) -> DataFrame:
     return ledger.agg(*[F.count_if(F.col("state") == state).alias(state) for state in DELIVERY_STATES])
 
 
-def delivery_listing(ledger: DataFrame, limit: int = 100, **filters: str) -> DataFrame:
+def delivery_listing(ledger: DataFrame, limit: int | None = None, **filters: str | int) -> DataFrame:
+    """Deliveries with these values; the latest ``limit`` if given."""
     rows = ledger
     for name, value in filters.items():
         rows = rows.filter(F.col(name) == value)
-    return rows.orderBy(F.desc("updated_at"), F.desc("key")).limit(limit)
+    return rows if limit is None else rows.orderBy(F.desc("updated_at"), F.desc("key")).limit(limit)
 
 
 def delivery_expired(ledger: DataFrame, as_of: int, retention_days: int) -> DataFrame:

@@ -8,12 +8,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultlens.functions.text import clip, first, iso_to_ns
+from faultlens.functions.text import clip, first, iso_to_ns, whole
 from faultlens.operators import triage
 from faultlens.operators.extract import customer_impact
 from faultlens.plans.ordered import running_totals
 
-MAX_EVENT_ENTRIES = 38
 
 # Identity fields of a release and their previous counterparts.
 RELEASE_FIELDS = (
@@ -64,7 +63,7 @@ def build_timeline(df: DataFrame, deployment_fields: Sequence[str] = ()) -> Data
                       message=F.concat(F.lit("Recovery: "), t("recovery")),
                       kind=F.when(t("recovery").contains("rollback"), "rollback").otherwise("unknown"))
     names = ("event_id", "message", "stage", "kind", "role", "timestamp_ns", "timestamp", "sequence", "trace_id", "span_id", "parent_span_id")
-    events = F.transform(F.slice("events", 1, MAX_EVENT_ENTRIES),
+    events = F.transform("events",
                          lambda e: _entry(source=F.lit("failure_event"), **{name: e[name] for name in names}))
     optional = lambda condition, entry: F.when(condition, F.array(entry)).otherwise(F.slice(F.array(entry), 1, 0))
     raw = F.concat(optional(has_run, run), optional(stated, deploy), events, optional(t("recovery") != "", recovery))
@@ -109,7 +108,7 @@ def build_timeline(df: DataFrame, deployment_fields: Sequence[str] = ()) -> Data
 
 
 def timeline_table(df: DataFrame, key: str = "artifact_id") -> DataFrame:
-    return df.select(key, F.inline(F.slice("entries", 1, 64)))
+    return df.select(key, F.inline(whole("entries")))
 
 
 def compare_releases(df: DataFrame) -> DataFrame:

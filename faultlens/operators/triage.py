@@ -149,16 +149,13 @@ def frames_on_changed_files(frames: DataFrame, changed: DataFrame, key: str = "a
 
 
 def correlated_commits(frames: DataFrame, changed: DataFrame, commits: DataFrame, key: str = "artifact_id",
-                       limit: int = 3) -> DataFrame:
-    """Latest commit subject of each changed file hit by a frame, at most ``limit`` per key by path."""
+                       limit: int | None = None) -> DataFrame:
+    """Latest commit subject of each changed file hit by a frame, ranked by path; the first ``limit`` of a key if given."""
     hits = frames_on_changed_files(frames, changed, key).select(key, "path").distinct()
     latest = commits.groupBy("path").agg(F.max_by(F.struct("sha", "subject"), F.struct("ts", "sha")).alias("c"))
     window = Window.partitionBy(key).orderBy("path")
-    return (
-        hits.join(latest, "path")
-        .withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit)
-        .select(key, "path", "c.sha", "c.subject", "rank")
-    )
+    ranked = hits.join(latest, "path").withColumn("rank", F.row_number().over(window)).select(key, "path", "c.sha", "c.subject", "rank")
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def line_provenance(frames: DataFrame, blame: DataFrame, width: int = 256) -> DataFrame:

@@ -85,7 +85,7 @@ def usage_rollup(df: DataFrame) -> DataFrame:
 
 
 def evidence_spans(text: Column) -> Column:
-    """First eight evidence lines as character spans; the whole text when there is none."""
+    """Evidence lines as character spans; the whole text when there is none."""
     span = lambda start, end, label: F.struct(
         start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(label).alias("label"), F.lit(False).alias("verified"))
     # Lines keep their terminator so that offsets add up.
@@ -94,7 +94,7 @@ def evidence_spans(text: Column) -> Column:
 
     def step(state: Column, line: Column) -> Column:
         content = F.regexp_replace(line, r"[\r\n]+$", "")
-        hit = content.rlike(EVIDENCE_LINE) & (strip(content) != "") & (F.size(state["out"]) < 8)
+        hit = content.rlike(EVIDENCE_LINE) & (strip(content) != "")
         found = span(state["offset"], state["offset"] + F.length(content), "observed_failure_signal")
         return F.struct(
             (state["offset"] + F.length(line)).alias("offset"),

@@ -93,11 +93,11 @@ def junit_results(df: DataFrame, key: str = "artifact_id", text: str = "text", c
 
 
 def junit_failures(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Failing view: first failure or error of each case, rerun cases only when nothing failed; at most 100 per report."""
+    """Failing view: first failure or error of each case, rerun cases only when nothing failed."""
     cases = junit_cases(df, key, text).select(
-        key, "pos", clip("name", 500).alias("name"), clip("file", 500).alias("file"),
+        key, "pos", "name", "file",
         F.when(F.size("notes") > 0, "test_failure").when(F.col("rerun"), "flaky").alias("kind"),
-        clip(F.coalesce(F.try_element_at("notes", F.lit(1))["message"], F.col("rerun_message")), 500).alias("assertion"),
+        F.coalesce(F.try_element_at("notes", F.lit(1))["message"], F.col("rerun_message")).alias("assertion"),
     ).filter(F.col("kind").isNotNull())
     return _failing_view(cases, key)
 
@@ -105,10 +105,8 @@ def junit_failures(df: DataFrame, key: str = "artifact_id", text: str = "text")
 def _failing_view(rows: DataFrame, key: str) -> DataFrame:
     from pyspark.sql import Window
 
-    # The rank filter keeps at most 100 rows per kind and report before anything is exchanged.
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos")))
-    kept = ranked.filter(F.col("rank") <= 100)
-    verdict = kept.groupBy(key).agg(F.max("kind").alias("kind"))  # test_failure sorts after flaky
+    kept = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos")))
+    verdict = rows.groupBy(key).agg(F.max("kind").alias("kind"))  # test_failure sorts after flaky
     return kept.join(verdict, [key, "kind"]).select(key, "kind", "rank", "name", "file", "assertion")
 
 
@@ -174,7 +172,7 @@ def test_json_results(df: DataFrame, key: str = "artifact_id", text: str = "text
 
 
 def test_json_failures(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Failing view of any JSON tree: nodes whose outcome, status or state is a failure word; at most 100 per file."""
+    """Failing view of any JSON tree: nodes whose outcome, status or state is a failure word."""
     nodes = json_nodes(df, key, text)
     word = F.lower(F.coalesce(_field("outcome", "status", "state"), F.lit("")))
     detail = _field("longrepr", "message", "error")
@@ -183,30 +181,26 @@ def test_json_failures(df: DataFrame, key: str = "artifact_id", text: str = "tex
     file = F.coalesce(_field("file"), F.get_json_object("node", "$.location.file"), F.lit(""))
     rows = nodes.filter(word.isin("failed", "failure", "error", "fail")).select(
         key, "pos", F.lit("test_failure").alias("kind"),
-        clip(F.coalesce(_field("nodeid", "fullTitle", "title", "name"), F.lit("unknown")), 500).alias("name"),
-        clip(file, 500).alias("file"), clip(detail, 500).alias("assertion"))
+        F.coalesce(_field("nodeid", "fullTitle", "title", "name"), F.lit("unknown")).alias("name"),
+        file.alias("file"), detail.alias("assertion"))
     return _failing_view(rows, key)
 
 
 def go_json_failures(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Failed tests of ``go test -json`` output with the text printed before the failure, 500 characters."""
+    """Failed tests of ``go test -json`` output with the text printed before the failure."""
     schema = "Action string, Package string, Test string, Output string"
     lines = df.select(key, F.posexplode(split_lines(text)).alias("pos", "_line")).select(
         key, "pos", F.from_json("_line", schema).alias("r")).select(key, "pos", "r.*").filter(F.col("Test").isNotNull())
     fails = lines.filter(F.col("Action") == "fail").groupBy(key, "Test").agg(
         F.min("pos").alias("fail_pos"), F.min_by("Package", "pos").alias("file"))
-    # Only as many output rows as can fill 500 characters are kept per test.
-    from pyspark.sql import Window
-
     spoken = lines.filter(F.col("Output").isNotNull() & (F.col("Output") != ""))
-    early = spoken.withColumn("rank", F.row_number().over(Window.partitionBy(key, "Test").orderBy("pos"))).filter(F.col("rank") <= 500)
-    said = early.groupBy(key, "Test").agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("_out"))
+    said = spoken.groupBy(key, "Test").agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("_out"))
     joined = fails.join(said, [key, "Test"], "left")
     before = F.filter("_out", lambda o: o["pos"] <= F.col("fail_pos"))
     text_of = F.coalesce(F.array_join(F.transform(before, lambda o: o["Output"]), ""), F.lit(""))
     rows = joined.select(
-        key, F.col("fail_pos").alias("pos"), F.lit("test_failure").alias("kind"), clip("Test", 500).alias("name"),
-        clip(F.coalesce("file", F.lit("")), 500).alias("file"), clip(text_of, 500).alias("assertion"))
+        key, F.col("fail_pos").alias("pos"), F.lit("test_failure").alias("kind"), F.col("Test").alias("name"),
+        F.coalesce("file", F.lit("")).alias("file"), text_of.alias("assertion"))
     return _failing_view(rows, key)
 
 

@@ -52,11 +52,11 @@ def test_messages(spark):
     assert got == {a: m for a, _, m in logs}
 
 
-def test_events_are_distinct_bounded_and_traced(spark):
+def test_events_are_distinct_complete_and_traced(spark):
     lines = ["trace_id=00000000000000aa span_id=000000bb", "job a failed"] + ["job a failed"] * 3 + [f"job b{i} failed seq=9" for i in range(40)]
     df = spark.createDataFrame([("x", "\n".join(lines))], "artifact_id string, text string")
     events = C.extract_events(C.classify_artifacts(df)).first().events
-    assert len(events) == 20 and events[0].role == "primary" and events[0].trace_id == "00000000000000aa"
+    assert len(events) == 41 and events[0].role == "primary" and events[0].trace_id == "00000000000000aa"
     assert events[1].message == "job b0 failed seq=9" and events[1].sequence == 9 and events[1].trace_id == ""
 
 
