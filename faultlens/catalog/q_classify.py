@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultlens.catalog.registry import Data, query
 from faultlens.functions import text as T
 from faultlens.functions.text import whole
-from faultlens.operators import classify as C, triage
+from faultlens.operators import classify as C, ops, triage
 
 # Label of a whole log built from the line templates. Positions compare by line; inside one line each template has
 # one strongest signal. A line's stage can depend on the lines before it.
@@ -121,10 +121,14 @@ def summary(d: Data):
     return classified(d).groupBy("kind", "summary").agg(F.count(F.lit(1)).alias("artifacts"))
 
 
-@query("O10_failure_taxonomy", sql=f"""WITH {_LABELS}
+@query("O10_failure_taxonomy", sql=f"""WITH {_LABELS},
+placed AS (SELECT artifact_id, CASE WHEN CAST(substr(artifact_id, 2) AS BIGINT) % 3 = 0 THEN 'web' ELSE 'lib' END AS component FROM labelled)
 SELECT stage, kind, CASE WHEN kind IN ('timeout', 'api_rate_limited', 'test_failure') THEN 'medium'
-                         WHEN kind = 'unknown' THEN 'low' ELSE 'high' END AS severity, count(*) AS failures
-FROM labelled GROUP BY 1, 2, 3""")
+                         WHEN kind = 'unknown' THEN 'low' ELSE 'high' END AS severity, component, count(*) AS failures
+FROM labelled JOIN placed USING (artifact_id) GROUP BY 1, 2, 3, 4""")
 def taxonomy(d: Data):
-    rows = classified(d).withColumn("severity", triage.severity_of(F.col("kind"), F.col("message"), F.lit(False)))
-    return rows.groupBy("stage", "kind", "severity").agg(F.count(F.lit(1)).alias("failures"))
+    number = F.substring("artifact_id", 2, 12).cast("bigint")
+    path = F.when(number % 3 == 0, "apps/web/main.py").otherwise("lib/core.py")
+    rows = classified(d).withColumn("severity", triage.severity_of(F.col("kind"), F.col("message"), F.lit(False))).withColumn(
+        "component", triage.assign_component(F.array(path), [("apps/web/", "web")]))
+    return ops.failure_taxonomy(rows)

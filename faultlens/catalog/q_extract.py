@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.catalog.registry import Data, query
+from faultlens.catalog.views import VIEWS
 from faultlens.functions.text import whole
-from faultlens.operators import classify as C, extract as X
+from faultlens.operators import analysis as A, classify as C, extract as X
 
 
 def _joined(d: Data, df, order: str, line: str):
@@ -187,10 +188,34 @@ def impact(d: Data):
     return d.v_deploy_log.select("artifact_id", X.customer_impact(explicit, F.col("text"), recovery).alias("impact"))
 
 
+VIEWS["v_full_log"] = """
+SELECT artifact_id, event_id, line_no, line_no * 4 + j AS n, CASE j
+  WHEN 0 THEN 'job step' || CAST(event_id AS STRING) || ' failed by a' || CAST(event_id AS STRING) || '@ex.com request_id=req-' || CAST(event_id % 3 AS STRING)
+  WHEN 1 THEN '  src/f' || CAST(event_id % 5 AS STRING) || '.py:' || CAST(line_no + 1 AS STRING) || ': in run'
+  ELSE 'FAILED tests/test_x.py::test_a' || CAST(event_id AS STRING) || ' - assert 1 == 2' END AS line
+FROM {v_event_line}, (VALUES (0), (1), (2)) AS t(j)"""
+
+
 @query("C21_analyze_artifacts", sql="""
-SELECT artifact_id, string_agg(name, '|' ORDER BY name) AS tests, count(*) AS n_tests FROM {v_runner_block} GROUP BY 1""")
+WITH a AS (SELECT artifact_id, min(event_id) AS head, count(DISTINCT event_id) AS m,
+  string_agg(CASE WHEN j = 0 THEN replace(line, 'a' || CAST(event_id AS STRING) || '@ex.com', '[REDACTED:email]') END, '|' ORDER BY n) AS jobs,
+  string_agg(CASE WHEN j = 1 THEN 'src/f' || CAST(event_id % 5 AS STRING) || '.py:' || CAST(line_no + 1 AS STRING) || ':run' END, '|' ORDER BY n) AS frames,
+  string_agg(CASE WHEN j = 2 THEN 'tests/test_x.py::test_a' || CAST(event_id AS STRING) END, '|' ORDER BY n) AS tests,
+  bool_or(event_id % 5 = 1) AS ones, count(*) FILTER (WHERE j = 0 AND event_id % 3 = 0) AS r0, count(*) FILTER (WHERE j = 0 AND event_id % 3 = 1) AS r1, count(*) FILTER (WHERE j = 0 AND event_id % 3 = 2) AS r2,
+  min(event_id) % 3 AS first_r
+ FROM (SELECT *, n % 4 AS j FROM {v_full_log}) GROUP BY 1)
+SELECT artifact_id, m AS redaction_hits, 'ci' AS stage, 'ci_failure' AS kind, 'FAILED tests/test_x.py::test_a' || CAST(head AS STRING) || ' - assert 1 == 2' AS message,
+ 'FAILED tests/test_x.py::test_a' || CAST(head AS STRING) || ' - assert 1 == 2' AS summary, jobs, 1 + 2 * m AS n_events, frames, tests, 'high' AS severity, CASE WHEN ones THEN 'ones' ELSE 'src' END AS component,
+ 'The CI pipeline reported a failed job or step with a non-zero result.' AS hypothesis, 'Inspect' AS fix, 'medium' AS confidence, 0.75::DOUBLE AS completeness, 'failed' AS outcome,
+ 'req-' || CAST(CASE WHEN r0 >= r1 AND r0 >= r2 AND (r0 > r1 OR first_r <> 1) AND (r0 > r2 OR first_r <> 2) THEN 0
+   WHEN r1 >= r0 AND r1 >= r2 AND (r1 > r2 OR first_r <> 2) THEN 1 ELSE 2 END AS STRING) AS request_id FROM a""")
 def analyze(d: Data):
-    parsed = X.failed_tests(C.extract_events(C.classify_artifacts(runner_logs(d))))
-    names = F.array_sort(F.transform("failed_tests", lambda t: t["name"]))
-    return parsed.select(
-        "artifact_id", F.array_join(names, "|").alias("tests"), F.size("failed_tests").cast("bigint").alias("n_tests"))
+    rows = A.analyze_artifacts(_joined(d, d.v_full_log, "n", "line"), component_rules=[("src/f1*", "ones")])
+    texts = lambda column, fn: F.array_join(F.transform(column, fn), "|")
+    jobs = F.filter("events", lambda e: e["message"].startswith("job "))
+    return rows.select(
+        "artifact_id", F.col("redaction_hits").cast("bigint").alias("redaction_hits"), "stage", "kind", "message", "summary",
+        texts(jobs, lambda e: e["message"]).alias("jobs"), F.size("events").cast("bigint").alias("n_events"),
+        texts("frames", lambda f: F.concat_ws(":", f["file"], f["line"].cast("string"), f["function"])).alias("frames"),
+        texts("failed_tests", lambda t: t["name"]).alias("tests"), "severity", "component", "hypothesis", F.substring_index("fix", " ", 1).alias("fix"),
+        "confidence", F.col("completeness.score").alias("completeness"), F.col("deployment.outcome").alias("outcome"), F.col("context.request_id").alias("request_id"))

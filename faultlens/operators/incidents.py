@@ -112,11 +112,12 @@ def context_fingerprint(dedup_key: Column, evidence: Column, source: Column, mod
 
 def recurrence(occurrences: DataFrame, order: Sequence[str], store: DataFrame | None = None,
                threshold: int = RECURRENCE_THRESHOLD) -> DataFrame:
-    """Running occurrence number per incident, continued from the stored counts; unknown kinds are not counted.
+    """Running occurrence number per incident, continued from the stored counts; unknown kinds are not counted, null ones are.
 
     A hot incident is ranked in consecutive pieces, never as one group.
     """
-    counted = occurrences.filter(F.col("kind") != "unknown")
+    unknown = F.col("kind").eqNullSafe("unknown")
+    counted = occurrences.filter(~unknown)
     ranked = running_totals(counted, ["dedup_key"], list(order), rank="_n")
     if store is not None:
         prior = store.select(F.col("key").alias("dedup_key"), F.col("count").alias("_prior"))
@@ -127,7 +128,7 @@ def recurrence(occurrences: DataFrame, order: Sequence[str], store: DataFrame |
     seen = ranked.select(
         *occurrences.columns, total.cast("bigint").alias("occurrence_count"),
         F.when(total > 1, F.col("dedup_key")).alias("is_duplicate_of"), (total >= threshold).alias("recurring"))
-    healthy = occurrences.filter(F.col("kind") == "unknown").select(
+    healthy = occurrences.filter(unknown).select(
         *occurrences.columns, F.lit(1).cast("bigint").alias("occurrence_count"),
         F.lit(None).cast("string").alias("is_duplicate_of"), F.lit(False).alias("recurring"))
     return seen.unionByName(healthy)
@@ -136,7 +137,7 @@ def recurrence(occurrences: DataFrame, order: Sequence[str], store: DataFrame |
 def incident_state(occurrences: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per incident: count, first message, first and last sighting."""
     rank = F.struct(*[F.col(c) for c in order])
-    return occurrences.filter(F.col("kind") != "unknown").groupBy(F.col("dedup_key").alias("key")).agg(
+    return occurrences.filter(~F.col("kind").eqNullSafe("unknown")).groupBy(F.col("dedup_key").alias("key")).agg(
         F.min_by("kind", rank).alias("kind"), F.min_by(clip("message", 200), rank).alias("message"),
         F.count(F.lit(1)).alias("count"), F.min("ts").alias("created_at"), F.max("ts").alias("last_seen"))
 

@@ -171,10 +171,10 @@ REPORT_SCHEMA = (
 
 
 def stored_reports(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Stored reports newest first; malformed ones are skipped."""
+    """Stored reports in any order; malformed ones are skipped."""
     parsed = documents.withColumn("r", F.from_json(text, REPORT_SCHEMA)).filter(
         F.col("r.failure.kind").isNotNull() & F.col("r.meta.generated_at").isNotNull())
-    return parsed.select(*[c for c in documents.columns if c != text], "r.*").orderBy(F.desc("meta.generated_at"))
+    return parsed.select(*[c for c in documents.columns if c != text], "r.*")
 
 
 HISTORY_RECORD = (

@@ -32,7 +32,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_entry_and_registry(spark):
-    assert entry_module.entry(spark).columns == ["stage", "kind", "severity", "failures"]
+    assert entry_module.entry(spark).columns == ["stage", "kind", "severity", "component", "failures"]
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
