@@ -17,6 +17,14 @@ def labels(d: Data):
     return E.label_metrics(d.v_prediction, labels=["none", "good"])
 
 
+@query("E01_macro_metrics", sql="""
+WITH l AS (SELECT label, count(*) FILTER (WHERE expected = label) AS support, count(*) FILTER (WHERE predicted = label) AS named, count(*) FILTER (WHERE expected = label AND predicted = label) AS tp
+ FROM {v_prediction}, (VALUES ('good'), ('bad')) AS t(label) GROUP BY 1)
+SELECT round_even(avg(round_even(CAST(tp AS DOUBLE) / named, 6)), 6) AS macro_precision, round_even(avg(round_even(CAST(tp AS DOUBLE) / support, 6)), 6) AS macro_recall FROM l WHERE support > 0""")
+def macro(d: Data):
+    return E.macro_metrics(E.label_metrics(d.v_prediction))
+
+
 @query("E01_accuracy", sql="SELECT round_even(CAST(count(*) FILTER (WHERE expected = predicted) AS DOUBLE) / count(*), 6) AS accuracy FROM {v_prediction}")
 def accuracy(d: Data):
     return E.accuracy(d.v_prediction)

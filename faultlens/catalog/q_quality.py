@@ -88,6 +88,15 @@ def junit_failing(d: Data):
     return R.junit_failures(junit_documents(d)).select("artifact_id", "kind", "rank", "name", "assertion")
 
 
+@query("S06_report_summary", sql="""
+SELECT artifact_id, 'test' AS stage, kind, substr(message, 1, 200) AS summary, message FROM (
+ SELECT artifact_id, kind, message, row_number() OVER (PARTITION BY artifact_id ORDER BY worst, pos) AS rn FROM (
+  SELECT artifact_id, pos, CASE WHEN k IN (0, 1) THEN 0 ELSE 1 END AS worst, CASE WHEN k IN (0, 1) THEN 'test_failure' ELSE 'flaky' END AS kind,
+   CASE k WHEN 0 THEN 'boom <' || name || '>' WHEN 1 THEN 'bad ' || name ELSE 'once' END AS message FROM {v_case} WHERE k IN (0, 1, 3))) WHERE rn = 1""")
+def report_summary(d: Data):
+    return R.report_summary(R.junit_failures(junit_documents(d)))
+
+
 @query("S07_test_json_results", sql="""
 SELECT artifact_id, suite, name AS test, CASE k WHEN 0 THEN 'failed' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' WHEN 3 THEN 'unknown' ELSE 'passed' END AS status,
        CASE WHEN ms > 0 THEN CAST(floor(CAST(secs AS DOUBLE) * 1000) AS INT) END AS duration_ms, sha256('m ' || name) AS failure_signature FROM {v_case}""")
@@ -144,6 +153,11 @@ def finding_counts(d: Data):
     return S.finding_counts(S.sarif_findings(sarif_documents(d)), "artifact_id")
 
 
+@query("G08_finding_summary", sql=f"SELECT *, greatest(0, processed_count - 10) AS omitted_count, processed_count > 10 AS truncated FROM ({_COUNTS})")
+def finding_summary(d: Data):
+    return S.finding_summary(S.sarif_findings(sarif_documents(d)), "artifact_id", shown=10)
+
+
 @query("G08_top_findings", sql="""
 SELECT artifact_id, name, rank FROM (SELECT artifact_id, name, row_number() OVER (PARTITION BY artifact_id ORDER BY CASE WHEN k = 5 THEN 4 WHEN level = 'critical' THEN 0 WHEN level = 'error' THEN 1 WHEN level = 'warning' THEN 2 ELSE 3 END, pos) AS rank FROM {v_sarif_piece}) WHERE rank <= 10""")
 def top_findings(d: Data):
@@ -418,6 +432,13 @@ def provenance(d: Data):
     return Q.provenance_ids(d.v_classification.select("gate_id", "path", "event_id"), order="event_id").select("event_id", "evidence_id")
 
 
+@query("G14_reason_provenance", sql="""
+SELECT DISTINCT gate_id, CASE WHEN decision IN ('retry_recovered', 'historically_flaky', 'flaky_suspect') THEN 'flaky' ELSE decision END AS rule, CAST(event_id AS STRING) AS evidence_id
+FROM {v_classification} WHERE decision IN ('new_failure', 'likely_regression', 'retry_recovered', 'historically_flaky', 'flaky_suspect')""")
+def reason_provenance(d: Data):
+    return Q.reason_provenance(d.v_classification.select("gate_id", "decision", F.col("event_id").cast("string").alias("evidence_id")))
+
+
 @query("G15_full_gate")
 def full_gate(d: Data):
     """Reports to outcome: JUnit results, history, SARIF and LCOV in one plan, one gate per report modulo 4."""

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from faultlens.catalog.q_classify import artifacts
 from faultlens.catalog.q_extract import runner_logs
@@ -50,10 +50,24 @@ def read_logs(d: Data):
     folder = scratch(d, "logs")
     rows = d.documents.select(F.col("doc_id"), F.concat(F.lit("id:"), F.col("doc_id").cast("string"), F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
     rows.repartition(64, "doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(folder)
-    files = d.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
-    text = newline_normalized(A.decode_text(F.col("content")))
-    body = F.regexp_replace(text, "\x00$", "")
-    return files.select(F.regexp_extract(body, r"^id:(\d+)\n", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace(body, r"^id:\d+\n", "")).alias("digest"))
+    body = F.regexp_replace("text", "\x00$", "")
+    return A.read_artifacts(d.spark, folder, suffixes=(".txt",)).select(
+        F.regexp_extract(body, r"^id:(\d+)\n", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace(body, r"^id:\d+\n", "")).alias("digest"))
+
+
+VIEWS["v_mixed_file"] = """
+SELECT event_id AS artifact_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '.log' WHEN 1 THEN '.xml' WHEN 2 THEN '.json' ELSE '.sarif' END AS ext, event_id % 3 = 0 AS failing FROM {events}"""
+
+
+@query("S01_parseable", sql="SELECT artifact_id, ext FROM {v_mixed_file} WHERE ext = '.log' OR failing")
+def parseable(d: Data):
+    n = F.col("artifact_id").cast("string")
+    case = F.concat(F.lit('<testsuite name="s"><testcase name="t'), n, F.when(F.col("failing"), F.lit('"><failure message="m">x</failure></testcase></testsuite>')).otherwise(F.lit('"/></testsuite>')))
+    node = F.concat(F.lit('{"tests":[{"nodeid":"t'), n, F.lit('","outcome":"'), F.when(F.col("failing"), "failed").otherwise("passed"), F.lit('"}]}'))
+    scan = F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"x"}},"results":['), F.when(F.col("failing"), F.concat(
+        F.lit('{"ruleId":"r","level":"error","message":{"text":"m'), n, F.lit('"}}'))).otherwise(F.lit("")), F.lit("]}]}"))
+    text = F.when(F.col("ext") == ".log", "plain").when(F.col("ext") == ".xml", case).when(F.col("ext") == ".json", node).otherwise(scan)
+    return A.parseable(d.v_mixed_file.withColumn("text", text)).select("artifact_id", "ext")
 
 
 @query("S22_sidecar_context", sql="""
@@ -67,6 +81,14 @@ def sidecar_context(d: Data):
     return run.join(A.deployment_context(docs, "event_id").select("event_id", "environment"), "event_id")
 
 
+@query("S22_deployment_fields", sql="SELECT event_id, name, name || '-' || CAST(event_id % 11 AS STRING) AS value FROM {events}, (VALUES " + ", ".join(f"('{name}')" for name in A.DEPLOYMENT_FIELDS) + ") AS t(name)")
+def deployment_fields(d: Data):
+    pairs = [F.concat(F.lit(f'"{name}":"{name}-'), (F.col("event_id") % 11).cast("string"), F.lit('"')) for name in A.DEPLOYMENT_FIELDS]
+    docs = d.events.select("event_id", F.concat(F.lit('{"deployment":{'), F.concat_ws(",", *pairs), F.lit("}}")).alias("text"))
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("value")) for name in A.DEPLOYMENT_FIELDS])
+    return A.deployment_context(docs, "event_id").select("event_id", F.inline(rows))
+
+
 @query("S23_prometheus_samples", sql="SELECT event_id AS artifact_id, 'm' || CAST(user_id % 3 AS STRING) AS metric, (1700000000 + event_id) * 1000000 AS ts_us, CAST(user_id AS DOUBLE) AS value FROM {events} WHERE event_id % 7 <> 0")
 def prometheus(d: Data):
     text = F.concat(
@@ -114,6 +136,13 @@ def manifest(d: Data):
     return A.manifest_artifacts(docs).select("case_id", "source_id", F.size("evidence_spans").alias("spans"))
 
 
+@query("S26_manifest_sources", sql="SELECT 'src' || CAST(event_id AS STRING) AS source_id, 'MIT' AS license, 'https://x/' || CAST(user_id % 3 AS STRING) AS metadata_url FROM {events}")
+def manifest_sources(d: Data):
+    piece = F.concat(F.lit('{"id":"src'), F.col("event_id").cast("string"), F.lit('","license":"MIT","metadata_url":"https://x/'), (F.col("user_id") % 3).cast("string"), F.lit('"}'))
+    docs = _manifests(d, piece, "sources", '{"manifest_version":"1.0","corpus_id":"c","artifacts":[],"sources":[', "]}")
+    return A.manifest_sources(docs).select("source_id", "license", "metadata_url")
+
+
 @query("S27_annotated_chunks", sql="SELECT 'chunk <' || CAST(event_id AS STRING) || '>' AS chunk, 'cat' || CAST(user_id % 4 AS STRING) AS category FROM {events} WHERE event_id % 9 <> 0")
 def chunks(d: Data):
     piece = F.concat(F.lit("<Example><Chunk>"), F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.concat(F.lit("chunk &lt;"), F.col("event_id").cast("string"), F.lit("&gt;"))),
@@ -176,11 +205,20 @@ def history_table(d: Data):
     return d.spark.read.parquet(path).select("suite", "test", "run_id", "attempt", "status", "ingest_seq")
 
 
-@query("K03_history_export", sql="SELECT ingest_seq, suite, test, status FROM {v_test_result}")
+@query("K03_history_export", sql="""
+SELECT suite, test, run_id, attempt, status, evidence_id, row_number() OVER (ORDER BY recorded_at, suite, test, run_id, attempt, evidence_id) AS position
+FROM (SELECT *, CAST(ingest_seq AS STRING) AS evidence_id FROM {v_test_result})""")
 def export(d: Data):
+    """The export read back by the import, with each record's position over all manifests."""
     path = scratch(d, "export")
-    K.export_history(d.v_test_result, path)
-    return d.spark.read.schema("ingest_seq bigint, suite string, test string, status string").json(path)
+    K.export_history(d.v_test_result.withColumn("evidence_id", F.col("ingest_seq").cast("string")), path)
+    docs = d.spark.read.text(path).withColumnRenamed("value", "text")
+    parts = docs.select("text", F.get_json_object("text", "$.part").cast("int").alias("part"), F.get_json_object("text", "$.count").cast("bigint").alias("count"))
+    before = F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a manifest
+    placed = parts.select("text", before.alias("before")).select(
+        F.posexplode(F.from_json("text", f"records array<{A.HISTORY_RECORD}>")["records"]).alias("pos", "r"), "before")
+    positions = placed.select(F.col("r.evidence_id").alias("evidence_id"), (F.col("before") + F.col("pos") + 1).alias("position"))
+    return A.history_manifest(docs).select("suite", "test", "run_id", "attempt", "status", "evidence_id").join(positions, "evidence_id")
 
 
 @query("K05_batch_summary", sql="SELECT count(*) AS runs, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS reused_runs, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS skipped_runs, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM {v_usage} JOIN {orders} ON ord = o_orderkey")

@@ -64,9 +64,23 @@ def upsert_history(spark: SparkSession, updates: DataFrame, path: str, order: Se
         stored.limit(0).drop("day").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/day={row['day']}")
 
 
-def export_history(results: DataFrame, path: str) -> None:
-    """History records ordered by time, suite and test, as JSON lines."""
-    results.orderBy("recorded_at", "suite", "test").write.mode("overwrite").json(path)
+EXPORT_VERSION = "1.0"
+EXPORT_RECORDS = 10_000  # of one manifest
+
+
+def export_history(results: DataFrame, path: str, schema_version: int = 1) -> None:
+    """History as manifests that the history import reads back: JSON documents of bounded size, one a line.
+
+    Records are ordered by time, suite and test within and over the manifests; ``part`` numbers them.
+    """
+    order = [c for c in ("recorded_at", "suite", "test", "run_id", "attempt", "evidence_id") if c in results.columns]
+    parts = max(1, -(-results.count() // EXPORT_RECORDS))
+    ranged = results.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    records = ranged.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*results.columns).alias("r")))).alias("rows"))
+    manifests = records.select(
+        F.lit(EXPORT_VERSION).alias("export_version"), F.lit(schema_version).alias("schema_version"), F.col("part"),
+        F.size("rows").alias("count"), F.transform("rows", lambda x: x["r"]).alias("records"))
+    manifests.write.mode("overwrite").json(path)
 
 
 def batch_summary(df: DataFrame) -> DataFrame:

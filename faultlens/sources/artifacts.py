@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from faultlens.functions.text import clip, newline_normalized
+from faultlens.functions.text import newline_normalized
 
 SUFFIXES = (".log", ".xml", ".sarif", ".json")
 # Folders that never hold artifacts, and words that mark a structured report.
@@ -36,17 +36,17 @@ def without_sidecars(files: DataFrame) -> DataFrame:
     return marked.join(logs, "_stem", "left_anti").drop("_stem")
 
 
-def supported(files: DataFrame, root: str = "") -> DataFrame:
+def supported(files: DataFrame, root: str = "", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Artifacts by suffix outside ignored folders; XML and JSON need a report word in their path."""
     relative = F.regexp_replace("path", "^.*?\\Q" + root.rstrip("/") + "\\E/", "") if root else F.col("path")
     folders = F.slice(F.split(relative, "/"), 1, F.greatest(F.size(F.split(relative, "/")) - 1, F.lit(0)))
     clean = files.withColumn("ext", extension(F.col("path"))).filter(
-        F.col("ext").isin(*SUFFIXES) & ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])))
+        F.col("ext").isin(*suffixes) & ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])))
     hinted = F.lower(relative).rlike("|".join(h.replace("-", "\\-") for h in REPORT_HINTS))
     return without_sidecars(clean.filter(~F.col("ext").isin(".xml", ".json") | hinted))
 
 
-def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """artifact(artifact_id, path, ext, size, text) of the supported files below a folder.
 
     Path filters run before content is loaded. Undecodable bytes become replacement characters.
@@ -54,7 +54,7 @@ def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     base = files.select("path", F.col("length").alias("size"), "content")
     text = newline_normalized(decode_text(F.col("content")))
-    return supported(base, folder).select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
+    return supported(base, folder, suffixes).select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
 
 
 def decode_text(content: Column) -> Column:
@@ -84,20 +84,22 @@ RUN_FIELDS = (
     "provider", "run_id", "run_url", "job_id", "job_name", "workflow", "step_name", "conclusion", "pr_number", "base_sha",
     "head_sha",
 )
+# Field names of deployment sidecars.
 DEPLOYMENT_FIELDS = (
-    "platform", "environment", "cluster", "namespace", "target", "release", "revision", "previous_revision", "artifact",
-    "outcome", "recovery", "service", "workload", "commit", "previous_commit", "image_digest", "previous_image_digest",
-    "started_at", "finished_at", "strategy", "migration_version", "customer_impact", "slo_target",
-    "error_budget_remaining", "runbook_url",
+    "platform", "environment", "cluster", "target", "namespace", "release", "revision", "previous_revision", "artifact", "strategy", "started_at",
+    "migration_version", "outcome", "recovery", "service", "workload", "commit", "image_digest", "finished_at", "previous_commit",
+    "previous_image_digest", "customer_impact", "manifest_digest", "previous_manifest_digest", "resource_fingerprint",
+    "previous_resource_fingerprint", "previous_migration_version", "runtime_version", "previous_runtime_version", "dependency_fingerprint",
+    "previous_dependency_fingerprint", "feature_flag_version", "previous_feature_flag_version", "slo_target", "error_budget_remaining", "runbook_url",
 )
 
 
 def run_context(sidecars: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Run fields of sidecar JSON: from ``run`` when it is an object, else from the root; strings of 1 024 characters."""
+    """Run fields of sidecar JSON: from ``run`` when it is an object, else from the root."""
     at = lambda path: F.get_json_object(text, path)
     nested = F.coalesce(at("$.run").startswith("{"), F.lit(False))
     value = lambda name: F.when(nested, at(f"$.run.{name}")).otherwise(at(f"$.{name}"))
-    string = lambda v: clip(F.coalesce(v, F.lit("")), 1024)
+    string = lambda v: F.coalesce(v, F.lit(""))
     number = lambda v: F.when(v.try_cast("int") > 0, v.try_cast("int"))
     some = lambda v: F.nullif(v, F.lit(""))
     url = lambda v: F.when(v.rlike(r"^https?://[^\s/]+"), v).otherwise("")
@@ -109,8 +111,8 @@ def run_context(sidecars: DataFrame, key: str = "artifact_id", text: str = "text
 
 
 def deployment_context(sidecars: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Deployment fields of sidecar JSON as strings of at most 1 024 characters."""
-    field = lambda name: clip(F.coalesce(F.get_json_object(text, f"$.deployment.{name}"), F.lit("")), 1024).alias(name)
+    """Deployment fields of sidecar JSON as strings; empty where absent."""
+    field = lambda name: F.coalesce(F.get_json_object(text, f"$.deployment.{name}"), F.lit("")).alias(name)
     return sidecars.select(key, *[field(name) for name in DEPLOYMENT_FIELDS])
 
 

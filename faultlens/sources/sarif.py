@@ -93,6 +93,13 @@ def finding_counts(findings: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def finding_summary(findings: DataFrame, *keys: str, shown: int = 1000) -> DataFrame:
+    """Counts per level and how many findings a view of the top ``shown`` leaves out."""
+    counts = finding_counts(findings, *keys)
+    omitted = F.greatest(F.lit(0), F.col("processed_count") - shown)
+    return counts.withColumn("omitted_count", omitted.cast("bigint")).withColumn("truncated", omitted > 0)
+
+
 def top_findings(findings: DataFrame, keys: list[str], order: list[str], limit: int = 1000) -> DataFrame:
     """The most important findings per key for a report view; counts come from :func:`finding_counts`."""
     from pyspark.sql import Window
