@@ -81,29 +81,6 @@ def thresholds(d: Data):
     return E.threshold_gate(metrics, limits).drop("value")
 
 
-VIEWS["v_decision"] = """SELECT event_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'historically_flaky' WHEN 1 THEN 'new_failure' WHEN 2 THEN 'passed' ELSE 'flaky_suspect' END AS expected,
- CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'historically_flaky' WHEN 1 THEN 'likely_regression' WHEN 2 THEN 'passed' WHEN 3 THEN 'retry_recovered' ELSE 'known_failure' END AS predicted FROM {events}"""
-_F, _RG = "('retry_recovered', 'historically_flaky', 'flaky_suspect')", "('new_failure', 'likely_regression')"
-
-
-@query("E08_decision_metrics", sql=f"""
-SELECT round_even(CAST(count(*) FILTER (WHERE expected = predicted) AS DOUBLE) / count(*), 6) AS accuracy,
- round_even(CAST(count(*) FILTER (WHERE expected IN {_F} AND predicted IN {_F}) AS DOUBLE) / count(*) FILTER (WHERE predicted IN {_F}), 6) AS flaky_precision, round_even(CAST(count(*) FILTER (WHERE expected IN {_F} AND predicted IN {_F}) AS DOUBLE) / count(*) FILTER (WHERE expected IN {_F}), 6) AS flaky_recall,
- round_even(CAST(count(*) FILTER (WHERE expected IN {_RG} AND predicted IN {_RG}) AS DOUBLE) / count(*) FILTER (WHERE predicted IN {_RG}), 6) AS regression_precision, round_even(CAST(count(*) FILTER (WHERE expected IN {_RG} AND predicted IN {_RG}) AS DOUBLE) / count(*) FILTER (WHERE expected IN {_RG}), 6) AS regression_recall FROM {{v_decision}}""")
-def decisions(d: Data):
-    return E.decision_metrics(d.v_decision)
-
-
-@query("E09_impact_recall", sql="""
-WITH e AS (SELECT DISTINCT o_custkey % 9 AS change_id, o_orderkey % 200 AS t FROM {orders} WHERE o_orderkey % 4 = 0), r AS (SELECT DISTINCT o_custkey % 9 AS change_id, o_orderkey % 200 AS t FROM {orders} WHERE o_orderkey % 6 = 0)
-SELECT e.change_id, round_even(CAST(count(r.t) AS DOUBLE) / count(*), 6) AS recall FROM e LEFT JOIN r ON r.change_id = e.change_id AND r.t = e.t GROUP BY 1""")
-def impact_recall(d: Data):
-    from faultlens.operators.impact import recommendation_recall
-
-    rows = d.orders.select("o_orderkey", (F.col("o_custkey") % 9).alias("change_id"), (F.col("o_orderkey") % 200).alias("test"))
-    return recommendation_recall(rows.filter("o_orderkey % 6 = 0"), rows.filter("o_orderkey % 4 = 0"))
-
-
 VIEWS["v_corpus"] = """
 SELECT 'case' || CAST(CASE WHEN event_id % 100 = 7 THEN event_id - 1 ELSE event_id END AS STRING) AS case_id, event_id, 'artifacts/c' || CAST(event_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN '.log' ELSE '.XML' END AS path,
  'raw' || CAST(CASE WHEN event_id % 50 = 3 THEN 3 ELSE event_id END AS STRING) AS raw_sha256, 'src' || CAST(event_id % 4 AS STRING) AS source_id, CASE WHEN event_id % 9 = 0 THEN 'GPL-3.0' ELSE 'MIT' END AS license, CASE WHEN event_id % 3 = 0 THEN 'real' ELSE 'dev' END AS split,

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.catalog.registry import Data, query
-from faultlens.operators import history as H
+from faultlens.operators import evaluate as E, history as H
 
 
 _LATEST = """
@@ -191,7 +191,7 @@ env AS (SELECT suite, test, environment, count(*) FILTER (WHERE status IN ('fail
 allenv AS (SELECT suite, test, sum(f) AS f, sum(p) AS p FROM env GROUP BY 1, 2),
 base AS (SELECT suite, test, bool_or(status = 'passed') AS bp, bool_or(status IN ('failed', 'error')) AS bf FROM recent WHERE commit_sha = 'c95' GROUP BY 1, 2),
 decided AS (
-SELECT c.run_id, c.suite, c.test, c.status, CASE
+SELECT c.run_id, c.suite, c.test, c.status, c.attempts, total, rate, bp, bf, CASE
   WHEN c.attempts > 1 AND ((c.status = 'passed' AND c.first_failed < c.attempt) OR (c.status IN ('failed','error') AND c.last_passed > c.attempt)) THEN 'retry_recovered'
   WHEN c.status = 'passed' THEN CASE WHEN total >= 5 THEN 'passed' ELSE 'insufficient_history' END
   WHEN total < 5 THEN 'insufficient_history'
@@ -209,9 +209,35 @@ def classified(d: Data):
     return H.classify_results(candidates, d.v_test_result, baseline_commit="c95")
 
 
-@query("Q18_test_classification", sql=f"{_CLASSIFY} SELECT run_id, suite, test, decision FROM decided")
+@query("Q18_test_classification", sql=f"""{_CLASSIFY}
+SELECT run_id, suite, test, decision, CASE WHEN decision = 'retry_recovered' THEN 'high' WHEN status = 'passed' THEN CASE WHEN total >= 5 THEN 'high' ELSE 'low' END
+  WHEN decision = 'insufficient_history' THEN 'low' WHEN decision = 'environment_specific' OR coalesce(bp, false) <> coalesce(bf, false) THEN 'high'
+  WHEN decision IN ('new_failure', 'known_failure', 'historically_flaky') AND total >= 10 THEN 'high' ELSE 'medium' END AS confidence,
+ CAST(CASE WHEN decision = 'retry_recovered' THEN attempts ELSE coalesce(total, 0) END AS BIGINT) AS sample_count,
+ CASE WHEN decision <> 'retry_recovered' THEN rate END AS historical_failure_rate FROM decided""")
 def classify(d: Data):
-    return classified(d).select("run_id", "suite", "test", "decision")
+    return classified(d).select("run_id", "suite", "test", "decision", "confidence", F.col("sample_count").cast("bigint").alias("sample_count"), "historical_failure_rate")
+
+
+@query("Q18_environment_correlation", sql="""
+SELECT suite, test, environment, count(*) FILTER (WHERE status IN ('failed', 'error')) AS failed, count(*) FILTER (WHERE status = 'passed') AS passed FROM {v_test_result} GROUP BY 1, 2, 3""")
+def environment_correlation(d: Data):
+    return H.environment_correlation(d.v_test_result)
+
+
+@query("E08_decision_metrics", sql=f"""{_CLASSIFY},
+e AS (SELECT decision AS predicted, CASE CAST(substr(test, 2) AS INT) % 4 WHEN 0 THEN 'historically_flaky' WHEN 1 THEN 'new_failure' WHEN 2 THEN 'passed' ELSE 'likely_regression' END AS expected FROM decided),
+c AS (SELECT *, expected IN ('retry_recovered', 'historically_flaky', 'flaky_suspect') AS ef, predicted IN ('retry_recovered', 'historically_flaky', 'flaky_suspect') AS pf,
+ expected IN ('new_failure', 'likely_regression') AS er, predicted IN ('new_failure', 'likely_regression') AS pr FROM e),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE expected = predicted) AS hit, count(*) FILTER (WHERE ef AND pf) AS bf, count(*) FILTER (WHERE pf) AS npf, count(*) FILTER (WHERE ef) AS nef,
+ count(*) FILTER (WHERE er AND pr) AS br, count(*) FILTER (WHERE pr) AS npr, count(*) FILTER (WHERE er) AS ner FROM c)
+SELECT round_even(CAST(hit AS DOUBLE) / n, 6) AS accuracy, CASE WHEN npf > 0 THEN round_even(CAST(bf AS DOUBLE) / npf, 6) ELSE 0 END AS flaky_precision, round_even(CAST(bf AS DOUBLE) / nef, 6) AS flaky_recall,
+ CASE WHEN npr > 0 THEN round_even(CAST(br AS DOUBLE) / npr, 6) ELSE 0 END AS regression_precision, round_even(CAST(br AS DOUBLE) / ner, 6) AS regression_recall FROM n""")
+def decision_quality(d: Data):
+    """The classifier's decisions against labels by test."""
+    kind = F.substring("test", 2, 9).cast("int") % 4
+    expected = F.when(kind == 0, "historically_flaky").when(kind == 1, "new_failure").when(kind == 2, "passed").otherwise("likely_regression")
+    return E.decision_metrics(classified(d).select(expected.alias("expected"), F.col("decision").alias("predicted")))
 
 
 @query("Q19_run_classification", sql=f"{_CLASSIFY} SELECT run_id, decision, count(*) AS tests FROM decided GROUP BY 1, 2")

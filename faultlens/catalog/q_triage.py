@@ -469,6 +469,14 @@ def recall(d: Data):
     return M.recommendation_recall(_recommended(d, 20), expected)
 
 
+@query("E09_impact_recall", sql=_RECOMMEND + """,
+r AS (SELECT change_id, round_even(CAST(count(*) FILTER (WHERE rank <= 20) AS DOUBLE) / count(*), 6) AS recall FROM (SELECT DISTINCT change_id, path AS test FROM src JOIN rel USING (file, symbol)) e LEFT JOIN ranked USING (change_id, test) GROUP BY 1)
+SELECT change_id, recall, recall >= 0.9 AS passed FROM r""")
+def impact_recall(d: Data):
+    """The gate on recall of the first twenty recommendations of each change."""
+    return recall(d).withColumn("passed", F.col("recall") >= 0.9)
+
+
 _NARROW = """
 narrow AS (SELECT f.artifact_id, f.pos, f.file, f.line, arg_min(s.name, (s.end_line - s.start_line) * 1000000 + s.start_line * 100 + CAST(substr(s.name, 4) AS INT)) AS symbol FROM {v_simple_frame} f JOIN {v_symbol} s ON s.file = f.file AND f.line BETWEEN s.start_line AND s.end_line GROUP BY 1, 2, 3, 4)"""
 

@@ -242,6 +242,11 @@ def run_candidates(results: DataFrame, scope: Sequence[str] = ("run_id",)) -> Da
     return grouped.select(*scope, *KEY, "_c.*", "attempts", "first_failed", "last_passed")
 
 
+def environment_correlation(history: DataFrame) -> DataFrame:
+    """Failures and passes of every test in every environment, over all of its history."""
+    return history.groupBy(*KEY, "environment").agg(_failures().alias("failed"), _passes().alias("passed"))
+
+
 def classify_results(candidates: DataFrame, history: DataFrame | None, baseline_commit: str | None = None,
                      as_of: Column | None = None, days: int | None = None) -> DataFrame:
     """Nine-way decision for every candidate of :func:`run_candidates`.
