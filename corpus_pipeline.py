@@ -13,10 +13,12 @@ from faultlens.llm.jaccard import link_components
 from faultlens.llm.language_id import UNKNOWN, predict, train
 from faultlens.llm.mixing import mixed_documents
 from faultlens.llm.registry import table, with_package
-from faultlens.llm.shared import new_folder
+from faultlens.llm.shared import new_folder, written
 from faultlens.llm.token_files import tokenized, tokenizer_path
 
 NEAR_PERCENT, NEAR_WORDS = 80, 5
+TOKEN_WORDS = 250_000  # words whose ids a worker keeps, beside what earlier stages left in it
+BROADCAST_NUMBERS = 1_000_000  # 17 MB of rows; more are shuffled
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +34,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents link over five-word shingles and a similarity of 0.8 or more. Documents without a word link with nothing, and
     documents without a number can't be told apart: both stay.
     """
-    groups = link_components(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_WORDS)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
+    numbered = docs.where("doc_id IS NOT NULL")
+    groups = written(link_components(numbered.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_WORDS).select("doc_id", "component_id"), "links")
+    # Numbers that go, and numbers that repeat: only their rows have to meet.
+    stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int")) == 1
+    odd = written(groups.groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1"), "odd")
+    some = odd if odd.count() > BROADCAST_NUMBERS else F.broadcast(odd)
     others = [c for c in docs.columns if c != "doc_id"]
     first = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("rest")
-    kept = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"rest.{c}").alias(c) for c in others])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    repeated = numbered.join(some.where("stays"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"rest.{c}").alias(c) for c in others])
+    # An anti join keeps rows without a number.
+    return docs.join(some, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the corpus; one row a document, read back from them."""
-    return tokenized(docs.select("doc_id", "text"), tokenizer_path())
+    return tokenized(docs.select("doc_id", "text"), tokenizer_path(), TOKEN_WORDS)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_files", token_files)]

@@ -25,12 +25,12 @@ from faultlens.llm.shared import written
 WORDS = 3
 PERCENT = 90
 PIECES = 3
-FLUSH_SIGNATURES = 2_000_000
+FLUSH_SIGNATURES = 1_000_000
 FLUSH_DOCS = 10_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 CHUNK = 1024  # members of a group taken together; larger groups are taken chunk by chunk, each with each
-BITMAP = 2048  # bits; few collisions among the elements in which similar sets of usual size differ
-BROADCAST_NODES = 2_000_000  # 16 MB of numbers
+LEAST_BITS = 2048  # of a bitmap; one of a larger set has as many as the set has elements, rounded up to a power of 2
+BROADCAST_NODES = 1_000_000  # 8 MB of numbers, twice
 
 
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -120,11 +120,14 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
 
 
 def _signer(percent: int, size: int, bits: int):
-    """Per text its set size and node; per task and bucket the signatures of the task's distinct nodes."""
+    """Per text its set size, node and bitmap; per task and bucket the signatures of the task's distinct nodes.
+
+    Both go through one shuffle: texts have buckets below 0, dealt out in turn, so that copies don't meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(percent)
-        schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("signatures", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()), ("signatures", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary())])
         nodes: dict[int, int] = {}
         held: list[np.ndarray] = []
         total = 0
@@ -143,16 +146,17 @@ def _signer(percent: int, size: int, bits: int):
                 rows.append((int(bucket), planes(np.diff(signatures[own], prepend=np.uint64(0))), planes(places.astype("<u4")), number[some].tobytes()))
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+                [pa.array([r[0] for r in rows], pa.int32()), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()),
                  *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], schema=schema)
 
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, bitmaps = [], [], []
             for text in batch.column(1).to_pylist():
                 elements = shingle_set(text, hashes, size)
                 node = int(mixed(elements, 4).sum(dtype=np.uint64))
                 sizes.append(len(elements))
                 ids.append(node)
+                bitmaps.append(_bitmap(elements))
                 if len(elements) and node not in nodes:
                     nodes[node] = len(nodes)
                     held.append(bands.signatures(elements))
@@ -160,20 +164,48 @@ def _signer(percent: int, size: int, bits: int):
                     if total > FLUSH_SIGNATURES or len(nodes) >= FLUSH_DOCS:
                         yield from flush()
                         nodes, held, total = {}, [], 0
-            n = len(ids)
+            number = np.array(ids, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], schema=schema)
+                [pa.array(-1 - np.arange(len(ids), dtype=np.int32) % (1 << bits)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(number.view(np.int64)),
+                 pa.array(bitmaps, pa.binary()), *[pa.nulls(len(ids), pa.binary())] * 3], schema=schema)
         if held:
             yield from flush()
 
     return run
 
 
-_SIGNED = "row long, n long, node long, bucket int, signatures binary, places binary, nodes binary"
+_SIGNED = "bucket int, row long, n long, node long, bitmap binary, signatures binary, places binary, nodes binary"
+_GROUPED = "row long, n long, node long, bitmap binary, key long, check long, members array<long>"
+
+
+def _bitmap(elements: np.ndarray) -> bytes:
+    """Parities of the numbers of elements in classes of hashes: two sets differ in at least as many elements as bits."""
+    bits = max(LEAST_BITS, 1 << max(0, len(elements) - 1).bit_length())
+    parity = np.bincount((mixed(elements, 7) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def _aligned(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of equal length: the longer ones are folded, which keeps the parities of the coarser classes."""
+    least = min(map(len, bitmaps)) // 8
+    rows = []
+    for bitmap in bitmaps:
+        row = np.frombuffer(bitmap, np.uint64)
+        while len(row) > least:
+            row = row[:len(row) // 2] ^ row[len(row) // 2:]
+        rows.append(row)
+    return np.stack(rows)
 
 
 def _grouper(bucket: pa.Table) -> pa.Table:
-    """Groups of nodes that share a signature of the bucket; equal groups once, large ones as pairs of chunks."""
+    """Groups of nodes that share a signature of the bucket; equal groups once, large ones as pairs of chunks.
+
+    Rows of texts pass through.
+    """
+    if bucket.column("bucket")[0].as_py() < 0:
+        n = bucket.num_rows
+        return pa.table([*[bucket.column(c) for c in ("row", "n", "node", "bitmap")], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))],
+                        names=["row", "n", "node", "bitmap", "key", "check", "members"])
     signatures, nodes = [], []
     for s, p, n in zip(*(bucket.column(c).to_pylist() for c in ("signatures", "places", "nodes")), strict=True):
         signatures.append(np.cumsum(from_planes(s, "<u8"), dtype=np.uint64))
@@ -203,29 +235,35 @@ def _grouper(bucket: pa.Table) -> pa.Table:
                 out.append(both)
                 keys.append(int(mixed(both.view(np.uint64), 5).sum(dtype=np.uint64)))
                 checks.append(int(mixed(both.view(np.uint64), 6).sum(dtype=np.uint64)))
-    return pa.table({
+    blank = {name: pa.nulls(len(out), kind) for name, kind in (("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bitmap", pa.binary()))}
+    return pa.table(blank | {
         "key": pa.array(np.array(keys, np.uint64).view(np.int64)), "check": pa.array(np.array(checks, np.uint64).view(np.int64)),
         "members": pa.array(out, pa.list_(pa.int64()))})
 
 
-def _sets(percent: int, size: int):
-    """Node, set size, parity bitmap and sorted elements of texts."""
+def _elements(size: int):
+    """Node and sorted elements of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                elements = shingle_set(text, hashes, size)
-                parity = np.bincount((mixed(elements, 7) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-                rows.append((int(mixed(elements, 4).sum(dtype=np.uint64)), len(elements), np.packbits(parity.astype(np.uint8)).tobytes(), elements.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["node", "n", "bitmap", "elements"])
+            sets = [shingle_set(text, hashes, size) for text in batch.column(0).to_pylist()]
+            nodes = np.array([int(mixed(x, 4).sum(dtype=np.uint64)) for x in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "elements"])
 
     return run
 
 
+def _elements_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Node and elements of these nodes, each from the text of one of its documents."""
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "row"), "wanted")
+    few = wanted.count() <= BROADCAST_NODES  # else the texts are shuffled
+    numbers, kept = wanted.select("row").distinct(), wanted.select("node")
+    texts = rows.join(F.broadcast(numbers) if few else numbers, "row", "left_semi")
+    found = texts.select("text").mapInArrow(_elements(size), "node long, elements binary")
+    return written(found.join(F.broadcast(kept) if few else kept, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements")), "elements")
+
+
 def _forest(nodes: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Closest pairs by bound that join all nodes which pairs within the bound can join."""
     far = 1 << 40
@@ -262,7 +300,7 @@ def _proposer(percent: int, first: bool):
                 members = batch.column(0).slice(row, 1).flatten()
                 nodes, sizes, comps = (members.field(name).to_numpy() for name in ("node", "n", "comp"))
                 order = np.argsort(nodes)
-                bitmaps = np.frombuffer(b"".join(members.field("bitmap").to_pylist()), np.uint64).reshape(len(nodes), -1)[order]
+                bitmaps = _aligned(members.field("bitmap").to_pylist())[order]
                 nodes, sizes, comps = nodes[order], sizes[order], comps[order]
                 pairs = _forest(nodes, sizes, bitmaps, percent) if first else _remaining(sizes, bitmaps, comps, percent)
                 found.update((int(nodes[min(i, j)]), int(nodes[max(i, j)])) for i, j in pairs)
@@ -295,33 +333,26 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("row"), F.col(text).alias("text"))
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    signed = written(rows.mapInArrow(_signer(percent, size, bits), _SIGNED), "signed")
-    sized = signed.where("bucket IS NULL").select("row", "n", "node")
-    groups = written(
-        signed.where("bucket IS NOT NULL").select("bucket", "signatures", "places", "nodes").groupBy("bucket").applyInArrow(_grouper, "key long, check long, members array<long>")
-        .groupBy("key", "check").agg(F.first("members").alias("members")).select(F.monotonically_increasing_id().alias("group"), "members"), "groups")
-    classes = written(sized.where("n > 0").groupBy("node").agg(F.min("row").alias("row")), "classes")
-
-    # The sets of nodes in groups, each from the text of one of its documents.
+    signed = rows.mapInArrow(_signer(percent, size, bits), _SIGNED)
+    dealt = written(signed.groupBy("bucket").applyInArrow(_grouper, _GROUPED), "dealt")
+    sized = dealt.where("members IS NULL").select("row", "n", "node", "bitmap")
+    groups = written(dealt.where("members IS NOT NULL").groupBy("key", "check").agg(F.first("members").alias("members")).select(
+        F.monotonically_increasing_id().alias("group"), "members"), "groups")
+    classes = written(sized.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     members = groups.select("group", F.explode("members").alias("node"))
-    wanted = written(classes.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
-    few = wanted.count() <= BROADCAST_NODES
-    numbers = wanted.select("row").distinct()
-    texts = rows.join(F.broadcast(numbers) if few else numbers, "row", "left_semi")
-    sets = written(
-        texts.select("text").mapInArrow(_sets(percent, size), "node long, n long, bitmap binary, elements binary").where("n > 0")
-        .groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("elements").alias("elements")), "sets")
-
-    labels = wanted.select("node", F.col("node").alias("comp"))
-    elements = sets.select("node", "elements")
+    labels = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("node").alias("comp"))
     failed = None
     for first in (True, False):
-        known = sets.select("node", "n", "bitmap").join(labels, "node")
+        known = classes.select("node", "n", "bitmap").join(labels, "node")
         open_ = members if first else members.join(
             members.join(labels, "node").groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group"), "group", "left_semi")
         grouped = open_.join(known, "node").groupBy("group").agg(F.collect_list(F.struct("node", "n", "bitmap", "comp")).alias("members"))
         pairs = grouped.select("members").mapInArrow(_proposer(percent, first), "a long, b long").distinct()
         pairs = written(pairs if first else pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        elements = _elements_of(rows, classes, ends, size)
         checked = written(
             pairs.join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long, linked boolean"), "checked")
