@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions.redaction import redact
 from faultlens.functions.text import clip, collapse, leaf_identity, ratio, strip
+from faultlens.plans.joins import mentions
 from faultlens.plans.upsert import latest_per_key, merge_latest
 
 KEY = ["suite", "test"]
@@ -338,7 +339,7 @@ def classify_results(candidates: DataFrame, history: DataFrame | None, baseline_
 def related_incidents(candidates: DataFrame, feedback: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     """Reviewed feedback per candidate: equal signature, or a predicted component that contains the suite.
 
-    Containment becomes an equi join: every substring start of a component is listed up to the known suite lengths.
+    Containment becomes an equi join on the first characters of suites, checked on the whole suite.
     """
     reviewed = feedback.filter(F.col("review_status") == "reviewed").select(
         "feedback_id", "dedup_key", "predicted_component",
@@ -347,17 +348,10 @@ def related_incidents(candidates: DataFrame, feedback: DataFrame, id_columns: Se
     by_key = wanted.join(reviewed, wanted["failure_signature"] == reviewed["dedup_key"]).select(
         *id_columns, "feedback_id", "severity")
     suites = wanted.select("suite").distinct()
-    lengths = suites.agg(F.collect_set(F.length("suite")))  # distinct lengths, at most 500
-    components = reviewed.select("predicted_component").distinct().withColumn("_lengths", lengths.scalar())
-    pieces = components.select("predicted_component", F.explode(F.array_distinct(F.flatten(F.transform(
-        "_lengths",
-        lambda n: F.transform(
-            F.when(F.length("predicted_component") >= n,
-                   F.sequence(F.lit(1), F.length("predicted_component") - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.substr(F.col("predicted_component"), i, n)),
-    )))).alias("suite"))
+    components = reviewed.select("predicted_component").distinct()
+    pieces = mentions(components, "predicted_component", F.array("predicted_component"), suites, "suite")
     by_suite = (
-        wanted.join(pieces.join(suites, "suite", "left_semi"), "suite").join(reviewed, "predicted_component")
+        wanted.join(pieces, "suite").join(reviewed, "predicted_component")
         .select(*id_columns, "feedback_id", "severity")
     )
     return by_key.unionByName(by_suite).distinct()

@@ -4,24 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.operators import triage
-from faultlens.plans.joins import interval_join
-
-
-def _mentions(tests: DataFrame, needles: DataFrame, pieces: Column) -> DataFrame:
-    """(path, needle) where the needle is a substring of some piece of the test file.
-
-    Every substring whose length is that of some needle is listed once per file and met by an equi join.
-    """
-    lengths = needles.agg(F.collect_set(F.length("needle")))  # distinct needle lengths
-    substrings = F.array_distinct(F.flatten(F.transform(
-        pieces,
-        lambda piece: F.flatten(F.transform(
-            F.filter("_lengths", lambda n: n <= F.length(piece)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(piece) - n + 1), lambda i: F.substr(piece, i, n)),
-        )),
-    )))
-    listed = tests.withColumn("_lengths", lengths.scalar()).select("path", F.explode(substrings).alias("needle"))
-    return listed.join(needles, "needle", "left_semi")
+from faultlens.plans.joins import interval_join, mentions
 
 
 def related_tests(sources: DataFrame, test_files: DataFrame, limit: int | None = None) -> DataFrame:
@@ -37,8 +20,8 @@ def related_tests(sources: DataFrame, test_files: DataFrame, limit: int | None =
     identifier = F.col("needle").rlike(r"^[\p{L}\p{N}_]+$")
     tokens = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     unique = needles.select("needle").distinct()
-    hits = _mentions(tests, unique.filter(identifier), tokens).unionByName(
-        _mentions(tests, unique.filter(~identifier), F.array("text")))
+    hits = mentions(tests, "path", tokens, unique.filter(identifier)).unionByName(
+        mentions(tests, "path", F.array("text"), unique.filter(~identifier)))
     matched = needles.join(hits, "needle").select("file", "symbol", "path").distinct()
     ranked = matched.withColumn("rank", F.row_number().over(Window.partitionBy("file", "symbol").orderBy("path")))
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)

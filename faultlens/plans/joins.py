@@ -77,3 +77,27 @@ def interval_join(
     kept = [located[name] for name in points.columns]
     kept += [blocks[name] for name in ranges.columns if name not in points.columns]
     return joined.select(*kept)
+
+
+GRAM = 8  # characters of a needle that pick candidates
+
+
+def mentions(texts: DataFrame, key: str, pieces: Column, needles: DataFrame, needle: str = "needle") -> DataFrame:
+    """(``key``, ``needle``) where the needle is a substring of some of the text's pieces.
+
+    A needle is met by its first characters, GRAM at most: every place of a piece is listed once for each such length with the text
+    that follows, and the equi join on the first characters is checked on the whole needle.
+    """
+    size = F.least(F.length(needle), F.lit(GRAM))
+    shape = needles.agg(F.collect_set(size).alias("lengths"), F.max(F.length(needle)).alias("longest"))
+    places = F.array_distinct(F.flatten(F.transform(
+        pieces,
+        lambda piece: F.flatten(F.transform(
+            F.filter("_s.lengths", lambda n: n <= F.length(piece)),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length(piece) - n + 1), lambda i: F.struct(
+                F.substr(piece, i, n).alias("_gram"), F.substr(piece, i, F.col("_s.longest")).alias("_rest"))),
+        )),
+    )))
+    listed = texts.withColumn("_s", shape.select(F.struct("*")).scalar()).select(key, F.inline(places))
+    wanted = needles.select(needle, F.substr(needle, F.lit(1), size).alias("_gram"))
+    return listed.join(wanted, "_gram").filter(F.col("_rest").startswith(F.col(needle))).select(key, needle).distinct()
