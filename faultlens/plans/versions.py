@@ -22,6 +22,13 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(complete)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder exists with some data or partition in it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(folder) and any(not status.getPath().getName().startswith(("_", ".")) for status in fs.listStatus(folder))
+
+
 def version_path(path: str, version: int) -> str:
     return f"{path}/v={version:012d}"
 

@@ -37,31 +37,26 @@ def document_rows(df: DataFrame, generated_at: Column) -> DataFrame:
         *have("evidence", "facts"))
 
 
-def upsert_history(spark: SparkSession, updates: DataFrame, path: str, order: Sequence[str] = ("ingest_seq",)) -> None:
-    """Merge results into a history table partitioned by day; only the days of the update are rewritten.
+HISTORY_BUCKETS = 64
 
-    A result keeps its key but may move to another day, so the days of stored rows with an updated key are rewritten
-    too. One writer at a time. The merged rows are materialized before the partitions they came from are replaced.
+
+def upsert_history(spark: SparkSession, updates: DataFrame, path: str, order: Sequence[str] = ("ingest_seq",), buckets: int = HISTORY_BUCKETS) -> None:
+    """Merge results into a history table partitioned by a hash of the result key; only the buckets of the update are read and rewritten.
+
+    A result stays in its bucket whatever day it was recorded on. ``buckets`` is fixed when the table is first written. One
+    writer at a time. The merged rows are materialized before the partitions they came from are replaced.
     """
     from faultlens.plans.lineage import cut_lineage
-
-    new = latest_per_key(updates.withColumn("day", F.to_date("recorded_at")), RESULT_KEY, order)
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as exc:  # first write: no table yet
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER" not in str(exc):
-            raise
-        new.write.partitionBy("day").mode("overwrite").parquet(path)
-        return
-    moved = stored.join(new.select(*RESULT_KEY), RESULT_KEY, "left_semi").select("day")
-    days = new.select("day").unionByName(moved).distinct()
-    touched = stored.join(days, "day", "left_semi")
-    merged = cut_lineage(merge_latest(touched, new.select(*stored.columns), RESULT_KEY, order))
-    # A day all of whose rows moved away gets no new file, so its old rows must be overwritten by hand.
-    emptied = days.join(merged.select("day").distinct(), "day", "left_anti").collect()
-    merged.write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    for row in emptied:
-        stored.limit(0).drop("day").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/day={row['day']}")
+    from faultlens.plans.versions import path_exists
+
+    bucket = F.pmod(F.xxhash64(*RESULT_KEY), F.lit(buckets)).cast("int")
+    new = latest_per_key(updates.withColumn("bucket", bucket), RESULT_KEY, order)
+    if path_exists(spark, path):
+        new = cut_lineage(new)
+        touched = [row.bucket for row in new.select("bucket").distinct().collect()]
+        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        new = cut_lineage(merge_latest(stored, new.select(*stored.columns), RESULT_KEY, order))
+    new.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 EXPORT_VERSION = "1.0"

@@ -95,4 +95,4 @@ def test_history_row_that_moves_to_another_day(spark, tmp_path):
     tables.upsert_history(spark, make([("s", "t", "r", 1, "failed", 1, "2024-01-01 00:00:00"), ("s", "u", "r", 1, "failed", 2, "2024-01-03 00:00:00")]), path)
     tables.upsert_history(spark, make([("s", "t", "r", 1, "passed", 3, "2024-01-02 00:00:00")]), path)
     rows = spark.read.parquet(path).orderBy("test").collect()
-    assert [(r.test, r.status, str(r.day)) for r in rows] == [("t", "passed", "2024-01-02"), ("u", "failed", "2024-01-03")]
+    assert [(r.test, r.status, str(r.recorded_at)[:10]) for r in rows] == [("t", "passed", "2024-01-02"), ("u", "failed", "2024-01-03")]
