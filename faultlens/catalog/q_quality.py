@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultlens.catalog.q_history import _CLASSIFY, classified
 from faultlens.catalog.registry import Data, query
 from faultlens.catalog.views import VIEWS
 from faultlens.operators import coverage as G, gate as Q, history as H
@@ -439,20 +440,29 @@ def reason_provenance(d: Data):
     return Q.reason_provenance(d.v_classification.select("gate_id", "decision", F.col("event_id").cast("string").alias("evidence_id")))
 
 
-@query("G15_full_gate")
+_FULL_RULES = {"likely_regression": "block", "flaky": "warn", "sarif_error": "warn", "critical_sarif": "block"}
+
+
+@query("G15_full_gate", sql=f"""{_CLASSIFY},
+t AS (SELECT run_id || '/' || suite || '/' || CAST(CAST(substr(test, 2) AS INT) % 6 AS STRING) AS gate_id, count(*) FILTER (WHERE decision = 'likely_regression') AS lr, count(*) FILTER (WHERE decision IN ('retry_recovered', 'historically_flaky', 'flaky_suspect')) AS fl,
+  count(*) FILTER (WHERE status IN ('failed', 'error') AND decision = 'insufficient_history') AS unresolved, count(*) FILTER (WHERE decision = 'insufficient_history') AS insufficient FROM decided GROUP BY 1),
+s AS (SELECT 'run-' || substr(artifact_id, 5) || '/tests/s' || CAST(pos % 5 AS STRING) || '.py/' || CAST(pos // 5 % 6 AS STRING) AS gate_id, count(*) FILTER (WHERE k <> 5 AND level IN ('error', 'critical')) AS e,
+  count(*) FILTER (WHERE k <> 5 AND level = 'critical') AS cr FROM {{v_sarif_piece}} GROUP BY 1),
+x AS (SELECT gate_id, count(*) AS conflicts FROM (SELECT run_id || '/' || suite || '/' || CAST(CAST(substr(test, 2) AS INT) % 6 AS STRING) AS gate_id, test, attempt FROM {{v_test_result}} GROUP BY 1, 2, 3
+  HAVING count(DISTINCT status || '|' || coalesce(CAST(duration_ms AS STRING), 'null') || '|' || environment) > 1) GROUP BY 1),
+f AS (SELECT t.*, coalesce(e, 0) AS e, coalesce(cr, 0) AS cr, coalesce(conflicts, 0) AS conflicts FROM t LEFT JOIN s USING (gate_id) LEFT JOIN x USING (gate_id))
+SELECT gate_id, CASE WHEN conflicts > 0 OR lr > 0 OR unresolved > 0 OR cr > 0 THEN 'block' WHEN fl > 0 OR insufficient > 0 OR e > 0 THEN 'warn' ELSE 'pass' END AS policy_outcome,
+ CASE WHEN conflicts > 0 THEN 'conflicting_evidence' WHEN unresolved > 0 OR insufficient > 0 THEN 'insufficient_evidence' ELSE 'succeeded' END AS analysis_status,
+ CAST((lr > 0)::INT + (unresolved > 0)::INT + (fl > 0)::INT + (insufficient > 0)::INT + (e > 0)::INT + (cr > 0)::INT AS BIGINT) AS reasons, conflicts FROM f""")
 def full_gate(d: Data):
-    """Reports to outcome: JUnit results, history, SARIF and LCOV in one plan, one gate per report modulo 4."""
-    gate = F.concat(F.lit("g"), (F.substring("artifact_id", 5, 9).cast("int") % 4).cast("string")).alias("gate_id")
-    results = R.junit_results(junit_documents(d)).withColumn("run_id", F.col("artifact_id")).withColumn("environment", F.lit(""))
-    results = H.without_duplicates(results, ["run_id"])
-    history = d.v_test_result
-    decided = H.classify_results(H.run_candidates(results), history, baseline_commit="c95")
-    decided = decided.select(
+    """One gate per run, suite and shard of tests: decisions against the history, contradictions, and the findings of the run's scan."""
+    gate = F.concat_ws("/", "run_id", "suite", (F.substring("test", 2, 9).cast("int") % 6).cast("string")).alias("gate_id")
+    decided = classified(d).select(
         gate, "decision", F.col("status").alias("candidate_status"), "duration_regression",
         F.col("duration_ms").alias("duration_candidate_ms"), "duration_baseline_median_ms")
-    sarif = S.finding_counts(S.sarif_findings(sarif_documents(d)).withColumn("gate_id", gate), "gate_id")
-    lines = G.merge_lines(COV.lcov(_lcov_documents(d)))
-    detail = G.changed_line_detail(d.v_changed_line, lines)
-    gates = decided.select("gate_id").distinct()
-    rows = Q.gate_reasons(gates, Q.effective_rules(POLICY), Q.classification_facts(decided), sarif, detail)
-    return Q.gate_outcomes(gates, rows)
+    conflicts = H.conflicts(d.v_test_result.withColumn("failure_signature", F.lit("")), ["run_id"]).select(gate)
+    owner = F.concat(F.lit("run-"), F.expr("substr(artifact_id, 5)"), F.lit("/tests/s"), (F.col("pos") % 5).cast("string"), F.lit(".py/"), (F.floor(F.col("pos") / 5) % 6).cast("string"))
+    counts = S.finding_counts(S.sarif_findings(sarif_documents(d)).withColumn("gate_id", owner), "gate_id")
+    # Every run has its scan: a gate without findings has none, not missing evidence.
+    sarif = decided.select("gate_id").distinct().join(counts, "gate_id", "left").fillna(0)
+    return Q.full_gate(_FULL_RULES, decided, conflicts, sarif)

@@ -150,6 +150,22 @@ def gate_outcomes(gates: DataFrame, reasons: DataFrame, gate: str = "gate_id") -
         F.coalesce("reasons", F.lit(0)).alias("reasons"))
 
 
+def full_gate(rules: Mapping[str, Any], decisions: DataFrame, conflicts: DataFrame, sarif: DataFrame | None = None,
+              changed: DataFrame | None = None, delta: DataFrame | None = None, gate: str = "gate_id") -> DataFrame:
+    """Outcome of each gate among ``decisions`` from classifications, findings and coverage.
+
+    ``conflicts`` lists results of a gate that contradict each other: such a gate is blocked whatever its reasons, as its
+    evidence can't be trusted.
+    """
+    gates = decisions.select(gate).distinct()
+    outcomes = gate_outcomes(gates, gate_reasons(gates, rules, classification_facts(decisions, gate), sarif, changed, delta, gate), gate)
+    marked = outcomes.join(conflicts.groupBy(gate).agg(F.count(F.lit(1)).alias("conflicts")), gate, "left").fillna(0, ["conflicts"])
+    bad = F.col("conflicts") > 0
+    return marked.select(
+        gate, F.when(bad, "block").otherwise(F.col("policy_outcome")).alias("policy_outcome"),
+        F.when(bad, "conflicting_evidence").otherwise(F.col("analysis_status")).alias("analysis_status"), "reasons", "conflicts")
+
+
 def defect_drafts(reasons: DataFrame, outcomes: DataFrame, gate: str = "gate_id") -> DataFrame:
     """Title and body for each gate that does not pass; a gate has at most one reason per rule."""
     row = F.concat(F.lit("- ["), "outcome", F.lit("] "), "message", F.lit(" (`"), "evidence_id", F.lit("`)"))
