@@ -27,7 +27,7 @@ SAMPLE_CHARS = 10_000  # characters of each of them, at most
 DICT_BYTES = 112 * 1024
 LEVEL = 3
 END_ID = 0
-CACHED_WORDS = 750_000  # of a generation; a worker keeps two
+CACHED_WORDS = 600_000  # of a generation unless said otherwise; a worker keeps two
 CACHED_MARKS = 50_000
 FILE_DOCS = 50_000  # documents of a file, about
 INDEX = np.dtype([("doc", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids", "<u8")])
@@ -36,7 +36,7 @@ MARK = b"TOKFILE1"
 # White space other than single spaces and line feeds inside the text.
 _ODD = r"[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 _MARKS = ".,%&*$#!?;:|"
-GROUP_BYTES = 8_000_000  # texts encoded together
+GROUP_BYTES = 4_000_000  # texts encoded together
 
 
 class Encoder:
@@ -49,9 +49,10 @@ class Encoder:
 
     kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -63,9 +64,10 @@ class Encoder:
         self.breaks[vocabulary["\u010a"]] = True
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, cached: int) -> Encoder:
         if path not in cls.kept:
-            cls.kept[path] = cls(path)
+            cls.kept = {path: cls(path)}
+        cls.kept[path].cached = cached
         return cls.kept[path]
 
     def alone(self, text: str) -> bytes:
@@ -78,7 +80,7 @@ class Encoder:
         marked = pc.replace_substring(pc.binary_join_element_wise("\r", plain, ""), "\n", " \n \r")
         split = pc.split_pattern(marked, " ")
         words = split.flatten().dictionary_encode()
-        if len(self.words) >= CACHED_WORDS:
+        if len(self.words) >= self.cached:
             self.words, self.old = {}, self.words
         distinct = words.dictionary.to_pylist()
         self._learn([word for word in distinct if word not in self.words])
@@ -154,13 +156,13 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
         begun = end
 
 
-def _train(rows: DataFrame, path: str, end: bytes) -> bytes:
+def _train(rows: DataFrame, path: str, end: bytes, cached: int) -> bytes:
     """A dictionary from the ids of about SAMPLE_DOCS documents picked by a hash (twice as many at most), up to SAMPLE_CHARS characters of each.
 
     Raw ids serve as the dictionary if there are too few to train one.
     """
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of(path)
+        encode = Encoder.of(path, cached)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([ids + end for ids in encode(batch.column(0))], pa.binary())], names=["ids"])
 
@@ -173,13 +175,13 @@ def _train(rows: DataFrame, path: str, end: bytes) -> bytes:
         return b"".join(samples)[:DICT_BYTES].ljust(8, b"\0")
 
 
-def _file_writer(folder: str, path: str, end: bytes, dictionary):
+def _file_writer(folder: str, path: str, end: bytes, cached: int, keep: bool, dictionary):
     """Writes a partition, sorted by number, as one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder.of(path)
+        encode = Encoder.of(path, cached)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary.value))
         index: list[np.ndarray] = []
 
@@ -199,6 +201,9 @@ def _file_writer(folder: str, path: str, end: bytes, dictionary):
 
         name = f"{folder}/ids-{TaskContext.get().partitionId():06d}.bin"
         put_file(name, chunks())
+        if not keep:
+            Encoder.kept.clear()
+        pa.default_memory_pool().release_unused()
         if index:
             yield pa.RecordBatch.from_pydict({
                 "file": [name], "first_doc": [int(index[0]["doc"][0])], "docs": [len(index)], "ids": [sum(int(row["ids"][0]) for row in index)]})
@@ -206,22 +211,24 @@ def _file_writer(folder: str, path: str, end: bytes, dictionary):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, doc: str = "doc_id", text: str = "text", end: int = END_ID) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, folder: str, doc: str = "doc_id", text: str = "text", end: int = END_ID,
+                      cached: int = CACHED_WORDS, keep: bool = True) -> DataFrame:
     """Write the ids of all texts as files in ``folder``, in ascending order of the document number.
 
     Returns the manifest, one row a file: ``file, first_doc, docs, ids, start`` (ids in the files before it), also written
     to ``folder/manifest``; the dictionary goes to ``folder/dictionary``. Null texts are empty, an empty text has only the
     end id. Rows repeated under one number stay apart, ordered by text; rows with a null number come first, as number
     -2**63. One shuffle deals the texts out by ranges of the number; the driver sees the manifest and the sample.
+    ``cached`` bounds the words whose ids a worker holds; without ``keep`` it drops them after each task, for jobs with other work.
     """
     spark = docs.sparkSession
     tail = np.array([end], "<u4").tobytes()
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("pick", F.xxhash64("text"))
-    dictionary = _train(rows, path, tail)
+    dictionary = _train(rows, path, tail, cached)
     put_file(f"{folder}/dictionary", [dictionary])
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // FILE_DOCS)
     ordered = rows.repartitionByRange(files, "doc", "pick").sortWithinPartitions("doc", "pick", "text").select("doc", "text")
-    listed = ordered.mapInArrow(_file_writer(f"{folder}/files", path, tail, spark.sparkContext.broadcast(dictionary)), "file string, first_doc long, docs long, ids long")
+    listed = ordered.mapInArrow(_file_writer(f"{folder}/files", path, tail, cached, keep, spark.sparkContext.broadcast(dictionary)), "file string, first_doc long, docs long, ids long")
     start, manifest = 0, []
     for row in sorted(listed.collect(), key=lambda row: row.file):
         manifest.append((row.file, row.first_doc, row.docs, row.ids, start))
@@ -298,10 +305,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, cached: int = CACHED_WORDS, keep: bool = True) -> DataFrame:
     """Write the documents' token files into a new shared folder and describe each document from them."""
     folder = new_folder(docs.sparkSession, "ids")
-    return read_token_files(write_token_files(docs, path, folder), folder)
+    return read_token_files(write_token_files(docs, path, folder, cached=cached, keep=keep), folder)
 
 
 @query("op6_token_files")
