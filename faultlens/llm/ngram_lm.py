@@ -383,7 +383,7 @@ class Scorer:
     def _add(self, numbers: np.ndarray, counts: np.ndarray) -> None:
         model = self.model
         total, one, two, more, contexts = self._dense_rows(numbers)
-        alone = model.word_backoff / (model.n_words + 1)
+        alone = np.full(len(numbers), model.word_backoff / (model.n_words + 1))
         if model.n_pairs:
             alone = alone + (contexts - discount_of(contexts, model.word_discounts)) / model.n_pairs
         d1, d2, d3 = model.pair_discounts
