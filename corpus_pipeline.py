@@ -17,12 +17,14 @@ from faultlens.llm.shared import new_folder, written
 from faultlens.llm.token_files import tokenized, tokenizer_path
 
 NEAR_PERCENT, NEAR_WORDS = 80, 5
-TOKEN_WORDS = 250_000  # words whose ids a worker keeps, beside what earlier stages left in it
+BATCH_BYTES = "2m"  # of texts that go to a Python worker at once: all stages share the workers
+TOKEN_WORDS = 120_000  # words whose ids a worker keeps, beside what earlier stages left in it
 BROADCAST_NUMBERS = 1_000_000  # 17 MB of rows; more are shuffled
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language; those that the operator can't give one (``und``: null or without a letter) go."""
+    with_package(spark, BATCH_BYTES)
     columns = docs.columns
     judged = predict(docs.select(F.struct(*columns).alias("row"), "text"), train(docs))
     return judged.where(F.col("lang_pred") != UNKNOWN).select("row.*")
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents link over five-word shingles and a similarity of 0.8 or more. Documents without a word link with nothing, and
     documents without a number can't be told apart: both stay.
     """
+    with_package(spark, BATCH_BYTES)
     numbered = docs.where("doc_id IS NOT NULL")
     groups = written(link_components(numbered.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_WORDS).select("doc_id", "component_id"), "links")
     # Numbers that go, and numbers that repeat: only their rows have to meet.
@@ -49,17 +52,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten consecutive words of a benchmark item (nor a shorter item whole)."""
+    with_package(spark, BATCH_BYTES)
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target shares of the labelled domains ask for."""
+    with_package(spark, BATCH_BYTES)
     return mixed_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the corpus; one row a document, read back from them."""
-    return tokenized(docs.select("doc_id", "text"), tokenizer_path(), TOKEN_WORDS)
+    with_package(spark, BATCH_BYTES)
+    return tokenized(docs.select("doc_id", "text"), tokenizer_path(), TOKEN_WORDS, keep=False)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_files", token_files)]
@@ -69,7 +75,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         folder = new_folder(spark, f"stage-{name}")

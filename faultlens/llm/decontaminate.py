@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from faultlens.llm.registry import query, table
+from faultlens.llm.shared import releasing
 
 WIDTH = 10
 GRAM = 3  # words that pick the suffixes worth sorting
@@ -209,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         following = next(blocks, None)
         last = following is None
         schema = StructType([*rows.schema.fields[:-2], *found.fields]) if last else rows.schema
-        rows = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(block), width, last), schema)
+        rows = rows.mapInArrow(releasing(_matcher(spark.sparkContext.broadcast(block), width, last)), schema)
         block = following
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *found.names)
 

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from faultlens.llm.components import contract
 from faultlens.llm.registry import query, table
-from faultlens.llm.shared import written
+from faultlens.llm.shared import releasing, written
 
 WORDS = 3
 PERCENT = 90
 PIECES = 3
-FLUSH_SIGNATURES = 1_000_000
+FLUSH_SIGNATURES = 600_000
 FLUSH_DOCS = 10_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 CHUNK = 1024  # members of a group taken together; larger groups are taken chunk by chunk, each with each
 LEAST_BITS = 2048  # of a bitmap; one of a larger set has as many as the set has elements, rounded up to a power of 2
 BROADCAST_NODES = 1_000_000  # 8 MB of numbers, twice
@@ -260,7 +260,7 @@ def _elements_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: in
     few = wanted.count() <= BROADCAST_NODES  # else the texts are shuffled
     numbers, kept = wanted.select("row").distinct(), wanted.select("node")
     texts = rows.join(F.broadcast(numbers) if few else numbers, "row", "left_semi")
-    found = texts.select("text").mapInArrow(_elements(size), "node long, elements binary")
+    found = texts.select("text").mapInArrow(releasing(_elements(size)), "node long, elements binary")
     return written(found.join(F.broadcast(kept) if few else kept, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements")), "elements")
 
 
@@ -333,7 +333,7 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("row"), F.col(text).alias("text"))
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    signed = rows.mapInArrow(_signer(percent, size, bits), _SIGNED)
+    signed = rows.mapInArrow(releasing(_signer(percent, size, bits)), _SIGNED)
     dealt = written(signed.groupBy("bucket").applyInArrow(_grouper, _GROUPED), "dealt")
     sized = dealt.where("members IS NULL").select("row", "n", "node", "bitmap")
     groups = written(dealt.where("members IS NOT NULL").groupBy("key", "check").agg(F.first("members").alias("members")).select(
@@ -347,7 +347,7 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
         open_ = members if first else members.join(
             members.join(labels, "node").groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group"), "group", "left_semi")
         grouped = open_.join(known, "node").groupBy("group").agg(F.collect_list(F.struct("node", "n", "bitmap", "comp")).alias("members"))
-        pairs = grouped.select("members").mapInArrow(_proposer(percent, first), "a long, b long").distinct()
+        pairs = grouped.select("members").mapInArrow(releasing(_proposer(percent, first)), "a long, b long").distinct()
         pairs = written(pairs if first else pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
@@ -355,7 +355,7 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
         elements = _elements_of(rows, classes, ends, size)
         checked = written(
             pairs.join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(_verifier(percent), "a long, b long, linked boolean"), "checked")
+            .select("a", "b", "x", "y").mapInArrow(releasing(_verifier(percent)), "a long, b long, linked boolean"), "checked")
         labels = contract(labels, checked.where("linked").select("a", "b"))
         failed = checked.where("NOT linked").select("a", "b")
 

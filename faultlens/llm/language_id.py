@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm.registry import query, table
-from faultlens.llm.shared import written
+from faultlens.llm.shared import releasing, written
 
-MAX_WORDS = 200_000  # model entries of all languages together
-MAX_GRAMS = 40_000  # for each n-gram length, of all languages together
+MAX_WORDS = 80_000  # model entries of all languages together
+MAX_GRAMS = 20_000  # for each n-gram length, of all languages together
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 FLUSH_WORDS = 300_000  # distinct words a task holds before it passes its counts on
-CACHED_WORDS = 500_000  # unseen words a worker keeps
+CACHED_WORDS = 150_000  # unseen words a worker keeps
 GROUP = 50  # documents scored together
 UNKNOWN = "und"
 
@@ -157,13 +157,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Model from all rows with a language; null texts count nothing. Equal counts are kept or left out together."""
     labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     schema = "lang string, item string, n long"
-    words = written(labelled.mapInArrow(_count_words, schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "words")
+    words = written(labelled.mapInArrow(releasing(_count_words), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "words")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     kept = _most_frequent(words, MAX_WORDS)
     # The distinct words lie in few, small files: dealt out before the work on their characters.
     spread = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grams = written(spread.mapInArrow(_count_grams, schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "grams")
+    grams = written(spread.mapInArrow(releasing(_count_grams), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "grams")
     word_items, word_scores = _scores(kept, langs, totals)
     gram_items: dict[str, int] = {}
     parts = []
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text).alias("_text"))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_predictor(shared), schema)
+    out = rows.mapInArrow(releasing(_predictor(shared)), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score")
 
 

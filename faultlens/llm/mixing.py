@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from faultlens.llm.registry import query, table
-from faultlens.llm.shared import written
+from faultlens.llm.shared import releasing, written
 
 MAX_TRAIN = 20_000  # labelled documents the classifier is fitted on, at most
 MAX_FEATURES = 512
@@ -28,7 +28,7 @@ STEPS = 300  # of the classifier's descent
 RIDGE = 1e-4
 ROUNDS = 60  # of the rates' projected gradient, at most
 CLOSE = 1e-4  # gap of the totals at which it ends, of all tokens
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
 
 _PART = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
@@ -120,7 +120,7 @@ def fit_classifier(labelled: DataFrame) -> Classifier:
         return Classifier(["any"], {}, np.zeros((1, 1)))
     # Association of a part with the domains: chi-squared of its presence against what the domain sizes expect.
     total = sum(sizes.values())
-    counts = train.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_part_rows, "domain string, part string, n long")
+    counts = train.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(releasing(_part_rows), "domain string, part string, n long")
     by_part = counts.groupBy("part").agg(*[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)])
     held = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))
     chi = F.lit(0.0)
@@ -131,7 +131,7 @@ def fit_classifier(labelled: DataFrame) -> Classifier:
         chi = chi + gap * gap / yes + F.when(no > 0, gap * gap / no).otherwise(0.0)
     chosen = by_part.withColumn("held", held).where(F.col("held") >= LEAST_DOCUMENTS).orderBy(chi.desc(), "part").limit(MAX_FEATURES).select("part").collect()
     features = {row.part: i for i, row in enumerate(chosen)}
-    bits = train.mapInArrow(_bits(features), "domain string, bits binary").collect()
+    bits = train.mapInArrow(releasing(_bits(features)), "domain string, bits binary").collect()
     x = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in bits]), axis=1)[:, :len(features)].astype(np.float32)
     y = np.array([domains.index(r.domain) for r in bits])
     return Classifier(domains, features, _softmax(x, y, len(domains)))
@@ -165,27 +165,38 @@ def _softmax(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
     return before.astype(float)
 
 
-def _judge(classifier: Classifier):
-    """Batches end with the text; it is replaced by the number of words and the posterior."""
+def _judge(classifier: Classifier, moves: list[np.ndarray] | None):
+    """Batches end with the text; it is replaced by the number of words and the posterior, and the rate if there are moves.
+
+    One function does it all: two in a row would keep two Python processes busy for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begun, size in _groups(batch.column(batch.num_columns - 1)):
                 part = batch.slice(begun, size)
                 n, held = presence(part.column(part.num_columns - 1), classifier.features)
+                posteriors = classifier.posteriors(held)
                 fields = [*list(part.schema)[:-1], pa.field("n_tokens", pa.int64()), pa.field("posterior", pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(list(classifier.posteriors(held)), pa.list_(pa.float64()))], schema=pa.schema(fields))
+                columns = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(list(posteriors), pa.list_(pa.float64()))]
+                if moves is not None:
+                    fields.append(pa.field("rate", pa.float64()))
+                    columns.append(pa.array(rates_of(posteriors, moves)[0]))
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return run
 
 
-def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` (words) and ``posterior`` (by domain); null texts are empty. Columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("n_tokens", "posterior")]
+def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text", moves: list[np.ndarray] | None = None) -> DataFrame:
+    """``docs`` with ``n_tokens`` (words), ``posterior`` (by domain) and, with fitted ``moves``, ``rate``.
+
+    Null texts are empty. Columns of these names are replaced.
+    """
+    made = StructType.fromDDL("n_tokens long, posterior array<double>" + ("" if moves is None else ", rate double"))
+    kept = [c for c in docs.columns if c not in made.names]
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text).alias("_text"))
-    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("n_tokens long, posterior array<double>").fields])
-    return rows.mapInArrow(_judge(classifier), schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "n_tokens", "posterior")
+    schema = StructType([*rows.schema.fields[:-1], *made.fields])
+    return rows.mapInArrow(releasing(_judge(classifier, moves)), schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *made.names)
 
 
 def rates_of(posteriors: np.ndarray, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,9 +299,9 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classifier = fit_classifier(label_domains(docs, labels))
     numbers = written(with_posteriors(docs.select("text"), classifier).select("n_tokens", "posterior"), "judged")
     moves = fit_rates(numbers, _shares(classifier))
-    judged = with_posteriors(docs.select(F.struct(*docs.columns).alias("row"), "text"), classifier).select("row", "posterior")
+    rated = with_posteriors(docs.select(F.struct(*docs.columns).alias("row"), "text"), classifier, moves=moves).select("row", "rate")
     times = copies(F.col("rate"), "row.doc_id", "row.text")
-    return with_rates(judged, moves).withColumn("copies", times).where("copies > 0").select(
+    return rated.withColumn("copies", times).where("copies > 0").select(
         "row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 

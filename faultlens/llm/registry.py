@@ -10,8 +10,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def with_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it; a cluster ships it with the job."""
+BATCH_BYTES = "8m"
+
+
+def with_package(spark: SparkSession, batch_bytes: str = BATCH_BYTES) -> SparkSession:
+    """Settings that the operators rely on, where the session has none of its own.
+
+    Python workers import this package from where the driver has it (a cluster ships it with the job), and batches of
+    texts are bounded by bytes, as a few texts may be very long.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark
 

@@ -6,10 +6,14 @@ repeated or speculative task leaves the same whole file.
 """
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +74,17 @@ def map_array(uri: str, dtype, offset: int, length: int) -> np.ndarray:
     if not length:
         return np.empty(0, dtype)
     return np.memmap(path, dtype=dtype, mode="r", offset=offset, shape=(length,))
+
+
+def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over batches, after which freed memory goes back to the system: its worker process lives on for other stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm.registry import query, table
-from faultlens.llm.shared import locate, new_folder, put_file
+from faultlens.llm.shared import locate, new_folder, put_file, releasing
 
 SAMPLE_DOCS = 2000  # documents the dictionary is trained on, about
 SAMPLE_CHARS = 10_000  # characters of each of them, at most
@@ -203,7 +203,6 @@ def _file_writer(folder: str, path: str, end: bytes, cached: int, keep: bool, di
         put_file(name, chunks())
         if not keep:
             Encoder.kept.clear()
-        pa.default_memory_pool().release_unused()
         if index:
             yield pa.RecordBatch.from_pydict({
                 "file": [name], "first_doc": [int(index[0]["doc"][0])], "docs": [len(index)], "ids": [sum(int(row["ids"][0]) for row in index)]})
@@ -228,7 +227,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, doc: str = "doc_i
     put_file(f"{folder}/dictionary", [dictionary])
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // FILE_DOCS)
     ordered = rows.repartitionByRange(files, "doc", "pick").sortWithinPartitions("doc", "pick", "text").select("doc", "text")
-    listed = ordered.mapInArrow(_file_writer(f"{folder}/files", path, tail, cached, keep, spark.sparkContext.broadcast(dictionary)), "file string, first_doc long, docs long, ids long")
+    listed = ordered.mapInArrow(releasing(_file_writer(f"{folder}/files", path, tail, cached, keep, spark.sparkContext.broadcast(dictionary))), "file string, first_doc long, docs long, ids long")
     start, manifest = 0, []
     for row in sorted(listed.collect(), key=lambda row: row.file):
         manifest.append((row.file, row.first_doc, row.docs, row.ids, start))
