@@ -1,30 +1,32 @@
 """Language identification: words first, character n-grams for words never seen.
 
-Training counts words and, over the distinct words, character n-grams by language in Spark. The model keeps the most frequent
-entries, as many as two parameters allow, so its size has a bound whatever the corpus. A known word scores the logarithm of
-its frequency in each language; an unseen word the mean of its longest known n-grams, falling back from four characters to one.
+Training counts words and, over the distinct words, character n-grams by language in Spark. All counts stay: they lie in files
+of the shared folder, sorted by 64-bit hashes and dealt out by their first bits, and are memory-mapped for scoring, so neither
+the driver nor a task holds the model. A known word scores the logarithm of its frequency in each language; an unseen word
+the mean of its longest known n-grams, falling back from four characters to one.
 """
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm.registry import query, table
-from faultlens.llm.shared import releasing, written
+from faultlens.llm.shared import map_array, new_folder, put_file, releasing, written
 
-MAX_WORDS = 80_000  # model entries of all languages together
-MAX_GRAMS = 20_000  # for each n-gram length, of all languages together
+MAX_WORDS = 1_000_000  # (language, word or n-gram) rows of a model file, on average; more rows make more files
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 FLUSH_WORDS = 300_000  # distinct words a task holds before it passes its counts on
-CACHED_WORDS = 150_000  # unseen words a worker keeps
+CACHED_WORDS = 150_000  # words a worker keeps the scores of
 GROUP = 50  # documents scored together
 UNKNOWN = "und"
 
@@ -76,119 +78,188 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(Counter(counts))
 
 
+@dataclass
+class Counts:
+    """Counts by language of words or n-grams: sizes of their files and sums, by length of the n-gram (0: words)."""
+
+    folder: str
+    bits: int  # 2**bits files
+    sizes: list[int]
+    distinct: list[int]
+    totals: list[dict[str, int]]
+
+
 @dataclass
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """What the driver knows of a model; the counts are in files."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-
-    def grams_of(self, word: str) -> list[int]:
-        """Places of the longest known n-grams of a word; empty if not even a character is known."""
-        known = self.grams
-        for order in ORDERS:
-            found = [known[gram] for gram in grams_of(word, order) if gram in known]
-            if found:
-                return found
-        return []
+    words: Counts | None = None
+    grams: Counts | None = None
+    log_sizes: list[np.ndarray] = field(default_factory=list)  # by length of the n-gram (0: words)
+
+
+class Lookup:
+    """Counts of words or n-grams in the mapped files."""
+
+    def __init__(self, counts: Counts, langs: int):
+        self.counts, self.langs = counts, langs
+        self.files: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _file(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if shard not in self.files:
+            uri, size = f"{self.counts.folder}/{shard:06d}.bin", self.counts.sizes[shard]
+            self.files[shard] = map_array(uri, np.uint64, 0, size), map_array(uri, np.uint64, 8 * size, size), map_array(uri, np.uint32, 16 * size, size)
+        return self.files[shard]
+
+    def __call__(self, items: list[str]) -> np.ndarray:
+        """A row of counts by language for each item; zeros where it is unknown."""
+        out = np.zeros((len(items), self.langs))
+        hashes = np.array([hash_of(item) for item in items], np.uint64)
+        order = np.argsort(hashes)
+        bounds = np.searchsorted(hashes[order] >> np.uint64(64 - self.counts.bits), np.arange((1 << self.counts.bits) + 1, dtype=np.uint64))
+        for shard in np.flatnonzero(np.diff(bounds)):
+            if not self.counts.sizes[shard]:
+                continue
+            own, numbers, langs = self._file(int(shard))
+            places = order[bounds[shard]:bounds[shard + 1]]
+            low = np.searchsorted(own, hashes[places], "left")
+            rows = np.searchsorted(own, hashes[places], "right") - low
+            at = np.repeat(low - (np.cumsum(rows) - rows), rows) + np.arange(rows.sum())
+            out[np.repeat(places, rows), langs[at]] = numbers[at]
+        return out
 
 
 class Scorer:
-    """Sums word scores of texts; holds the model's words and, up to a number, unseen words it has met."""
+    """Sums word scores of texts; holds the scores of words it has met, up to a number."""
 
     def __init__(self, model: Model):
         self.model = model
-        size = len(model.words)
-        self.rows = np.zeros((size + CACHED_WORDS, len(model.langs)), np.float32)
-        self.rows[:size] = model.word_scores
-        self.known = dict(model.words)
+        self.words, self.grams = Lookup(model.words, len(model.langs)), Lookup(model.grams, len(model.langs))
+        self.rows = np.zeros((CACHED_WORDS, len(model.langs)), np.float32)
+        self.known: dict[str, int] = {}
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        counts = self.words(words)
+        scores = np.log(counts + SMOOTHING) - self.model.log_sizes[0]
+        left = np.flatnonzero(~counts.any(axis=1))
+        scores[left] = 0
+        for order in ORDERS:
+            if not len(left):
+                break
+            found = [grams_of(words[i], order) for i in left]
+            items = {gram: i for i, gram in enumerate(dict.fromkeys(gram for grams in found for gram in grams))}
+            if not items:
+                continue
+            counts = self.grams(list(items))
+            known = counts.any(axis=1)
+            own = np.log(counts + SMOOTHING) - self.model.log_sizes[order]
+            still = []
+            for i, grams in zip(left, found, strict=True):
+                at = np.fromiter((items[gram] for gram in grams), np.int64, len(grams))
+                at = at[known[at]]
+                if len(at):
+                    scores[i] = own[at].mean(axis=0)
+                else:
+                    still.append(i)
+            left = still
+        return scores
 
     def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
         known = self.known
         new = list({word for words in texts for word in words if word not in known})
         if len(known) + len(new) > len(self.rows):
-            known = self.known = dict(self.model.words)
-            new = list({word for words in texts for word in words if word not in known})
-        if len(known) + len(new) > len(self.rows):  # one group alone has more unseen words than are kept
-            self.rows = np.concatenate([self.rows, np.zeros((len(new), self.rows.shape[1]), np.float32)])
+            known = self.known = {}
+            new = list({word for words in texts for word in words})
+        if len(new) > len(self.rows):  # one group alone has more words than are kept
+            self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
         if new:
-            found = [self.model.grams_of(word) for word in new]
-            sizes = np.array([len(x) for x in found])
-            scores = np.zeros((len(new), self.rows.shape[1]), np.float32)
-            some = sizes > 0
-            if some.any():
-                flat = np.array([i for x in found for i in x])
-                heads = np.cumsum(sizes[some]) - sizes[some]
-                scores[some] = np.add.reduceat(self.model.gram_scores[flat], heads, axis=0) / sizes[some, None]
-            self.rows[len(known):len(known) + len(new)] = scores
+            self.rows[len(known):len(known) + len(new)] = self._scores(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         get = known.__getitem__
         return [self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=float) for words in texts]
 
 
-def _most_frequent(counts: DataFrame, limit: int) -> list:
-    """The most frequent (lang, item, n) rows, at most ``limit``: all above a step of a logarithmic scale that fits."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()
-    total, least = 0, 0
-    for row in sorted(steps, key=lambda r: -r.step):
-        total += row.rows
-        if total > limit:
-            least = row.step + 1
-            break
-    return counts.where(step >= least).collect()
+def hash_of(item: str) -> int:
+    """Spark's ``xxhash64`` of the text."""
+    return xxhash.xxh64_intdigest(item.encode("utf-8", "replace"), 42)
+
+
+def _writer(folder: str, bits: int, langs: list[str]):
+    """Writes each file's counts, sorted by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(langs, pa.string())
+        parts = [(b.column(0).to_numpy().view(np.uint64), pc.index_in(b.column(1), names).to_numpy().astype(np.uint32), b.column(2).to_numpy(), b.column(3).to_numpy()) for b in batches]
+        if not parts:
+            return
+        hashes, numbers, counts, orders = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes)
+        hashes, numbers, counts, orders = hashes[order], numbers[order], counts[order], orders[order]
+        shards = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        for shard in np.unique(shards):
+            low, high = np.searchsorted(shards, [shard, shard + 1])
+            own = hashes[low:high]
+            put_file(f"{folder}/{shard:06d}.bin", [own, counts[low:high].astype(np.uint64), numbers[low:high]])
+            first = np.concatenate([[True], own[1:] != own[:-1]])
+            distinct = np.bincount(orders[low:high][first], minlength=max(ORDERS) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(shard)], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([distinct.tolist()], pa.list_(pa.int64()))], names=["shard", "size", "distinct"])
+
+    return run
 
 
-def _scores(rows: list, langs: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    items = {item: i for i, item in enumerate(sorted({r.item for r in rows}))}
-    counts = np.zeros((len(items), len(langs)))
-    place = {lang: i for i, lang in enumerate(langs)}
-    for r in rows:
-        counts[items[r.item], place[r.lang]] = r.n
-    size = np.array([totals.get(lang, 0) for lang in langs]) + SMOOTHING * (len(items) + 1)
-    return items, np.log((counts + SMOOTHING) / size).astype(np.float32)
+def _stored(counts: DataFrame, label: str, order, langs: list[str] | None = None) -> Counts:
+    """Files of all (lang, item, n) rows; ``order`` is the length of the n-gram, 0 for words."""
+    totals: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
+    rows = 0
+    for r in counts.groupBy(order.alias("k"), "lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
+        totals[r.k][r.lang] = r.n
+        rows += r.rows
+    langs = sorted(totals[0]) if langs is None else langs
+    bits = max(1, (rows // MAX_WORDS).bit_length())
+    folder = new_folder(counts.sparkSession, label)
+    hashed = counts.select(F.xxhash64("item").alias("hash"), "lang", "n", order.alias("k"))
+    dealt = hashed.repartition(1 << bits, F.shiftrightunsigned("hash", 64 - bits))
+    sizes, distinct = [0] * (1 << bits), np.zeros(max(ORDERS) + 1, np.int64)
+    for r in dealt.mapInArrow(releasing(_writer(folder, bits, langs)), "shard long, size long, distinct array<long>").collect():
+        sizes[r.shard] = r.size
+        distinct += np.array(r.distinct)
+    return Counts(folder, bits, sizes, distinct.tolist(), totals)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Model from all rows with a language; null texts count nothing. Equal counts are kept or left out together."""
+    """Model from all rows with a language; null texts count nothing. No count is left out."""
     labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     schema = "lang string, item string, n long"
     words = written(labelled.mapInArrow(releasing(_count_words), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "words")
-    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    kept = _most_frequent(words, MAX_WORDS)
+    word_counts = _stored(words, "word-counts", F.lit(0))
+    langs = sorted(word_counts.totals[0])
+    if not langs:
+        return Model([], np.zeros(0))
     # The distinct words lie in few, small files: dealt out before the work on their characters.
     spread = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     grams = written(spread.mapInArrow(releasing(_count_grams), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "grams")
-    word_items, word_scores = _scores(kept, langs, totals)
-    gram_items: dict[str, int] = {}
-    parts = []
-    for order in ORDERS:
-        rows = _most_frequent(grams.where(F.length("item") == order), MAX_GRAMS)
-        sums: dict[str, int] = {}
-        for r in rows:
-            sums[r.lang] = sums.get(r.lang, 0) + r.n
-        items, scores = _scores(rows, langs, sums)
-        begun = len(gram_items)
-        gram_items |= {gram: begun + i for gram, i in items.items()}
-        parts.append(scores)
-    prior = np.array([totals[x] for x in langs], float)
-    return Model(langs, prior / prior.sum() if len(langs) else prior, word_items, word_scores, gram_items, np.concatenate(parts))
+    gram_counts = _stored(grams, "gram-counts", F.length("item"), langs)
+    log_sizes = []
+    for order in range(max(ORDERS) + 1):
+        counts = gram_counts if order else word_counts
+        log_sizes.append(np.log(np.array([counts.totals[order].get(x, 0) for x in langs]) + SMOOTHING * (counts.distinct[order] + 1)))
+    prior = np.array([word_counts.totals[0][x] for x in langs], float)
+    return Model(langs, prior / prior.sum(), word_counts, gram_counts, log_sizes)
 
 
 def _predictor(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        scorer = Scorer(model)
+        scorer = Scorer(model) if model.langs else None
         for batch in batches:
             preds, scores = [], []
             for begun in range(0, batch.num_rows, GROUP):
                 texts = [words_of(text) if model.langs else [] for text in batch.column(batch.num_columns - 1).slice(begun, GROUP).to_pylist()]
-                for words, total in zip(texts, scorer.totals(texts), strict=True):
+                totals = scorer.totals(texts) if scorer else [None] * len(texts)
+                for words, total in zip(texts, totals, strict=True):
                     if not words:
                         preds.append(UNKNOWN)
                         scores.append(0.0)

@@ -31,5 +31,16 @@ def test_odd_texts(spark, monkeypatch, words, cached):
     assert predict(learn.limit(0), model).collect() == []
 
 
+def test_counts_have_no_cap(spark):
+    """Words met once stay, however many more frequent ones there are."""
+    letters = "abcdefghijklmnopqrst"
+    common = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:13]]
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, " ".join(common[i::25] * 3), lang) for i in range(25) for lang in ("en", "xx")] + [(98, "abca " * 50, "en"), (99, "abct", "xx")]
+    model = train(spark.createDataFrame(rows, schema))
+    got = predict(spark.createDataFrame([(1, "abct", None), (2, "abca", None)], schema), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["xx", "en"]
+
+
 def test_fold(spark):
     assert [r.h for r in spark.createDataFrame([(0,), (None,)], "doc_id long").select(held_out().alias("h")).collect()] == [False, False]
