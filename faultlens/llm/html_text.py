@@ -4,7 +4,7 @@ A page is cut into blocks, each with its path of tags (and classes) from the roo
 punctuation of its blocks are summed and divided by their number; both ratios are smoothed with those of the paths under
 the same parent and fused; paths above the standard deviation of the fused scores are content. The container is the page's
 article or main element if there is one with text, else the deepest path that holds nearly all content; what it holds is
-the text, without elements that are never part of an article. Pages are independent, so nothing is shuffled.
+the text, without elements that by their names are no part of an article, unless these enclose it. Pages are independent, so nothing is shuffled.
 """
 from __future__ import annotations
 
@@ -29,6 +29,9 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 NEVER = frozenset(
     "aside audio button canvas datalist dialog fieldset footer form head iframe input label legend link menu meta nav noembed noframes noscript object "
     "optgroup option script search select style svg math template textarea title video".split())
+# Of these, elements whose text is no text of the page, and wrappers that may enclose an article.
+UNSEEN = frozenset("audio button canvas datalist head iframe input label legend link meta noembed noframes noscript object optgroup option script select style svg math template textarea title video".split())
+WRAPPERS = frozenset("form fieldset header".split())
 NOISE = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright "
     "discussion disqus dropdown footer gdpr login masthead menu modal nav navbar navigation navigator newsletter notice notices notification pager paginate pagination "
@@ -44,7 +47,8 @@ SAME_CLOSE = {
 LIMITS = frozenset("table ul ol dl select body html article section div main td th".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_READ = frozenset("class id role hidden style aria-hidden itemprop".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…，。、；：！？।]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -54,7 +58,7 @@ class Block:
     __slots__ = ("path", "parts")
 
     def __init__(self, path: int):
-        self.path, self.parts = path, []
+        self.path, self.parts = path, []  # parts: (path of the innermost element under a veto or -1, text)
 
 
 class Page:
@@ -64,8 +68,9 @@ class Page:
         self.paths: list[tuple[int, str]] = [(-1, "")]
         self.known: dict[tuple[int, str], int] = {}
         self.main: dict[int, bool] = {}  # paths of article and main elements: whether it is named as the text itself
-        self.blocks: list[Block] = []  # without those of elements that are never part of an article
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.vetoes: dict[int, bool] = {}  # paths of elements that are no part of an article by their name: whether they may enclose one
+        self.blocks: list[Block] = []  # without text that isn't shown
+        self.stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # name, path, whether it isn't shown, innermost veto
         self.opened: dict[str, int] = {}
         self.block: Block | None = None
         self._parse(source)
@@ -112,28 +117,33 @@ class Page:
             return True
         if attributes.endswith("/") and name in ("svg", "math"):
             return True
-        noise, label, main = self._judge(name, attributes)
+        unseen, noise, label, main = self._judge(name, attributes)
         path = self._path(name + label)
-        if main is not None and not noise:
+        if main is not None and not noise and not unseen:
             self.main[path] = main
-        self.stack.append((name, path, self.stack[-1][2] or noise))
+        if noise:
+            self.vetoes[path] = name in WRAPPERS or name not in NEVER
+        self.stack.append((name, path, self.stack[-1][2] or unseen, path if noise else self.stack[-1][3]))
         self.opened[name] = self.opened.get(name, 0) + 1
         return False
 
-    def _judge(self, name: str, attributes: str) -> tuple[bool, str, bool | None]:
-        """Whether the element is never part of an article; its label in paths; whether it names itself the text."""
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
+    def _judge(self, name: str, attributes: str) -> tuple[bool, bool, str, bool | None]:
+        """Whether the element isn't shown; whether its name is that of no article; its label in paths; whether it names itself the text."""
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(attributes):
+            if (key := m[1].lower()) in _READ:
+                found.setdefault(key, m[2] or m[3] or m[4] or "")
         names = {w.lower() for key in ("class", "id", "role") for w in _NAME.findall(found.get(key, ""))}
         label = "." + ".".join(sorted(names)) if names else ""
         # Only the element's own text is the article: a bare article or main element, or one that says so.
         main = True if found.get("itemprop", "").lower() == "articlebody" else False if name in ("article", "main") or found.get("role", "").lower() in ("main", "article") else None
         if name in ("html", "body"):
-            return False, label, None
+            return False, False, label, None
         hidden = "hidden" in found and found["hidden"].lower() != "until-found" or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
         inside = self.opened.get("article") or self.opened.get("main")
-        noise = hidden or name in NEVER or (name == "header" or "header" in names) and not inside and main is None
+        noise = name in NEVER or (name == "header" or "header" in names) and not inside and main is None
         noise = noise or bool(names & (NOISE if main is None else NOISE_IN_ARTICLE_NAMES))
-        return noise, label, main
+        return hidden or name in UNSEEN, noise, label, main
 
     def _close(self, names: tuple[str, ...]) -> None:
         """Implied ends of elements of these names, up to a limit."""
@@ -175,7 +185,7 @@ class Page:
                 return
             self.block = Block(self._block_path())
             self.blocks.append(self.block)
-        self.block.parts.append(html.unescape(text) if decode and "&" in text else text)
+        self.block.parts.append((self.stack[-1][3], html.unescape(text) if decode and "&" in text else text))
 
     def _block_path(self) -> int:
         place = len(self.stack) - 1
@@ -183,7 +193,67 @@ class Page:
             place -= 1
         return self.stack[place][1]
 
-    def under(self, path: int, top: set[int]) -> bool:
+    def _chain(self, path: int) -> list[int]:
+        """Vetoes on a path, the innermost first."""
+        found = []
+        while path > 0:
+            if path in self.vetoes:
+                found.append(path)
+            path = self.paths[path][0]
+        return found
+
+    def release(self) -> None:
+        """Lift vetoes on elements that enclose the page's article or main element or most of its text.
+
+        The vetoes around an article go if no article lies outside of any; of several articles, around those under the
+        fewest. Else those around a wrapper go that holds three quarters of its own text and of the text under no veto.
+        """
+        if not self.vetoes:
+            return
+        held: dict[int, int] = {}
+        mains: dict[int, list[int]] = {}
+        for block in self.blocks:
+            for veto, text in block.parts:
+                size = len(text.strip())
+                if size:
+                    held[veto] = held.get(veto, 0) + size
+                    if self.main and veto not in mains and self.under(block.path, self.main) and (veto < 0 or not self.main_outside(block.path, veto)):
+                        mains[veto] = self._chain(veto)
+        if mains:
+            least = min(len(chain) for chain in mains.values())
+            lifted = [chain for chain in mains.values() if len(chain) == least]
+        else:
+            lifted = []
+            free = held.pop(-1, 0)
+            chains = {veto: self._chain(veto) for veto in held}
+            whole = [veto for veto in held if all(self.vetoes[v] for v in chains[veto])]
+            if whole and held[most := max(whole, key=held.__getitem__)] > 3 * free:
+                lifted = [chains[most]]
+        for chain in lifted:
+            for veto in chain:
+                self.vetoes.pop(veto, None)
+
+    def main_outside(self, path: int, veto: int) -> bool:
+        """Whether no article or main element lies between a path and the veto above it."""
+        while path > veto and path not in self.main:
+            path = self.paths[path][0]
+        return path <= veto
+
+    def texts(self) -> list[str]:
+        """Text of each block, without parts under a veto."""
+        free: dict[int, bool] = {}
+        out = []
+        for block in self.blocks:
+            parts = []
+            for veto, text in block.parts:
+                if veto not in free:
+                    free[veto] = not self._chain(veto)
+                if free[veto]:
+                    parts.append(text)
+            out.append(" ".join("".join(parts).split()))
+        return out
+
+    def under(self, path: int, top: set[int] | dict[int, bool]) -> bool:
         while path > 0:
             if path in top:
                 return True
@@ -219,7 +289,8 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    texts = [" ".join("".join(block.parts).split()) for block in page.blocks]
+    page.release()
+    texts = page.texts()
     scores = path_scores(page, texts)
     if not scores:
         return ""

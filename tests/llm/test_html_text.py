@@ -22,6 +22,22 @@ def test_main_text(source, text):
     assert main_text(source) == text
 
 
+@pytest.mark.parametrize("source", [
+    f"<div class='layout with-sidebar'><nav>n</nav><article><p>{LONG}</p></article><div class=sidebar>s</div></div>",
+    f"<div id=search-and-content><div class=page-has-comments><p>{LONG}</p></div></div><div>x</div>",
+    f"<form action=x><nav>n</nav><main><p>{LONG}</p></main><footer>f</footer></form>", f"<form><div><p>{LONG}</p></div></form>",
+    f"<article><p>{LONG}</p></article><div class=related><article>teaser</article></div>",
+    f"<div class='with-sidebar'><article><p>{LONG}</p></article><div class=related><article>teaser</article></div></div>",
+])
+def test_names_of_enclosing_elements(source):
+    assert main_text(source).removesuffix("\n\nx") == LONG
+
+
+@pytest.mark.parametrize("attributes", ['href="/hidden-gems"', 'title="The hidden city"', 'data-hidden="false"', 'href="?id=search"', "href=?class=ad", 'data-role="search"', 'title="style=display:none"'])
+def test_names_inside_attributes(attributes):
+    assert main_text(f"<article><p>one <a {attributes}>two</a> three</p></article>") == "one two three"
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(i, "u", s, 3, None) for i, (s, _) in enumerate(PAGES)] + [(0, "u", None, 3, None)], "page_id long, url string, html string, n_chars long, extra string")
     out = extract_text(pages)
