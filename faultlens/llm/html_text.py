@@ -2,9 +2,11 @@
 
 A page is cut into blocks, each with its path of tags (and classes) from the root. For every path the text length and the
 punctuation of its blocks are summed and divided by their number; both ratios are smoothed with those of the paths under
-the same parent and fused; paths above the standard deviation of the fused scores are content. The container is the page's
-article or main element if there is one with text, else the deepest path that holds nearly all content; what it holds is
-the text, without elements that by their names are no part of an article, unless these enclose it. Pages are independent, so nothing is shuffled.
+the same parent and fused. Scores of paths outside the container (the page's article or main element if there is one with
+text, else the deepest path that holds nearly all content) count a quarter, and paths above the standard deviation of all are
+content, on every page. Of the others only headings, and items of lists, tables and the like between or beside content, stay,
+if they lie in the container and aren't mostly links. Elements that by their names are no part of an article are left out,
+unless they enclose it. Pages are independent, so nothing is shuffled.
 """
 from __future__ import annotations
 
@@ -43,6 +45,9 @@ SAME_CLOSE = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
     "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("td", "th", "tr", "tbody", "thead", "tfoot"),
     "tfoot": ("td", "th", "tr", "tbody", "thead"), "thead": ("td", "th", "tr", "tbody", "tfoot")}
+OUTSIDE = 0.25  # weight of paths outside the container
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HOLDERS = frozenset("ul ol dl table blockquote pre figure".split())  # of short items
 # An element of these kinds is a limit for implied ends.
 LIMITS = frozenset("table ul ol dl select body html article section div main td th".split())
 
@@ -58,7 +63,7 @@ class Block:
     __slots__ = ("path", "parts")
 
     def __init__(self, path: int):
-        self.path, self.parts = path, []  # parts: (path of the innermost element under a veto or -1, text)
+        self.path, self.parts = path, []  # parts: (path of the innermost element under a veto or -1, whether in a link, text)
 
 
 class Page:
@@ -185,7 +190,7 @@ class Page:
                 return
             self.block = Block(self._block_path())
             self.blocks.append(self.block)
-        self.block.parts.append((self.stack[-1][3], html.unescape(text) if decode and "&" in text else text))
+        self.block.parts.append((self.stack[-1][3], bool(self.opened.get("a")), html.unescape(text) if decode and "&" in text else text))
 
     def _block_path(self) -> int:
         place = len(self.stack) - 1
@@ -213,7 +218,7 @@ class Page:
         held: dict[int, int] = {}
         mains: dict[int, list[int]] = {}
         for block in self.blocks:
-            for veto, text in block.parts:
+            for veto, _, text in block.parts:
                 size = len(text.strip())
                 if size:
                     held[veto] = held.get(veto, 0) + size
@@ -239,19 +244,21 @@ class Page:
             path = self.paths[path][0]
         return path <= veto
 
-    def texts(self) -> list[str]:
-        """Text of each block, without parts under a veto."""
+    def texts(self) -> tuple[list[str], list[bool]]:
+        """Text of each block, without parts under a veto, and whether most of it is links."""
         free: dict[int, bool] = {}
-        out = []
+        out, linked = [], []
         for block in self.blocks:
-            parts = []
-            for veto, text in block.parts:
+            parts, links = [], 0
+            for veto, link, text in block.parts:
                 if veto not in free:
                     free[veto] = not self._chain(veto)
                 if free[veto]:
                     parts.append(text)
+                    links += len(text) if link else 0
             out.append(" ".join("".join(parts).split()))
-        return out
+            linked.append(2 * links > len(out[-1]))
+        return out, linked
 
     def under(self, path: int, top: set[int] | dict[int, bool]) -> bool:
         while path > 0:
@@ -290,11 +297,43 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     page.release()
-    texts = page.texts()
+    texts, linked = page.texts()
     scores = path_scores(page, texts)
     if not scores:
         return ""
-    content = {path for path, score in scores.items() if score >= np.std(list(scores.values()))}
+    tops = _container(page, texts, scores)
+    inside = {path: 0 in tops or page.under(path, tops) for path in scores}
+    content = _above({path: score * (1 if inside[path] else OUTSIDE) for path, score in scores.items()})
+    beside = {page.paths[path][0] for path in content}
+    chosen = [i for i, block in enumerate(page.blocks) if texts[i] and block.path in content]
+    kept = []
+    for i, (block, text) in enumerate(zip(page.blocks, texts, strict=True)):
+        if text and (block.path in content or inside[block.path] and not linked[i] and _accompanies(page, block.path, i < chosen[0], i < chosen[-1], beside)):
+            kept.append(text)
+    return "\n\n".join(kept)
+
+
+def _above(scores: dict[int, float]) -> set[int]:
+    """Paths whose score reaches the standard deviation of all."""
+    least = np.std(list(scores.values()))
+    return {path for path, score in scores.items() if score >= least}
+
+
+def _accompanies(page: Page, path: int, before: bool, followed: bool, beside: set[int]) -> bool:
+    """Whether a path of low score is a heading with content to follow, or an item between content or in a holder beside it."""
+    if page.paths[path][1].split(".")[0] in HEADINGS:
+        return followed
+    while path > 0:
+        parent, step = page.paths[path]
+        if step.split(".")[0] in HOLDERS and (followed and not before or parent in beside):
+            return True
+        path = parent
+    return False
+
+
+def _container(page: Page, texts: list[str], scores: dict[int, float]) -> set[int]:
+    """Paths of the elements that hold the article, by name or else by where the content lies."""
+    content = _above(scores)
     tops: set[int] = set()
     for bodies in (True, False):
         wanted = {path for path, itself in page.main.items() if itself == bodies}
@@ -313,8 +352,7 @@ def main_text(source: str | None) -> str:
                     path = page.paths[path][0]
         # The longest chain from the root on which each path holds nearly all of the content's text.
         tops = {max((path for path, held in mass.items() if held >= 0.9 * total and path not in scores or path == 0), key=lambda p: _depth(page, p))}
-    inside = {path: 0 in tops or page.under(path, tops) for path in scores}
-    return "\n\n".join(text for block, text in zip(page.blocks, texts, strict=True) if text and inside[block.path])
+    return tops
 
 
 def _depth(page: Page, path: int) -> int:

@@ -38,6 +38,20 @@ def test_names_inside_attributes(attributes):
     assert main_text(f"<article><p>one <a {attributes}>two</a> three</p></article>") == "one two three"
 
 
+@pytest.mark.parametrize("frame", ["<article>%s</article>", "<main>%s</main>", "<div class=story>%s</div>"])
+def test_scores_choose_inside_the_container(frame):
+    """Link lists and short boxes of unknown names go; headings and short items beside or between the text stay."""
+    text = " ".join([LONG] * 4)
+    page = (f"<h1>Title</h1><p>{text}</p><ul><li>i1<li>i2</ul><p>{text}</p><h3>Part</h3><table><tr><td>1<td>2</table><p>{text}</p>"
+            "<div class=zz><div class=more><ul><li><a href=1>Other one</a><li><a href=2>Other two</a></ul></div><div class=box><div><p>Follow us</p></div></div></div>")
+    assert main_text(frame % page).split("\n\n") == ["Title", text, "i1", "i2", text, "Part", "1", "2", text]
+
+
+def test_scores_choose_outside_the_named_element():
+    text = " ".join([LONG] * 40)
+    assert main_text(f"<article>Teaser</article><div><p>{text}</p></div>") == text
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(i, "u", s, 3, None) for i, (s, _) in enumerate(PAGES)] + [(0, "u", None, 3, None)], "page_id long, url string, html string, n_chars long, extra string")
     out = extract_text(pages)
