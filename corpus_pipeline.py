@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm.decontaminate import decontaminated
-from faultlens.llm.jaccard import link_components
+from faultlens.llm.jaccard import link_components, with_nodes
 from faultlens.llm.language_id import UNKNOWN, predict, train
 from faultlens.llm.mixing import mixed_documents
 from faultlens.llm.registry import table, with_package
@@ -31,21 +31,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest number; of rows repeated under it the smallest text.
+    """One document of each group of linked ones, that with the smallest number; of linked or equal rows repeated under it the smallest text.
 
-    Documents link over five-word shingles and a similarity of 0.8 or more. Documents without a word link with nothing, and
+    Rows are judged one by one: unlinked texts repeated under one number stay, each where its own group has no smaller number. Documents link over five-word shingles and a similarity of 0.8 or more. Documents without a word link with nothing, and
     documents without a number can't be told apart: both stay.
     """
     with_package(spark, BATCH_BYTES)
     numbered = docs.where("doc_id IS NOT NULL")
-    groups = written(link_components(numbered.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_WORDS).select("doc_id", "component_id"), "links")
+    groups = written(link_components(numbered.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_WORDS, nodes=True).drop("n_shingles"), "links")
     # Numbers that go, and numbers that repeat: only their rows have to meet.
     stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int")) == 1
     odd = written(groups.groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1"), "odd")
     some = odd if odd.count() > BROADCAST_NUMBERS else F.broadcast(odd)
     others = [c for c in docs.columns if c != "doc_id"]
     first = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("rest")
-    repeated = numbered.join(some.where("stays"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"rest.{c}").alias(c) for c in others])
+    # Rows of repeated numbers meet their own group by the hash of their set; wordless ones have none.
+    own = groups.where("doc_id = component_id AND node IS NOT NULL").join(some.where("stays"), "doc_id", "left_semi").select("doc_id", "node", "component").distinct()
+    rows = with_nodes(numbered.join(some.where("stays"), "doc_id", "left_semi"), size=NEAR_WORDS)
+    lowest = rows.join(own, ["doc_id", "node"], "left").where("node IS NULL OR component IS NOT NULL")
+    wordless = F.when(F.col("node").isNull(), F.col("text")).alias("wordless")
+    repeated = lowest.groupBy("doc_id", "component", wordless).agg(first).select("doc_id", *[F.col(f"rest.{c}").alias(c) for c in others])
     # An anti join keeps rows without a number.
     return docs.join(some, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from faultlens.llm.components import contract
 from faultlens.llm.registry import query, table
@@ -322,8 +323,9 @@ def _verifier(percent: int):
     return run
 
 
-def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = WORDS, nodes: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``; with ``nodes`` also ``node``, the hash of the row's set, and ``component``, a
+    node that its component alone has (two components may have the same number); both null for an empty set.
 
     Documents link when ``100 * intersection >= percent * union`` of their shingle sets; ``component_id`` is the smallest number
     reachable over links. Null and wordless texts have an empty set and link with nothing: their component is their own number. Rows
@@ -360,10 +362,30 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
         failed = checked.where("NOT linked").select("a", "b")
 
     least = labels.join(classes, "node").groupBy("comp").agg(F.min("row").alias("component_id"))
-    named = written(labels.join(least, "comp").select("node", "component_id").unionByName(
-        classes.join(labels, "node", "left_anti").select("node", F.col("row").alias("component_id"))), "named")
+    own = ["comp"] if nodes else []
+    named = written(labels.join(least, "comp").select("node", "component_id", *own).unionByName(
+        classes.join(labels, "node", "left_anti").select("node", F.col("row").alias("component_id"), *[F.col("node").alias(c) for c in own])), "named")
+    more = [F.when(F.col("n") > 0, F.col(c)).alias(name) for c, name in (("node", "node"), ("comp", "component"))] if nodes else []
     return sized.join(named, "node", "left").select(
-        F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row")).alias("component_id"))
+        F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row")).alias("component_id"), *more)
+
+
+def _noder(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text, hashes, size) for text in batch.column(1).to_pylist()]
+            nodes = np.array([int(mixed(x, 4).sum(dtype=np.uint64)) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, mask=np.array([not len(x) for x in sets], bool))], schema=pa.schema([batch.schema.field(0), pa.field("node", pa.int64())]))
+
+    return run
+
+
+def with_nodes(docs: DataFrame, text: str = "text", size: int = WORDS) -> DataFrame:
+    """``docs`` with ``node``, the hash of the text's set as ``link_components`` has it; null for an empty set."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    schema = StructType([rows.schema.fields[0], StructField("node", LongType())])
+    return rows.select("row", "text").mapInArrow(releasing(_noder(size)), schema).select("row.*", "node")
 
 
 SQL = r"""

@@ -21,6 +21,18 @@ def test_stages(spark):
     assert last.count() == sizes[-1] and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(last.columns)
 
 
+def test_rows_repeated_under_a_number(spark):
+    """Only rows whose own group has a smaller number, or an equal or linked row under the same one, go."""
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (2, text(3)), (2, text(3)), (2, text(3) + " end"), (3, text(2)), (4, text(1)), (4, text(3)), (5, ""), (5, None), (5, ""), (5, text(5)), (6, text(6)), (None, text(1))]
+    docs = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    want = [(1, text(1)), (2, text(2)), (2, text(3)), (5, ""), (5, None), (5, text(5)), (6, text(6)), (None, text(1))]
+    assert got.columns == docs.columns and sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_empty_documents(spark):
     docs = table(spark, DATA, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
