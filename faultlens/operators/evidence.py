@@ -163,7 +163,7 @@ def merge_hypothesis(df: DataFrame, hypotheses: DataFrame, key: str = "artifact_
     rules = F.transform("rule_evidence", lambda e: F.concat(F.lit("[rule] "), e))
     cited = F.transform(
         F.filter("evidence", lambda x: F.array_contains(F.col("h.evidence_refs"), x["id"])),
-        lambda x: clip(F.concat(F.lit("[ref "), x["id"], F.lit("] "), x["kind"], F.lit(": "), x["value"]), 1000))
+        lambda x: F.concat(F.lit("[ref "), x["id"], F.lit("] "), x["kind"], F.lit(": "), x["value"]))
     chosen = lambda name: F.when(F.col("_ok"), F.col(f"h.{name}")).otherwise(F.col(name)).alias(name)
     engine = F.when(~F.col("_ok"), "fallback").when(F.size("rule_evidence") > 0, "merged").otherwise("llm")
     kept = [c for c in df.columns if c not in ("hypothesis", "confidence", "fix_suggestion", "rule_evidence")]

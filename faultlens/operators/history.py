@@ -163,11 +163,11 @@ def environment_breakdown(results: DataFrame) -> DataFrame:
     return results.groupBy(*KEY, "environment").agg(F.count(F.lit(1)).alias("n"))
 
 
-def latest_history(results: DataFrame, limit: int = 200, order: Sequence[Column] | None = None) -> DataFrame:
-    """Newest ``limit`` rows per test by (recorded_at, attempt)."""
+def latest_history(results: DataFrame, limit: int | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+    """Rows per test, the newest first by (recorded_at, attempt), at most ``limit`` if given."""
     order = order or [F.desc("recorded_at"), F.desc("attempt")]
     ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= limit)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def list_tests(results: DataFrame, suite_prefix: str = "", limit: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import patterns as P
-from faultlens.functions.text import clip, collapse, strip
+from faultlens.functions.text import collapse, strip
 from faultlens.plans.ordered import running_totals
 from faultlens.plans.upsert import latest_per_key
 
@@ -138,7 +138,7 @@ def incident_state(occurrences: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per incident: count, first message, first and last sighting."""
     rank = F.struct(*[F.col(c) for c in order])
     return occurrences.filter(~F.col("kind").eqNullSafe("unknown")).groupBy(F.col("dedup_key").alias("key")).agg(
-        F.min_by("kind", rank).alias("kind"), F.min_by(clip("message", 200), rank).alias("message"),
+        F.min_by("kind", rank).alias("kind"), F.min_by("message", rank).alias("message"),
         F.count(F.lit(1)).alias("count"), F.min("ts").alias("created_at"), F.max("ts").alias("last_seen"))
 
 
@@ -160,15 +160,16 @@ def prune(incidents: DataFrame, as_of: Column, retention_days: int = 90, max_ent
     return kept if max_entries is None else kept.orderBy(F.asc("filed"), F.desc("last_seen"), F.desc("key")).limit(max_entries)
 
 
-def list_incidents(incidents: DataFrame, kind: str | None = None, filed: bool | None = None, limit: int = 100) -> DataFrame:
-    if not 1 <= limit <= 1000:
+def list_incidents(incidents: DataFrame, kind: str | None = None, filed: bool | None = None, limit: int | None = None) -> DataFrame:
+    if limit is not None and not 1 <= limit <= 1000:
         raise ValueError("limit must be in [1, 1000]")
     rows = incidents
     if kind is not None:
         rows = rows.filter(F.col("kind") == kind)
     if filed is not None:
         rows = rows.filter(F.col("filed") == filed)
-    return rows.orderBy(F.desc("last_seen"), F.desc("key")).limit(limit)
+    ordered = rows.orderBy(F.desc("last_seen"), F.desc("key"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def lookup(incidents: DataFrame, keys: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultlens.functions.text import clip, first, iso_to_ns, whole
+from faultlens.functions.text import first, iso_to_ns, whole
 from faultlens.operators import triage
 from faultlens.operators.extract import customer_impact
 from faultlens.plans.ordered import running_totals
@@ -85,7 +85,7 @@ def build_timeline(df: DataFrame, deployment_fields: Sequence[str] = ()) -> Data
             .when(basis == "log_order", "no clock or sequence; ordered by source order").otherwise(""))
         return F.struct(
             position.alias("position"),
-            *[(clip(entry[c], 1000) if c == "message" else entry[c]).alias(c) for c in (*names, "source")],
+            *[entry[c].alias(c) for c in (*names, "source")],
             basis.alias("ordering_basis"), uncertainty.alias("uncertainty"))
 
     bases = F.when(F.size("_event_bases") > 0, F.col("_event_bases")).otherwise(F.col("_all_bases"))

@@ -7,14 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 NODE_SCHEMA = "{key} string, pos int, depth int, chain array<string>, node string"
-MAX_DEPTH = 100
 
 
 def json_nodes(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
     """One row per JSON object: its preorder ``pos``, key ``chain`` from the root and own fields as ``node``.
 
-    Own fields are scalars and objects of scalars. Unreadable documents give no rows; objects deeper than 100 levels
-    are left out. Everything that interprets the nodes is plain Spark.
+    Own fields are scalars and objects of scalars. Unreadable documents, and those nested deeper than the
+    JSON parser goes, give no rows. Everything that interprets the nodes is plain Spark.
     """
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -30,8 +29,6 @@ def json_nodes(df: DataFrame, key: str = "artifact_id", text: str = "text") -> D
             stack, pos = [(root, 0, [])], 0
             while stack:
                 value, depth, chain = stack.pop()
-                if depth >= MAX_DEPTH:
-                    continue
                 if isinstance(value, dict):
                     yield pos, depth, chain, own(value)
                     pos += 1

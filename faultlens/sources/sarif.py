@@ -18,8 +18,8 @@ SCHEMA = f"runs array<struct<tool:struct<driver:struct<name:string,rules:array<{
 LEVELS = ("critical", "error", "warning", "note", "none")
 
 
-def _safe(value: Column, limit: int = 2000) -> Column:
-    return clip(redact(F.coalesce(value, F.lit(""))), limit)
+def _safe(value: Column) -> Column:
+    return redact(F.coalesce(value, F.lit("")))
 
 
 def _property(source: Column, *names: str) -> Column:
@@ -53,13 +53,13 @@ def sarif_findings(df: DataFrame, key: str = "artifact_id", text: str = "text")
         lambda s: s.isNotNull() & (F.coalesce(s["status"], F.lit("accepted")) == "accepted")), F.lit(False))
     place = F.try_element_at(F.col("x.locations"), F.lit(1))["physicalLocation"]
     return named.select(
-        key, "run", "pos", _safe(F.col("_id"), 500).alias("rule_id"),
+        key, "run", "pos", _safe(F.col("_id")).alias("rule_id"),
         F.when(critical, "critical").otherwise(base).alias("level"), _safe(message).alias("message"),
-        _safe(place["artifactLocation"]["uri"], 1000).alias("file_path"),
+        _safe(place["artifactLocation"]["uri"]).alias("file_path"),
         F.coalesce(place["region"]["startLine"], F.lit(0)).alias("start_line"),
         F.coalesce(place["region"]["startColumn"], F.lit(0)).alias("start_column"),
-        _safe(F.coalesce(F.nullif("_rule.name", F.lit("")), F.nullif("x.ruleName", F.lit("")), F.col("_id")), 500).alias("rule_name"),
-        _safe(F.coalesce("tool", F.lit("unknown")), 500).alias("tool"), suppressed.alias("suppressed"),
+        _safe(F.coalesce(F.nullif("_rule.name", F.lit("")), F.nullif("x.ruleName", F.lit("")), F.col("_id"))).alias("rule_name"),
+        _safe(F.coalesce("tool", F.lit("unknown"))).alias("tool"), suppressed.alias("suppressed"),
     )
 
 
@@ -93,16 +93,17 @@ def finding_counts(findings: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def finding_summary(findings: DataFrame, *keys: str, shown: int = 1000) -> DataFrame:
+def finding_summary(findings: DataFrame, *keys: str, shown: int | None = None) -> DataFrame:
     """Counts per level and how many findings a view of the top ``shown`` leaves out."""
     counts = finding_counts(findings, *keys)
-    omitted = F.greatest(F.lit(0), F.col("processed_count") - shown)
+    omitted = F.lit(0) if shown is None else F.greatest(F.lit(0), F.col("processed_count") - shown)
     return counts.withColumn("omitted_count", omitted.cast("bigint")).withColumn("truncated", omitted > 0)
 
 
-def top_findings(findings: DataFrame, keys: list[str], order: list[str], limit: int = 1000) -> DataFrame:
+def top_findings(findings: DataFrame, keys: list[str], order: list[str], limit: int | None = None) -> DataFrame:
     """The most important findings per key for a report view; counts come from :func:`finding_counts`."""
     from pyspark.sql import Window
 
     window = Window.partitionBy(*keys).orderBy(finding_priority(F.col("level"), F.col("suppressed")), *order)
-    return findings.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit)
+    ranked = findings.withColumn("rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)

@@ -40,3 +40,23 @@ def test_all_evidence_and_related_tests(spark):
     sources = spark.createDataFrame([("src/mod.py", "fn")], "file string, symbol string")
     files = spark.createDataFrame([(f"tests/test_{i:02}.py", "import mod") for i in range(30)], "path string, text string")
     assert impact.related_tests(sources, files).count() == 30 and impact.related_tests(sources, files, 10).count() == 10
+
+
+def test_long_values_stay_whole(spark):
+    import json
+
+    from faultlens.operators import incidents
+    from faultlens.sources import json_tree, sarif
+
+    long = "word " * 1000 + "end"
+    scan = json.dumps({"runs": [{"tool": {"driver": {"name": "t"}}, "results": [
+        {"ruleId": "r", "message": {"text": long}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": long}}}]}] * 1001}]})
+    found = sarif.sarif_findings(spark.createDataFrame([("a", scan)], "artifact_id string, text string"))
+    assert {(r.message, r.file_path) for r in found.select("message", "file_path").distinct().collect()} == {(long, long)}
+    assert sarif.top_findings(found, ["artifact_id"], ["pos"]).count() == 1001
+    seen = spark.createDataFrame([("k", "timeout", long, 1)], "dedup_key string, kind string, message string, ts long")
+    assert incidents.incident_state(seen, ["ts"]).first().message == long
+    stored = spark.range(120).selectExpr("cast(id as string) key", "id last_seen")
+    assert incidents.list_incidents(stored).count() == 120
+    deep = '{"a":' * 150 + "1" + "}" * 150
+    assert json_tree.json_nodes(spark.createDataFrame([("a", deep)], "artifact_id string, text string")).count() == 150
