@@ -90,7 +90,7 @@ SELECT 'case' || CAST(CASE WHEN event_id % 100 = 7 THEN event_id - 1 ELSE event_
 def _corpus(d: Data):
     rows = d.v_corpus.withColumn("sanitized_sha256", F.when(F.col("bad_digest"), "x").otherwise(F.sha2("text", 256)))
     span = F.struct(F.lit(0).alias("start"), F.when(F.col("bad_span"), 4).otherwise(5).alias("end"), F.substring("text", 1, 5).alias("text"))
-    sources = d.region.filter("r_regionkey < 3").select(F.concat(F.lit("src"), F.col("r_regionkey").cast("string")).alias("source_id"), F.lit("MIT").alias("license"))
+    sources = d.region.select(F.concat(F.when(F.col("r_regionkey") < 3, "src").otherwise("other"), F.col("r_regionkey").cast("string")).alias("source_id"), F.lit("MIT").alias("license"))
     return rows.withColumn("spans", F.array(span)), sources
 
 
@@ -166,7 +166,8 @@ def counts(d: Data):
 @query("E13_stale_reports", sql="SELECT doc_id, doc_id % 4 = 0 OR doc_id % 5 = 0 AS stale FROM {documents}")
 def stale(d: Data):
     validations = d.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "old").otherwise(F.sha2("text", 256)).alias("report_sha256"))
-    return E.stale_reports(validations, d.documents.filter("doc_id % 5 <> 0"), "doc_id").select("doc_id", "stale")
+    reports = d.documents.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    return E.stale_reports(validations, reports, "doc_id").select("doc_id", "stale")
 
 
 @query("E14_document_violations", sql="""

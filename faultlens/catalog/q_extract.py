@@ -37,7 +37,7 @@ def contained(d: Data):
         F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("../other/"), F.col("file")))
         .when((F.col("event_id") % 5 == 1) & ~F.col("file").startswith("/"), F.concat(F.lit("./a/../"), F.col("file")))
         .otherwise(F.col("file")).alias("file"),
-    ).filter(~((F.col("event_id") % 5 == 0) & F.col("file").contains("//")) | F.lit(True))
+    )
     return X.contain_paths(raw).select("event_id", "file", "line")
 
 

@@ -37,11 +37,9 @@ def sidecars(d: Data):
     return A.without_sidecars(d.v_file.select("path")).select("path")
 
 
-@query("S02_file_listing", sql="SELECT path, row_number() OVER (ORDER BY lower(string_split(path, '/')[-1]), path) - 1 AS pos FROM (SELECT * FROM {v_file} ORDER BY lower(string_split(path, '/')[-1]), path LIMIT 50)")
+@query("S02_file_listing", sql="SELECT path, row_number() OVER (ORDER BY lower(string_split(path, '/')[-1]), path) - 1 AS pos FROM {v_file}")
 def listing(d: Data):
-    top = A.listing(d.v_file.select("path")).limit(50)
-    return top.agg(F.array_sort(F.collect_list(F.struct(F.lower(F.element_at(F.split("path", "/"), -1)).alias("n"), "path"))).alias("r")).select(
-        F.posexplode("r").alias("pos", "x")).select("x.path", F.col("pos").cast("bigint").alias("pos"))
+    return A.numbered_listing(d.v_file.select("path")).select("path", "pos")
 
 
 @query("S04_read_logs", sql="SELECT doc_id, md5(text) AS digest FROM {documents}")

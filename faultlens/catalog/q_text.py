@@ -42,7 +42,8 @@ SELECT event_id, CASE CAST(event_id % 10 AS INT)
   WHEN 0 THEN '[REDACTED:authorization], next' WHEN 1 THEN 'key [REDACTED:aws_key] used' WHEN 2 THEN 'mail [REDACTED:email] from [REDACTED:ip_address]'
   WHEN 3 THEN '[REDACTED:password] ok' WHEN 4 THEN 'peer [REDACTED:ipv6_address] and 12:30:45' WHEN 5 THEN '[REDACTED:bearer] sent'
   WHEN 6 THEN '[REDACTED:url_credentials]host/p[REDACTED:query_credential]&a=1' WHEN 7 THEN 'plain line ' || n WHEN 8 THEN '[REDACTED:slack_token] [REDACTED:groq_key]' ELSE '[REDACTED:connection_string]' END AS clean,
- CASE CAST(event_id % 10 AS INT) WHEN 2 THEN 2 WHEN 6 THEN 2 WHEN 7 THEN 0 WHEN 8 THEN 2 ELSE 1 END AS hits, x
+ CASE CAST(event_id % 10 AS INT) WHEN 2 THEN 2 WHEN 6 THEN 2 WHEN 7 THEN 0 WHEN 8 THEN 2 ELSE 1 END AS hits,
+ CASE CAST(event_id % 10 AS INT) WHEN 1 THEN 'AKIA' || lpad(n, 16, '0') WHEN 2 THEN 'u' || n || '@ex.com' WHEN 4 THEN '2001:db8::' || n WHEN 7 THEN 'plain line' ELSE x END AS secret
 FROM (SELECT event_id, user_id, CAST(event_id % 9999 AS STRING) AS n, 'abc' || lpad(CAST(event_id AS STRING), 12, '0') AS x FROM {events})"""
 
 
@@ -98,14 +99,14 @@ def residual(d: Data):
 
 
 @query("E04_redaction_recall", sql="""
-SELECT count(*) AS expected, count(*) FILTER (WHERE event_id % 10 = 7 OR contains(clean, x)) AS leaked,
-       round_even(CAST(count(*) FILTER (WHERE NOT (event_id % 10 = 7 OR contains(clean, x))) AS DOUBLE) / count(*), 6) AS recall FROM {v_secret_line} WHERE event_id % 10 IN (0, 3, 5, 7)""")
+SELECT count(*) AS expected, count(*) FILTER (WHERE contains(clean, secret)) AS leaked,
+       round_even(CAST(count(*) FILTER (WHERE NOT contains(clean, secret)) AS DOUBLE) / count(*), 6) AS recall FROM {v_secret_line}""")
 def redaction_recall(d: Data):
     from faultlens.operators.evaluate import redaction_recall as recall
 
-    rows = d.v_secret_line.filter("event_id % 10 IN (0, 3, 5, 7)")
-    secrets = rows.select("event_id", F.when(F.col("event_id") % 10 == 7, "plain line").otherwise(F.col("x")).alias("secret"))
-    return recall(rows.select("event_id", F.col("line").alias("text")), secrets, "event_id")
+    # Every shape has its secret; what plain lines are said to hold stays and counts as leaked.
+    rows = d.v_secret_line
+    return recall(d.spread(rows.select("event_id", F.col("line").alias("text"))), rows.select("event_id", "secret"), "event_id")
 
 
 @query("L03_oversized_lines", sql="SELECT event_id, CASE WHEN user_id > 100 THEN '[REDACTED:oversized_line]' ELSE repeat('x', user_id) END AS line FROM {events}")

@@ -333,7 +333,7 @@ def previous(d: Data):
 @query("D15_runbooks", sql="""
 SELECT event_id, CASE WHEN user_id % 10 < 5 THEN 'https://runbook/svc' || CAST(user_id % 10 AS STRING) ELSE '' END AS runbook_url, CASE WHEN user_id % 10 < 5 THEN 'explicit_trusted_configuration' ELSE 'missing' END AS runbook_source FROM {events}""")
 def runbooks(d: Data):
-    table = d.nation.filter("n_nationkey < 5").select(F.concat(F.lit("svc"), F.col("n_nationkey").cast("string")).alias("service"),
+    table = d.nation.select(F.concat(F.when(F.col("n_nationkey") < 5, "svc").otherwise("old"), F.col("n_nationkey").cast("string")).alias("service"),
                                                      F.concat(F.lit("https://runbook/svc"), F.col("n_nationkey").cast("string")).alias("url"))
     return L.runbooks(d.v_release, table).select("event_id", "runbook_url", "runbook_source")
 
@@ -372,7 +372,7 @@ def versions(d: Data):
     return TR.service_versions(d.v_span)
 
 
-VIEWS["v_deployment"] = """SELECT event_id AS deployment_id, event_type AS service, ts AS started_at, ts + INTERVAL 10 MINUTE AS finished_at FROM {events} WHERE event_type <> 'view'"""
+VIEWS["v_deployment"] = """SELECT event_id AS deployment_id, event_type AS service, ts AS started_at, ts + INTERVAL 10 MINUTE AS finished_at FROM {events}"""
 VIEWS["v_metric"] = """SELECT event_id, event_type AS service, 'm' || CAST(event_id % 3 AS STRING) AS metric, ts, floor(value) AS value FROM {events}"""
 
 
@@ -383,9 +383,10 @@ def window(d: Data):
 
 
 @query("D11b_metric_movement", sql="""
-SELECT d.deployment_id, m.metric, sum(CASE WHEN m.ts < d.started_at THEN m.value END) / count(CASE WHEN m.ts < d.started_at THEN 1 END) AS mean_before, count(*) AS samples FROM {v_deployment} d JOIN {v_metric} m ON m.service = d.service AND m.ts BETWEEN d.started_at - INTERVAL 15 MINUTE AND d.finished_at + INTERVAL 15 MINUTE GROUP BY 1, 2""")
+SELECT d.deployment_id, m.metric, sum(CASE WHEN m.ts < d.started_at THEN m.value END) / count(CASE WHEN m.ts < d.started_at THEN 1 END) AS mean_before,
+ sum(CASE WHEN m.ts > d.finished_at THEN m.value END) / count(CASE WHEN m.ts > d.finished_at THEN 1 END) AS mean_after, count(*) AS samples FROM {v_deployment} d JOIN {v_metric} m ON m.service = d.service AND m.ts BETWEEN d.started_at - INTERVAL 15 MINUTE AND d.finished_at + INTERVAL 15 MINUTE GROUP BY 1, 2""")
 def movement(d: Data):
-    return TR.metric_movement(TR.metric_window(d.v_deployment, d.v_metric), ["deployment_id"]).select("deployment_id", "metric", "mean_before", "samples")
+    return TR.metric_movement(d.v_deployment, d.v_metric, ["deployment_id"]).select("deployment_id", "metric", "mean_before", "mean_after", "samples")
 
 
 @query("D12_trace_lookup", sql="""
@@ -418,7 +419,7 @@ def related(d: Data):
     return M.related_tests(d.v_source, d.v_test_file)
 
 
-VIEWS["v_call"] = """SELECT DISTINCT 'src/m.py' AS file, 'fn_' || CAST(l_partkey % 60 AS STRING) AS caller, 'fn_' || CAST(l_suppkey % 80 AS STRING) AS callee FROM {lineitem} WHERE l_linenumber = 1 AND l_quantity = 1"""
+VIEWS["v_call"] = """SELECT DISTINCT 'src/m.py' AS file, 'fn_' || CAST(l_partkey % 60 AS STRING) AS caller, 'fn_' || CAST(l_suppkey % 80 AS STRING) AS callee FROM {lineitem}"""
 VIEWS["v_symbol"] = """SELECT DISTINCT 'src/f' || CAST(o_custkey % 20 AS STRING) || '.py' AS file, 'fn_' || CAST(o_orderkey % 60 AS STRING) AS name, o_orderkey % 60 AS start_line, o_orderkey % 60 + o_custkey % 4 * 9 AS end_line FROM {orders}"""
 _EDGES = """
 direct AS (SELECT DISTINCT file, caller, callee FROM {v_call} WHERE callee IN (SELECT name FROM {v_symbol})),
@@ -438,7 +439,8 @@ def _recommended(d: Data, limit: int | None = None):
     sources = _change_sources(d)
     related = sources.select("change_id", "file", "symbol").join(M.related_tests(d.v_source, d.v_test_file).withColumnRenamed("path", "test").drop("rank"), ["file", "symbol"])
     coverage = d.nation.select(F.concat(F.lit("src/mod"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("key"), F.concat(F.lit("tests/test_"), (F.col("n_nationkey") * 7).cast("string"), F.lit(".py")).alias("test"))
-    history = d.customer.filter("c_custkey % 5 = 0").select(F.concat(F.lit("tests/test_"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("test"), (F.col("c_custkey") % 4 / F.lit(2.0)).alias("correlation"))
+    history = d.customer.select(
+        F.concat(F.lit("tests/test_"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("test"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey") % 4 / F.lit(2.0)).otherwise(0.0).alias("correlation"))
     return M.recommend_tests(sources, related, M.call_edges(d.v_call, d.v_symbol), coverage, history, limit=limit)
 
 
@@ -452,7 +454,7 @@ scored AS (
  UNION ALL SELECT change_id, 'tests/test_' || CAST(n_nationkey * 7 AS STRING) || '.py', 70 FROM src JOIN {{nation}} ON file = 'src/mod' || CAST(n_nationkey AS STRING) || '.py'
  UNION ALL SELECT src.change_id, path, 50 FROM src JOIN rel USING (file, symbol) JOIN dep ON dep.change_id = src.change_id AND dep.symbol = src.symbol),
 tot AS (SELECT change_id, test, sum(score) AS score, count(*) AS reasons FROM scored GROUP BY 1, 2),
-fin AS (SELECT change_id, test, score + CASE WHEN c_custkey % 4 > 0 THEN least(c_custkey % 4 / 2.0, 1) * 20 ELSE 0 END AS s0, score, reasons, c_custkey FROM tot LEFT JOIN {{customer}} ON c_custkey % 5 = 0 AND test = 'tests/test_' || CAST(c_custkey AS STRING) || '.py'),
+fin AS (SELECT change_id, test, score + CASE WHEN c_custkey % 5 = 0 AND c_custkey % 4 > 0 THEN least(c_custkey % 4 / 2.0, 1) * 20 ELSE 0 END AS s0, score, reasons, c_custkey FROM tot LEFT JOIN {{customer}} ON test = 'tests/test_' || CAST(c_custkey AS STRING) || '.py'),
 ranked AS (SELECT change_id, test, CAST(coalesce(s0, score) AS DOUBLE) AS score, row_number() OVER (PARTITION BY change_id ORDER BY coalesce(s0, score) DESC, test) AS rank FROM fin)"""
 
 

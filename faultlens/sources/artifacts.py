@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultlens.functions.text import newline_normalized
+from faultlens.plans.ordered import running_totals
 
 SUFFIXES = (".log", ".xml", ".sarif", ".json")
 # Folders that never hold artifacts, and words that mark a structured report.
@@ -80,6 +81,12 @@ def listing(files: DataFrame) -> DataFrame:
     return files.orderBy(F.lower(F.element_at(F.split("path", "/"), -1)), "path")
 
 
+def numbered_listing(files: DataFrame) -> DataFrame:
+    """Files (unique paths) with their place ``pos`` from 0 in that order, counted piece by piece of a range partitioning."""
+    named = files.withColumn("_name", F.lower(F.element_at(F.split("path", "/"), -1)))
+    return running_totals(named, [], ["_name", "path"], rank="pos").withColumn("pos", F.col("pos") - 1).drop("_name")
+
+
 RUN_FIELDS = (
     "provider", "run_id", "run_url", "job_id", "job_name", "workflow", "step_name", "conclusion", "pr_number", "base_sha",
     "head_sha",

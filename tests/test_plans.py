@@ -149,3 +149,36 @@ def test_hot_group_limits_are_applied_before_the_shuffle(spark):
     df = spark.createDataFrame([("s", "t", 1, 1)], "suite string, test string, recorded_at int, attempt int")
     plan = history.latest_history(df, 100)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_metric_movement_reads_sums_at_window_ends(spark):
+    import random
+
+    from faultlens.operators.traces import metric_movement
+
+    rng = random.Random(3)
+    at = lambda minutes: f"2024-01-01 {10 + minutes // 60:02d}:{minutes % 60:02d}:00"
+    # Nearly all samples belong to one service and metric; moments repeat, some values are null.
+    samples = [("hot" if rng.random() < 0.9 else "cold", "m" if rng.random() < 0.9 else "n", rng.randrange(300), rng.choice([None, 0.1, 0.2, 7.0])) for _ in range(600)]
+    deployments = [(i, rng.choice(["hot", "cold", "gone"]), rng.randrange(300), rng.choice([None, 0, 10])) for i in range(40)] + [(99, "hot", None, None)]
+    metrics = spark.createDataFrame([(s, m, at(t), v) for s, m, t, v in samples], "service string, metric string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    table = spark.createDataFrame([(i, s, None if t is None else at(t), None if t is None or n is None else at(t + n)) for i, s, t, n in deployments], "deployment_id int, service string, a string, b string").select(
+        "deployment_id", "service", F.to_timestamp("a").alias("started_at"), F.to_timestamp("b").alias("finished_at"))
+    out = metric_movement(table, metrics, ["deployment_id"])
+    mean = lambda values: round(sum(values) / len(values), 9) if values else None
+    expected = []
+    for i, service, t, n in deployments:
+        for metric in ("m", "n"):
+            own = [] if t is None else [(x, v) for s, m, x, v in samples if s == service and m == metric and t - 15 <= x <= t + (n or 0) + 15]
+            if own:
+                expected.append((i, metric, mean([v for x, v in own if x < t and v is not None]), mean([v for x, v in own if x > t + (n or 0) and v is not None]), len(own)))
+    round_ = lambda v: None if v is None else round(v, 9)
+    assert sorted((r.deployment_id, r.metric, round_(r.mean_before), round_(r.mean_after), r.samples) for r in out.collect()) == sorted(expected)
+
+
+def test_listing_is_numbered_over_all_files(spark):
+    from faultlens.sources.artifacts import numbered_listing
+
+    paths = [f"/x/{'Ab' if i % 2 else 'aB'}{i % 37}/F{i * 7 % 101}.log" for i in range(400)]
+    got = numbered_listing(spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string").repartition(5)).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.pos)] == sorted(set(paths), key=lambda p: (p.rsplit("/", 1)[1].lower(), p)) and {r.pos for r in got} == set(range(len(set(paths))))
