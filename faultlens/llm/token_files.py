@@ -8,6 +8,7 @@ the hash and takes any one document by its index row. Ids are little-endian unsi
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from faultlens.llm.registry import query, table
 from faultlens.llm.shared import locate, new_folder, put_file, releasing
 
+READ_IDS = 2_000_000
 SAMPLE_DOCS = 2000  # documents the dictionary is trained on, about
 SAMPLE_CHARS = 10_000  # characters of each of them, at most
 DICT_BYTES = 112 * 1024
 LEVEL = 3
 END_ID = 0
-CACHED_WORDS = 600_000  # of a generation unless said otherwise; a worker keeps two
+CACHED_WORDS = 1_000_000  # known to a worker unless said otherwise, about 60 bytes each
 CACHED_MARKS = 50_000
 FILE_DOCS = 50_000  # documents of a file, about
 INDEX = np.dtype([("doc", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("ids", "<u8")])
@@ -36,15 +38,33 @@ MARK = b"TOKFILE1"
 # White space other than single spaces and line feeds inside the text.
 _ODD = r"[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 _MARKS = ".,%&*$#!?;:|"
-GROUP_BYTES = 4_000_000  # texts encoded together
+GROUP_BYTES = 8_000_000  # texts encoded together
+
+
+_BYTE_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of a column's words."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    sizes = np.diff(offsets)
+    out = sizes.astype(np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+            place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            out[some] += np.add.reduceat(_BYTE_VALUES[data] * powers[place], offsets[some] - offsets[0])
+    return out
 
 
 class Encoder:
     """Serialized ids of texts, put together from those of their words.
 
     A byte-level tokenizer never joins a single white space with the character before it, so a text whose white space is
-    single spaces and line feeds may be cut before each of them; another text is encoded in one go. Words repeat, so most
-    are looked up. Two generations of them are kept, by the worker for all its tasks.
+    single spaces and line feeds may be cut before each of them; another text is encoded in one go. Words repeat, so most are
+    looked up: known words lie in a column, their ids in one array. A worker keeps them for all its tasks, those used last.
     """
 
     kept: dict[str, Encoder] = {}
@@ -52,11 +72,11 @@ class Encoder:
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
         self.cached = cached
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self._forget()
         vocabulary = self.tokenizer.get_vocab()
         # Ids that begin with a space, and that of a line feed alone.
         self.spaced, self.breaks = np.zeros((2, max(vocabulary.values()) + 1), bool)
@@ -71,7 +91,10 @@ class Encoder:
         return cls.kept[path]
 
     def alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of the column (no nulls)."""
@@ -80,69 +103,131 @@ class Encoder:
         marked = pc.replace_substring(pc.binary_join_element_wise("\r", plain, ""), "\n", " \n \r")
         split = pc.split_pattern(marked, " ")
         words = split.flatten().dictionary_encode()
-        if len(self.words) >= self.cached:
-            self.words, self.old = {}, self.words
-        distinct = words.dictionary.to_pylist()
-        self._learn([word for word in distinct if word not in self.words])
-        known = [self.words[word] for word in distinct]
+        places = self._places(words.dictionary)
         # The ids of every word in order, gathered from those of the distinct ones.
-        flat = np.frombuffer(b"".join(known), "<u4")
-        sizes = np.array([len(ids) // 4 for ids in known], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        codes = words.indices.to_numpy()
-        counts = sizes[codes]
+        codes = places[words.indices.to_numpy()]
+        counts = self.sizes[codes].astype(np.int64)
         ends = np.cumsum(counts)
-        ids = flat[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.ids[np.repeat(self.starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         coded = iter([ids[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
         return [self.alone(text.as_py()) if alone else next(coded) for text, alone in zip(texts, odd.to_pylist(), strict=True)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words as they follow a space and, marked by a carriage return, as they begin a line; of line feeds."""
-        old, known = self.old, self.words
-        stems: dict[str, list[str]] = {}
-        for word in new:
-            if word in old:
-                known[word] = old[word]
-                continue
-            # A letter and a mark after it are always cut, so words share what is known of their letters.
-            stem = word.rstrip(_MARKS)
-            if stem and stem[-1].isalpha():
-                stems.setdefault(stem, []).append(word)
-            else:
-                known[word] = b"" if word == "\r" else self.alone(word[1:] if word[:1] == "\r" else word if word == "\n" else " " + word)
-        lacking: dict[bool, list[str]] = {True: [], False: []}
-        for stem in stems:
-            if stem not in known:
-                if stem in old:
-                    known[stem] = old[stem]
-                else:
-                    lacking[stem[0] == "\r"].append(stem)
-        for begins_line, begins in ((False, self.spaced), (True, self.breaks)):
-            some = lacking[begins_line]
-            for begun in range(0, len(some), 500):
-                self._learn_stems(some[begun:begun + 500], begins_line, begins)
-        marked = self.marks
-        for stem, words in stems.items():
-            head, size = known[stem], len(stem)
-            for word in words:
-                marks = word[size:]
-                if marks not in marked:
-                    if len(marked) >= CACHED_MARKS:
-                        marked.clear()
-                    marked[marks] = self.alone(marks) if marks else b""
-                known[word] = head + marked[marks]
-
-    def _learn_stems(self, stems: list[str], begin_line: bool, begins: np.ndarray) -> None:
-        """Ids of words encoded in one text, cut at the ids of their spaces; of words that begin a line at those of line feeds."""
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Drop all known words, or all but these places."""
+        if keep is None or not len(keep):
+            self.words, self.ids = pa.array([], pa.string()), np.empty(0, "<u4")
+            self.starts, self.sizes, self.used = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+            self.hashes, self.places, self.turn = np.empty(0, np.uint64), np.empty(0, np.int32), 0
+            return
+        sizes = self.sizes[keep].astype(np.int64)
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.words, self.starts, self.sizes, self.used = self.words.take(pa.array(keep)), ends - sizes, self.sizes[keep], self.used[keep]
+        hashes = word_hashes(self.words)
+        self.places = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.places]
+
+    def _add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Words that were not known, and their ids one after the other."""
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.turn, np.int32)])
+        hashes = word_hashes(words)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, (len(self.words) - len(words) + order).astype(np.int32))
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Places of words among the known ones, -1 for unknown ones: looked up by hash and compared."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        hashes = word_hashes(words)
+        at = np.searchsorted(self.hashes, hashes)
+        left = np.arange(len(words))
+        while len(left):
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            found = self.places[at[left]]
+            same = pc.equal(words.take(pa.array(left)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)
+            out[left[same]] = found[same]
+            left = left[~same]  # another word of the same hash: look at the next one
+            at[left] += 1
+        return out
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the known ones; unknown ones are learned."""
+        if len(self.words) >= self.cached:
+            # Those used latest stay, half of them at most.
+            least = np.sort(self.used)[-(self.cached // 2)] if self.cached > 1 else self.turn
+            self._forget(np.flatnonzero(self.used > least))
+        self.turn += 1
+        places = self._find(words)
+        unknown = places < 0
+        if unknown.any():
+            new = words.filter(pa.array(unknown))
+            self._learn(new)
+            places[unknown] = self._find(new)
+        self.used[places] = self.turn
+        return places
+
+    def _learn(self, new: pa.Array) -> None:
+        """Ids of words as they follow a space and, marked by a carriage return, as they begin a line; of line feeds.
+
+        A letter and a mark after it are always cut, so words share what is known of their letters, which is learned too.
+        """
+        stems = pc.utf8_rtrim(new, characters=_MARKS)
+        lettered = pc.utf8_is_alpha(pc.utf8_slice_codeunits(stems, start=-1))
+        other = new.filter(pc.invert(lettered)).to_pylist()
+        alone = [b"" if word == "\r" else self.alone(word[1:] if word[:1] == "\r" else word if word == "\n" else " " + word) for word in other]
+        self._add(pa.array(other, pa.string()), np.frombuffer(b"".join(alone), "<u4"), np.array([len(ids) // 4 for ids in alone], np.int64))
+
+        distinct = pc.unique(stems.filter(lettered))
+        lacking = distinct.filter(pa.array(self._find(distinct) < 0))
+        begins_line = pc.starts_with(lacking, "\r")
+        for some, line in ((lacking.filter(pc.invert(begins_line)), False), (lacking.filter(begins_line), True)):
+            learned = [self._encoded(some.slice(begun, 500).to_pylist(), line) for begun in range(0, len(some), 500)]
+            if learned:
+                self._add(some, *(np.concatenate(part) for part in zip(*learned, strict=True)))
+
+        marks = pc.subtract(pc.binary_length(new), pc.binary_length(stems))
+        marked = pc.and_(lettered, pc.greater(marks, 0))
+        words = new.filter(marked)
+        if len(words):
+            heads = self._find(stems.filter(marked))
+            tails = pa.array([word[-n:] for word, n in zip(words.to_pylist(), marks.filter(marked).to_pylist(), strict=True)], pa.string()).dictionary_encode()
+            kinds = [self._mark(tail) for tail in tails.dictionary.to_pylist()]
+            lengths = np.array([len(ids) // 4 for ids in kinds], np.int64)
+            codes, firsts, flat = tails.indices.to_numpy(), np.cumsum(lengths) - lengths, np.frombuffer(b"".join(kinds), "<u4")
+            # Each word's ids are those of its letters and then of its marks.
+            parts = np.stack([self.sizes[heads].astype(np.int64), lengths[codes]], axis=1).ravel()
+            begins = np.stack([self.starts[heads], len(self.ids) + firsts[codes]], axis=1).ravel()
+            ends = np.cumsum(parts)
+            both = np.concatenate([self.ids, flat])
+            self._add(words, both[np.repeat(begins - (ends - parts), parts) + np.arange(ends[-1])], parts.reshape(-1, 2).sum(axis=1))
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= CACHED_MARKS:
+                self.marks.clear()
+            self.marks[marks] = self.alone(marks)
+        return self.marks[marks]
+
+    def _encoded(self, stems: list[str], begin_line: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has: encoded in one text, cut at the ids of their spaces; of words that begin a line at those of line feeds."""
         text = "\n" + "\n".join([stem[1:] for stem in stems]) if begin_line else " " + " ".join(stems)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        heads = np.flatnonzero(begins[ids])
+        ids = self._ids(text)
+        begins = (self.breaks if begin_line else self.spaced)[ids]
+        heads = np.flatnonzero(begins)
         if len(heads) != len(stems):
-            self.words.update((stem, self.alone(stem[1:] if begin_line else " " + stem)) for stem in stems)
-            return
-        data, begun, ends = ids.tobytes(), (4 * (heads + begin_line)).tolist(), (4 * np.append(heads[1:], len(ids))).tolist()
-        self.words.update((stem, data[i:j]) for stem, i, j in zip(stems, begun, ends, strict=True))
+            alone = [self.alone(stem[1:] if begin_line else " " + stem) for stem in stems]
+            return np.frombuffer(b"".join(alone), "<u4"), np.array([len(ids) // 4 for ids in alone], np.int64)
+        sizes = np.diff(np.append(heads, len(ids)))
+        return (ids[~begins], sizes - 1) if begin_line else (ids, sizes)
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -167,7 +252,9 @@ def _train(rows: DataFrame, path: str, end: bytes, cached: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([ids + end for ids in encode(batch.column(0))], pa.binary())], names=["ids"])
 
     share = max(1, rows.count() // SAMPLE_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(share)) == 0).limit(2 * SAMPLE_DOCS).select(F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text"))
+    draw = rows.withColumn("draw", F.xxhash64("doc", "text", F.lit("sample"))).where(F.pmod("draw", F.lit(share)) == 0)
+    # Many equal rows have one draw, so the smallest draws are taken: the same sample in every run.
+    sample = draw.orderBy("draw", "doc", "text").limit(2 * SAMPLE_DOCS).select(F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text"))
     samples = sorted(bytes(row.ids) for row in sample.mapInArrow(ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
@@ -190,11 +277,17 @@ def _file_writer(folder: str, path: str, end: bytes, cached: int, keep: bool, di
             for batch in batches:
                 for begun, size in _groups(batch.column(1)):
                     docs, texts = batch.slice(begun, size).columns
-                    for doc, ids in zip(docs.to_pylist(), encode(texts), strict=True):
-                        frame = press.compress(ids + end)
-                        index.append(np.array([(doc, offset, len(frame), len(ids) // 4 + 1)], INDEX))
-                        offset += len(frame)
-                        yield frame
+                    rows = [ids + end for ids in encode(texts)]
+                    frames = press.multi_compress_to_buffer(rows, threads=1)  # a frame a document
+                    entries = np.empty(size, INDEX)
+                    entries["doc"] = docs.to_numpy()
+                    entries["length"] = [len(frames[i]) for i in range(size)]
+                    entries["ids"] = [len(ids) // 4 for ids in rows]
+                    entries["offset"] = offset + np.cumsum(entries["length"]) - entries["length"]
+                    index.append(entries)
+                    offset += int(entries["length"].sum())
+                    for i in range(size):
+                        yield frames[i].tobytes()
             rows = np.concatenate(index) if index else np.empty(0, INDEX)
             yield rows
             yield struct.pack(TRAILER, offset, len(rows), hashlib.sha256(dictionary.value).digest(), MARK)
@@ -205,7 +298,7 @@ def _file_writer(folder: str, path: str, end: bytes, cached: int, keep: bool, di
             Encoder.kept.clear()
         if index:
             yield pa.RecordBatch.from_pydict({
-                "file": [name], "first_doc": [int(index[0]["doc"][0])], "docs": [len(index)], "ids": [sum(int(row["ids"][0]) for row in index)]})
+                "file": [name], "first_doc": [int(index[0]["doc"][0])], "docs": [sum(map(len, index))], "ids": [sum(int(entries["ids"].sum()) for entries in index)]})
 
     return run
 
@@ -229,7 +322,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, doc: str = "doc_i
     ordered = rows.repartitionByRange(files, "doc", "pick").sortWithinPartitions("doc", "pick", "text").select("doc", "text")
     listed = ordered.mapInArrow(releasing(_file_writer(f"{folder}/files", path, tail, cached, keep, spark.sparkContext.broadcast(dictionary))), "file string, first_doc long, docs long, ids long")
     start, manifest = 0, []
-    for row in sorted(listed.collect(), key=lambda row: row.file):
+    for row in sorted(listed.collect(), key=lambda row: int(row.file.rsplit("-", 1)[1].removesuffix(".bin"))):
         manifest.append((row.file, row.first_doc, row.docs, row.ids, start))
         start += row.ids
     out = spark.createDataFrame(manifest, "file string, first_doc long, docs long, ids long, start long")
@@ -257,6 +350,16 @@ class TokenFile:
         entry = self.index[row]
         return self.press.decompress(self.source.read_at(int(entry["length"]), int(entry["offset"])))
 
+    def all_ids(self, begun: int, end: int) -> list[memoryview]:
+        """Serialized ids of consecutive documents, read at once; each frame is decompressed alone."""
+        some = self.index[begun:end]
+        first = int(some["offset"][0])
+        data = memoryview(self.source.read_at(int(some["offset"][-1] + some["length"][-1]) - first, first))
+        cuts = (some["offset"] - np.uint64(first)).tolist()
+        frames = [data[at:at + size] for at, size in zip(cuts, some["length"].tolist(), strict=True)]
+        out = self.press.multi_decompress_to_buffer(frames, decompressed_sizes=(4 * some["ids"]).astype("<u8").tobytes(), threads=1)
+        return [memoryview(out[i]) for i in range(len(some))]
+
     def find(self, doc: int) -> list[bytes]:
         """Ids of the documents with this number."""
         low, high = np.searchsorted(self.index["doc"], [doc, doc], "left")[0], np.searchsorted(self.index["doc"], doc, "right")
@@ -277,14 +380,13 @@ def _file_reader(folder: str):
                 source = TokenFile(uri, dictionary)
                 counts = source.index["ids"].astype(np.int64)
                 starts = start + np.cumsum(counts) - counts
-                for begun in range(0, len(counts), 5000):
-                    end = min(len(counts), begun + 5000)
-                    sums = []
-                    for row in range(begun, end):
-                        ids = source.ids(row)
-                        if len(ids) != 4 * counts[row]:
-                            raise ValueError(f"{uri}: index and frames differ")
-                        sums.append(zlib.crc32(ids))
+                # Documents of about READ_IDS ids are read together.
+                cuts = np.flatnonzero(np.diff((starts - start) // READ_IDS, prepend=-1))
+                for begun, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(counts)], strict=True):
+                    found = source.all_ids(begun, end)
+                    if [len(ids) for ids in found] != (4 * counts[begun:end]).tolist():
+                        raise ValueError(f"{uri}: index and frames differ")
+                    sums = [zlib.crc32(ids) for ids in found]
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": source.index["doc"][begun:end].astype(np.int64), "start": starts[begun:end], "n_tokens": counts[begun:end],
                         "ids_crc32": np.array(sums, np.int64)})

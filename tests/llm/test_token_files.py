@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,6 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from faultlens.llm import token_files
 from faultlens.llm.shared import new_folder
 from faultlens.llm.token_files import Encoder, TokenFile, read_dictionary, read_token_files, tokenizer_path, write_token_files
 
@@ -21,6 +23,27 @@ def test_encoder_equals_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("cached", [1, 60, 5000])
+def test_hostile_texts_and_forgotten_words(cached, monkeypatch):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    encode = Encoder(tokenizer_path(), cached)
+    rng = random.Random(cached)
+    parts = ["a", "Bc", "é", "日本", "\u0301", "'s", "don", "1", "23", ".", "%%", ",", "|", "-", "\n", " ", "  ", "\t", "\r", "\u00a0", "\u3000", "\u0120", "½", "ⅷ", "x" * 300, "\x00", "😀", "ß", "İ", "\u200b"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(0, 25))) for _ in range(30)]
+        for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encode.words) <= cached + 4000
+
+
+def test_words_of_equal_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "word_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    encode = Encoder(tokenizer_path())
+    for text in ("one two three, four. two", "five one, six\nseven two."):
+        assert np.frombuffer(encode(pa.array([text]))[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_files_round_trip(spark, docs_of):
     rows = [(i * 3 % 17, t) for i, t in enumerate(TEXTS)] + [(100, None), (100, "tie"), (100, "tie"), (None, "no number"), (-5, "word " * 30_000)]
     folder = new_folder(spark, "test")
