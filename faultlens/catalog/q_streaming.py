@@ -7,7 +7,6 @@ from faultlens.catalog.q_classify import _LABELS, artifacts
 from faultlens.catalog.q_sources import scratch
 from faultlens.catalog.registry import Data, query
 from faultlens.catalog.views import VIEWS
-from faultlens.plans.versions import read_all_versions, read_version
 from faultlens.streaming import logs as SL, state as SS, windows as SW
 
 
@@ -30,6 +29,13 @@ def drain(d: Data, df, name: str, batch=None, mode: str = "append"):
     return out
 
 
+def drained(d: Data, df, name: str, progress: str):
+    """The stream's output as a table; its state stays in ``progress``."""
+    out = scratch(d, name)
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(df.schema).parquet(out)
+
+
 @query("W01_stream_classification", sql=f"WITH {_LABELS} SELECT stage, kind, count(*) AS logs FROM labelled GROUP BY 1, 2")
 def classification(d: Data):
     folder = scratch(d, "incoming")
@@ -47,27 +53,29 @@ SELECT artifact_id, line_no, line, last_value(CASE WHEN line LIKE '%END%' THEN 0
 
 @query("W02_stream_key_blocks", sql=f"SELECT artifact_id, line_no, CASE WHEN line LIKE '%BEGIN%' THEN '[REDACTED:private_key]' ELSE line END AS line FROM ({_KEY_STATE}) WHERE coalesce(inside, 0) = 0")
 def key_blocks(d: Data):
-    state, out = scratch(d, "open-blocks"), scratch(d, "lines")
-    drain(d, view_stream(d, "v_key_line", "events"), "key-blocks", SL.key_block_batches(["artifact_id"], "line_no", state, out))
-    return read_all_versions(d.spark, out).select("artifact_id", "line_no", "line")
+    rows = SL.key_block_stream(view_stream(d, "v_key_line", "events"), ["artifact_id"], "line_no")
+    return drained(d, rows, "lines", scratch(d, "key-blocks")).select("artifact_id", "line_no", "line")
+
+
+def _sightings(d: Data):
+    return view_stream(d, "v_occurrence", "orders").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("W03_stream_recurrence", sql="""
 SELECT artifact_id, dedup_key, CASE WHEN kind = 'unknown' THEN 1 ELSE n END AS occurrence_count
 FROM (SELECT o.*, row_number() OVER (PARTITION BY dedup_key, kind = 'unknown' ORDER BY ts, artifact_id) AS n FROM {v_occurrence} o)""")
 def recurrence(d: Data):
-    state, out = scratch(d, "incidents"), scratch(d, "occurrences")
-    drain(d, view_stream(d, "v_occurrence", "orders"), "recurrence", SS.recurrence_batches(["ts", "artifact_id"], state, out))
-    return read_all_versions(d.spark, out).select("artifact_id", "dedup_key", "occurrence_count")
+    rows = SS.recurrence_stream(_sightings(d), ["ts", "artifact_id"])
+    return drained(d, rows, "occurrences", scratch(d, "recurrence")).select("artifact_id", "dedup_key", "occurrence_count")
 
 
 @query("W05_stream_state_retention", sql="""
 WITH s AS (SELECT dedup_key AS key, count(*) AS count, max(ts) AS last_seen FROM {v_occurrence} WHERE kind <> 'unknown' GROUP BY 1)
 SELECT key, count FROM s WHERE last_seen >= (SELECT max(last_seen) FROM s) - INTERVAL 30 DAY""")
 def retention(d: Data):
-    state, out = scratch(d, "incidents"), scratch(d, "occurrences")
-    drain(d, view_stream(d, "v_occurrence", "orders"), "retention", SS.recurrence_batches(["ts", "artifact_id"], state, out, ttl_days=30))
-    return read_version(d.spark, state).select("key", "count")
+    progress = scratch(d, "retention")
+    drained(d, SS.recurrence_stream(_sightings(d), ["ts", "artifact_id"], ttl_days=30, delay="0 seconds"), "occurrences", progress)
+    return SS.incident_store(d.spark, progress).select("key", "count")
 
 
 @query("W04_stream_history", sql="""

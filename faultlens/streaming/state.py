@@ -4,35 +4,92 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from faultlens.operators import history, incidents
-from faultlens.plans.versions import read_version, write_version
 from faultlens.sinks.tables import upsert_history
 
 
-def recurrence_batches(order: Sequence[str], state: str, out: str, threshold: int = 3,
-                       ttl_days: int | None = 90) -> Callable[[DataFrame, int], None]:
-    """Batch function that numbers occurrences across batches and keeps one row per incident.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The state is a versioned table; entries not seen for ``ttl_days`` before the newest occurrence are forgotten.
-    """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        store = read_version(batch.sparkSession, state, batch_id)
-        rows = batch.persist()
-        try:
-            write_version(incidents.recurrence(rows, order, store, threshold), out, batch_id)
-            seen = incidents.incident_state(rows, order)
-            merged = seen if store is None else incidents.merge_state(store, seen)
-            if ttl_days is not None:
-                newest = merged.agg(F.max("last_seen")).scalar()
-                merged = merged.filter(F.col("last_seen") >= newest - F.make_dt_interval(F.lit(ttl_days)))
-            write_version(merged, state, batch_id)
-        finally:
-            rows.unpersist()
 
-    return run
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keyed state lives in a store that writes the changes of a batch, not the whole state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def state_table(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """``key`` and ``value`` columns of a state variable as the last batch left it."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint).select("key.*", "value.*")
+
+
+def recurrence_stream(stream: DataFrame, order: Sequence[str], threshold: int = incidents.RECURRENCE_THRESHOLD,
+                      ttl_days: int | None = None, delay: str | None = None, time: str = "ts") -> DataFrame:
+    """Sightings with their number in the incident (``dedup_key``) across batches; one small state an incident, touched by its own sightings only.
+
+    Adds ``occurrence_count``, ``is_duplicate_of`` and ``recurring`` as ``incidents.recurrence`` does; sightings of a batch are numbered in
+    ``order``. An incident not seen for ``ttl_days`` is forgotten and starts anew: with ``delay`` once the watermark, that far behind the
+    newest sighting of all, has passed its last sighting by so long (rows behind the watermark are late and dropped); without it by the
+    clock, after its last batch (such a stream wakes up by itself and runs until it is stopped). Without ``ttl_days`` nothing is
+    forgotten. The trigger bounds the sightings that one incident brings at once.
+    """
+    use_keyed_state(stream.sparkSession)
+    timed = ttl_days is not None and delay is not None
+    clocked = ttl_days is not None and delay is None
+    ttl_ms = None if ttl_days is None else ttl_days * 86_400_000
+    columns, ordered = list(stream.columns), list(order)
+    added = StructType.fromDDL("occurrence_count bigint, is_duplicate_of string, recurring boolean")
+
+    class Recurrence(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            kept = "kind string, message string, count long, created_us long, last_us long"
+            self.incident = handle.getValueState("incident", kept, ttl_ms) if clocked else handle.getValueState("incident", kept)
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows), ignore_index=True).set_axis(own, axis=1).sort_values(ordered, kind="stable")
+            known = self.incident.get() if self.incident.exists() else None
+            if known is not None and timed and known[4] is not None and known[4] // 1000 + ttl_ms < timerValues.getCurrentWatermarkInMs():
+                known = None
+            counts = batch["kind"].ne("unknown").to_numpy()
+            total = counts.cumsum() + (known[2] if known is not None else 0)
+            number = pd.Series(total, index=batch.index).where(counts, 1)
+            yield batch[columns].assign(
+                occurrence_count=number, is_duplicate_of=pd.Series(key[0], index=batch.index, dtype=object).where(counts & (number > 1), None), recurring=counts & (number >= threshold))
+            if not counts.any():
+                return
+            seen = batch[counts]
+            times = [int(t) for t in seen["_us"] if not pd.isna(t)] + ([] if known is None else [t for t in known[3:] if t is not None])
+            text = lambda value: None if pd.isna(value) else value
+            kind, message = (text(seen.iloc[0]["kind"]), text(seen.iloc[0]["message"])) if known is None else known[:2]
+            self.incident.update((kind, message, int(total[-1]), min(times, default=None), max(times, default=None)))
+            if timed and times:
+                for due in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(due)
+                # One behind: an incident last seen exactly that long ago stays.
+                self.handle.registerTimer(max(times) // 1000 + ttl_ms + 1)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.incident.clear()
+            return iter(())
+
+    rows = stream.withColumn("_us", F.unix_micros(time))
+    if timed:
+        # Unknown kinds are no sightings and move nothing.
+        rows = rows.withColumn("_seen", F.when(~F.col("kind").eqNullSafe("unknown"), F.col(time))).withWatermark("_seen", delay)
+    own = [*columns, "_us", "_seen"] if timed else [*columns, "_us"]
+    return rows.groupBy("dedup_key").transformWithStateInPandas(
+        Recurrence(), StructType([*stream.schema.fields, *added.fields]), "Append", "ProcessingTime" if clocked else "EventTime" if timed else "None")
+
+
+def incident_store(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The incidents that a ``recurrence_stream`` remembers: ``key, kind, message, count, created_at, last_seen``."""
+    return state_table(spark, checkpoint, "incident").select(
+        F.col("dedup_key").alias("key"), "kind", "message", "count", F.timestamp_micros("created_us").alias("created_at"), F.timestamp_micros("last_us").alias("last_seen"))
 
 
 def first_arrivals(stream: DataFrame, time: str = "recorded_at", delay: str = "1 day") -> DataFrame:

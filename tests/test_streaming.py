@@ -1,9 +1,18 @@
-from pyspark.sql import functions as F
+import datetime
 
+import pytest
+
+from faultlens.operators import incidents
 from faultlens.operators.logtext import key_block_lines
-from faultlens.plans.versions import read_all_versions, read_version
 from faultlens.streaming import logs, state
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 LINES = "artifact_id string, line_no bigint, line string"
 
 
@@ -13,42 +22,69 @@ def feed(spark, folder, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def drain(df, fn, progress):
-    run = df.writeStream.foreachBatch(fn).option("checkpointLocation", str(progress)).trigger(availableNow=True).start()
+def drained(spark, df, folder):
+    """All rows the stream gives; its state stays in ``folder/progress``."""
+    run = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 def test_key_block_that_spans_batches(spark, tmp_path):
-    batches = [[("a", 1, "x"), ("a", 2, "-----BEGIN PRIVATE KEY-----"), ("b", 1, "keep")], [("a", 3, "secret"), ("b", 2, "keep2")],
-               [("a", 4, "-----END PRIVATE KEY-----"), ("a", 5, "after")]]
-    stream = feed(spark, tmp_path / "in", batches, LINES)
-    out, blocks = str(tmp_path / "out"), str(tmp_path / "blocks")
-    drain(stream, logs.key_block_batches(["artifact_id"], "line_no", blocks, out), tmp_path / "progress")
-    got = sorted(tuple(r) for r in read_all_versions(spark, out).select("artifact_id", "line_no", "line").collect())
+    batches = [[("a", 1, "x"), ("a", 2, "-----BEGIN PRIVATE KEY-----"), ("b", 1, "keep")], [("a", 3, "secret"), ("b", 2, "keep2"), (None, 1, None)],
+               [("a", 5, "after"), ("a", 4, "-----END PRIVATE KEY-----")]]
+    rows = logs.key_block_stream(feed(spark, tmp_path / "in", batches, LINES), ["artifact_id"], "line_no")
+    got = sorted((tuple(r) for r in drained(spark, rows, tmp_path).collect()), key=str)
     whole = spark.createDataFrame([row for rows in batches for row in rows], LINES)
-    assert got == sorted(tuple(r) for r in key_block_lines(whole, ["artifact_id"], "line_no").collect())
-    assert got == [("a", 1, "x"), ("a", 2, "[REDACTED:private_key]"), ("a", 5, "after"), ("b", 1, "keep"), ("b", 2, "keep2")]
+    assert got == sorted((tuple(r) for r in key_block_lines(whole, ["artifact_id"], "line_no").collect()), key=str)
+    assert got == sorted([("a", 1, "x"), ("a", 2, "[REDACTED:private_key]"), ("a", 5, "after"), ("b", 1, "keep"), ("b", 2, "keep2"), (None, 1, None)], key=str)
+    assert state.state_table(spark, f"{tmp_path}/progress", "open").count() == 0  # closed blocks leave nothing behind
+
+
+SIGHTINGS = "artifact_id bigint, ts timestamp, dedup_key string, kind string, message string"
+
+
+def at(day):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
 
 
 def test_recurrence_counts_run_across_batches(spark, tmp_path):
-    schema = "artifact_id bigint, ts timestamp, dedup_key string, kind string, message string"
-    at = lambda n: __import__("datetime").datetime(2024, 1, 1 + n)
-    batches = [[(1, at(0), "k", "timeout", "m1"), (2, at(1), "k", "timeout", "m2")], [(3, at(2), "k", "timeout", "m3"), (4, at(2), "j", "unknown", "")]]
-    stream = feed(spark, tmp_path / "in", batches, schema)
-    out, store = str(tmp_path / "out"), str(tmp_path / "store")
-    fn = state.recurrence_batches(["ts", "artifact_id"], store, out)
-    drain(stream, fn, tmp_path / "progress")
-    counts = {r.artifact_id: (r.occurrence_count, r.recurring) for r in read_all_versions(spark, out).collect()}
-    assert counts == {1: (1, False), 2: (2, False), 3: (3, True), 4: (1, False)}
-    row = read_version(spark, store).first()
-    assert (row.key, row["count"], row.message) == ("k", 3, "m1")
-    # A replay of the last batch overwrites its own version and changes nothing.
-    fn(spark.createDataFrame(batches[1], schema), 1)
-    assert read_version(spark, store).first()["count"] == 3
+    batches = [[(2, at(1), "k", "timeout", "m2"), (1, at(0), "k", "timeout", "m1")], [(3, at(2), "k", None, "m3"), (4, at(2), "j", "unknown", "")]]
+    rows = state.recurrence_stream(feed(spark, tmp_path / "in", batches, SIGHTINGS), ["ts", "artifact_id"])
+    counts = {r.artifact_id: (r.occurrence_count, r.is_duplicate_of, r.recurring) for r in drained(spark, rows, tmp_path).collect()}
+    assert counts == {1: (1, None, False), 2: (2, "k", False), 3: (3, "k", True), 4: (1, None, False)}
+    store = [tuple(r) for r in state.incident_store(spark, f"{tmp_path}/progress").collect()]
+    assert store == [("k", "timeout", "m1", 3, at(0), at(2))]
+
+
+def test_batches_give_what_one_batch_gives(spark, tmp_path):
+    rows = [(i, at(i // 3), "hot" if i % 3 else f"k{i % 7}", "unknown" if i % 11 == 0 else "timeout", f"m{i}") for i in range(120)]
+    whole = incidents.recurrence(spark.createDataFrame(rows, SIGHTINGS), ["ts", "artifact_id"])
+    stream = state.recurrence_stream(feed(spark, tmp_path / "in", [rows[:50], rows[50:60], rows[60:]], SIGHTINGS), ["ts", "artifact_id"])
+    assert sorted(map(str, drained(spark, stream, tmp_path).collect())) == sorted(map(str, whole.select(*stream.columns).collect()))
+
+
+def test_forgotten_incidents_start_anew(spark, tmp_path):
+    batches = [[(1, at(0), "a", "timeout", "m"), (2, at(1), "a", "timeout", "m"), (3, at(0), "b", "timeout", "m")], [(4, at(31), "c", "timeout", "m")],
+               [(5, at(31), "a", "timeout", "m"), (6, at(40), "b", "timeout", "m")], [(7, at(62), "c", "timeout", "m")], [(8, at(63), "d", "timeout", "m"), (9, at(900), "e", "unknown", "")]]
+    rows = state.recurrence_stream(feed(spark, tmp_path / "in", batches, SIGHTINGS), ["ts", "artifact_id"], ttl_days=30, delay="0 seconds")
+    counts = {r.artifact_id: r.occurrence_count for r in drained(spark, rows, tmp_path).collect()}
+    # a was last seen exactly 30 days before the newest sighting and is remembered, b one day more and is not.
+    assert counts == {1: 1, 2: 2, 3: 1, 4: 1, 5: 3, 6: 1, 7: 2, 8: 1, 9: 1}
+    left = {r.key: r["count"] for r in state.incident_store(spark, f"{tmp_path}/progress").collect()}
+    assert left == {"b": 1, "c": 2, "d": 1}
+
+
+def test_a_batch_touches_its_own_keys_only(spark, tmp_path):
+    many = [(i, at(0), f"k{i}", "timeout", "m") for i in range(3000)]
+    rows = state.recurrence_stream(feed(spark, tmp_path / "in", [many, [(9000, at(1), "k5", "timeout", "m")]], SIGHTINGS), ["ts", "artifact_id"])
+    run = rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    updated = [sum(op["numRowsUpdated"] for op in progress["stateOperators"]) for progress in run.recentProgress if progress["numInputRows"]]
+    assert updated[0] >= 3000 and updated[-1] <= 2
+    assert state.incident_store(spark, f"{tmp_path}/progress").count() == 3000
 
 
 def test_closed_deliveries_stay_closed_across_batches(spark, tmp_path):
-    import datetime
     from collections import Counter
 
     at = lambda seconds: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
