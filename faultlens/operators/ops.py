@@ -36,35 +36,42 @@ def delivery_ledger(events: DataFrame, as_of: int) -> DataFrame:
     ordered by epoch seconds ``at_s`` and ``seq``.
 
     A reservation starts or, after a failure, restarts an attempt; it changes nothing once confirmed, unknown or freshly
-    pending, and turns a pending one older than 300 s into unknown. A delivery has few events.
+    pending, and turns a pending one older than 300 s into unknown. Other events before the first reservation count nothing.
+
+    A verdict (confirm, fail, unknown) sets the state whatever it was before, so verdicts cut the events of a delivery into segments
+    that don't depend on each other: their number is a running count over consecutive pieces, and each is an aggregate. A
+    delivery may have any number of events.
     """
-    ordered = events.groupBy("incident_key", "destination").agg(
-        F.array_sort(F.collect_list(F.struct("at_s", "seq", "action", "external_id"))).alias("_e"))
-    start = F.struct(
-        F.lit(None).cast("string").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("bigint").alias("created_at"),
-        F.lit(None).cast("bigint").alias("updated_at"), F.lit("").alias("external_id"))
-
-    def step(s: Column, e: Column) -> Column:
-        new = s["state"].isNull()
-        reserve, retry = e["action"] == "reserve", e["action"] == "retry"
-        stale = reserve & (s["state"] == "pending") & (e["at_s"] - s["updated_at"] >= PENDING_SECONDS)
-        again = (reserve | retry) & (s["state"] == "failed")
-        opened = reserve & new
-        target = F.when(e["action"] == "confirm", "confirmed").when(e["action"] == "fail", "failed").when(e["action"] == "unknown", "unknown")
-        moved = target.isNotNull() & ~new
-        state = F.when(opened | again, "pending").when(stale, "unknown").when(moved, target).otherwise(s["state"])
-        touched = F.coalesce(opened | again | stale | moved, F.lit(False))
-        return F.struct(
-            state.alias("state"), (s["attempts"] + F.when(F.coalesce(opened | again, F.lit(False)), 1).otherwise(0)).alias("attempts"),
-            F.when(opened, e["at_s"]).otherwise(s["created_at"]).alias("created_at"),
-            F.when(touched, e["at_s"]).otherwise(s["updated_at"]).alias("updated_at"),
-            F.when(moved, F.coalesce(e["external_id"], F.lit(""))).otherwise(s["external_id"]).alias("external_id"))
-
-    folded = ordered.withColumn("_s", F.aggregate("_e", start, step)).filter(F.col("_s.state").isNotNull())
-    overdue = (F.col("_s.state") == "pending") & (F.lit(as_of) - F.col("_s.updated_at") >= PENDING_SECONDS)
-    return folded.select(
-        delivery_key(F.col("incident_key"), F.col("destination")).alias("key"), "incident_key", "destination", "_s.*",
-        overdue.alias("overdue"), (F.col("_s.state") == "failed").alias("retryable"))
+    keys, order = ["incident_key", "destination"], ["at_s", "seq", "action", "external_id"]
+    place = F.struct(*order)
+    reserve, verdict = F.col("action") == "reserve", F.coalesce(F.col("action").isin("confirm", "fail", "unknown"), F.lit(False))
+    rows = events.select(*keys, F.col("at_s").cast("bigint").alias("at_s"), *order[1:])
+    opened = rows.filter(reserve).groupBy(*keys).agg(F.min(place).alias("_open"))
+    live = rows.join(opened, keys).filter(place >= F.col("_open")).withColumn("_first", place.eqNullSafe(F.col("_open"))).withColumn("_opened", F.col("_open.at_s")).drop("_open")
+    parts = running_totals(live, keys, order, sums={"_part": verdict.cast("int")})
+    again = F.col("action").isin("reserve", "retry") & ~F.col("_first")
+    segments = parts.groupBy(*keys, "_part").agg(
+        F.max(F.when(verdict, F.struct("action", "at_s", "external_id"))).alias("_verdict"), F.min(F.when(again, F.col("at_s"))).alias("_again"),
+        F.min("_opened").alias("created_at"))
+    reopened = F.coalesce((F.col("_verdict.action") == "fail") & F.col("_again").isNotNull(), F.lit(False))
+    last = segments.groupBy(*keys).agg(
+        (F.count_if(reopened) + 1).cast("int").alias("attempts"), F.max("created_at").alias("created_at"), F.max_by(F.struct("_part", "_verdict", "_again"), "_part").alias("_l"))
+    pending = F.col("_l._verdict").isNull() | ((F.col("_l._verdict.action") == "fail") & F.col("_l._again").isNotNull())
+    settled = F.when(F.col("_l._verdict.action") == "confirm", "confirmed").when(F.col("_l._verdict.action") == "fail", "failed").otherwise("unknown")
+    last = last.select(
+        *keys, "attempts", "created_at", F.col("_l._part").alias("_part"), F.when(pending, "pending").otherwise(settled).alias("state"),
+        F.when(F.col("_l._verdict").isNull(), F.col("created_at")).when(pending, F.col("_l._again")).otherwise(F.col("_l._verdict.at_s")).alias("updated_at"),
+        F.coalesce("_l._verdict.external_id", F.lit("")).alias("external_id"))
+    # The first reservation that finds a pending delivery too old leaves it unknown.
+    waiting = last.filter("state = 'pending'").select(*keys, "_part", (F.col("updated_at") + PENDING_SECONDS).alias("_due"))
+    stale = parts.filter(reserve).join(waiting, [*keys, "_part"]).filter("at_s >= _due").groupBy(*keys).agg(F.min("at_s").alias("_stale"))
+    ledger = last.join(stale, keys, "left").select(
+        *keys, F.when(F.col("_stale").isNotNull(), "unknown").otherwise(F.col("state")).alias("state"), "attempts", "created_at",
+        F.coalesce("_stale", "updated_at").alias("updated_at"), "external_id")
+    overdue = (F.col("state") == "pending") & (F.lit(as_of) - F.col("updated_at") >= PENDING_SECONDS)
+    return ledger.select(
+        delivery_key(F.col("incident_key"), F.col("destination")).alias("key"), *keys, "state", "attempts", "created_at", "updated_at", "external_id",
+        overdue.alias("overdue"), (F.col("state") == "failed").alias("retryable"))
 
 
 def delivery_counts(ledger: DataFrame) -> DataFrame:
