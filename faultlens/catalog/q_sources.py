@@ -11,7 +11,7 @@ from faultlens.catalog.q_quality import json_documents, junit_documents
 from faultlens.catalog.registry import Data, query
 from faultlens.catalog.views import VIEWS
 from faultlens.functions.text import newline_normalized
-from faultlens.operators import classify as C, history as H, triage as T
+from faultlens.operators import classify as C, history as H, longlogs as LL, triage as T
 from faultlens.plans.lineage import ensure_checkpoint_dir
 from faultlens.sinks import tables as K
 from faultlens.sources import artifacts as A, observability as OB, reports as R
@@ -53,6 +53,28 @@ def read_logs(d: Data):
         F.regexp_extract(body, r"^id:(\d+)\n", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace(body, r"^id:\d+\n", "")).alias("digest"))
 
 
+VIEWS["v_long_line"] = """
+SELECT event_type AS log, event_id, CASE WHEN event_type <> 'view' AND event_id % 97 = 5 THEN 'Error at ' ELSE 'line ' END || CAST(event_id AS STRING) AS line FROM {events}"""
+
+
+def _long_logs(d: Data):
+    """One log file for each kind of event, read back as numbered lines."""
+    folder = scratch(d, "long-logs")
+    d.v_long_line.repartition("log").sortWithinPartitions("log", "event_id").select("log", "line").write.partitionBy("log").text(folder)
+    return A.read_log_lines(d.spark, folder, "*.txt").withColumn("log", F.regexp_extract("path", "log=([^/]+)/", 1))
+
+
+@query("S04_split_logs", sql="SELECT log, row_number() OVER (PARTITION BY log ORDER BY event_id) - 1 AS line_no, line FROM {v_long_line}")
+def split_logs(d: Data):
+    return _long_logs(d).select("log", "line_no", "line")
+
+
+@query("S04_split_log_messages", sql="""
+SELECT log, count(*) AS lines, count(*) FILTER (WHERE line LIKE 'Error%') AS error_lines, coalesce(arg_min(line, event_id) FILTER (WHERE line LIKE 'Error%'), arg_max(line, event_id)) AS message FROM {v_long_line} GROUP BY 1""")
+def split_log_messages(d: Data):
+    return LL.messages(_long_logs(d), key="log")
+
+
 VIEWS["v_mixed_file"] = """
 SELECT event_id AS artifact_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '.log' WHEN 1 THEN '.xml' WHEN 2 THEN '.json' ELSE '.sarif' END AS ext, event_id % 3 = 0 AS failing FROM {events}"""
 

@@ -1,7 +1,7 @@
 """File discovery and document tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultlens.functions.text import newline_normalized
 from faultlens.plans.ordered import running_totals
@@ -58,6 +58,28 @@ def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True, suf
     return supported(base, folder, suffixes).select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
 
 
+BROADCAST_PIECES = 500_000  # pieces of logs whose numbers go to every task: 40 bytes each
+
+
+def read_log_lines(spark: SparkSession, folder: str, pattern: str = "*.log") -> DataFrame:
+    """line(artifact_id, path, line_no, line) of logs of any size below a folder, numbered from 0.
+
+    Files are cut at line ends into pieces of ``spark.sql.files.maxPartitionBytes``, read in parallel; a line's number is its place in its piece
+    plus the lines of the pieces before, which a first pass counts. Lines end at a line feed, a carriage return or both. Undecodable
+    bytes become replacement characters. Empty files have no lines.
+    """
+    files = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    rows = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_id"), F.make_valid_utf8("value").alias("line"))
+    # A piece is read by one task from its first line to its last, so its ids are consecutive, whichever columns are read.
+    pieces = rows.groupBy("path", "_piece").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("path").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("path", "_piece", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    few = offsets.count() <= BROADCAST_PIECES
+    return rows.join(F.broadcast(offsets) if few else offsets, ["path", "_piece"]).select(
+        F.sha2("path", 256).alias("artifact_id"), "path", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 text; invalid sequences become U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))
