@@ -34,8 +34,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters of the lower-cased text."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L) of the lower-cased text."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    # Number signs such as fractions, exponents and Roman numerals pass for word characters.
+    return [part for word in words for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:

@@ -50,7 +50,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ``rules`` has ``host``, ``path`` and ``verdict``. The longest fitting rule wins, of equal ones the longer host and then
     the smaller text; of rules repeated with different verdicts ``block`` wins. A URL that no rule fits, also a null or
     empty one, gets a null rule and ``default``. Rules with a null or empty host fit nothing; a null path counts as empty.
-    Repeated rows stay repeated; columns of ``pages`` with the names of the new ones are replaced.
+    Repeated rows stay repeated; columns of ``pages`` with the names of the new ones are replaced, any other name is kept. Very long
+    URLs are judged whole; an empty table of pages gives no rows.
     """
     listed = (
         rules.where(F.length("host") > 0)
@@ -70,7 +71,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     # A URL that very many rows share is dealt over some groups.
-    rows = pages.select(*kept, F.pmod(F.xxhash64(*kept), F.lit(SALTS)).alias("_salt"), F.col(url).alias("_url"))
+    # Columns of the pages have numbers as names inside, so none clashes.
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    rows = pages.select(*named, F.pmod(F.xxhash64(*kept), F.lit(SALTS)).alias("_salt"), F.col(url).alias("_url"))
     host, path = host_and_path(F.col("_url"))
     distinct = rows.select("_url", "_salt").where("_url IS NOT NULL").distinct().select("_url", "_salt", host.alias("host"), path.alias("path"))
     parts = F.split("host", r"\.")
@@ -93,7 +96,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     host, path = host_and_path(F.col("_url"))
     return rows.join(best, ["_url", "_salt"], "left").select(
-        *kept, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"),
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"),
         F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 
 

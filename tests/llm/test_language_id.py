@@ -1,7 +1,7 @@
 import pytest
 
 from faultlens.llm import language_id
-from faultlens.llm.language_id import held_out, predict, train
+from faultlens.llm.language_id import held_out, predict, train, words_of
 from faultlens.llm.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +44,11 @@ def test_counts_have_no_cap(spark):
 
 def test_fold(spark):
     assert [r.h for r in spark.createDataFrame([(0,), (None,)], "doc_id long").select(held_out().alias("h")).collect()] == [False, False]
+
+
+def test_number_signs_are_no_letters(spark):
+    assert [words_of(t) for t in ("½", "² Ⅷ ①", "x²y A½", "٠١", "_1_", "日本")] == [[], [], ["x", "y", "a"], [], [], ["日本"]]
+    schema = "doc_id long, text string, lang string"
+    model = train(spark.createDataFrame([(1, "hello there you", "en"), (2, "guten tag dir", "de")], schema))
+    got = predict(spark.createDataFrame([(1, "½", None), (2, "Ⅷ ²", None), (3, "guten²", None)], schema), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "de"]

@@ -41,3 +41,10 @@ def test_many_rules_ties_and_empty_tables(spark):
             assert r.verdict == "block"
     assert judge_urls(pages.limit(0), rules).collect() == []
     assert {r.verdict for r in judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "u", "s", "k", "b", 5, "h", "p")], "page_id long, url string, _url string, _salt string, k0 string, best string, block int, host string, path string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    row = judge_urls(pages, rules).first().asDict()
+    assert row == {"page_id": 1, "url": "http://a.net/x", "_url": "u", "_salt": "s", "k0": "k", "best": "b", "block": 5, "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}
