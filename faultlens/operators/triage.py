@@ -108,29 +108,21 @@ def owner_rules(codeowners: DataFrame, scope: str = "scope", text: str = "text")
 
 
 def resolve_owners(paths: DataFrame, rules: DataFrame, scope: str = "scope", path: str = "path") -> DataFrame:
-    """Owners of each distinct (scope, path): the last matching rule of that scope.
+    """Owners of each distinct (scope, path): the last matching rule of that scope; no owners where none matches.
 
-    A scope's rules come from one bounded ownership file, so they travel as one array beside the scope's paths and
-    no path-by-rule pairs are produced.
+    A path meets the rules of its own folders (and those that name only an end, or nothing) by an equi join, and each of them is then
+    checked in full, so the work is in proportion to the rules that may match, however many a scope has.
     """
-    from faultlens.plans.joins import glob_to_regex_column
+    from faultlens.plans.joins import glob_key, glob_to_regex_column, path_keys
 
-    packed = rules.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("ord"), F.col("pattern"), glob_to_regex_column(F.col("pattern")).alias("regex"), F.col("owners")
-    ))).alias("_rules"))
+    keyed = rules.select(scope, "ord", "pattern", "owners", glob_to_regex_column(F.col("pattern")).alias("_regex"), glob_key(F.col("pattern")).alias("_key"))
+    asked = paths.select(scope, path).distinct()
     clean = F.regexp_replace(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "^/+", "")
-    matched = F.filter(
-        F.col("_rules"),
-        lambda r: F.rlike(F.col("_clean"), r["regex"])
-        | (r["pattern"].endswith("/") & F.col("_clean").startswith(r["pattern"])),
-    )
-    return (
-        paths.select(scope, path).distinct()
-        .withColumn("_clean", clean)
-        .join(packed, scope, "left")
-        .select(scope, path, F.coalesce(F.try_element_at(matched, F.lit(-1))["owners"], F.array().cast("array<string>"))
-                .alias("owners"))
-    )
+    matches = F.rlike(F.col("_clean"), F.col("_regex")) | (F.col("pattern").endswith("/") & F.col("_clean").startswith(F.col("pattern")))
+    last = (
+        asked.withColumn("_clean", clean).withColumn("_key", F.explode(path_keys(F.col("_clean")))).join(keyed, [scope, "_key"]).filter(matches)
+        .groupBy(scope, path).agg(F.max(F.struct("ord", "pattern", "owners")).alias("_rule")))
+    return asked.join(last, [scope, path], "left").select(scope, path, F.coalesce("_rule.owners", F.array().cast("array<string>")).alias("owners"))
 
 
 def owners_for_paths(path_lists: DataFrame, rules: DataFrame, key: str, scope: str = "scope") -> DataFrame:

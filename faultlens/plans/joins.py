@@ -33,6 +33,26 @@ def glob_to_regex_column(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)\\A"), negated, F.lit("\\z"))
 
 
+TAIL = 6  # last characters of a path that pick globs without a leading folder
+
+
+def glob_key(pattern: Column) -> Column:
+    """What a path has to have if the glob matches it (or, ending in ``/``, begins it): the folders before the first wildcard, else the
+    last characters after the last one, else nothing."""
+    literal = F.regexp_extract(pattern, r"(?s)^[^*?\[]*", 0)
+    folder = F.regexp_extract(literal, r"(?s)^.*/", 0)
+    tail = F.when(literal == pattern, pattern).otherwise(F.regexp_extract(pattern, r"(?s)[^*?\[\]]*\z", 0))
+    return F.when(folder != "", F.concat(F.lit("d:"), folder)).when((tail != "") & ~pattern.endswith("/"), F.concat(F.lit("t:"), F.right(tail, F.lit(TAIL)))).otherwise("any")
+
+
+def path_keys(path: Column) -> Column:
+    """All keys of globs that may match the path: a trie of its folders from the root, its last characters, and ``any``."""
+    parts = F.split(path, "/")
+    folders = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    tails = F.array(*[F.when(F.length(path) >= n, F.concat(F.lit("t:"), F.right(path, F.lit(n)))) for n in range(1, TAIL + 1)])
+    return F.array_compact(F.concat(F.coalesce(folders, F.array().cast("array<string>")), tails, F.array(F.lit("any"))))
+
+
 def path_suffixes(path: Column) -> Column:
     """All suffixes of a path that start at a ``/`` boundary, the whole path included."""
     parts = F.split(path, "/")
