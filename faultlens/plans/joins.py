@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultlens.functions.text import let
+
 
 def glob_to_regex(pattern: str) -> str:
     """Case-sensitive shell glob as an anchored Java regex; ``*`` also crosses ``/``."""
@@ -99,25 +101,43 @@ def interval_join(
     return joined.select(*kept)
 
 
-GRAM = 8  # characters of a needle that pick candidates
+GRAM = 3  # characters of a gram; a shorter needle is one gram
+BROADCAST_GRAMS = 200_000  # grams of needles that go to every task, of about 40 bytes each
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """``gram, at`` of every place (from 1) of the text and each of these sizes."""
+    def listed(chars: Column) -> Column:
+        places = lambda n: F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1))
+        gram = lambda n, i: F.when(n == 1, chars[i - 1]).when(n == 2, F.concat(chars[i - 1], chars[i])).otherwise(F.concat(chars[i - 1], chars[i], chars[i + 1]))
+        return F.flatten(F.transform(sizes, lambda n: F.coalesce(
+            F.transform(places(n), lambda i: F.struct(gram(n, i).alias("gram"), i.alias("at"))), F.array().cast("array<struct<gram:string,at:int>>"))))
+
+    # Characters once, instead of a scan from the start for each place.
+    return let(F.split(text, ""), listed)
 
 
 def mentions(texts: DataFrame, key: str, pieces: Column, needles: DataFrame, needle: str = "needle") -> DataFrame:
-    """(``key``, ``needle``) where the needle is a substring of some of the text's pieces.
+    """(``key``, ``needle``) where the needle is a substring of some of the text's pieces; the empty one is in every piece, a null one in none.
 
-    A needle is met by its first characters, GRAM at most: every place of a piece is listed once for each such length with the text
-    that follows, and the equi join on the first characters is checked on the whole needle.
+    An index of grams by place: of each needle the gram that is rarest in the texts is looked up, and what lies around each of its places is
+    compared with the whole needle. Texts don't travel with their grams, and only places of rare grams are shuffled.
     """
+    wanted = needles.select(needle).filter(F.length(needle) > 0).distinct()
     size = F.least(F.length(needle), F.lit(GRAM))
-    shape = needles.agg(F.collect_set(size).alias("lengths"), F.max(F.length(needle)).alias("longest"))
-    places = F.array_distinct(F.flatten(F.transform(
-        pieces,
-        lambda piece: F.flatten(F.transform(
-            F.filter("_s.lengths", lambda n: n <= F.length(piece)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(piece) - n + 1), lambda i: F.struct(
-                F.substr(piece, i, n).alias("_gram"), F.substr(piece, i, F.col("_s.longest")).alias("_rest"))),
-        )),
-    )))
-    listed = texts.withColumn("_s", shape.select(F.struct("*")).scalar()).select(key, F.inline(places))
-    wanted = needles.select(needle, F.substr(needle, F.lit(1), size).alias("_gram"))
-    return listed.join(wanted, "_gram").filter(F.col("_rest").startswith(F.col(needle))).select(key, needle).distinct()
+    own = wanted.select(needle, F.inline(_grams(F.col(needle), F.array(size))))
+    sizes = wanted.agg(F.coalesce(F.collect_set(size), F.array().cast("array<int>"))).scalar()
+    rows = texts.select(key, F.posexplode(F.coalesce(pieces, F.array().cast("array<string>"))).alias("_n", "_piece"))
+    places = rows.withColumn("_sizes", sizes).select(key, "_n", F.inline(_grams(F.col("_piece"), F.col("_sizes"))))
+    grams = own.select("gram").distinct()
+    few = grams.count() <= BROADCAST_GRAMS
+    beside = F.broadcast if few else lambda df: df
+    counts = places.select("gram").join(beside(grams), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("_places"))
+    # A needle with a gram that is nowhere is nowhere itself.
+    rarest = own.join(counts, "gram", "left").groupBy(needle).agg(
+        F.min(F.struct(F.coalesce("_places", F.lit(0)).alias("_places"), F.col("at").alias("_offset"), "gram")).alias("_r")).filter("_r._places > 0").select(needle, "_r.gram", "_r._offset")
+    hits = places.join(beside(rarest), "gram").select(key, "_n", (F.col("at") - F.col("_offset") + 1).alias("_from"), needle).filter("_from > 0")
+    whole = hits.join(rows, [key, "_n"]).filter(F.substr("_piece", F.col("_from"), F.length(needle)) == F.col(needle))
+    empty = needles.select(needle).filter(F.col(needle) == "").distinct()
+    every = rows.filter("_piece IS NOT NULL").select(key, F.lit("").alias(needle)).distinct().join(F.broadcast(empty), needle).select(key, needle)
+    return whole.select(key, needle).distinct().unionByName(every)
