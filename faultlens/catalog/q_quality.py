@@ -59,7 +59,7 @@ def sarif_documents(d: Data):
     return _documents(d, d.v_sarif_piece, "artifact_id", "pos", prefix, "]}]}", ",")
 
 
-_JUNIT_ROWS = """
+JUNIT_ROWS = """
 SELECT artifact_id, suite, name AS test, secs, k, u.status, u.attempt, u.message FROM (
  SELECT *, CASE k WHEN 0 THEN [{{'status':'failed','attempt':1,'message':'boom <' || name || '>'}}]
   WHEN 1 THEN [{{'status':'error','attempt':1,'message':'bad ' || name}}, {{'status':'failed','attempt':2,'message':'again'}}]
@@ -69,12 +69,12 @@ SELECT artifact_id, suite, name AS test, secs, k, u.status, u.attempt, u.message
 
 
 @query("S05_junit_results", sql=f"""
-SELECT artifact_id, suite, test, status, attempt, CAST(floor(CAST(secs AS DOUBLE) * 1000) AS INT) AS duration_ms, CASE WHEN message = '' THEN '' ELSE sha256(message) END AS failure_signature FROM ({_JUNIT_ROWS})""")
+SELECT artifact_id, suite, test, status, attempt, CAST(floor(CAST(secs AS DOUBLE) * 1000) AS INT) AS duration_ms, CASE WHEN message = '' THEN '' ELSE sha256(message) END AS failure_signature FROM ({JUNIT_ROWS})""")
 def junit(d: Data):
     return R.junit_results(junit_documents(d)).select("artifact_id", "suite", "test", "status", "attempt", "duration_ms", "failure_signature")
 
 
-@query("Q04_retry_expansion", sql=f"SELECT status, attempt, count(*) AS n FROM ({_JUNIT_ROWS}) GROUP BY 1, 2")
+@query("Q04_retry_expansion", sql=f"SELECT status, attempt, count(*) AS n FROM ({JUNIT_ROWS}) GROUP BY 1, 2")
 def retries(d: Data):
     return R.junit_results(junit_documents(d)).groupBy("status", "attempt").agg(F.count(F.lit(1)).alias("n"))
 

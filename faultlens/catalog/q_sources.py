@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 
 from faultlens.catalog.q_classify import artifacts
 from faultlens.catalog.q_extract import runner_logs
-from faultlens.catalog.q_quality import json_documents, junit_documents
+from faultlens.catalog.q_quality import JUNIT_ROWS, json_documents, junit_documents
 from faultlens.catalog.registry import Data, query
 from faultlens.catalog.views import VIEWS
 from faultlens.functions.text import newline_normalized
@@ -75,6 +75,20 @@ def split_log_messages(d: Data):
     return LL.messages(_long_logs(d), key="log")
 
 
+@query("S05_split_reports", sql=f"""
+SELECT suite, test, status, attempt, CAST(floor(CAST(secs AS DOUBLE) * 1000) AS INT) AS duration_ms, CASE WHEN message = '' THEN '' ELSE sha256(message) END AS failure_signature FROM ({JUNIT_ROWS})""")
+def split_reports(d: Data):
+    """One report file for each suite, read back in pieces."""
+    folder = scratch(d, "reports")
+    rows = d.v_junit_piece.select(F.regexp_extract("piece", r"/s(\d+)", 1).alias("suite"), "artifact_id", "pos", "piece")
+    ends = rows.select("suite").distinct().select("suite", F.inline(F.array(
+        F.struct(F.lit("").alias("artifact_id"), F.lit(-1).alias("pos"), F.lit('<?xml version="1.0"?><testsuites><testsuite name="a>b">').alias("piece")),
+        F.struct(F.lit("~").alias("artifact_id"), F.lit(-1).alias("pos"), F.lit("</testsuite></testsuites>").alias("piece")))))
+    rows.select("suite", "artifact_id", F.col("pos").cast("int").alias("pos"), "piece").unionByName(ends).repartition("suite").sortWithinPartitions("suite", "artifact_id", "pos").select(
+        "suite", "piece").write.partitionBy("suite").text(folder)
+    return R.results_of(R.read_junit_cases(d.spark, folder, "*.txt"), "path").select("suite", "test", "status", "attempt", "duration_ms", "failure_signature")
+
+
 VIEWS["v_mixed_file"] = """
 SELECT event_id AS artifact_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '.log' WHEN 1 THEN '.xml' WHEN 2 THEN '.json' ELSE '.sarif' END AS ext, event_id % 3 = 0 AS failing FROM {events}"""
 

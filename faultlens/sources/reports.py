@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultlens.functions.text import clip, duration_ms, leaf_identity, split_lines, strip
 from faultlens.operators.history import failure_signature, safe
 from faultlens.sources.json_tree import json_nodes
+from faultlens.sources.records import read_elements
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _RERUN_TAGS = "flakyFailure|flakyError|rerunFailure|rerunError"
@@ -39,7 +40,21 @@ def _note_text(note: Column) -> Column:
 
 def junit_cases(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
     """One row per testcase: name, suite, time and its ordered failure, error and rerun notes."""
-    blocks = safe_xml(df, text).select(key, F.posexplode(element_blocks(F.col(text), "testcase")).alias("pos", "_xml"))
+    return cases_of(safe_xml(df, text).select(key, F.posexplode(element_blocks(F.col(text), "testcase")).alias("pos", "_xml")), key)
+
+
+def read_junit_cases(spark: SparkSession, folder: str, pattern: str = "*.xml", key: str = "path") -> DataFrame:
+    """The cases of all reports below a folder, as ``junit_cases`` gives them. A report may be larger than a row: it is read in pieces.
+
+    A case without its end tag is left out.
+    """
+    elements = read_elements(spark, folder, "testcase", pattern)
+    blocks = elements.select(key, "pos", F.try_element_at(element_blocks(F.col("xml"), "testcase"), F.lit(1)).alias("_xml"))
+    return cases_of(blocks.filter("_xml IS NOT NULL"), key)
+
+
+def cases_of(blocks: DataFrame, key: str) -> DataFrame:
+    """Cases of testcase elements (``key, pos, _xml``)."""
     parsed = blocks.withColumn("c", F.from_xml("_xml", _CASE_SCHEMA, {"mode": "PERMISSIVE"}))
     kinds = F.regexp_extract_all("_xml", F.lit(r"<(?:[\w.-]+:)?(failure|error)(?=[\s/>])"), F.lit(1))
     body = parsed.select(
@@ -75,6 +90,12 @@ def junit_cases(df: DataFrame, key: str = "artifact_id", text: str = "text") ->
 
 def junit_results(df: DataFrame, key: str = "artifact_id", text: str = "text", context: Sequence[str] = ()) -> DataFrame:
     """Full history rows of JUnit reports; reruns expand into failed(1) and passed(2), n failures into n attempts."""
+    rows = results_of(junit_cases(df, key, text), key)
+    return rows if not context else rows.join(df.select(key, *context), key)
+
+
+def results_of(cases: DataFrame, key: str = "artifact_id") -> DataFrame:
+    """History rows of cases."""
     row = lambda status, attempt, message: F.struct(
         status.alias("status"), attempt.alias("attempt"), message.alias("message"))
     one = lambda status: F.array(row(F.lit(status), F.lit(1), F.lit("")))
@@ -85,11 +106,9 @@ def junit_results(df: DataFrame, key: str = "artifact_id", text: str = "text", c
         .when(F.col("skipped"), one("skipped"))
         .otherwise(one("passed"))
     )
-    cases = junit_cases(df, key, text).select("*", F.inline(attempts))
-    rows = cases.select(
+    return cases.select("*", F.inline(attempts)).select(
         key, safe(F.col("suite"), 300).alias("suite"), safe(leaf_identity("name")).alias("test"), "status", "attempt",
         "duration_ms", F.lit("junit").alias("runner"), failure_signature(F.col("message")).alias("failure_signature"))
-    return rows if not context else rows.join(df.select(key, *context), key)
 
 
 def junit_failures(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
