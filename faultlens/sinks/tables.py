@@ -47,7 +47,7 @@ def upsert_history(spark: SparkSession, updates: DataFrame, path: str, order: Se
     writer at a time. The merged rows are materialized before the partitions they came from are replaced.
     """
     from faultlens.plans.lineage import cut_lineage
-    from faultlens.plans.versions import path_exists
+    from faultlens.plans.folders import path_exists
 
     bucket = F.pmod(F.xxhash64(*RESULT_KEY), F.lit(buckets)).cast("int")
     new = latest_per_key(updates.withColumn("bucket", bucket), RESULT_KEY, order)
