@@ -39,19 +39,23 @@ def unescape_role(role: Column) -> Column:
 def events_of_turns(turns: DataFrame, chars: int = DELTA_CHARS) -> DataFrame:
     """Event log of finished turns (``conv_id, turn, role, text``): each text streamed in deltas of ``chars`` code points.
 
-    Rows of a conversation are ordered by turn, then role and text (null first), and each is a message of its own, also where a turn repeats.
-    A null text is empty.
+    As such logs do, it holds drafts too: every third message begins with one that is edited to the first piece of the text, every third with one
+    that is regenerated. Rows of a conversation are ordered by turn, then role and text (null first), and each is a message of its own, also where
+    a turn repeats. A null text is empty; a very long one is cut in one pass; an empty table gives no event; further columns are left out.
     """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     text = F.coalesce("text", F.lit(""))
-    count = F.greatest(F.lit(1), F.ceil(F.length(text) / chars)).cast("int")
+    found = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+    pieces = F.when(text == "", F.array(F.lit(""))).otherwise(found)
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = event("delta", F.lit("Let me see"))
+    deltas = lambda begun: F.transform(F.slice("pieces", begun, F.size("pieces")), lambda p: event("delta", p))
+    log = F.when(F.col("message") % 3 == 1, F.concat(F.array(draft, event("edit", F.col("pieces")[0])), deltas(2))).when(
+        F.col("message") % 3 == 2, F.concat(F.array(draft, event("regenerate", F.lit(None).cast("string"))), deltas(1))).otherwise(deltas(1))
     return (
-        turns.select("conv_id", F.row_number().over(order).alias("message"), "role", text.alias("text"))
-        .select("conv_id", "message", "role", "text", F.explode(F.sequence(F.lit(0), F.size(F.split(F.repeat(F.lit(","), count - 1), ",")) - 1)).alias("piece"))
-        .select(
-            "conv_id", (F.col("message").cast("long") * F.lit(1 << 32) + F.col("piece")).alias("seq"), "message", F.lit("delta").alias("kind"), "role",
-            F.substr("text", F.col("piece") * chars + 1, F.lit(chars)).alias("text"))
-    )
+        turns.select("conv_id", F.row_number().over(order).alias("message"), "role", pieces.alias("pieces"))
+        .select("conv_id", "message", "role", F.posexplode(log).alias("place", "event"))
+        .select("conv_id", (F.col("message").cast("long") * F.lit(1 << 32) + F.col("place")).alias("seq"), "message", "event.kind", "role", "event.text"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -60,14 +64,15 @@ def fold_events(events: DataFrame) -> DataFrame:
     In sequence order: the last ``edit`` or ``regenerate`` of a message starts it anew, the deltas after it are appended. A
     ``regenerate`` of message m also drops every message after m whose events came before it. Null texts are empty, a null
     role is the message's last known one or empty, unknown kinds and rows with a null message or sequence are ignored. Events with the same
-    sequence are ordered by message, kind and text.
+    sequence are ordered by message, kind and text. Repeated rows are events of their own; texts of any length are kept whole; an empty log has
+    no messages; further columns are left out.
     """
     known = events.where("message IS NOT NULL AND seq IS NOT NULL AND kind IN ('delta', 'edit', 'regenerate')").select(
         "conv_id", "seq", "message", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    # Regenerations are rare; an event survives if none of a smaller message comes after it.
-    again = known.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_set(F.struct("message", "seq")).alias("cuts"))
-    cut = F.exists("cuts", lambda c: (c["message"] < F.col("message")) & (c["seq"] > F.col("seq")))
-    standing = known.join(again, "conv_id", "left").where(F.col("cuts").isNull() | ~cut).drop("cuts")
+    # An event survives if no regeneration of a smaller message comes after it.
+    smaller = W.partitionBy("conv_id").orderBy("message").rangeBetween(W.unboundedPreceding, -1)
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(smaller)
+    standing = known.withColumn("again", again).where("again IS NULL OR again <= seq").drop("again")
     place = F.struct("seq", "kind", "text")
     last = W.partitionBy("conv_id", "message")
     reset = F.max(F.when(F.col("kind") != "delta", place)).over(last)
@@ -87,7 +92,8 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``formatted`` and ``loss_spans`` (start and length in code points of it, from 1).
 
     Spans cover the texts of ``loss_role``, without header and end mark. The conversation is the unit of output, so a row
-    is as long as its conversation.
+    is as long as its conversation. Roles and texts have no nulls (``fold_events`` gives none); ties in ``message`` are ordered by the turn's
+    text; no messages give no rows; further columns are left out.
     """
     header = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
@@ -106,7 +112,10 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``turns`` (role and text) and ``loss_text`` of rendered conversations, unescaped, from the output alone."""
+    """``turns`` (role and text) and ``loss_text`` of rendered conversations, unescaped, from the output alone.
+
+    Conversations of any length; a null or empty ``formatted`` has no turns; an empty table gives no rows; further columns are left out.
+    """
     cut = F.split("formatted", r"<\|im_start\|>")
     pieces = F.slice(cut, F.lit(2), F.size(cut) - 1)
     split_at = lambda p: F.instr(p, F.lit("\n"))

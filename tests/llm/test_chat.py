@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from faultlens.llm.chat import events_of_turns, fold_events, read_back, render
 
 
@@ -26,6 +28,25 @@ def test_edits_and_regenerations(spark):
     assert render(fold_events(log.limit(0))).collect() == []
 
 
+def test_log_holds_drafts_and_one_very_long_text(spark):
+    long = "é<|x|>\n" * 60_000
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "k", "s"), (1, 1, "assistant", long, "k", "s"), (1, 2, "user", "", "k", "s")], "conv_id long, turn long, role string, text string, kind string, seq string")
+    log = events_of_turns(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    messages = fold_events(log.withColumn("cuts", F.lit("extra")))
+    assert [(r.message, r.text) for r in messages.orderBy("message").collect()] == [(1, "hi"), (2, long), (3, "")]
+    [row] = read_back(render(messages.withColumn("turn", F.lit("extra")))).collect()
+    assert [t.text for t in row.turns] == ["hi", long, ""] and row.loss_text == long
+    assert events_of_turns(turns.limit(0)).collect() == []
+
+
+def test_regenerations_drop_later_messages_in_long_logs(spark):
+    # Message m is answered, and message 0 regenerated after every tenth of them: only what follows the last one stands.
+    rows = [(1, 2 * m, m, "delta", "assistant", f"a{m}") for m in range(1, 400)] + [(1, 2 * m + 1, 0, "regenerate", "user", None) for m in range(0, 391, 10)]
+    got = fold_events(spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string")).orderBy("message").collect()
+    assert [(r.message, r.text) for r in got] == [(0, "")] + [(m, f"a{m}") for m in range(391, 400)]
+
+
 def test_one_very_long_conversation(spark):
     turns = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('x', int(id % 50)) AS text")
     [row] = read_back(render(fold_events(events_of_turns(turns)))).selectExpr("size(turns) AS n", "sha2(loss_text, 256) AS h").collect()
