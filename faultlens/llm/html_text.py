@@ -40,6 +40,13 @@ NOISE = frozenset(
     "popup promo promoted promotion promotions related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets complementary alert".split())
 NOISE_IN_ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments promo related reply sponsor sponsored widget".split())
+# Words of layout that may stand beside a word of NOISE in one name: "site-footer" is noise, "related-work" is not.
+LAYOUT = frozenset(
+    "a accent aria area articles bar block body bottom bottoms box btn button buttons c card cards cell center close col collapse column columns container content cta default desktop div "
+    "el element end fixed float fluid global grid group h header holder home horizontal icon icons id image images img inline inner item items js l label large lg left level line link "
+    "links list lists local m main md media menus meta mid middle mini mobile module modules more news o outer overlay p page pages panel panels pane placement post posts primary pub region "
+    "right root row s section sections secondary sidebar site slot slots sm small sticky stories story sub t tab tabs tag tags text tile title toggle top tool u ui ul unit units vertical view w "
+    "wide wrap wrapper x xl xs y z zone".split())
 CLOSES_P = BLOCKS - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead tr".split())
 SAME_CLOSE = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
@@ -138,7 +145,8 @@ class Page:
         for m in _ATTRIBUTE.finditer(attributes):
             if (key := m[1].lower()) in _READ:
                 found.setdefault(key, m[2] or m[3] or m[4] or "")
-        names = {w.lower() for key in ("class", "id", "role") for w in _NAME.findall(found.get(key, ""))}
+        tokens = [[w.lower() for w in _NAME.findall(token)] for key in ("class", "id", "role") for token in found.get(key, "").split()]
+        names = {w for words in tokens for w in words}
         label = "." + ".".join(sorted(names)) if names else ""
         # Only the element's own text is the article: a bare article or main element, or one that says so.
         main = True if found.get("itemprop", "").lower() == "articlebody" else False if name in ("article", "main") or found.get("role", "").lower() in ("main", "article") else None
@@ -147,7 +155,8 @@ class Page:
         hidden = "hidden" in found and found["hidden"].lower() != "until-found" or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
         inside = self.opened.get("article") or self.opened.get("main")
         noise = name in NEVER or (name == "header" or "header" in names) and not inside and main is None
-        noise = noise or bool(names & (NOISE if main is None else NOISE_IN_ARTICLE_NAMES))
+        telling = NOISE if main is None else NOISE_IN_ARTICLE_NAMES
+        noise = noise or any(not telling.isdisjoint(words) and all(w in NOISE or w in LAYOUT for w in words) for words in tokens)
         return hidden or name in UNSEEN, noise, label, main
 
     def _close(self, names: tuple[str, ...]) -> None:
@@ -268,15 +277,29 @@ class Page:
         return False
 
 
-def path_scores(page: Page, texts: list[str]) -> dict[int, float]:
-    """Fused score of each path that has blocks: length and punctuation a block, smoothed over the paths of a parent."""
+def path_scores(page: Page, texts: list[str], linked: list[bool] | None = None, inside: dict[int, bool] | None = None) -> dict[int, float]:
+    """Fused score of each path that has blocks: length and punctuation a block, smoothed over the paths of a parent.
+
+    Paths ``inside`` the article's element are smoothed towards it as well, as one more block of its mean would, so few or short blocks of
+    a path of their own don't stand alone; those of links are not.
+    """
     size: dict[int, list[float]] = {}
-    for block, text in zip(page.blocks, texts, strict=True):
+    own, links = [0.0, 0.0, 0.0], {}
+    for i, (block, text) in enumerate(zip(page.blocks, texts, strict=True)):
         if text:
-            entry = size.setdefault(block.path, [0.0, 0.0, 0.0])
-            entry[0] += 1
-            entry[1] += len(text)
-            entry[2] += len(_PUNCTUATION.findall(text))
+            marks = len(_PUNCTUATION.findall(text))
+            for entry in (size.setdefault(block.path, [0.0, 0.0, 0.0]), own if inside and inside[block.path] else None):
+                if entry is not None:
+                    entry[0] += 1
+                    entry[1] += len(text)
+                    entry[2] += marks
+            links[block.path] = links.get(block.path, 0) + (1 if linked and linked[i] else -1)
+    if inside and own[0]:
+        for path, entry in size.items():
+            if inside[path] and links[path] < 0:
+                entry[0] += 1
+                entry[1] += own[1] / own[0]
+                entry[2] += own[2] / own[0]
     ratios = {path: (length / n, marks / n) for path, (n, length, marks) in size.items()}
     parents: dict[int, list[float]] = {}
     for path, (length, marks) in ratios.items():
@@ -303,6 +326,7 @@ def main_text(source: str | None) -> str:
         return ""
     tops = _container(page, texts, scores)
     inside = {path: 0 in tops or page.under(path, tops) for path in scores}
+    scores = path_scores(page, texts, linked, inside)
     content = _above({path: score * (1 if inside[path] else OUTSIDE) for path, score in scores.items()})
     beside = {page.paths[path][0] for path in content}
     chosen = [i for i, block in enumerate(page.blocks) if texts[i] and block.path in content]
@@ -375,7 +399,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) in place of the page's source.
 
-    Null and empty sources, and pages without an article, give an empty text. Broken markup is read as browsers do: unclosed
+    Null and empty sources, and pages without an article, give an empty text; very long pages are read whole, an empty table gives no rows. Broken markup is read as browsers do: unclosed
     elements end where their kind must. Repeated rows stay repeated; columns named like the new ones are replaced.
     """
     kept = [c for c in pages.columns if c not in (source, "text", "n_chars")]

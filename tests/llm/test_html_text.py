@@ -1,6 +1,6 @@
 import pytest
 
-from faultlens.llm.html_text import extract_text, main_text
+from faultlens.llm.html_text import Page, extract_text, main_text, path_scores
 
 LONG = "One sentence, then another. It goes on; and on!"
 PAGES = [
@@ -58,3 +58,43 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "extra", "text", "n_chars"]
     assert sorted((r.page_id, r.text, r.n_chars) for r in out.collect()) == sorted([(i, t, len(t)) for i, (_, t) in enumerate(PAGES)] + [(0, "", 0)])
     assert extract_text(pages.limit(0)).collect() == []
+
+
+ARTICLE = "This is a long paragraph of the article, with commas, and with several sentences. It goes on and on. " * 4
+
+
+@pytest.mark.parametrize("body,kept,gone", [
+    (f'<article><h1>Head</h1><p>{ARTICLE}</p><p class="note">Mid note between.</p><p>{ARTICLE}</p><h6>End heading</h6></article>', ["Head", "Mid note between.", "End heading"], []),
+    (f'<main><section><p>{ARTICLE}</p><p>{ARTICLE}</p></section><section class="x"><p>Tiny one.</p></section></main>', ["Tiny one."], []),
+    (f'<article><p>{ARTICLE}</p><div class="related-work"><p>Earlier studies, too, {ARTICLE}</p></div><p class="comment-on-law">The law says, {ARTICLE}</p></article>', ["Earlier studies", "The law says"], []),
+    (f'<div><section class="notice-of-death"><p>He died, {ARTICLE}</p><p>{ARTICLE}</p></section></div>', ["He died"], []),
+    (f'<div class="site-footer"><p>Legal text, {ARTICLE}</p></div><article><p>{ARTICLE}</p><div class="related-posts"><a href="/x">More of it</a></div><div class="ad-slot">Buy now.</div></article><div id="comments-list"><p>I think, {ARTICLE}</p></div>',
+     [ARTICLE[:30]], ["Legal text", "More of it", "Buy now", "I think"]),
+])
+def test_names_delete_no_article_text(body, kept, gone):
+    text = main_text(f"<html><body><nav><a href='/'>Home</a></nav>{body}<footer>Imprint</footer></body></html>")
+    assert all(part in text for part in kept) and not any(part in text for part in [*gone, "Home", "Imprint"]), text
+
+
+def test_path_scores_by_hand():
+    """Brute force of the scores: means by path, of the paths of a parent, and of the article."""
+    source = "<body><article><p>One, two.</p><p>Three four five!</p><h2>Six</h2></article><div>Seven</div></body>"
+    page = Page(source)
+    texts, linked = page.texts()
+    assert texts == ["One, two.", "Three four five!", "Six", "Seven"]
+    paths = [block.path for block in page.blocks]
+    inside = {path: i < 3 for i, path in enumerate(paths)}
+    for smoothed in (False, True):
+        blocks = {p: [(len(t), sum(c in ".,!" for c in t)) for q, t in zip(paths, texts) if q == p] for p in paths}
+        mean = [sum(len(t) for t in texts[:3]) / 3, 3 / 3]
+        ratios = {}
+        for p, rows in blocks.items():
+            rows = rows + [tuple(mean)] if smoothed and inside[p] else rows
+            ratios[p] = [sum(r[k] for r in rows) / len(rows) for k in (0, 1)]
+        want = {}
+        for p in ratios:
+            family = [ratios[q] for q in ratios if page.paths[q][0] == page.paths[p][0]]
+            a, b = ((ratios[p][k] + sum(f[k] for f in family) / len(family)) / 2 for k in (0, 1))
+            want[p] = (a * (1 + b)) ** 0.5
+        got = path_scores(page, texts, linked, inside if smoothed else None)
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
