@@ -138,6 +138,6 @@ def mentions(texts: DataFrame, key: str, pieces: Column, needles: DataFrame, nee
         F.min(F.struct(F.coalesce("_places", F.lit(0)).alias("_places"), F.col("at").alias("_offset"), "gram")).alias("_r")).filter("_r._places > 0").select(needle, "_r.gram", "_r._offset")
     hits = places.join(beside(rarest), "gram").select(key, "_n", (F.col("at") - F.col("_offset") + 1).alias("_from"), needle).filter("_from > 0")
     whole = hits.join(rows, [key, "_n"]).filter(F.substr("_piece", F.col("_from"), F.length(needle)) == F.col(needle))
-    empty = needles.select(needle).filter(F.col(needle) == "").distinct()
-    every = rows.filter("_piece IS NOT NULL").select(key, F.lit("").alias(needle)).distinct().join(F.broadcast(empty), needle).select(key, needle)
+    empty = F.coalesce(needles.agg(F.max(F.col(needle) == "")).scalar(), F.lit(False))
+    every = rows.filter(F.col("_piece").isNotNull() & empty).select(key, F.lit("").alias(needle)).distinct()
     return whole.select(key, needle).distinct().unionByName(every)
