@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from faultlens.llm import language_id
@@ -52,3 +54,64 @@ def test_number_signs_are_no_letters(spark):
     model = train(spark.createDataFrame([(1, "hello there you", "en"), (2, "guten tag dir", "de")], schema))
     got = predict(spark.createDataFrame([(1, "½", None), (2, "Ⅷ ²", None), (3, "guten²", None)], schema), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["und", "und", "de"]
+
+
+def brute(rows, texts):
+    """Word-first backoff, word by word in plain dictionaries."""
+    import math
+    from collections import Counter
+
+    langs = sorted({lang for _, lang in rows if lang is not None and any(words_of(t) for t, x in rows if x == lang)})
+    tables = [{lang: Counter() for lang in langs} for _ in range(5)]
+    for text, lang in rows:
+        for word in words_of(text) if lang in langs else ():
+            tables[0][lang][word] += 1
+            for n in (1, 2, 3, 4):
+                marked = f"\x02{word}\x03"
+                tables[n][lang].update(word if n == 1 else [marked[i:i + n] for i in range(len(marked) - n + 1)])
+    distinct = [len(set().union(*table.values())) for table in tables]
+    size = lambda n, lang: math.log(sum(tables[n][lang].values()) + language_id.SMOOTHING * (distinct[n] + 1))
+    part = lambda n, lang, item: math.log(tables[n][lang][item] + language_id.SMOOTHING) - size(n, lang)
+
+    def of_word(word):
+        if any(tables[0][lang][word] for lang in langs):
+            return [part(0, lang, word) for lang in langs]
+        for n in (4, 3, 2, 1):
+            marked = f"\x02{word}\x03"
+            grams = [g for g in (list(word) if n == 1 else [marked[i:i + n] for i in range(len(marked) - n + 1)]) if any(tables[n][lang][g] for lang in langs)]
+            if grams:
+                return [sum(part(n, lang, g) for g in grams) / len(grams) for lang in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        words = words_of(text)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(x) for x in zip(*map(of_word, words))]
+        if not any(total):
+            prior = [sum(tables[0][lang].values()) for lang in langs]
+            out.append((langs[prior.index(max(prior))], max(prior) / sum(prior)))
+            continue
+        weight = [math.exp(t - max(total)) for t in total]
+        out.append((langs[weight.index(1.0)], 1.0 / sum(weight)))
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(12)
+    sounds = {"aa": "abcdé", "bb": "cdefg", "cc": "ghiñ"}
+    word = lambda lang: "".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 6)))
+    known = {lang: [word(lang) for _ in range(30)] for lang in sounds}
+    text = lambda lang: " ".join(rng.choice(known[lang]) if rng.random() < 0.6 else word(lang) for _ in range(rng.randint(0, 9)))
+    # One language holds most rows; two texts repeat.
+    rows = [(text(lang), lang) for lang in ["aa"] * 60 + ["bb"] * 15 + ["cc"] * 5] + [(None, "aa"), ("", "bb"), ("x1y ½", None), ("12", "dd")]
+    rows += rows[:2]
+    texts = [text(lang) for lang in sounds for _ in range(25)] + ["zzz", "a", "é ñ", None, "½", " ".join(known["bb"] * 300), "Abc ABC abc"]
+    schema = "doc_id long, text string, lang string"
+    model = train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], schema).repartition(4))
+    got = predict(spark.createDataFrame([(i, t, "bb") for i, t in enumerate(texts)], schema).repartition(3), model).orderBy("doc_id").collect()
+    want = brute(rows, texts)
+    assert [r.lang_pred for r in got] == [lang for lang, _ in want]
+    assert all(abs(r.score - score) < 1e-4 for r, (_, score) in zip(got, want, strict=True))

@@ -41,4 +41,4 @@ def test_empty_documents(spark):
 
 def test_every_operator_has_a_query():
     faultlens.llm.load_all()
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
