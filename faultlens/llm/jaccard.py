@@ -330,7 +330,8 @@ def link_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     Documents link when ``100 * intersection >= percent * union`` of their shingle sets; ``component_id`` is the smallest number
     reachable over links. Null and wordless texts have an empty set and link with nothing: their component is their own number. Rows
     repeated under one number are documents of their own with that number; a null number is smaller than none and leaves its
-    component's id to the others (null if it is alone). Sets are told apart by 64-bit sums of hashed shingles.
+    component's id to the others (null if it is alone). Texts of any length are read whole; further columns of any name are left out; an empty
+    table gives no rows. Sets are told apart by 64-bit sums of hashed shingles.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("row"), F.col(text).alias("text"))

@@ -109,7 +109,8 @@ def _bits(features: dict[str, int]):
 def fit_classifier(labelled: DataFrame) -> Classifier:
     """Classifier from ``domain`` and ``text`` rows; rows with a null domain are left out.
 
-    At most MAX_TRAIN rows are used, picked by a hash, if there are more. Without any row there is one domain, ``any``.
+    At most MAX_TRAIN rows are used, picked by a hash, if there are more. Without any row there is one domain, ``any``. Null texts have no
+    parts, very long ones are read whole; of parts of equal association the smaller text comes first; further columns are left out.
     """
     rows = labelled.where("domain IS NOT NULL").select("domain", "text")
     share = max(1, -(-rows.count() // MAX_TRAIN))
@@ -232,7 +233,8 @@ def fit_rates(judged: DataFrame, shares: list[float]) -> list[np.ndarray]:
 
     Accelerated projected gradient of the squared gap between totals and targets, in the metric of the documents' tokens, so that equal posteriors
     get equal rates; the step is the inverse of the largest curvature. It ends when the totals are close or after ROUNDS; targets out
-    of reach (a domain without any mass) stay as near as they come.
+    of reach (a domain without any mass) stay as near as they come. Documents without tokens move nothing and follow their posterior; an
+    empty table has no totals to move and gives no move, so all rates stay 1.
     """
     domains = len(shares)
     moves: list[np.ndarray] = []

@@ -311,6 +311,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, doc: str = "doc_i
     to ``folder/manifest``; the dictionary goes to ``folder/dictionary``. Null texts are empty, an empty text has only the
     end id. Rows repeated under one number stay apart, ordered by text; rows with a null number come first, as number
     -2**63. One shuffle deals the texts out by ranges of the number; the driver sees the manifest and the sample.
+    Further columns of any name are left out; an empty table writes a manifest without rows; very long texts are encoded whole.
     ``cached`` bounds the words whose ids a worker holds; without ``keep`` it drops them after each task, for jobs with other work.
     """
     spark = docs.sparkSession

@@ -195,6 +195,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFram
     Both tables have ``vec_id`` and ``vector`` (array of long). Null ids and vectors and vectors with a null component take no part, nor do empty ones; a
     query meets only vectors of its own dimension and not those under its own number, also where that number repeats. Rows repeated in ``vectors``
     count once each; of queries repeated under one number the smallest vector is asked. Products beyond 64 bits raise OverflowError.
+    Further columns of any name are left out; an empty table of queries or of vectors gives no rows.
     """
     def usable(df: DataFrame) -> DataFrame:
         squares = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
