@@ -1,6 +1,8 @@
 """A corpus pipeline: five stages over ``documents``, each written as Parquet and read as the next one's input.
 
-Every stage works on all that its predecessor kept. ``run`` returns the description of the token files that the last
+Every stage works on all that its predecessor kept. Texts of any length are read whole, repeated rows are rows of their own unless a stage says
+otherwise, ties are decided by number and then by text, further columns of ``documents`` pass through whatever their names, and an empty table
+stays empty. ``run`` returns the description of the token files that the last
 stage wrote.
 """
 from __future__ import annotations
@@ -23,7 +25,7 @@ BROADCAST_NUMBERS = 1_000_000  # 17 MB of rows; more are shuffled
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language; those that the operator can't give one (``und``: null or without a letter) go."""
+    """Documents of a language; those that the operator can't give one (``und``: null or without a letter) go. A null language or number stays."""
     with_package(spark, BATCH_BYTES)
     columns = docs.columns
     judged = predict(docs.select(F.struct(*columns).alias("row"), "text"), train(docs))
@@ -56,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten consecutive words of a benchmark item (nor a shorter item whole)."""
+    """Documents that hold no ten consecutive words of a benchmark item (nor a shorter item whole). Null and empty texts hold none and stay."""
     with_package(spark, BATCH_BYTES)
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
