@@ -46,11 +46,11 @@ def listing(d: Data):
 def read_logs(d: Data):
     """Documents written as files with Windows line ends and read back as artifacts."""
     folder = scratch(d, "logs")
-    rows = d.documents.select(F.col("doc_id"), F.concat(F.lit("id:"), F.col("doc_id").cast("string"), F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
-    rows.repartition(64, "doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(folder)
-    body = F.regexp_replace("text", "\x00$", "")
+    n = F.col("doc_id").cast("string")
+    rows = d.documents.select(F.concat(n, F.lit(".txt")).alias("name"), F.concat(F.lit("id:"), n, F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
+    K.write_texts(rows, folder, "name")
     return A.read_artifacts(d.spark, folder, suffixes=(".txt",)).select(
-        F.regexp_extract(body, r"^id:(\d+)\n", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace(body, r"^id:\d+\n", "")).alias("digest"))
+        F.regexp_extract("text", r"^id:(\d+)\n", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("text", r"^id:\d+\n", "")).alias("digest"))
 
 
 VIEWS["v_long_line"] = """

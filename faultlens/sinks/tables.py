@@ -1,8 +1,11 @@
 """Stored tables: history, incidents, documents, batch summaries and sanitized corpora."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultlens.functions.redaction import hit_total, redact_counted
@@ -78,6 +81,34 @@ def export_history(results: DataFrame, path: str, schema_version: int = 1) -> No
     manifests.write.mode("overwrite").json(path)
 
 
+TEXT_FOLDERS = 1024  # a folder is listed by one task
+
+
+def write_texts(rows: DataFrame, folder: str, name: str, text: str = "text") -> int:
+    """Each row's text as a UTF-8 file named by ``name`` (unique), in subfolders by a hash of the name; returns their number.
+
+    Tasks write the files themselves, as a table writer takes a folder, its commit and several processes for every file. A file is
+    renamed when it is whole, so a repeated task leaves the same files. A null text is an empty file.
+    """
+    def write(batches):
+        system, root = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+        made = set()
+        for batch in batches:
+            for part, file, body in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if part not in made:
+                    system.create_dir(f"{root}/{part}", recursive=True)
+                    made.add(part)
+                attempt = f"{root}/{part}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(attempt) as out:
+                    out.write((body or "").encode())
+                system.move(attempt, f"{root}/{part}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    part = F.pmod(F.xxhash64(name), F.lit(TEXT_FOLDERS)).cast("int").alias("part")
+    written = rows.select(part, name, text).repartition(TEXT_FOLDERS // 8, "part").mapInArrow(write, "files bigint")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def batch_summary(df: DataFrame) -> DataFrame:
     """One summary row per analysed artifact."""
     wanted = ("artifact_id", "stage", "kind", "severity", "component", "dedup_key", "is_duplicate_of", "reused", "title")

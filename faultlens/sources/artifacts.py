@@ -44,7 +44,9 @@ def supported(files: DataFrame, root: str = "", suffixes: tuple[str, ...] = SUFF
     clean = files.withColumn("ext", extension(F.col("path"))).filter(
         F.col("ext").isin(*suffixes) & ~F.arrays_overlap(folders, F.array(*[F.lit(f) for f in IGNORED_FOLDERS])))
     hinted = F.lower(relative).rlike("|".join(h.replace("-", "\\-") for h in REPORT_HINTS))
-    return without_sidecars(clean.filter(~F.col("ext").isin(".xml", ".json") | hinted))
+    kept = clean.filter(~F.col("ext").isin(".xml", ".json") | hinted)
+    # Without both kinds there are no sidecars, and the files are listed and read once.
+    return without_sidecars(kept) if {".log", ".json"} <= set(suffixes) else kept
 
 
 def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
