@@ -4,9 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from faultlens.operators import history, incidents
@@ -107,46 +107,93 @@ def history_batches(path: str, order: Sequence[str] = ("ingest_seq",)) -> Callab
 
 PENDING_SECONDS = 300
 FORGET_DAYS = 30
+DELIVERY_GROUPS = 4096
 
 
-def pending_timeouts(events: DataFrame, time: str = "at", delay: str = "0 seconds", forget_days: int = FORGET_DAYS) -> DataFrame:
+def pending_timeouts(events: DataFrame, time: str = "at", delay: str = "0 seconds", forget_days: int = FORGET_DAYS, groups: int = DELIVERY_GROUPS) -> DataFrame:
     """Every closed state a delivery (incident_key, destination) reaches, from its ledger events in event time.
 
     The transitions are those of ``delivery_ledger``: a reservation opens a delivery or, after a failure, opens it again and changes
     nothing once it is confirmed or unknown; one that stays open for 300 seconds becomes ``unknown``; ``confirm``, ``fail`` and
     ``unknown`` close a known delivery. Its state is kept across batches and forgotten ``forget_days`` after its last change.
+    Deliveries are kept in ``groups`` by a hash, as most have a few events and a call for each would cost far more than its work: a
+    batch reads and writes the groups of its deliveries, and a group has one timer, for what is due first. Events without time are left out.
     """
+    use_keyed_state(events.sparkSession)
     limit_ms, forget_ms = PENDING_SECONDS * 1000, forget_days * 86_400_000
-    target = {"confirm": "confirmed", "fail": "failed", "unknown": "unknown"}
-
-    def step(key, batches, state):
-        current, since = state.get if state.exists else (None, 0)
-        closed = []
-        if state.hasTimedOut:
-            if current != "pending":
-                state.remove()
-                return
-            current, since = "unknown", since + limit_ms
-            closed.append(current)
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "action"])
-            for at, action in zip((rows["at"].astype("int64") // 10**6).tolist(), rows["action"].tolist(), strict=True):
-                stale = current == "pending" and at - since >= limit_ms
-                if stale and action in (*target, "reserve", "retry"):
+    columns = ["incident_key", "destination", "state"]
+    closes = {"confirm": "confirmed", "fail": "failed", "unknown": "unknown"}
+
+    def packed(deliveries: dict) -> bytes:
+        rows = [(*key, *value) for key, value in deliveries.items()]
+        table = pa.table([pa.array(values, pa.int64() if i == 3 else pa.string()) for i, values in enumerate(zip(*rows, strict=True))], [*columns, "since"])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        return out.getvalue().to_pybytes()
+
+    def unpacked(data: bytes) -> dict:
+        values = [column.to_pylist() for column in pa.ipc.open_stream(data).read_all().columns]
+        return {(name, place): (current, since) for name, place, current, since in zip(*values, strict=True)}
+
+    class Deliveries(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.kept = handle.getValueState("deliveries", "data binary, timer long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat([part.iloc[:, -4:] for part in rows], ignore_index=True).set_axis(["incident_key", "destination", "action", "us"], axis=1)
+            batch = batch.sort_values(["us", "action"], kind="stable")
+            known, timer = self.load()
+            closed = []
+            for name, place, action, us in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                at = us // 1000
+                before = current, since = known.get((name, place), (None, 0))
+                if current == "pending" and at - since >= limit_ms and (action in closes or action in ("reserve", "retry")):
                     current, since = "unknown", since + limit_ms
-                    closed.append(current)
+                    closed.append((name, place, current))
                 if action == "reserve" and current is None or action in ("reserve", "retry") and current == "failed":
                     current, since = "pending", at
-                elif action in target and current is not None:
-                    if target[action] != current:
-                        closed.append(target[action])
-                    current, since = target[action], at
-        if current is not None:
-            state.update((current, since))
-            due = since + (limit_ms if current == "pending" else forget_ms)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, name) for name in closed], columns=["incident_key", "destination", "state"])
-
-    marked = events.select("incident_key", "destination", F.col(time).alias("at"), "action").withWatermark("at", delay)
-    return marked.groupBy("incident_key", "destination").applyInPandasWithState(
-        step, "incident_key string, destination string, state string", "state string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+                elif action in closes and current is not None:
+                    if closes[action] != current:
+                        closed.append((name, place, closes[action]))
+                    current, since = closes[action], at
+                if (current, since) != before:
+                    known[name, place] = current, since
+            self.store(known, timer)
+            yield pd.DataFrame(closed, columns=columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            known, _ = self.load()
+            now, closed, left = timerValues.getCurrentWatermarkInMs(), [], {}
+            for delivery, (current, since) in known.items():
+                if current == "pending" and since + limit_ms <= now:
+                    current, since = "unknown", since + limit_ms
+                    closed.append((*delivery, current))
+                if current == "pending" or since + forget_ms > now:
+                    left[delivery] = current, since
+            self.store(left, None)
+            yield pd.DataFrame(closed, columns=columns)
+
+        def load(self):
+            data, timer = self.kept.get() if self.kept.exists() else (None, None)
+            return {} if data is None else unpacked(data), timer
+
+        def store(self, known, timer):
+            """Keep the deliveries and set the timer that ends the first wait; a timer is due when the watermark is past it."""
+            due = min((since + (limit_ms if state == "pending" else forget_ms) for state, since in known.values()), default=None)
+            if due is None:
+                self.kept.clear()
+            else:
+                self.kept.update((packed(known), due - 1))
+            if due is None or timer != due - 1:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due - 1)
+
+    marked = events.select("incident_key", "destination", "action", F.col(time).alias("_at")).filter("_at IS NOT NULL").withWatermark("_at", delay)
+    group = F.pmod(F.xxhash64("incident_key", "destination"), F.lit(groups)).alias("_group")
+    rows = marked.select(group, "_at", "incident_key", "destination", "action", F.unix_micros("_at").alias("_us"))
+    return rows.groupBy("_group").transformWithStateInPandas(
+        Deliveries(), "incident_key string, destination string, state string", "Append", "EventTime")

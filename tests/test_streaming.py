@@ -100,3 +100,19 @@ def test_closed_deliveries_stay_closed_across_batches(spark, tmp_path):
             "checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start()
         run.awaitTermination()
         assert Counter((r.incident_key, r.state) for r in spark.read.parquet(out).collect()) == want, name
+
+
+def test_many_deliveries_share_a_group(spark, tmp_path):
+    schema = "incident_key string, destination string, at timestamp, action string"
+    start = datetime.datetime(2024, 1, 1)
+    after = lambda seconds: start + datetime.timedelta(seconds=seconds)
+    opened = [(f"k{i}", None if i % 2 else "chat", after(i), "reserve") for i in range(2000)]
+    closed = [(k, place, t + datetime.timedelta(seconds=20), "confirm") for k, place, t, _ in opened if int(k[1:]) % 3]
+    # The newest event lies exactly 300 seconds behind one that stays open (1998), which is then unknown.
+    batches = [opened[:1000], closed[:600] + opened[1000:], closed[600:] + [("none", "chat", None, "reserve")], [("last", "chat", after(1998 + 300), "reserve")]]
+    rows = state.pending_timeouts(feed(spark, tmp_path / "in", batches, schema), groups=8)
+    got = sorted((r.incident_key, r.state) for r in drained(spark, rows, tmp_path).collect())
+    late = {k for k, _, t, _ in opened if int(k[1:]) % 3 == 0}
+    assert {k for k, s in got if s == "unknown"} >= late
+    assert {k for k, s in got if s == "confirmed"} <= {k for k, _, _, _ in closed}
+    assert state.state_table(spark, f"{tmp_path}/progress", "deliveries").count() == 8
