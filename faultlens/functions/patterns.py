@@ -64,20 +64,20 @@ GO_RESULT = cs(r"^--- (PASS|FAIL):\s+(\S+)(?:\s+\(|$)")
 JEST_FLAKY_SUMMARY = ci(r"Tests?:[^\n]*\bflaky\b")
 FLAKY_POSITION = ci(r"\bRERUN\b|[✕●]\s+")
 TEST_FAIL = ci(
-    r"(?m:^\s*(?:FAILED\s+\S+::\S+|\S+::\S+\s+FAILED\b)|"
-    r"^\s*FAIL\s+\S+\.(?:test|spec)\.[jt]sx?\b|"
-    r"^\s*=+\s*(?:FAILURES|ERRORS)\s*=+|^\s*--- FAIL:|"
-    r"^\s*(?:E\s+)?(?:[\w.]+\.)?(?:AssertionError|ValueError|TypeError|RuntimeError|KeyError|IndexError|"
+    r"(?m:^\s*(?:FAILED\s+\S+::\S+|\S+::\S+\s+FAILED\b|"
+    r"FAIL\s+\S+\.(?:test|spec)\.[jt]sx?\b|"
+    r"=+\s*(?:FAILURES|ERRORS)\s*=+|--- FAIL:|"
+    r"(?:E\s+)?(?:[\w.]+\.)?(?:AssertionError|ValueError|TypeError|RuntimeError|KeyError|IndexError|"
     r"\w*Exception)(?::|\s*$)|"
-    r"^\s*E\s+assert\b|^\s*Failure/Error:|^\s*[✕●×]\s+\S|"
-    r"^\s*Assert\.\w+\(\)\s+Failure|^\s*thread .+ panicked at|"
-    r"^\s*test result:\s*FAILED\b|"
-    r"^\s*(?:=+\s*)?(?:\d+\s+(?:passed|skipped|deselected|xfailed|xpassed|warnings?)[,; ]+)*"
+    r"E\s+assert\b|Failure/Error:|[✕●×]\s+\S|"
+    r"Assert\.\w+\(\)\s+Failure|thread .+ panicked at|"
+    r"test result:\s*FAILED\b|"
+    r"(?:=+\s*)?(?:\d+\s+(?:passed|skipped|deselected|xfailed|xpassed|warnings?)[,; ]+)*"
     r"[1-9]\d*\s+(?:failed|errors?|failures?)\b|"
-    r"^\s*(?:\[(?:INFO|ERROR)\]\s*)?(?:Tests?(?: Suites?| Files)?|Tests run):[^\n]*"
+    r"(?:\[(?:INFO|ERROR)\]\s*)?(?:Tests?(?: Suites?| Files)?|Tests run):[^\n]*"
     r"(?:\b[1-9]\d*\s+failed\b|\b(?:Failures|Errors|Failed):\s*[1-9]\d*\b)|"
-    r"^\s*Failed!\s*-\s*Failed:\s*[1-9]\d*\b|"
-    r"^\s*FAILED\s*\((?:failures|errors)=[1-9]\d*\b)"
+    r"Failed!\s*-\s*Failed:\s*[1-9]\d*\b|"
+    r"FAILED\s*\((?:failures|errors)=[1-9]\d*\b))"
 )
 CRASH = ci(r"segmentation fault|segfault|SIGSEGV|SIGABRT|panic:")
 IMAGE_PULL = ci(r"imagepullbackoff|errimagepull|back-off pulling image|failed to pull image")
@@ -285,3 +285,65 @@ INCIDENT_NOISE = ci(
     r"(?<=object at )0x[0-9a-fA-F]+(?=>)|/tmp/[A-Za-z0-9_./-]+|"
     r"(?<=\.[a-zA-Z]{2}):\d+(?::\d+)?|(?<=\.[a-zA-Z]{3}):\d+(?::\d+)?"
 )
+
+# ---- screens: lower-cased words of which every match of a pattern holds at least one. Looking for words is far cheaper than trying all
+# alternatives at every character, and most texts hold no word of most patterns.
+SCREENS = {
+    TEST_MARKERS: (
+        " test", ".test", ".spec", "===== errors", "--- fail", "failed!", "failure", "test result", "total of", "junit", "pytest", "rspec", "running ", "test session", "testsuite:"),
+    BUILD_MARKERS: (
+        ".java:", "::error::", "cannot find", "compil", "could not install", "error ", "error[e", "gcc ", "go build", "importerror", "make",
+        "modulenotfound", "npm run build", "tsc ", "undefined reference"),
+    CI_MARKERS: ("build started", "ci/circleci", "failed", "gitlab-ci", "job ", "pipeline", "running job", "stage:", "workflow "),
+    DEPLOY_MARKERS: (
+        "deploy", "rollback", "rollout", "release ", "helm", "kubectl", "terraform ", "argo", " probe", "health", "imagepullbackoff", "errimagepull",
+        "back-off pull", "migration ", "ecs", "cloudformation", "ansible", "pulumi", "nomad", "flux", "gcloud run", "serverless", "sls",
+        "docker ", "systemctl", "crashloop", "oomkilled", "create_failed", "play recap", "allocation failed", "schedul", "quota", "image pull",
+        "registry auth", "required env", "not found", "container"),
+    IMPORT: ("importerror", "modulenotfound", "no module named"),
+    COMPILE: (
+        "[build failed]", "cannot ", "compilation error", "error ", "error:", "error[e", "no member named", "undefined reference", "undefined:"),
+    TIMEOUT: ("time", "deadline"),
+    GO_COUNT: ("go test",),
+    JEST_FLAKY_SUMMARY: ("flaky",),
+    TEST_FAIL: ("fail", "error", "exception", "assert", "panicked", "✕", "●", "×"),
+    CRASH: ("panic:", "segfault", "segmentation", "sigabrt", "sigsegv"),
+    IMAGE_PULL: ("back-off pull", "errimagepull", "failed to pull", "imagepullbackoff"),
+    REGISTRY_AUTH: ("access denied", "authentication", "authorize", "oauth", "token exchange"),
+    OOM: ("oomkilled", "out of memory", "137"),
+    CRASH_LOOP: ("back-off restart", "crashloop"),
+    LIVENESS: ("liveness",),
+    HEALTH: ("health",),
+    READINESS_PROBE: ("readiness",),
+    SCHEDULING: ("nodes are available", "schedul"),
+    QUOTA: ("quota", "insufficient "),
+    NETWORK: ("dns", "network", "name resolution", "failed to resolve", "enotfound", "connection re", "no route to"),
+    CONFIG: ("configmap", "secret", "environment variable", "configuration"),
+    MIGRATION: ("migrat",),
+    PERMISSION: ("denied", "forbidden", "unauthorized"),
+    ROLLBACK: ("rollback", "rollout undo"),
+    ROLLBACK_DONE_ANYWHERE: ("rollback", "rolled back"),
+    ROLLBACK_DONE_NEAR: ("rollback", "rolled back"),
+    READINESS: ("not ready", "probe failed", "crashloop", "become ready", "oomkilled"),
+    DEPLOY_TIMEOUT: ("deploy", "release", "rollout", "waiting for"),
+    DEPLOY_FAILURE: (
+        "deploy", "release", "rollout", "terraform", "helm", "ecs", "cloudformation", "ansible", "pulumi", "nomad", "flux", "gcloud run",
+        "serverless", "docker ", "systemctl", "apply failed", "create_failed", "failed=1", "allocation failed"),
+    CI_FAILURE: ("fail", "exit "),
+    CI_FOOTER: ("process completed",),
+    DEPENDENCY: (
+        "eresolve", "resolve dep", "resolutionimpossible", "conflicting dep", "dependency conflict", "resolve all files", "could not find", "poetry",
+        "failed to select", "cargo"),
+    DISK_FULL: ("space", "[errno 28]", "enospc", "100%", "ephemeral-storage", "disk quota"),
+    TLS: ("certificate",),
+    RATE_LIMIT: ("429", "rate limit", "toomanyrequests", "throttling", "retry-after"),
+    GENERIC_ERROR: ("error:",),
+    STRONG_ERROR: (
+        "error:", "assert", "modulenotfound", "importerror", "undefined reference", "segmentation", "panic:", "no module", "npm err!"),
+    CHAINED_TRACEBACK: ("above exception",),
+    NPM_CODE: ("npm err!",),
+    NPM_ROW: ("npm err!",),
+    NPM_NOISE: ("npm err!",),
+    K8S_HEADER: ("events:",),
+    K8S_WARNING: ("warning",),
+}

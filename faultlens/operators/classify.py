@@ -5,11 +5,13 @@ ordered predicates decide only when no signal is found.
 """
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions import patterns as P
 from faultlens.functions.text import (
-    clip, first, found, group, let, normalize_lines, split_lines, strip, unwrap_line, whole,
+    clip, first, found, group, let, normalize_lines, place, split_lines, strip, unwrap_line, whole,
 )
 
 # Kinds that name a deployment problem, its aggregate symptoms and its direct causes.
@@ -82,17 +84,25 @@ def _cases(pairs, default) -> Column:
 
 def stage_of(text: Column) -> Column:
     """Stage of normalized text by the first matching marker family."""
+    return let(_lowered(text), lambda r: _stage_of(partial(found, r["text"], low=r["low"])))
+
+
+def _lowered(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.lower(text).alias("low"))
+
+
+def _stage_of(has) -> Column:
     return _cases(
         [
-            (found(text, P.DEPLOY_MARKERS), "deploy"),
-            (found(text, P.DEPENDENCY), "build"),
-            (found(text, P.TEST_MARKERS) | found(text, P.PYTEST_FAILED), "test"),
-            (found(text, P.COMPILE), "build"),
-            (found(text, P.CI_FOOTER), "ci"),
-            (found(text, P.BUILD_MARKERS), "build"),
-            (found(text, P.TLS), "build"),
-            (found(text, P.CI_MARKERS), "ci"),
-            (found(text, P.GENERIC_ERROR), "build"),
+            (has(P.DEPLOY_MARKERS), "deploy"),
+            (has(P.DEPENDENCY), "build"),
+            (has(P.TEST_MARKERS) | has(P.PYTEST_FAILED), "test"),
+            (has(P.COMPILE), "build"),
+            (has(P.CI_FOOTER), "ci"),
+            (has(P.BUILD_MARKERS), "build"),
+            (has(P.TLS), "build"),
+            (has(P.CI_MARKERS), "ci"),
+            (has(P.GENERIC_ERROR), "build"),
         ],
         F.lit("unknown"),
     )
@@ -103,27 +113,33 @@ def kind_of(text: Column, stage: Column, flaky: Column | None = None) -> Column:
 
     ``flaky`` carries rerun proof for whole logs; on one line only a runner summary can prove it.
     """
-    flaky = found(text, P.JEST_FLAKY_SUMMARY) if flaky is None else flaky
-    deploy = [(found(text, pattern), kind) for pattern, kind in DEPLOY_KIND_ORDER]
+    # A lambda sees the columns of its row as values, so stage and proof are bound with the text.
+    bound = F.struct(text.alias("text"), F.lower(text).alias("low"), stage.alias("stage"), (F.lit(None).cast("boolean") if flaky is None else flaky).alias("flaky"))
+    return let(bound, lambda r: _kind_of(partial(found, r["text"], low=r["low"]), r["stage"], None if flaky is None else r["flaky"]))
+
+
+def _kind_of(has, stage: Column, flaky: Column | None) -> Column:
+    flaky = has(P.JEST_FLAKY_SUMMARY) if flaky is None else flaky
+    deploy = [(has(pattern), kind) for pattern, kind in DEPLOY_KIND_ORDER]
     deploy += [
-        (found(text, P.ROLLBACK) & ~found(text, P.ROLLBACK_DONE_ANYWHERE), "rollback"),
-        (found(text, P.DEPLOY_TIMEOUT), "readiness_timeout"),
-        (found(text, P.HEALTH) | found(text, P.READINESS), "health_check_failed"),
-        (found(text, P.DEPLOY_FAILURE), "deployment_failed"),
+        (has(P.ROLLBACK) & ~has(P.ROLLBACK_DONE_ANYWHERE), "rollback"),
+        (has(P.DEPLOY_TIMEOUT), "readiness_timeout"),
+        (has(P.HEALTH) | has(P.READINESS), "health_check_failed"),
+        (has(P.DEPLOY_FAILURE), "deployment_failed"),
     ]
     common = [
-        (found(text, P.DEPENDENCY), "dependency_resolution"),
-        (found(text, P.DISK_FULL), "disk_full"),
-        (found(text, P.TLS), "tls_certificate_error"),
-        (found(text, P.RATE_LIMIT) & (stage != "deploy"), "api_rate_limited"),
-        (found(text, P.IMPORT), "import_error"),
-        (found(text, P.CRASH) & (stage == "test"), "test_failure"),
-        (found(text, P.CRASH), "compilation_error"),
-        (found(text, P.TIMEOUT), "timeout"),
-        (found(text, P.COMPILE), "compilation_error"),
+        (has(P.DEPENDENCY), "dependency_resolution"),
+        (has(P.DISK_FULL), "disk_full"),
+        (has(P.TLS), "tls_certificate_error"),
+        (has(P.RATE_LIMIT) & (stage != "deploy"), "api_rate_limited"),
+        (has(P.IMPORT), "import_error"),
+        (has(P.CRASH) & (stage == "test"), "test_failure"),
+        (has(P.CRASH), "compilation_error"),
+        (has(P.TIMEOUT), "timeout"),
+        (has(P.COMPILE), "compilation_error"),
         ((stage == "test") & flaky, "flaky"),
-        (found(text, P.TEST_FAIL), "test_failure"),
-        (found(text, P.CI_FAILURE), "ci_failure"),
+        (has(P.TEST_FAIL), "test_failure"),
+        (has(P.CI_FAILURE), "ci_failure"),
     ]
     deploy_kind = _cases(deploy, F.lit(None).cast("string"))
     return F.coalesce(F.when(stage == "deploy", deploy_kind), _cases(common, F.lit("unknown")))
@@ -197,21 +213,24 @@ def _stage_near(text: Column, position: Column, kind: str) -> Column:
 
 
 def _signals(text: Column, flaky: Column) -> Column:
-    """Matched signals as (pos, prio, kind, stage), unordered."""
-    slots = []
-    for pattern, kind, priority in SIGNALS:
-        position = F.regexp_instr(text, F.lit(pattern))
-        if kind == "rollback":
-            position = F.when(found(text, P.ROLLBACK_DONE_NEAR), 0).otherwise(position)
-        if kind == "test_failure":
-            position = F.when(flaky, 0).otherwise(position)
-        slots.append((position, kind, priority))
-    located = F.greatest(F.regexp_instr(text, F.lit(P.FLAKY_POSITION)), F.lit(1))
-    slots.append((F.when(flaky, located).otherwise(0), "flaky", 40))
-    return F.array(*[
-        F.struct(position.cast("int").alias("pos"), F.lit(priority).alias("prio"), F.lit(kind).alias("kind"))
-        for position, kind, priority in slots
-    ])
+    """Matched signals as (pos, prio, kind), unordered."""
+    def listed(r: Column) -> Column:
+        slots = []
+        for pattern, kind, priority in SIGNALS:
+            position = place(r["text"], pattern, r["low"])
+            if kind == "rollback":
+                position = F.when(found(r["text"], P.ROLLBACK_DONE_NEAR, r["low"]), 0).otherwise(position)
+            if kind == "test_failure":
+                position = F.when(r["flaky"], 0).otherwise(position)
+            slots.append((position, kind, priority))
+        located = F.greatest(F.regexp_instr(r["text"], F.lit(P.FLAKY_POSITION)), F.lit(1))
+        slots.append((F.when(r["flaky"], located).otherwise(0), "flaky", 40))
+        return F.array(*[
+            F.struct(position.cast("int").alias("pos"), F.lit(priority).alias("prio"), F.lit(kind).alias("kind"))
+            for position, kind, priority in slots
+        ])
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low"), flaky.alias("flaky")), listed)
 
 
 def _with_stage(text: Column, signal: Column) -> Column:
@@ -342,27 +361,34 @@ def classify_artifacts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def trace_of(line: Column) -> Column:
     """``struct<trace_id, span_id, parent_span_id>``; a traceparent's span is the initiating parent."""
-    trace, span = group(line, P.TRACE_FIELD), group(line, P.SPAN_FIELD)
-    parent = F.nullif(group(line, P.PARENT_FIELD), F.lit(""))
-    explicit = (trace != "") | (span != "") | parent.isNotNull()
-    return F.struct(
-        F.when(explicit, trace).otherwise(group(line, P.TRACEPARENT, 1)).alias("trace_id"),
-        F.when(explicit, span).otherwise("").alias("span_id"),
-        F.when(explicit, parent).otherwise(F.nullif(group(line, P.TRACEPARENT, 2), F.lit(""))).alias("parent_span_id"),
-    )
+    def judge(r: Column) -> Column:
+        explicit = (r["trace"] != "") | (r["span"] != "") | r["parent"].isNotNull()
+        context = lambda index: group(line, P.TRACEPARENT, index)
+        return F.struct(
+            F.when(explicit, r["trace"]).otherwise(context(1)).alias("trace_id"),
+            F.when(explicit, r["span"]).otherwise("").alias("span_id"),
+            F.when(explicit, r["parent"]).otherwise(F.nullif(context(2), F.lit(""))).alias("parent_span_id"),
+        )
+
+    return let(F.struct(
+        group(line, P.TRACE_FIELD).alias("trace"), group(line, P.SPAN_FIELD).alias("span"),
+        F.nullif(group(line, P.PARENT_FIELD), F.lit("")).alias("parent")), judge)
 
 
 def clock_of(line: Column) -> Column:
     """``struct<timestamp, timestamp_ns, sequence>`` of one line."""
     from faultlens.functions.text import iso_to_ns
 
-    explicit = F.nullif(group(line, P.NS_FIELD), F.lit("")).try_cast("bigint")
-    iso = group(line, P.ISO_TIME)
-    return F.struct(
-        F.when(explicit.isNotNull(), "").otherwise(iso).alias("timestamp"),
-        F.coalesce(explicit, F.when(iso != "", iso_to_ns(iso))).alias("timestamp_ns"),
-        F.nullif(group(line, P.SEQUENCE_FIELD), F.lit("")).cast("int").alias("sequence"),
-    )
+    def judge(r: Column) -> Column:
+        return F.struct(
+            F.when(r["ns"].isNotNull(), "").otherwise(r["iso"]).alias("timestamp"),
+            F.coalesce(r["ns"], F.when(r["iso"] != "", iso_to_ns(r["iso"]))).alias("timestamp_ns"),
+            F.nullif(r["number"], F.lit("")).cast("int").alias("sequence"),
+        )
+
+    return let(F.struct(
+        F.nullif(group(line, P.NS_FIELD), F.lit("")).try_cast("bigint").alias("ns"), group(line, P.ISO_TIME).alias("iso"),
+        group(line, P.SEQUENCE_FIELD).alias("number")), judge)
 
 
 _ANY_TRACE = "|".join((P.TRACE_FIELD, P.SPAN_FIELD, P.PARENT_FIELD, P.TRACEPARENT))
@@ -400,17 +426,19 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
     def bare(trace: Column) -> Column:
         return (trace["trace_id"] == "") & (trace["span_id"] == "") & trace["parent_span_id"].isNull()
 
-    def describe(event: Column, index: Column) -> Column:
-        own = trace_of(event["message"])
-        trace = F.when((index == 0) & bare(own), F.coalesce(trace_of(F.col("_traced")), own)).otherwise(own)
-        clock = clock_of(event["message"])
+    # Ids and clock of a line are read once and bound, not once for each of their fields.
+    read = F.transform(F.col("_events"), lambda e: F.struct(e.alias("e"), trace_of(e["message"]).alias("own"), clock_of(e["message"]).alias("clock")))
+
+    def describe(row: Column, index: Column) -> Column:
+        event, own, clock = row["e"], row["own"], row["clock"]
+        inherits = (index == 0) & bare(own)
+        field = lambda name: F.when(inherits, F.col("_head")[name]).otherwise(own[name]).alias(name)
         return F.struct(
             F.format_string("ev-%03d", index + 1).alias("event_id"),
             event["stage"].alias("stage"), event["kind"].alias("kind"),
             F.when(index == 0, "primary").otherwise("downstream").alias("role"),
             event["message"].alias("message"),
-            trace["trace_id"].alias("trace_id"), trace["span_id"].alias("span_id"),
-            trace["parent_span_id"].alias("parent_span_id"),
+            field("trace_id"), field("span_id"), field("parent_span_id"),
             clock["timestamp"].alias("timestamp"), clock["timestamp_ns"].alias("timestamp_ns"),
             F.coalesce(clock["sequence"], index + 1).alias("sequence"),
         )
@@ -422,8 +450,10 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("_kinded", kinded)
         .withColumn("_traced", F.when(F.col("kind") != "unknown", F.coalesce(traced, F.lit(""))))
         .withColumn("_events", F.when(F.col("kind") != "unknown", F.concat(primary, downstream)))
-        .withColumn("events", F.coalesce(F.transform("_events", describe), F.array()))
-        .drop("_suspects", "_staged", "_kinded", "_traced", "_events")
+        .withColumn("_head", trace_of(F.col("_traced")))
+        .withColumn("_read", read)
+        .withColumn("events", F.coalesce(F.transform("_read", describe), F.array()))
+        .drop("_suspects", "_staged", "_kinded", "_traced", "_events", "_head", "_read")
     )
 
 
