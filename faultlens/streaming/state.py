@@ -1,10 +1,15 @@
 """Streaming recurrence counts, history ingest and delivery timeouts."""
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Sequence
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -27,6 +32,9 @@ def state_table(spark: SparkSession, checkpoint: str, variable: str) -> DataFram
     return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint).select("key.*", "value.*")
 
 
+HELD_ROWS = 50_000  # of one incident in a batch; more wait in a temporary file of their task
+
+
 def recurrence_stream(stream: DataFrame, order: Sequence[str], threshold: int = incidents.RECURRENCE_THRESHOLD,
                       ttl_days: int | None = None, delay: str | None = None, time: str = "ts") -> DataFrame:
     """Sightings with their number in the incident (``dedup_key``) across batches; one small state an incident, touched by its own sightings only.
@@ -35,13 +43,13 @@ def recurrence_stream(stream: DataFrame, order: Sequence[str], threshold: int =
     ``order``. An incident not seen for ``ttl_days`` is forgotten and starts anew: with ``delay`` once the watermark, that far behind the
     newest sighting of all, has passed its last sighting by so long (rows behind the watermark are late and dropped); without it by the
     clock, after its last batch (such a stream wakes up by itself and runs until it is stopped). Without ``ttl_days`` nothing is
-    forgotten. The trigger bounds the sightings that one incident brings at once.
+    forgotten. Of the sightings that one incident brings at once, only ``order`` is held in memory.
     """
     use_keyed_state(stream.sparkSession)
     timed = ttl_days is not None and delay is not None
     clocked = ttl_days is not None and delay is None
     ttl_ms = None if ttl_days is None else ttl_days * 86_400_000
-    columns, ordered = list(stream.columns), list(order)
+    columns, ordered, held_rows = list(stream.columns), list(order), HELD_ROWS
     added = StructType.fromDDL("occurrence_count bigint, is_duplicate_of string, recurring boolean")
 
     class Recurrence(StatefulProcessor):
@@ -51,22 +59,50 @@ def recurrence_stream(stream: DataFrame, order: Sequence[str], threshold: int =
             self.incident = handle.getValueState("incident", kept, ttl_ms) if clocked else handle.getValueState("incident", kept)
 
         def handleInputRows(self, key, rows, timerValues):
-            batch = pd.concat(list(rows), ignore_index=True).set_axis(own, axis=1).sort_values(ordered, kind="stable")
             known = self.incident.get() if self.incident.exists() else None
             if known is not None and timed and known[4] is not None and known[4] // 1000 + ttl_ms < timerValues.getCurrentWatermarkInMs():
                 known = None
-            counts = batch["kind"].ne("unknown").to_numpy()
-            total = counts.cumsum() + (known[2] if known is not None else 0)
-            number = pd.Series(total, index=batch.index).where(counts, 1)
-            yield batch[columns].assign(
-                occurrence_count=number, is_duplicate_of=pd.Series(key[0], index=batch.index, dtype=object).where(counts & (number > 1), None), recurring=counts & (number >= threshold))
+            before = 0 if known is None else known[2]
+            # Only what orders the sightings stays in memory for all of them; the rows of a hot incident wait on disk.
+            with tempfile.TemporaryFile() as spill:
+                held, spilled, orders, counted, size = [], 0, [], [], 0
+                for part in rows:
+                    part = part.set_axis(own, axis=1)
+                    orders.append(pa.Table.from_pandas(part[ordered], preserve_index=False))
+                    counted.append(part["kind"].ne("unknown").to_numpy(bool))
+                    size += len(part)
+                    if size <= held_rows:
+                        held.append(part)
+                    else:
+                        pickle.dump(part, spill, protocol=5)
+                        spilled += 1
+                counts = np.concatenate(counted)
+                place = pc.sort_indices(pa.concat_tables(orders, promote_options="permissive"), sort_keys=[(c, "ascending") for c in ordered]).to_numpy()
+                del orders, counted
+                total = np.empty(len(counts), np.int64)
+                total[place] = counts[place].cumsum()
+                total += before
+                lead = int(place[counts[place].argmax()])
+                del place
+                spill.seek(0)
+                offset, times, first = 0, [], None
+                for part in chain(held, (pickle.load(spill) for _ in range(spilled))):
+                    here = slice(offset, offset + len(part))
+                    hit = counts[here]
+                    number = pd.Series(np.where(hit, total[here], 1), index=part.index)
+                    yield part[columns].assign(
+                        occurrence_count=number, is_duplicate_of=pd.Series(key[0], index=part.index, dtype=object).where(hit & (number > 1), None), recurring=hit & (number >= threshold))
+                    if offset <= lead < offset + len(part):
+                        first = part.iloc[lead - offset]
+                    seen = part["_us"][hit].dropna()
+                    times += [int(seen.min()), int(seen.max())] if len(seen) else []
+                    offset += len(part)
             if not counts.any():
                 return
-            seen = batch[counts]
-            times = [int(t) for t in seen["_us"] if not pd.isna(t)] + ([] if known is None else [t for t in known[3:] if t is not None])
+            times += [] if known is None else [t for t in known[3:] if t is not None]
             text = lambda value: None if pd.isna(value) else value
-            kind, message = (text(seen.iloc[0]["kind"]), text(seen.iloc[0]["message"])) if known is None else known[:2]
-            self.incident.update((kind, message, int(total[-1]), min(times, default=None), max(times, default=None)))
+            kind, message = (text(first["kind"]), text(first["message"])) if known is None else known[:2]
+            self.incident.update((kind, message, before + int(counts.sum()), min(times, default=None), max(times, default=None)))
             if timed and times:
                 for due in list(self.handle.listTimers()):
                     self.handle.deleteTimer(due)

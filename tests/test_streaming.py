@@ -116,3 +116,28 @@ def test_many_deliveries_share_a_group(spark, tmp_path):
     assert {k for k, s in got if s == "unknown"} >= late
     assert {k for k, s in got if s == "confirmed"} <= {k for k, _, _, _ in closed}
     assert state.state_table(spark, f"{tmp_path}/progress", "deliveries").count() == 8
+
+
+def test_a_hot_incident_waits_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "HELD_ROWS", 30)
+    rows = [(i, None if i % 50 == 7 else at((i * 37) % 91), "hot" if i % 5 else f"k{i % 3}", None if i % 13 == 1 else "unknown" if i % 4 == 0 else "timeout", f"m{i}") for i in range(400)]
+    confs = ("spark.sql.execution.arrow.maxRecordsPerBatch",)
+    kept = {name: spark.conf.get(name) for name in confs}
+    for name in confs:
+        spark.conf.set(name, "16")
+    try:
+        stream = state.recurrence_stream(feed(spark, tmp_path / "in", [rows[:300], rows[300:]], SIGHTINGS), ["ts", "artifact_id"])
+        got = {r.artifact_id: r for r in drained(spark, stream, tmp_path).collect()}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    number = {}
+    for part in (rows[:300], rows[300:]):
+        for i, ts, key, kind, _ in sorted(part, key=lambda r: (r[1] is None, r[1] or at(0), r[0])):
+            number[key] = number.get(key, 0) + (kind != "unknown")
+            want = number[key] if kind != "unknown" else 1
+            assert (got[i].occurrence_count, got[i].is_duplicate_of, got[i].recurring) == (want, key if kind != "unknown" and want > 1 else None, kind != "unknown" and want >= 3)
+    assert len(got) == 400
+    store = {r.key: (r["count"], r.message) for r in state.incident_store(spark, f"{tmp_path}/progress").collect()}
+    lead = min((r for r in rows[:300] if r[2] == "hot" and r[3] != "unknown" and r[1]), key=lambda r: (r[1], r[0]))
+    assert store["hot"] == (number["hot"], lead[4])
