@@ -93,3 +93,15 @@ def test_assertion_identity_merges_literal_equalities_only(one):
 def test_noise_normalization(one):
     got = one(["At 2024-01-02T03:04:05Z <X object at 0x7f> /tmp/a/b f.py:10:2 end"], lambda c: incidents.normalize_noise(c))
     assert got == ["at <x object at > f.py end"]
+
+
+def test_long_lines_are_not_counted_through(spark):
+    from pyspark.sql import functions as F
+
+    from faultlens.operators.logtext import OVERSIZED, oversized_policy
+
+    texts = [*["x" * n for n in (0, 9, 10, 11, 40, 41)], *["é" * n for n in (5, 6, 10, 11)], *["😀" * n for n in (2, 3, 10, 11)], "a😀" * 5, "a😀" * 5 + "b", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select("i", oversized_policy(F.col("text"), 10).alias("line"))
+    assert {r.i: r.line for r in rows.collect()} == {i: OVERSIZED if t and len(t) > 10 else t for i, t in enumerate(texts)}
+    assert "octet_length" in rows._jdf.queryExecution().optimizedPlan().toString()
