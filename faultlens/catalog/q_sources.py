@@ -248,8 +248,10 @@ def export(d: Data):
     K.export_history(d.v_test_result.withColumn("evidence_id", F.col("ingest_seq").cast("string")), path)
     docs = d.spark.read.text(path).withColumnRenamed("value", "text")
     parts = docs.select("text", F.get_json_object("text", "$.part").cast("int").alias("part"), F.get_json_object("text", "$.count").cast("bigint").alias("count"))
-    before = F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a manifest
-    placed = parts.select("text", before.alias("before")).select(
+    # Two numbers a manifest go through one task; the records stay where they are.
+    before = F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("part", "count").select("part", before.alias("before"))
+    placed = parts.select("text", "part").join(F.broadcast(starts), "part").select(
         F.posexplode(F.from_json("text", f"records array<{A.HISTORY_RECORD}>")["records"]).alias("pos", "r"), "before")
     positions = placed.select(F.col("r.evidence_id").alias("evidence_id"), (F.col("before") + F.col("pos") + 1).alias("position"))
     return A.history_manifest(docs).select("suite", "test", "run_id", "attempt", "status", "evidence_id").join(positions, "evidence_id")

@@ -74,7 +74,8 @@ def export_history(results: DataFrame, path: str, schema_version: int = 1) -> No
     order = [c for c in ("recorded_at", "suite", "test", "run_id", "attempt", "evidence_id") if c in results.columns]
     parts = max(1, -(-results.count() // EXPORT_RECORDS))
     ranged = results.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    records = ranged.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*results.columns).alias("r")))).alias("rows"))
+    # A task puts together the few manifests it gets, not all that a session's number of partitions would give it.
+    records = ranged.repartition(parts, "part").groupBy("part").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*results.columns).alias("r")))).alias("rows"))
     manifests = records.select(
         F.lit(EXPORT_VERSION).alias("export_version"), F.lit(schema_version).alias("schema_version"), F.col("part"),
         F.size("rows").alias("count"), F.transform("rows", lambda x: x["r"]).alias("records"))

@@ -96,3 +96,13 @@ def test_history_row_that_moves_to_another_day(spark, tmp_path):
     tables.upsert_history(spark, make([("s", "t", "r", 1, "passed", 3, "2024-01-02 00:00:00")]), path)
     rows = spark.read.parquet(path).orderBy("test").collect()
     assert [(r.test, r.status, str(r.recorded_at)[:10]) for r in rows] == [("t", "passed", "2024-01-02"), ("u", "failed", "2024-01-03")]
+
+
+def test_texts_of_an_export_stay_out_of_its_count(spark):
+    """Positions over all manifests: one task sees two numbers a manifest, never their texts."""
+    from faultlens.catalog.registry import QUERIES
+
+    plan = QUERIES["K03_history_export"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "Window [" in line]
+    assert below and all("AS part#" in line and "AS count#" in line and line.count("get_json_object") == 2 and "Project [value#" not in line for line in below)
