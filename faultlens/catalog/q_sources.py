@@ -75,17 +75,22 @@ def split_log_messages(d: Data):
     return LL.messages(_long_logs(d), key="log")
 
 
+REPORT_CASES = 500_000  # for which each suite gets one more report file
+
+
 @query("S05_split_reports", sql=f"""
 SELECT suite, test, status, attempt, CAST(floor(CAST(secs AS DOUBLE) * 1000) AS INT) AS duration_ms, CASE WHEN message = '' THEN '' ELSE sha256(message) END AS failure_signature FROM ({JUNIT_ROWS})""")
 def split_reports(d: Data):
-    """One report file for each suite, read back in pieces."""
+    """Each suite's cases in report files of bounded size (an artifact's cases of a suite in one), read back in pieces."""
     folder = scratch(d, "reports")
-    rows = d.v_junit_piece.select(F.regexp_extract("piece", r"/s(\d+)", 1).alias("suite"), "artifact_id", "pos", "piece")
-    ends = rows.select("suite").distinct().select("suite", F.inline(F.array(
+    files = max(1, -(-d.events.count() // REPORT_CASES))
+    part = F.pmod(F.xxhash64("artifact_id"), F.lit(files)).cast("int").alias("part")
+    rows = d.v_junit_piece.select(F.regexp_extract("piece", r'classname="suite\.S(\d+)"', 1).alias("suite"), part, "artifact_id", F.col("pos").cast("int").alias("pos"), "piece")
+    ends = rows.select("suite", "part").distinct().select("suite", "part", F.inline(F.array(
         F.struct(F.lit("").alias("artifact_id"), F.lit(-1).alias("pos"), F.lit('<?xml version="1.0"?><testsuites><testsuite name="a>b">').alias("piece")),
         F.struct(F.lit("~").alias("artifact_id"), F.lit(-1).alias("pos"), F.lit("</testsuite></testsuites>").alias("piece")))))
-    rows.select("suite", "artifact_id", F.col("pos").cast("int").alias("pos"), "piece").unionByName(ends).repartition("suite").sortWithinPartitions("suite", "artifact_id", "pos").select(
-        "suite", "piece").write.partitionBy("suite").text(folder)
+    dealt = rows.unionByName(ends).repartition(max(files, int(d.spark.conf.get("spark.sql.shuffle.partitions"))), "suite", "part")
+    dealt.sortWithinPartitions("suite", "part", "artifact_id", "pos").select("suite", "part", "piece").write.partitionBy("suite", "part").text(folder)
     return R.results_of(R.read_junit_cases(d.spark, folder, "*.txt"), "path").select("suite", "test", "status", "attempt", "duration_ms", "failure_signature")
 
 

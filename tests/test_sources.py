@@ -100,9 +100,9 @@ def test_history_row_that_moves_to_another_day(spark, tmp_path):
 
 def test_texts_of_an_export_stay_out_of_its_count(spark):
     """Positions over all manifests: one task sees two numbers a manifest, never their texts."""
-    from faultlens.catalog.registry import QUERIES
+    from __spark_entry__ import queries
 
-    plan = QUERIES["K03_history_export"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = queries()["K03_history_export"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
     below = [lines[i + 1] for i, line in enumerate(lines) if "Window [" in line]
     assert below and all("AS part#" in line and "AS count#" in line and line.count("get_json_object") == 2 and "Project [value#" not in line for line in below)

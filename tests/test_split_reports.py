@@ -40,3 +40,20 @@ def test_pieces_give_what_the_whole_report_gives(spark, tmp_path, pieces):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_blocks_of_a_piece_give_what_the_whole_report_gives(spark, tmp_path, monkeypatch):
+    from faultlens.sources import records
+
+    monkeypatch.setattr(records, "BLOCK", 64)
+    folder = tmp_path / "blocks"
+    folder.mkdir()
+    for name, cases in (("a.xml", 300), ("b.xml", 40), ("none.xml", 0)):
+        (folder / name).write_bytes(report(random.Random(3), cases).encode())
+    (folder / "typed.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]>' + report(random.Random(3), 50))
+    name = lambda path: path.rsplit("/", 1)[1]
+    columns = ["pos", "name", "file", "suite", "duration_ms", "notes", "rerun", "rerun_message", "skipped"]
+    shown = lambda df: sorted(str((name(r.path), *[r[c] for c in columns])) for r in df.collect())
+    whole = spark.read.text(str(folder), wholetext=True).select(F.col("_metadata.file_path").alias("path"), newline_normalized("value").alias("text"))
+    cut = read_junit_cases(spark, str(folder))
+    assert shown(cut) == shown(junit_cases(whole, "path")) and cut.count() == 340
