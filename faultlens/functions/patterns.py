@@ -346,4 +346,12 @@ SCREENS = {
     NPM_NOISE: ("npm err!",),
     K8S_HEADER: ("events:",),
     K8S_WARNING: ("warning",),
+    PY_FRAME: ('", line ',),
+    PY_FRAME_IN: (".py",),
+    PY_FRAME_SHORT: (".py",),
+    COMPILE_FRAME: ("error",),
+    CONFIG_FRAME: (".yaml", ".yml", ".tf", ".tpl"),
+    TERRAFORM_FRAME: (".yaml", ".yml", ".tf", ".tpl"),
+    JAVA_FRAME: (".java",),
+    CSHARP_FRAME: (".cs:line",),
 }
