@@ -353,5 +353,5 @@ SCREENS = {
     CONFIG_FRAME: (".yaml", ".yml", ".tf", ".tpl"),
     TERRAFORM_FRAME: (".yaml", ".yml", ".tf", ".tpl"),
     JAVA_FRAME: (".java",),
-    CSHARP_FRAME: (".cs:line",),
+    CSHARP_FRAME: (".cs",),
 }
