@@ -1,9 +1,9 @@
 """Audit of how the sources of a language differ in their words.
 
-Tasks count words with Arrow's compute functions (lower-casing, splitting, dictionary encoding, hash grouping) and hand on partial counts,
-which a shuffle merges. The merged counts are dealt out as shards, each some words of a language in columns; a shard computes what its
-words add to the divergence of each two sources that share them and the words by which each source stands out. What words add that
-only one or neither of two sources has depends on counts alone, and so comes from the histogram of each source's counts. All
+Tasks cut lower-cased texts into words at the bytes that are no letters, count them and hand on partial counts as shards, each some words of a
+language in columns, one row a shard; a shuffle brings a shard's parts together, which are merged, and words in too few documents go. A shard
+computes what its words add to the divergence of each two sources that share them and the words by which each source stands out. What words add
+that only one or neither of two sources has depends on counts alone, and so comes from the histogram of each source's counts. All
 arithmetic is whole-number and exact.
 """
 from __future__ import annotations
@@ -17,51 +17,104 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faultlens.llm.ngram_lm import mixed
 from faultlens.llm.registry import query, table
 from faultlens.llm.shared import releasing, written
+from faultlens.llm.token_files import word_hashes
 
 LEAST_DOCUMENTS = 3
 TERMS = 200
 UNIT = 1_000_000_000
-HELD_ROWS = 300_000  # partial counts of a task before they are merged
+HELD_ROWS = 1_000_000  # partial counts of a task before they are handed on
+TASK_ROWS = 400_000  # different counts of a task, about
 SHARD_ROWS = 200_000  # counts of a shard, about
+SHARDS = 16, 2048  # of a language: at least, at most, as each task writes a row for each
 PAIR_ROWS = 1_000_000  # pairs of counts looked at together
 BROADCAST_GROUPS = 20_000  # rows of groups of about 100 bytes; more are shuffled
 SALTS = 32
 
-_SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_COUNTS = "lang string, source string, term string, count long, docs long"
+_LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 0 for c in range(256)], np.uint8)
+_SHARDS = "lang string, shard int, sources array<string>, counts binary"
+_MERGED = "lang string, shard int, part string, source string, n long, terms long, sources array<string>, counts binary"
 _PARTS = "lang string, source string, part string, item string, value long"
+#: A shard's counts: a row for each term (null: the group itself), with the places of its sources among the shard's.
+_COLUMNS = pa.schema([("term", pa.string()), ("source", pa.list_(pa.int32())), ("count", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each word, and all words in order."""
+    text = pc.fill_null(text, "").cast(pa.string())
+    bounds = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+    data = text.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None and bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    letters = _LETTERS[data]
+    real = letters != 0
+    # A word begins after a byte that is none of its letters or with a text, and ends before one or with a text.
+    edge = bounds[(bounds > 0) & (bounds < len(real))]
+    begins, ends = real.copy(), real.copy()
+    begins[1:] &= ~real[:-1]
+    ends[:-1] &= ~real[1:]
+    begins[edge], ends[edge - 1] = real[edge], real[edge - 1]
+    starts = np.flatnonzero(begins)
+    sizes = np.flatnonzero(ends) + 1 - starts
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    row = np.repeat(np.arange(len(text)), np.diff(np.searchsorted(starts, bounds)))
+    return row, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters[real]))
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each key of a sorted array stands first."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def _sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, firsts) if len(firsts) else np.empty(0, np.int64)
+
+
+def _counted(lang: pa.Array, source: pa.Array, term: pa.Array, count: np.ndarray, docs: np.ndarray) -> pa.Table:
+    return pa.table({"lang": lang, "source": source, "term": term, "count": pa.array(count, pa.int64()), "docs": pa.array(docs, pa.int64())})
 
 
 def _batch_counts(lang: pa.Array, source: pa.Array, text: pa.Array) -> pa.Table:
     """Occurrences and documents of each term in each group of the batch; a null term for the group itself."""
-    lang, source = (pc.fill_null(column, "").dictionary_encode() for column in (lang, source))
-    group = pc.add(pc.multiply(lang.indices.cast(pa.int64()), max(1, len(source.dictionary))), source.indices.cast(pa.int64()))
-    split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(text, "")), _SEPARATORS)
-    row, words = pc.list_parent_indices(split), pc.list_flatten(split)
-    real = pc.not_equal(words, "")
-    row, words = row.filter(real).cast(pa.int64()), words.filter(real).dictionary_encode()
-    by_row = pa.table({"row": row, "word": words.indices}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")])
-    by_group = pa.table({"group": group.take(by_row["row"].combine_chunks()), "word": by_row["word"], "n": by_row["count_all"]}).group_by(
-        ["group", "word"], use_threads=False).aggregate([("n", "sum"), ("n", "count")])
-    present = pc.unique(group)
-    number = pa.concat_arrays([by_group["group"].combine_chunks(), present])
-    width = max(1, len(source.dictionary))
-    nothing = pa.array(np.zeros(len(present), np.int64))
-    return pa.table({
-        "lang": lang.dictionary.take(pc.divide(number, width)),
-        "source": source.dictionary.take(pc.subtract(number, pc.multiply(pc.divide(number, width), width))),
-        "term": pa.concat_arrays([words.dictionary.take(by_group["word"].combine_chunks()), pa.nulls(len(present), pa.string())]),
-        "count": pa.concat_arrays([by_group["n_sum"].combine_chunks(), nothing]),
-        "docs": pa.concat_arrays([by_group["n_count"].combine_chunks(), nothing])})
+    lang, source = (pc.fill_null(column, "").cast(pa.string()).dictionary_encode() for column in (lang, source))
+    width = len(source.dictionary)
+    group = lang.indices.to_numpy().astype(np.int64) * width + source.indices.to_numpy()
+    row, words = _words(text)
+    words = words.dictionary_encode()
+    # Sorted by group, word and row at once.
+    present, number = np.unique(group, return_inverse=True)
+    keys = (number[row] * len(words.dictionary) + words.indices.to_numpy()) * len(group) + row
+    keys.sort()
+    by_row = _firsts(keys)
+    by_word = _firsts(keys[by_row] // max(1, len(group)))
+    first = by_row[by_word]
+    number, word = np.divmod(keys[first] // max(1, len(group)), max(1, len(words.dictionary)))
+    count, docs = np.diff(np.append(first, len(keys))), np.diff(np.append(by_word, len(by_row)))
+    group, nothing = np.concatenate([present[number], present]), np.zeros(len(present), np.int64)
+    of = lambda column, index: pa.DictionaryArray.from_arrays(pa.array(index.astype(np.int32)), column.dictionary)
+    term = pa.DictionaryArray.from_arrays(pa.concat_arrays([pa.array(word.astype(np.int32)), pa.nulls(len(present), pa.int32())]), words.dictionary)
+    return _counted(of(lang, group // width), of(source, group % width), term, np.concatenate([count, nothing]), np.concatenate([docs, nothing]))
+
+
+def _places(column: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray]:
+    """Dictionary of a column, and the places of the values in it; -1 for null."""
+    return column.dictionary, pc.fill_null(column.indices, -1).to_numpy().astype(np.int64)
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
     if len(tables) == 1:
         return tables[0]
-    grouped = pa.concat_tables(tables).group_by(["lang", "source", "term"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
-    return grouped.select(["lang", "source", "term", "count_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "count", "docs"])
+    whole = pa.concat_tables(tables).unify_dictionaries().combine_chunks().to_batches()[0]
+    (langs, lang), (sources, source), (terms, term) = (_places(whole[c]) for c in ("lang", "source", "term"))
+    keys = (lang * len(sources) + source) * (len(terms) + 1) + term + 1
+    order = np.argsort(keys)
+    first = _firsts(keys[order])
+    at = order[first]
+    of = lambda values, index: pa.DictionaryArray.from_arrays(pa.array(index[at].astype(np.int32), mask=index[at] < 0), values)
+    return _counted(of(langs, lang), of(sources, source), of(terms, term), *(_sums(whole[c].to_numpy()[order], first) for c in ("count", "docs")))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +136,96 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _merged(held).combine_chunks().to_batches()
 
 
+def _packed(terms: pa.Array, term: np.ndarray, source: np.ndarray, count: np.ndarray, docs: np.ndarray, names: pa.Array, ends: np.ndarray) -> Iterator[tuple[pa.Array, bytes]]:
+    """Names of the sources and counts in columns of each piece of rows that are sorted by term (-1: null) within pieces, which end at ``ends``."""
+    firsts = _firsts(term)
+    firsts = np.union1d(firsts, ends[:-1]) if len(term) else firsts
+    source = source.copy()
+    used, begin = [], 0
+    for end in ends:
+        present = np.zeros(len(names), bool)
+        present[source[begin:end]] = True
+        used.append(np.flatnonzero(present))
+        source[begin:end] = (np.cumsum(present) - 1)[source[begin:end]]
+        begin = end
+    offsets = pa.array(np.append(firsts, len(term)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(values, kind)) for values, kind in ((source.astype(np.int32), pa.int32()), (count, pa.int64()), (docs, pa.int64()))]
+    batch = pa.RecordBatch.from_arrays([terms.take(pa.array(term[firsts], mask=term[firsts] < 0)), *lists], schema=_COLUMNS)
+    begin = 0
+    for own, end in zip(used, np.searchsorted(firsts, ends).tolist(), strict=True):
+        yield names.take(pa.array(own)), batch.slice(begin, end - begin).serialize().to_pybytes()
+        begin = end
+
+
+def _unpacked(sources: list[list[str]], counts: list[bytes]) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, terms, and a row for each count: places of term (-1: null) and source, count, documents."""
+    names: dict[str, int] = {}
+    parts = []
+    for own, data in zip(sources, counts, strict=True):
+        place = np.array([names.setdefault(name, len(names)) for name in own], np.int64)
+        batch = pa.ipc.read_record_batch(pa.py_buffer(data), _COLUMNS)
+        sizes = np.diff(batch.column("source").offsets.to_numpy())
+        values = [batch.column(c).flatten().to_numpy() for c in ("source", "count", "docs")]
+        parts.append((batch.column("term"), sizes, place[values[0]], *values[1:]))
+    terms = pa.chunked_array([p[0] for p in parts], pa.string()).combine_chunks().dictionary_encode()
+    terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
+    sizes, source, count, docs = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+    return list(names), terms.dictionary, np.repeat(pc.fill_null(terms.indices, -1).to_numpy().astype(np.int64), sizes), source, count, docs
+
+
+def _sharder(shards: int):
+    """Partial counts of a task as rows ``lang, shard, sources, counts``; a language's shards are numbered by a hash of the term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _counter(batches):
+            (langs, lang), (names, source), (terms, term) = (_places(batch.column(c)) for c in ("lang", "source", "term"))
+            shard = np.append(mixed(word_hashes(terms)) % np.uint64(shards), np.uint64(0)).astype(np.int64)[term]  # a null term's is 0
+            order = np.lexsort((term, shard, lang))
+            keys = (lang * shards + shard)[order]
+            first = _firsts(keys)
+            count, docs = (batch.column(c).to_numpy()[order] for c in ("count", "docs"))
+            packed = list(_packed(terms, term[order], source[order], count, docs, names, np.append(first[1:], len(keys))))
+            yield pa.RecordBatch.from_arrays([
+                langs.take(pa.array(keys[first] // shards)), pa.array((keys[first] % shards).astype(np.int32)),
+                pa.array([own.to_pylist() for own, _ in packed], pa.list_(pa.string())), pa.array([data for _, data in packed], pa.binary())],
+                ["lang", "shard", "sources", "counts"])
+
+    return run
+
+
+def _merger(least: int):
+    """A shard's counts of terms in at least ``least`` documents, and what adds up over shards.
+
+    ``shard`` rows hold the counts, ``source`` rows a source's occurrences and terms, ``lang`` rows the language's, ``many`` rows how many terms a source has ``n`` times.
+    """
+
+    def run(parts: pa.Table) -> pa.Table:
+        lang, shard = parts.column("lang")[0].as_py(), parts.column("shard")[0].as_py()
+        names, terms, term, source, count, docs = _unpacked(parts.column("sources").to_pylist(), parts.column("counts").to_pylist())
+        keys = (term + 1) * len(names) + source
+        order = np.argsort(keys)
+        first = _firsts(keys[order])
+        term, source, count, docs = term[order][first], source[order][first], _sums(count[order], first), _sums(docs[order], first)
+        first = _firsts(term)
+        frequent = np.repeat((_sums(docs, first) >= least) & (term[first] >= 0), np.diff(np.append(first, len(term))))
+        term, source, count, docs = term[frequent], source[frequent], count[frequent], docs[frequent]
+        n = np.zeros(len(names), np.int64)
+        np.add.at(n, source, count)
+        rows = [("source", names, n, np.bincount(source, minlength=len(names)), None), ("lang", [""], [count.sum()], [len(_firsts(term))], None)]
+        order = np.lexsort((count, source))
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(source[order]) != 0) | (np.diff(count[order]) != 0)])) if len(order) else np.empty(0, np.int64)
+        rows.append(("many", [names[i] for i in source[order][first].tolist()], count[order][first], np.diff(np.append(first, len(order))), None))
+        if len(term):
+            rows.append(("shard", [""], [0], [0], list(_packed(terms, term, source, count, docs, pa.array(names, pa.string()), np.array([len(term)])))))
+        return pa.concat_tables([pa.table({
+            "lang": pa.array([lang] * len(own), pa.string()), "shard": pa.array([shard] * len(own), pa.int32()), "part": pa.array([part] * len(own), pa.string()),
+            "source": pa.array(own, pa.string()), "n": pa.array(n, pa.int64()), "terms": pa.array(many, pa.int64()),
+            "sources": pa.array([x.to_pylist() for x, _ in packed] if packed else [None] * len(own), pa.list_(pa.string())),
+            "counts": pa.array([x for _, x in packed] if packed else [None] * len(own), pa.binary())}) for part, own, n, many, packed in rows])
+
+    return run
+
+
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     """1 + floor(UNIT * (count + 1) / total), exact while total is below 2**53; three digits at a time."""
     rest, out = count + 1, np.zeros(len(count), np.int64)
@@ -113,17 +256,20 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _shard(terms: int):
-    """Rows ``lang, source, term, count, all_count, total, all_total`` of a shard: parts of divergences and standing-out terms.
+    """Parts of divergences and standing-out terms of a shard, from its counts and rows ``source, total, all_total`` of its sources.
 
     ``pair`` rows hold, for two sources that share terms, what these add beyond what the histograms say; ``term`` rows the shard's best terms.
     """
 
-    def run(shard: pa.Table) -> pa.Table:
+    def run(shard: pa.Table, sizes: pa.Table) -> pa.Table:
+        if not shard.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in (("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64()))})
         lang = shard.column("lang")[0].as_py()
-        count, all_count, total, all_total = (shard.column(c).to_numpy() for c in ("count", "all_count", "total", "all_total"))
-        names, items = (shard.column(c).combine_chunks().dictionary_encode() for c in ("source", "term"))
-        source, term = names.indices.to_numpy().astype(np.int64), items.indices.to_numpy()
-        names, items = names.dictionary.to_pylist(), items.dictionary
+        names, items, term, source, count, _ = _unpacked(shard.column("sources").to_pylist(), shard.column("counts").to_pylist())
+        place = pc.index_in(pa.array(names, pa.string()), sizes.column("source").combine_chunks()).to_numpy()
+        total, all_total = (sizes.column(c).to_numpy()[place][source] for c in ("total", "all_total"))
+        first = _firsts(term)
+        all_count = np.repeat(_sums(count, first), np.diff(np.append(first, len(term))))
         p, none = shares(count, total), shares(np.zeros(len(count), np.int64), total)
         out = []
 
@@ -136,15 +282,16 @@ def _shard(terms: int):
         order = order[above[order]]
         first = np.searchsorted(source[order], source[order], "left")
         order = order[np.arange(len(order)) - first < terms]
+        known = pa.array(names, pa.string())
         out.append(("term", source[order], items.take(pa.array(term[order])), value[order]))
 
         # Each two sources of each shared term, in pieces of bounded size.
-        order = np.argsort(term, kind="stable")
-        source, p, none, term = source[order], p[order], none[order], term[order]
         begins = np.searchsorted(term, term, "left")
         sizes = np.searchsorted(term, term, "right") - begins
         ends = np.cumsum(sizes)
-        sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        dense = len(names) ** 2 <= PAIR_ROWS
+        sums = np.arange(len(names) ** 2 if dense else 0), np.zeros(len(names) ** 2 if dense else 0, np.int64)
+        seen = np.zeros(len(sums[0]), bool)
         begun = 0
         while begun < len(term):
             before = ends[begun - 1] if begun else 0
@@ -154,12 +301,17 @@ def _shard(terms: int):
             right = np.repeat(begins[own] - (ends[own] - sizes[own]) + before, sizes[own]) + np.arange(len(left))
             left, right = left[left != right], right[left != right]
             more = _gaps(p[left], p[right]) - _gaps(p[left], none[right]) - _gaps(none[left], p[right]) + _gaps(none[left], none[right])
-            keys, at = np.unique(np.concatenate([sums[0], source[left] * len(names) + source[right]]), return_inverse=True)
-            added = np.zeros(len(keys), np.int64)
-            np.add.at(added, at, np.concatenate([sums[1], more]))
-            sums = keys, added
+            keys = source[left] * len(names) + source[right]
+            if dense:
+                np.add.at(sums[1], keys, more)
+                seen[keys] = True
+            else:
+                keys, more = np.concatenate([sums[0], keys]), np.concatenate([sums[1], more])
+                order = np.argsort(keys)
+                first = _firsts(keys[order])
+                sums = keys[order][first], _sums(more[order], first)
             begun = end
-        known = pa.array(names, pa.string())
+        sums = (sums[0][seen], sums[1][seen]) if dense else sums
         out.append(("pair", sums[0] // max(1, len(names)), known.take(pa.array(sums[0] % max(1, len(names)))), sums[1]))
         tables = [pa.table({
             "lang": pa.array([lang] * len(value), pa.string()), "source": known.take(pa.array(group)), "part": pa.array([part] * len(value), pa.string()),
@@ -188,33 +340,29 @@ def source_divergences(docs: DataFrame, lang: str = "lang", source: str = "sourc
     left out; an empty table gives no rows. A sum beyond 64 bits is an error.
     """
     rows = docs.select(*[F.col(c).cast("string").alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
-    partial = rows.mapInArrow(releasing(_counter), _COUNTS)
-    counts = written(partial.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "counts")
-    frequent = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all_count")).where(F.col("docs") >= least).drop("docs")
-    kept = written(counts.drop("docs").join(frequent, ["lang", "term"]), "kept")
-
-    sizes = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("present"))
-    terms_of = kept.select("lang", "term", "all_count").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_count").alias("all_n"))
-    parts = sizes.groupBy("lang").agg((F.sum("present") / F.lit(SHARD_ROWS)).cast("long").alias("more"))
+    shards = max(SHARDS[0], min(SHARDS[1], rows.rdd.getNumPartitions() * TASK_ROWS // SHARD_ROWS))
+    partial = rows.mapInArrow(releasing(_sharder(shards)), _SHARDS)
+    merged = written(partial.groupBy("lang", "shard").applyInArrow(_merger(least), _MERGED), "counts")
+
+    sizes = merged.where("part = 'source'").groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("terms").alias("present"))
+    terms_of = merged.where("part = 'lang'").groupBy("lang").agg(F.sum("terms").alias("v"), F.sum("n").alias("all_n"))
     zero = F.lit(0).cast("long")
     groups = written(
-        counts.where("term IS NULL").select("lang", "source").join(sizes, ["lang", "source"], "left").join(terms_of, "lang", "left").join(parts, "lang", "left")
-        .select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("n", "present", "v", "all_n", "more")])
+        sizes.join(terms_of, "lang")
         .select("*", (F.col("n") + F.col("v")).alias("total"), (F.col("all_n") + F.col("v")).alias("all_total"), _share(zero, F.col("n") + F.col("v")).alias("none")), "groups")
     few = groups.count() <= BROADCAST_GROUPS
     some = F.broadcast(groups) if few else groups
-    shards = (
-        kept.join(some.select("lang", "source", "total", "all_total", "more"), ["lang", "source"])
-        .withColumn("shard", F.pmod(F.xxhash64("term"), F.col("more") + 1)).drop("more")
-        .groupBy("lang", "shard").applyInArrow(_shard(terms), _PARTS))
-    found = written(shards, "parts")
+    kept = merged.where("part = 'shard'").select("lang", "shard", "sources", "counts")
+    totals = kept.select("lang", F.col("shard").alias("of"), F.explode("sources").alias("source")).join(some.select("lang", "source", "total", "all_total"), ["lang", "source"])
+    totals = totals.select(F.col("lang").alias("its"), "of", "source", "total", "all_total")
+    found = written(kept.groupBy("lang", "shard").cogroup(totals.groupBy("its", "of")).applyInArrow(_shard(terms), _PARTS), "parts")
 
     others = groups.select("lang", F.col("source").alias("other"), F.col("none").alias("other_none"), F.col("present").alias("other_present"))
     base = _beside(groups.select("lang", "source", "v", "none", "present"), others, few).select(
         "lang", "source", F.col("other").alias("item"),
         F.coalesce((F.col("v") - F.col("present") - F.col("other_present")) * _gap(F.col("none"), F.col("other_none")), zero).alias("value"))
     histogram = (
-        kept.groupBy("lang", "source", "count").agg(F.count("*").alias("terms"))
+        merged.where("part = 'many'").groupBy("lang", "source", F.col("n").alias("count")).agg(F.sum("terms").alias("terms"))
         .join(some.select("lang", "source", "total"), ["lang", "source"]).select("lang", "source", "terms", _share(F.col("count"), F.col("total")).alias("p")))
     alone = _beside(histogram, others.drop("other_present"), few).groupBy("lang", "source", "other").agg(
         F.sum(F.col("terms") * _gap(F.col("p"), F.col("other_none"))).alias("own"), F.sum(F.col("terms") * _gap(F.col("other_none"), F.col("p"))).alias("its"))

@@ -94,3 +94,29 @@ def test_shares_are_exact():
     total = [c + 1 + rng.randrange(1 << 52) for c in count]
     got = shares(np.array(count, np.int64), np.array(total, np.int64))
     assert got.tolist() == [1 + 1_000_000_000 * (c + 1) // t for c, t in zip(count, total, strict=True)]
+
+
+def test_words_are_cut_at_bytes_that_are_no_letters():
+    texts = ["", None, "Ab", "c-D", " e ", "É日本x9y", "\x00", "Ünï", "zz", "", "A" * 5000 + "1b"]
+    for piece in (texts, texts[2:4], ["", None], []):
+        row, words = divergence._words(pa.array(texts + piece, pa.string()).slice(len(texts)))  # a slice of a longer column
+        want = [(i, w) for i, t in enumerate(piece) for w in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))]
+        assert list(zip(row.tolist(), words.to_pylist())) == want
+
+
+def test_a_task_hands_on_a_row_for_each_shard_not_for_each_term():
+    rows = [("en" if i % 3 else "de", f"s{i % 4}", " ".join(f"w{chr(97 + j % 26)}{'xyz'[j % 3] * (j % 40)}" for j in range(i, i + 300))) for i in range(200)] + [("fr", "none", None)]
+    batches = [pa.RecordBatch.from_pydict({name: pa.array([row[i] for row in rows[at:at + 20]], pa.string()) for i, name in enumerate(("lang", "source", "text"))}) for at in range(0, len(rows), 20)]
+    out = [row for batch in divergence._sharder(8)(iter(batches)) for row in batch.to_pylist()]
+    assert len(out) == len({(row["lang"], row["shard"]) for row in out}) <= 3 * 8
+    want, got = Counter(), Counter()
+    for lang, source, text in rows:
+        want.update((lang, source, word) for word in re.findall("[a-z]+", text or ""))
+    for row in out:
+        names, terms, term, source, count, docs = divergence._unpacked([row["sources"]], [row["counts"]])
+        for t, s, c, d in zip(term.tolist(), source.tolist(), count.tolist(), docs.tolist(), strict=True):
+            assert d <= c and (t >= 0 or c == 0)
+            if t >= 0:
+                got[row["lang"], names[s], terms[t].as_py()] += c
+    assert got == want
+    assert ("fr", 0, ["none"]) in [(row["lang"], row["shard"], row["sources"]) for row in out]
