@@ -1,9 +1,15 @@
 """File discovery and document tables."""
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultlens.functions.text import newline_normalized
+from faultlens.plans.lineage import ensure_checkpoint_dir
 from faultlens.plans.ordered import running_totals
 
 SUFFIXES = (".log", ".xml", ".sarif", ".json")
@@ -49,15 +55,97 @@ def supported(files: DataFrame, root: str = "", suffixes: tuple[str, ...] = SUFF
     return without_sidecars(kept) if {".log", ".json"} <= set(suffixes) else kept
 
 
+LISTED_ROWS = 10_000  # files of a batch of a listing
+FOLDERS = 1000  # that a task lists, about
+TASK_BYTES, FILE_BYTES = 128 << 20, 32 << 10  # content that a task reads, about; opening a file counts as so many bytes
+BATCH_BYTES = 8 << 20  # content held before it is handed on, and at most one file more
+
+
+def _lister():
+    """Files and folders right in each folder ``path``; names that Spark's readers leave out are left out, as are files without a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+        for folders in batches:
+            for path in folders.column("path").to_pylist():
+                rows = []
+                with os.scandir(path.removeprefix("file:")) as entries:
+                    for entry in entries:
+                        if entry.name.startswith(".") or (entry.name.startswith("_") and "=" not in entry.name) or entry.name.endswith("._COPYING_"):
+                            continue
+                        try:
+                            folder, size = entry.is_dir(), entry.stat().st_size
+                        except FileNotFoundError:  # a link to nothing
+                            continue
+                        if folder or size:
+                            rows.append((f"{path.rstrip('/')}/{entry.name}", size, folder))
+                        if len(rows) >= LISTED_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], schema=shape)
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], schema=shape)
+
+    return run
+
+
+def _reader():
+    """Files ``path, ext, size`` with their content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files in batches:
+            content, begin, held = [], 0, 0
+            for end, path in enumerate(files.column("path").to_pylist(), 1):
+                with open(path.removeprefix("file:"), "rb") as file:
+                    content.append(file.read())
+                held += len(content[-1])
+                if held >= BATCH_BYTES or end == files.num_rows:
+                    yield pa.RecordBatch.from_arrays([*files.slice(begin, end - begin).columns, pa.array(content, pa.binary())], ["path", "ext", "size", "content"])
+                    content, begin, held = [], end, 0
+
+    return run
+
+
+def _local_folder(spark: SparkSession, folder: str) -> str | None:
+    """The folder as Spark writes its path, if it lies in a file system that is mounted everywhere; None for stores, patterns and what is no folder."""
+    if any(c in folder for c in "*?[{"):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = system.makeQualified(path).toString()
+    return named if named.startswith("file:/") and system.exists(path) and system.getFileStatus(path).isDirectory() else None
+
+
+def _files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of every file below a mounted folder, level by level: tasks list the folders that tasks found, and nothing is held by the driver."""
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultlens-files-{uuid.uuid4().hex}"
+    shape = "path string, size bigint, folder boolean"
+    levels, folders, many = [], spark.createDataFrame([(root,)], "path string"), 1
+    while many:
+        levels.append(f"{target}/{len(levels)}")
+        tasks = min(many, max(4 * spark.sparkContext.defaultParallelism, many // FOLDERS))
+        folders.repartition(tasks, "path").mapInArrow(_lister(), shape).write.parquet(levels[-1])
+        folders = spark.read.schema(shape).parquet(levels[-1]).where("folder").select("path")
+        many = folders.count()
+    return spark.read.schema(shape).parquet(*levels).where("NOT folder").select("path", "size")
+
+
 def read_artifacts(spark: SparkSession, folder: str, recursive: bool = True, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """artifact(artifact_id, path, ext, size, text) of the supported files below a folder.
 
-    Path filters run before content is loaded. Undecodable bytes become replacement characters.
+    Path filters run before content is loaded. Undecodable bytes become replacement characters. Below a folder that executors have mounted, tasks
+    list and read the files, so their number is no matter to the driver; elsewhere Spark's reader lists them there.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    base = files.select("path", F.col("length").alias("size"), "content")
+    root = _local_folder(spark, folder) if recursive else None
+    if root is not None:
+        files = supported(_files_below(spark, root), folder, suffixes).select("path", "ext", "size")
+        work = files.agg(F.coalesce(F.sum(F.col("size") + FILE_BYTES), F.lit(0))).first()[0]
+        tasks = max(spark.sparkContext.defaultParallelism, -(-work // TASK_BYTES))
+        found = files.repartition(tasks, "path").mapInArrow(_reader(), "path string, ext string, size bigint, content binary")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+        found = supported(files.select("path", F.col("length").alias("size"), "content"), folder, suffixes)
     text = newline_normalized(decode_text(F.col("content")))
-    return supported(base, folder, suffixes).select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
+    return found.select(F.sha2("path", 256).alias("artifact_id"), "path", "ext", "size", text.alias("text"))
 
 
 BROADCAST_PIECES = 500_000  # pieces of logs whose numbers go to every task: 40 bytes each
