@@ -290,7 +290,8 @@ INCIDENT_NOISE = ci(
 # alternatives at every character, and most texts hold no word of most patterns.
 SCREENS = {
     TEST_MARKERS: (
-        " test", ".test", ".spec", "===== errors", "--- fail", "failed!", "failure", "test result", "total of", "junit", "pytest", "rspec", "running ", "test session", "testsuite:"),
+        "cargo test", "go test", "make test", "npm test", "ran ", ".test", ".spec", "===== errors", "--- fail", "failed!", "failure", "test result", "total of", "junit",
+        "pytest", "rspec", "running ", "test session", "testsuite:"),
     BUILD_MARKERS: (
         ".java:", "::error::", "cannot find", "compil", "could not install", "error ", "error[e", "gcc ", "go build", "importerror", "make",
         "modulenotfound", "npm run build", "tsc ", "undefined reference"),
@@ -354,4 +355,30 @@ SCREENS = {
     TERRAFORM_FRAME: (".yaml", ".yml", ".tf", ".tpl"),
     JAVA_FRAME: (".java",),
     CSHARP_FRAME: (".cs",),
+    ENTITY_FIELDS["request_id"]: ("request_id", "requestid", "req_id", "x-request-id", "rid"),
+    ENTITY_FIELDS["trace_id"]: ("trace_id", "traceid"),
+    ENTITY_FIELDS["session_id"]: ("session", "sid"),
+    ENTITY_FIELDS["user_id"]: ("user", "actor"),
+    METHOD_FIELD: ("method",),
+    METHOD_PATH: ("get", "post", "put", "delete", "patch", "head", "options"),
+    IMPACT_OUTAGE: ("outage", "service disruption", "major incident", "customer", "unavailable", "error budget", "sla breach"),
+    IMPACT_DEGRADED: ("degraded", "partial", "error rate", "latency", "p95", "p99", "slow", "intermittent", "impacted"),
+    LOG_IMPACT_OUTAGE: ("outage", "service disruption", "major incident", "customer", "unavailable", "sla breach"),
+    LOG_IMPACT_NONE: ("no ", "recovered", "rollback"),
+    RELEASE_NAME: ("release",),
+    RELEASE_HELM: ("helm",),
+    OUTCOME_FAILED: ("failed", "error", "deadline"),
+    DEPLOYMENT_HINTS["namespace"]: ("namespace", " -n "),
+    DEPLOYMENT_HINTS["target"]: ("deployment", "statefulset", "daemonset"),
+    DEPLOYMENT_HINTS["artifact"]: ("image",),
+    DEPLOYMENT_HINTS["revision"]: ("revision", "version"),
+    DEPLOYMENT_HINTS["previous_revision"]: ("previous_revision", "prev_revision", "previous revision"),
+    DEPLOYMENT_HINTS["service"]: ("service",),
+    DEPLOYMENT_HINTS["workload"]: ("workload",),
+    DEPLOYMENT_HINTS["commit"]: ("commit",),
+    DEPLOYMENT_HINTS["image_digest"]: ("sha256:",),
+    DEPLOYMENT_HINTS["started_at"]: ("started",),
+    DEPLOYMENT_HINTS["finished_at"]: ("finished", "completed_at", "ended_at"),
+    DEPLOYMENT_HINTS["strategy"]: ("strategy",),
+    DEPLOYMENT_HINTS["migration_version"]: ("migration", "schema version"),
 }

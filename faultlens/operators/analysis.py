@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultlens.functions.redaction import redact_counted, hit_total
+from faultlens.functions.text import split_lines
 from faultlens.operators import classify, extract, triage
 
 
@@ -14,13 +15,13 @@ def analyze_artifacts(artifacts: DataFrame, text: str = "text", key: str = "arti
     """One row per artifact: redactions, classification, events, frames, failed tests, correlation ids, deployment hints,
     severity, component, hypothesis, fix, confidence and completeness.
 
-    Everything after the first step reads the redacted text. ``hits_change`` tells whether a frame lies on a changed file.
+    Everything after the first step reads the redacted text, in its own row: no artifact is redacted or sent anywhere twice. ``hits_change`` tells whether a frame lies on a changed file.
     """
     changed = F.lit(False) if hits_change is None else hits_change
     clean = artifacts.withColumn("_c", redact_counted(text)).withColumn("redaction_hits", hit_total(F.col("_c"))).withColumn(
-        text, F.col("_c.text")).drop("_c")
-    rows = extract.failed_tests(classify.extract_events(classify.classify_artifacts(clean, text), text), text)
-    rows = rows.withColumn("frames", extract.stack_frames(text)).withColumn("deployment", extract.deployment_hints(text))
+        text, F.col("_c.text")).drop("_c").withColumn("_split", split_lines(text))
+    rows = extract.failed_tests(classify.extract_events(classify.classify_artifacts(clean, text), text, "_split"), text, "_split")
+    rows = rows.withColumn("frames", extract.stack_frames(text, F.col("_split"))).withColumn("deployment", extract.deployment_hints(text))
     paths = F.concat(F.transform("frames", lambda f: f["file"]), F.transform("failed_tests", lambda t: t["file"]))
     static = triage.severity_of(F.col("kind"), F.col("message"), changed)
     located = (F.size("frames") > 0) | (F.size("failed_tests") > 0)
@@ -31,5 +32,4 @@ def analyze_artifacts(artifacts: DataFrame, text: str = "text", key: str = "arti
         "confidence": triage.confidence_of(F.col("kind"), F.col("message"), F.size("frames"), F.size("failed_tests"), changed),
         "completeness": triage.completeness(F.col("kind"), F.size("events") > 0, F.col("message"), located, changed, F.lit(False)),
     })
-    context = extract.entity_context(clean, key, text)
-    return decided.join(context.select(key, F.struct(*[c for c in context.columns if c != key]).alias("context")), key)
+    return decided.withColumn("context", extract.context_of(text, F.col("_split"))).drop("_split")

@@ -394,12 +394,19 @@ def clock_of(line: Column) -> Column:
 _ANY_TRACE = "|".join((P.TRACE_FIELD, P.SPAN_FIELD, P.PARENT_FIELD, P.TRACEPARENT))
 
 
-def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
+def _may_trace(line: Column) -> Column:
+    return line.contains("trace") | line.contains("span") | line.contains("parent") | line.contains("00-")
+
+
+def extract_events(df: DataFrame, text: str = "text", lines: str | None = None) -> DataFrame:
     """Add ``events``: the primary failure, then all distinct downstream failures in log order.
 
-    Needs ``stage``, ``kind`` and ``message``. Only lines with an error word are classified.
+    Needs ``stage``, ``kind`` and ``message``. Only lines with an error word are classified. ``lines`` names a column of the text's lines, if there is one.
     """
-    lines = split_lines(text)
+    own = lines is None
+    if own:
+        df, lines = df.withColumn("_lines", F.when(F.col("kind") != "unknown", split_lines(text))), "_lines"
+    lines = F.col(lines)
     suspects = F.array_distinct(F.transform(
         F.filter(lines, lambda x: found(x, P.ERROR_LINE)),
         lambda x: F.struct(
@@ -421,7 +428,7 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
         lambda e: (e["kind"] != "unknown")
         & ~((e["stage"] == F.col("stage")) & (e["kind"] == F.col("kind")) & (e["message"] == F.col("message"))),
     ))
-    traced = first(F.filter(lines, lambda x: x.rlike(_ANY_TRACE)))
+    traced = first(F.filter(lines, lambda x: _may_trace(x) & x.rlike(_ANY_TRACE)))
 
     def bare(trace: Column) -> Column:
         return (trace["trace_id"] == "") & (trace["span_id"] == "") & trace["parent_span_id"].isNull()
@@ -453,7 +460,7 @@ def extract_events(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("_head", trace_of(F.col("_traced")))
         .withColumn("_read", read)
         .withColumn("events", F.coalesce(F.transform("_read", describe), F.array()))
-        .drop("_suspects", "_staged", "_kinded", "_traced", "_events", "_head", "_read")
+        .drop("_suspects", "_staged", "_kinded", "_traced", "_events", "_head", "_read", *(["_lines"] if own else []))
     )
 
 

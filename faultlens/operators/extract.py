@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultlens.functions import patterns as P
 from faultlens.functions.text import (
-    as_col, clip, first, found, group, let, split_lines, strip, whole,
+    as_col, clip, first, found, group, let, possible, split_lines, strip, whole,
 )
 
 # ------------------------------------------------------------------ stack frames
@@ -42,10 +42,10 @@ def _frame(line: Column) -> Column:
     )
 
 
-def stack_frames(text: Column | str) -> Column:
-    """Distinct frames of a log in order."""
+def stack_frames(text: Column | str, lines: Column | None = None) -> Column:
+    """Distinct frames of a log in order; ``lines`` are those of the text, where they are at hand."""
     # A cheap screen: every frame shape has ``:number``, `` line number`` or ``:line number``.
-    lines = F.filter(split_lines(text), lambda x: x.rlike(r":\d|line\s+\d"))
+    lines = F.filter(split_lines(text) if lines is None else lines, lambda x: x.rlike(r":\d|line\s+\d"))
     found_frames = F.filter(F.transform(lines, _frame), lambda f: f.isNotNull())
     return F.array_distinct(found_frames)
 
@@ -189,7 +189,7 @@ def jest_failures(lines: Column) -> Column:
 
 def go_failures(lines: Column) -> Column:
     """A location row belongs to the FAIL row right before it among FAIL and location rows."""
-    rows = F.filter(lines, lambda x: x.rlike(P.GO_FAIL) | x.rlike(P.GO_LOCATION))
+    rows = F.filter(lines, lambda x: (x.startswith("--- FAIL:") & x.rlike(P.GO_FAIL)) | (x.contains(".go:") & x.rlike(P.GO_LOCATION)))
 
     def bind(rows: Column) -> Column:
         def read(line: Column, i: Column) -> Column:
@@ -209,7 +209,7 @@ def rspec_failures(lines: Column) -> Column:
     """Summary rows, then numbered blocks after a ``Failures:`` row."""
     cores = F.transform(lines, strip)
     summary = F.transform(
-        F.filter(cores, lambda x: x.rlike(P.RSPEC_SUMMARY)),
+        F.filter(cores, lambda x: x.startswith("rspec") & x.rlike(P.RSPEC_SUMMARY)),
         lambda x: _record(group(x, P.RSPEC_SUMMARY, 3), None, group(x, P.RSPEC_SUMMARY, 1), group(x, P.RSPEC_SUMMARY, 2)),
     )
 
@@ -256,7 +256,7 @@ def cargo_failures(text: Column) -> Column:
 
 
 def dotnet_failures(lines: Column) -> Column:
-    rows = _indexed(lines, lambda x: x.rlike(P.DOTNET_FAIL))
+    rows = _indexed(lines, lambda x: x.contains("Failed") & x.rlike(P.DOTNET_FAIL))
 
     def read(row: Column) -> Column:
         ahead = F.transform(F.slice(lines, row["i"] + 2, 11), strip)
@@ -343,10 +343,10 @@ RUNNERS = {
 }
 
 
-def failed_tests(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``failed_tests``: records of all runner formats merged in runner order."""
+def failed_tests(df: DataFrame, text: str = "text", lines: str | None = None) -> DataFrame:
+    """Add ``failed_tests``: records of all runner formats merged in runner order. ``lines`` names a column of the text's lines, if there is one."""
     body = F.col(text)
-    out = df.withColumn("_lines", split_lines(text))
+    out = df.withColumn("_lines", split_lines(text) if lines is None else F.col(lines))
     for name, parse in RUNNERS.items():
         out = out.withColumn(f"_r_{name}", parse(body, F.col("_lines")))
     records = F.concat(*[F.col(f"_r_{name}") for name in RUNNERS])
@@ -360,13 +360,8 @@ def failed_test_table(df: DataFrame, key: str = "artifact_id", text: str = "text
 
 # ------------------------------------------------------------------ correlation ids
 
-def entity_values(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
-    """Long form (key, field, pos, value) of correlation ids in text order; ``request`` holds method and path."""
-    def values(field: str, pattern: str) -> Column:
-        matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-        return F.transform(matches, lambda v, i: F.struct(
-            F.lit(field).alias("field"), i.cast("bigint").alias("pos"), v.alias("value")))
-
+def _entity_lists(text: Column, lines: Column | None = None) -> dict[str, Column]:
+    """Values of each correlation id in text order; ``request`` holds method and path, with line and place in it."""
     def requests(line: Column, i: Column) -> Column:
         method, path = group(line, P.METHOD_FIELD), group(line, P.PATH_FIELD)
         pair = F.when((method != "") & (path != ""), F.array(F.concat(F.upper(method), F.lit("\n"), path)))
@@ -375,14 +370,54 @@ def entity_values(df: DataFrame, key: str = "artifact_id", text: str = "text") -
             lambda m: F.concat(F.upper(group(m, P.METHOD_PATH, 1)), F.lit("\n"), group(m, P.METHOD_PATH, 2)),
         )
         both = F.concat(F.coalesce(pair, F.array().cast("array<string>")), inline)
-        return F.transform(both, lambda v, j: F.struct(
-            F.lit("request").alias("field"), (i.cast("bigint") * 100000 + j).alias("pos"), v.alias("value")))
+        return F.transform(both, lambda v, j: F.struct((i.cast("bigint") * 100000 + j).alias("pos"), v.alias("value")))
 
-    lines = F.filter(F.transform(split_lines(text), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+    lines = F.filter(F.transform(split_lines(text) if lines is None else lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
                      lambda r: r["x"].contains("/"))
-    pieces = [values(field, pattern) for field, pattern in P.ENTITY_FIELDS.items()]
-    pieces.append(F.flatten(F.transform(lines, lambda r: requests(r["x"], r["i"]))))
-    return df.select(key, F.inline(F.concat(*pieces)))
+    none = F.when(text.isNotNull(), F.array().cast("array<struct<pos:bigint,value:string>>"))
+    values = lambda pattern: F.when(possible(text, pattern), F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v, i: F.struct(i.cast("bigint").alias("pos"), v.alias("value")))).otherwise(none)
+    lists = {field: values(pattern) for field, pattern in P.ENTITY_FIELDS.items()}
+    # Lines are looked at one by one only in a text that names a method at all.
+    some = found(text, P.METHOD_FIELD) | found(text, P.METHOD_PATH)
+    return lists | {"request": F.when(some, F.flatten(F.transform(lines, lambda r: requests(r["x"], r["i"])))).otherwise(none)}
+
+
+def entity_values(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
+    """Long form (key, field, pos, value) of correlation ids in text order; ``request`` holds method and path."""
+    def named(field: str, rows: Column) -> Column:
+        return F.transform(rows, lambda r: F.struct(F.lit(field).alias("field"), r["pos"].alias("pos"), r["value"].alias("value")))
+
+    rows = [named(field, found_rows) for field, found_rows in _entity_lists(F.col(text)).items()]
+    return df.select(key, F.inline(F.concat(*rows)))
+
+
+def context_of(text: Column | str, lines: Column | None = None) -> Column:
+    """The struct that ``entity_context`` gives a text that is the only one of its key, found inside its row."""
+    lists = _entity_lists(as_col(text), lines)
+    found_values = F.struct(*[F.coalesce(rows, F.array().cast("array<struct<pos:bigint,value:string>>")).alias(field) for field, rows in lists.items()])
+
+    def most(rows: Column) -> Column:
+        """The most frequent value (ties: first seen): runs of equal values are counted in one pass over the sorted values."""
+        run = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("pos"))
+        start = F.struct(run.alias("run"), run.alias("best"))
+
+        def step(state: Column, r: Column) -> Column:
+            same = F.coalesce(state["run"]["value"] == r["value"], F.lit(False))
+            grown = F.struct(r["value"].alias("value"), F.when(same, state["run"]["n"] + 1).otherwise(1).alias("n"), F.when(same, state["run"]["pos"]).otherwise(r["pos"]).alias("pos"))
+            ahead = lambda run: (run["n"] > state["best"]["n"]) | ((run["n"] == state["best"]["n"]) & (run["pos"] < state["best"]["pos"]))
+            return let(grown, lambda run: F.struct(run.alias("run"), F.when(ahead(run), run).otherwise(state["best"]).alias("best")))
+
+        ordered = F.array_sort(F.transform(rows, lambda r: F.struct(r["value"].alias("value"), r["pos"].alias("pos"))))
+        return F.coalesce(F.aggregate(ordered, start, step, lambda state: state["best"]["value"]), F.lit(""))
+
+    def told(r: Column) -> Column:
+        return let(most(r["request"]), lambda request: F.struct(
+            *[most(r[field]).alias(field) for field in P.ENTITY_FIELDS],
+            F.array_distinct(F.transform(r["user_id"], lambda u: u["value"])).alias("users"),
+            F.substring_index(request, "\n", 1).alias("method"), F.substring_index(request, "\n", -1).alias("path")))
+
+    return let(found_values, told)
 
 
 def entity_context(df: DataFrame, key: str = "artifact_id", text: str = "text") -> DataFrame:
@@ -417,8 +452,10 @@ def entity_context(df: DataFrame, key: str = "artifact_id", text: str = "text")
 
 def deployment_hints(text: Column | str) -> Column:
     """Struct of deployment facts that a log mentions; empty strings where it says nothing."""
-    text = as_col(text)
-    low = F.lower(text)
+    return let(F.struct(as_col(text).alias("text"), F.lower(as_col(text)).alias("low")), lambda r: _hints(r["text"], r["low"]))
+
+
+def _hints(text: Column, low: Column) -> Column:
     has = lambda *words: _any(low, words)
     platform = (
         F.when(has("argocd", "argo cd"), "argo-cd")
@@ -429,13 +466,13 @@ def deployment_hints(text: Column | str) -> Column:
         .when(has("terraform"), "terraform")
         .otherwise("")
     )
-    release = F.coalesce(F.nullif(group(text, P.RELEASE_NAME), F.lit("")), group(text, P.RELEASE_HELM))
+    release = F.coalesce(F.nullif(group(text, P.RELEASE_NAME, low=low), F.lit("")), group(text, P.RELEASE_HELM, low=low))
     return F.struct(
         platform.alias("platform"), release.alias("release"),
-        F.when(found(text, P.ROLLBACK_DONE_ANYWHERE), "rollback_succeeded").otherwise("").alias("recovery"),
-        F.when(found(text, P.OUTCOME_FAILED), "failed").otherwise("").alias("outcome"),
-        *[group(text, pattern).alias(name) for name, pattern in P.DEPLOYMENT_HINTS.items()],
-        log_impact(text).alias("customer_impact"),
+        F.when(found(text, P.ROLLBACK_DONE_ANYWHERE, low), "rollback_succeeded").otherwise("").alias("recovery"),
+        F.when(found(text, P.OUTCOME_FAILED, low), "failed").otherwise("").alias("outcome"),
+        *[group(text, pattern, low=low).alias(name) for name, pattern in P.DEPLOYMENT_HINTS.items()],
+        log_impact(text, low).alias("customer_impact"),
     )
 
 
@@ -446,12 +483,12 @@ def _any(text: Column, words) -> Column:
     return result
 
 
-def log_impact(text: Column) -> Column:
-    low = F.lower(text)
+def log_impact(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
     return (
-        F.when(found(low, P.LOG_IMPACT_OUTAGE), "outage")
-        .when(found(low, P.IMPACT_DEGRADED), "degraded")
-        .when(found(low, P.LOG_IMPACT_NONE), "none")
+        F.when(found(low, P.LOG_IMPACT_OUTAGE, low), "outage")
+        .when(found(low, P.IMPACT_DEGRADED, low), "degraded")
+        .when(found(low, P.LOG_IMPACT_NONE, low), "none")
         .otherwise("")
     )
 
